@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding through a distinct-word table.
 
-Texts are split into words in Spark by the tokenizer's own pattern. The words of a block of documents become its
-word list plus one code sequence (which word stands at which position). A second table holds each distinct word of
-the corpus once; there a word is encoded once, and its ids are turned back into bytes by a join with the id-to-piece
-table of the vocabulary. A join by word brings ids and pieces to the blocks, and each block puts them back by
-position. What moves between executors is one row per block and distinct word, so a word that makes up a tenth of
-all text costs no more rows than there are blocks.
+Texts are split into words in Spark by the tokenizer's own pattern. A block of documents becomes a head (which word
+stands at which position) and its distinct words. The distinct-word table of the corpus is dealt into buckets by the
+words' hashes: a bucket meets the distinct words of all blocks that fall into it, encodes each distinct word once,
+and answers every block with the ids of its words. Blocks put the ids back by position and join them with the
+id-to-piece table of the vocabulary, whose size the vocabulary bounds, to decode. What moves is each block's
+distinct words, so a word that makes up a tenth of all text costs no more entries than there are blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import runs, text_or_empty
 
@@ -49,17 +48,18 @@ def special_tokens(path: str) -> list[str]:
         return [t["content"] for t in json.load(f)["added_tokens"]]
 
 
-def id_to_piece(spark, path: str) -> DataFrame:
-    """(id, piece): each id's bytes. As many rows as the vocabulary has, whatever the corpus holds."""
+@lru_cache(maxsize=2)
+def id_to_piece(path: str) -> pa.Array:
+    """The bytes of each id, by id. As many entries as the vocabulary has, whatever the corpus holds."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
-    tok, special = _tokenizer(path), set(special_tokens(path))
-    rows = [
-        (i, t.encode() if t in special else bytes(byte_of[c] for c in t))
-        for t, i in tok.get_vocab(with_added_tokens=True).items()
-    ]
-    return spark.createDataFrame(pa.table({"id": pa.array([r[0] for r in rows], pa.int32()), "piece": pa.array([r[1] for r in rows], pa.binary())}).to_pandas(), "id int, piece binary")
+    special = set(special_tokens(path))
+    vocab = _tokenizer(path).get_vocab(with_added_tokens=True)
+    out = [b""] * (max(vocab.values()) + 1)
+    for t, i in vocab.items():
+        out[i] = t.encode() if t in special else bytes(byte_of[c] for c in t)
+    return pa.array(out, pa.binary())
 
 
 def split_words(text, specials: list[str]):
@@ -75,37 +75,11 @@ def split_words(text, specials: list[str]):
     return F.when(text.rlike(marked), mixed).otherwise(plain)
 
 
-def _block_rows(batches):
-    """Rows of a block: one per distinct word (word, code), and a head with ids, word counts and the codes in order."""
-    from pyspark import TaskContext
-
-    task, k = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        for part in runs(batch, batch.column(2).to_numpy(), BLOCK_BYTES):
-            words = part.column(1)
-            coded = words.flatten().dictionary_encode()
-            codes = coded.indices.to_numpy(zero_copy_only=False).astype("<u4")
-            counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype("<u4")
-            ids = part.column(0)
-            block = (task << 32) + k
-            k += 1
-            head = json.dumps({"ids": ids.to_pylist(), "counts": counts.tolist()}).encode()
-            names = coded.dictionary.to_pylist() + [f"a a {block}"]  # no word looks like the last: it holds inner spaces
-            n = len(names)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block] * n, pa.int64()), pa.array(names, pa.string()), pa.array([*range(n - 1), -1], pa.int32()),
-                    pa.array([None] * (n - 1) + [head], pa.binary()), pa.array([None] * (n - 1) + [_pack(codes)], pa.binary()),
-                ],
-                names=["block", "word", "code", "head", "codes"],
-            )
-
-
-def _pack(codes: np.ndarray) -> bytes:
-    """Codes with their bytes in planes, compressed."""
+def _pack(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers with their bytes in planes, compressed."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(codes.view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
@@ -115,48 +89,160 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _put_back(group: pa.Table) -> tuple[list, dict[str, list]]:
-    """A block's documents from its head, and its words' ids and bytes."""
-    code = group.column("code").to_numpy()
-    at = np.argsort(code, kind="stable")
-    group = group.take(pa.array(at)).combine_chunks()
-    head, codes = json.loads(group.column("head")[0].as_py()), _unpack(group.column("codes")[0].as_py())
-    words = group.slice(1)
-    ids, pieces = (pa.concat_arrays(words.column(c).chunks) if words.num_rows else pa.array([], group.schema.field(c).type) for c in ("ids", "bytes"))
-    ends = np.cumsum(np.array(head["counts"], np.int64))
-    out = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-    n_ids = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
-    n_bytes = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
-    begin = 0
-    for end in ends.tolist():
-        own = codes[begin:end]
-        begin = end
-        chosen = pa.array(own)
-        count, size = int(n_ids[own].sum()), int(n_bytes[own].sum())
-        flat = ids.take(chosen).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes() if count else b""
-        text = b"".join(pieces.take(chosen).to_pylist()) if size else b""
-        out["n_tokens"].append(count)
-        out["ids_sha256"].append(hashlib.sha256(flat).hexdigest())
-        # As the library: bytes that are no UTF-8 become replacement characters.
-        decoded = text.decode("utf-8", "replace")
-        out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-        out["ids"].append(flat)
-        out["decoded"].append(decoded)
-    return head["ids"], out
+def _pack_words(words: pa.Array) -> bytes:
+    import zstandard
+
+    sizes = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    body = np.array([len(words)], "<u4").tobytes() + sizes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(words.cast(pa.binary()).to_pylist())
+    return zstandard.ZstdCompressor(level=3).compress(body)
+
+
+def _unpack_words(packed: bytes) -> pa.Array:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw[:4], "<u4")[0])
+    sizes = np.ascontiguousarray(np.frombuffer(raw[4 : 4 + 4 * n], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.StringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[4 + 4 * n :]))
+
+
+def _block_rows(buckets: int):
+    """Rows (block, bucket, body): a block's distinct words by bucket, and its head at a bucket of its own below zero."""
+
+    def rows(block: int, part: pa.RecordBatch) -> pa.RecordBatch:
+        import pandas as pd
+
+        words = part.column(1)
+        coded = words.flatten().dictionary_encode()
+        names = coded.dictionary
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        of = (pd.util.hash_array(np.array(names.to_pylist(), dtype=object), categorize=False) % buckets).astype(np.int64) if len(names) else np.zeros(0, np.int64)
+        # Positions hold ranks by frequency, which compress well; order says where a rank stands in the buckets' lists.
+        often = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
+        rank = np.empty(len(names), np.int64)
+        rank[often] = np.arange(len(names))
+        dealt = np.argsort(of, kind="stable")
+        place = np.empty(len(names), np.int64)
+        place[dealt] = np.arange(len(names))
+        ids = part.column(0)
+        head = [
+            pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(),
+            _pack(pc.list_value_length(words).to_numpy(zero_copy_only=False)), _pack(rank[codes]), _pack(place[often]),
+        ]
+        body = b"".join(len(h).to_bytes(8, "little") + h for h in head)
+        cuts = np.flatnonzero(np.diff(of[dealt], prepend=-1))
+        listed = names.take(pa.array(dealt))
+        ends = [*cuts[1:], len(dealt)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block] * (len(cuts) + 1), pa.int64()), pa.array([*of[dealt[cuts]].tolist(), -1 - block], pa.int64()),
+                pa.array([*(_pack_words(listed.slice(a, b - a)) for a, b in zip(cuts.tolist(), ends)), body], pa.binary()),
+            ],
+            names=["block", "bucket", "body"],
+        )
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task, k = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for part in runs(batch, batch.column(2).to_numpy(), BLOCK_BYTES):
+                yield rows((task << 24) + k, part)
+                k += 1
+
+    return run
+
+
+def _encode_bucket(path: str):
+    """One bucket of the distinct-word table: each distinct word is encoded once, each block's list answered in its order."""
+
+    def run(group: pa.Table) -> pa.Table:
+        bucket = group.column("bucket")[0].as_py()
+        if bucket < 0:
+            return group
+        lists = [_unpack_words(x) for x in group.column("body").to_pylist()]
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        tok = _tokenizer(path)
+        found = [e.ids for e in tok.encode_batch(coded.dictionary.to_pylist(), add_special_tokens=False)]
+        ids = pa.array(found, pa.list_(pa.uint32()))
+        out, at = [], 0
+        for own in lists:
+            mine = ids.take(coded.indices.slice(at, len(own)))
+            at += len(own)
+            sizes = pc.list_value_length(mine).to_numpy(zero_copy_only=False)
+            out.append(_pack(np.concatenate(([len(own)], sizes, mine.flatten().to_numpy(zero_copy_only=False)))))
+        return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "body": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _put_back(group: pa.Table, path: str):
+    """(ids of a block's documents, their token ids as arrays)."""
+    group = group.take(pa.array(np.argsort(group.column("bucket").to_numpy(), kind="stable"))).combine_chunks()
+    bodies = group.column("body").to_pylist()
+    head, at = [], 0
+    while at < len(bodies[0]):
+        size = int.from_bytes(bodies[0][at : at + 8], "little")
+        head.append(bodies[0][at + 8 : at + 8 + size])
+        at += 8 + size
+    ids = np.frombuffer(head[0], "<i8")
+    nulls = np.unpackbits(np.frombuffer(head[1], np.uint8))[: len(ids)].astype(bool)
+    counts, ranks, place = (_unpack(x) for x in head[2:])
+    sizes, flat = [], []
+    for body in bodies[1:]:
+        raw = _unpack(body)
+        sizes.append(raw[1 : 1 + raw[0]])
+        flat.append(raw[1 + raw[0] :])
+    sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.uint32)
+    flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
+    words = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
+    ends = np.cumsum(counts.astype(np.int64))
+
+    def documents():
+        begin = 0
+        for end in ends.tolist():
+            chosen = place[ranks[begin:end]]
+            begin = end
+            yield words.take(pa.array(chosen)).flatten().to_numpy(zero_copy_only=False).astype("<u4")
+
+    return pa.array(ids, pa.int64(), mask=nulls), documents
+
+
+def _decode(ids: np.ndarray, pieces: pa.Array) -> str:
+    """As the library: the pieces of all ids one after another; bytes that are no UTF-8 become replacement characters."""
+    chosen = pieces.take(pa.array(ids))
+    if not len(chosen):
+        return ""
+    first, last = (int.from_bytes(chosen.buffers()[1][4 * i : 4 * i + 4], "little") for i in (0, len(chosen)))
+    return chosen.buffers()[2][first:last].to_pybytes().decode("utf-8", "replace")
 
 
 SUMMARY = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def _summary(group: pa.Table) -> pa.Table:
-    ids, out = _put_back(group)
-    return pa.table({"id": pa.array(ids, pa.int64())} | {k: pa.array(out[k], pa.int64() if k == "n_tokens" else pa.string()) for k in ("n_tokens", "ids_sha256", "decoded_sha256")})
+def _summary(path: str):
+    def run(group: pa.Table) -> pa.Table:
+        names, documents = _put_back(group, path)
+        pieces = id_to_piece(path)
+        count, coded, decoded = [], [], []
+        for ids in documents():
+            count.append(len(ids))
+            coded.append(hashlib.sha256(ids.tobytes()).hexdigest())
+            decoded.append(hashlib.sha256(_decode(ids, pieces).encode()).hexdigest())
+        return pa.table({"id": names, "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
+
+    return run
 
 
-def _whole(group: pa.Table) -> pa.Table:
-    ids, out = _put_back(group)
-    flat = [np.frombuffer(x, "<u4").astype(np.int32).tolist() for x in out["ids"]]
-    return pa.table({"id": pa.array(ids, pa.int64()), "token_ids": pa.array(flat, pa.list_(pa.int32())), "decoded": pa.array(out["decoded"], pa.string())})
+def _whole(path: str):
+    def run(group: pa.Table) -> pa.Table:
+        names, documents = _put_back(group, path)
+        pieces = id_to_piece(path)
+        ids = [x.astype(np.int32) for x in documents()]
+        return pa.table({"id": names, "token_ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([_decode(x, pieces) for x in ids], pa.string())})
+
+    return run
 
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
@@ -170,24 +256,11 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     specials = special_tokens(tokenizer_path)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     split = chosen.select("id", split_words(F.col("text"), specials).alias("words"), F.octet_length("text").cast("long").alias("size"))
-    rows = split.mapInArrow(_block_rows, "block long, word string, code int, head binary, codes binary")
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encoded(words):
-        import pandas as pd
-
-        tok = _tokenizer(tokenizer_path)
-        return pd.Series([e.ids for e in tok.encode_batch(words.tolist(), add_special_tokens=False)])
-
-    words = rows.where("code >= 0").select("word").distinct().withColumn("ids", encoded("word"))
-    pieces = F.broadcast(id_to_piece(spark, tokenizer_path))
-    decoded = (
-        words.select("word", "ids", F.posexplode("ids").alias("at", "id")).join(pieces, "id")
-        .groupBy("word").agg(F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
-        .select(F.col("word"), "ids", F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["piece"])).alias("bytes"))
-    )
-    keyed = lambda df: df.withColumn("key", F.xxhash64("word"))
-    joined = keyed(rows).join(keyed(decoded), ["key", "word"], "left").select("block", "code", "head", "codes", "ids", "bytes")
+    # The number of buckets follows the session's shuffle width, which is set to suit the input.
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    form = "block long, bucket long, body binary"
+    rows = split.mapInArrow(_block_rows(buckets), form)
+    answered = rows.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer_path), form)
     if digests:
-        return joined.groupBy("block").applyInArrow(_summary, SUMMARY)
-    return joined.groupBy("block").applyInArrow(_whole, "id long, token_ids array<int>, decoded string")
+        return answered.groupBy("block").applyInArrow(_summary(tokenizer_path), SUMMARY)
+    return answered.groupBy("block").applyInArrow(_whole(tokenizer_path), "id long, token_ids array<int>, decoded string")
