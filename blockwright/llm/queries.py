@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, secret_scan, simhash, urls
+from . import bpe, jpeg, langid, secret_scan, simhash, urls
 from .common import table
 
 #: Where the public tokenizers' files are; a parameter of the operator.
@@ -35,5 +35,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_secrets": op3_secrets, "op5_simhash": op5_simhash}
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_columns(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_secrets": op3_secrets, "op5_simhash": op5_simhash, "op6_language": op6_language, "op10_jpeg": op10_jpeg}
 ORACLE_SQL: dict[str, str] = {"op2_urls": urls.oracle()}
