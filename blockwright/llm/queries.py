@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, jpeg, langid, quality, secret_scan, simhash, urls, warc
+from . import bpe, decontam, html, jpeg, langid, quality, secret_scan, simhash, urls, warc
 from .common import table
 
 #: Where the public tokenizers' files are; a parameter of the operator.
@@ -47,6 +47,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
 
@@ -57,6 +61,6 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_simhash": op5_simhash,
-    "op6_language": op6_language, "op8_html": op8_html, "op9_quality": op9_quality, "op10_jpeg": op10_jpeg,
+    "op6_language": op6_language, "op7_decontamination": op7_decontamination, "op8_html": op8_html, "op9_quality": op9_quality, "op10_jpeg": op10_jpeg,
 }
 ORACLE_SQL: dict[str, str] = {"op2_urls": urls.oracle(), "op4_warc": warc.ORACLE}
