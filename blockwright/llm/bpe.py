@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, text_or_empty
+from .common import runs, shared_path, text_or_empty
 
 #: The byte-level pre-tokenizer's pattern, with Unicode white space spelled out (fixed values).
 SPACE = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -107,8 +107,12 @@ def _unpack_words(packed: bytes) -> pa.Array:
     return pa.StringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[4 + 4 * n :]))
 
 
-def _block_rows(buckets: int):
-    """Rows (block, bucket, body): a block's distinct words by bucket, and its head at a bucket of its own below zero."""
+def _block_rows(buckets: int, heads: bool):
+    """Rows (block, bucket, body) of blocks: their heads, at bucket -1, or their distinct words by bucket.
+
+    Heads are the larger part and need no answer, so they are made apart and travel once. Each body opens with the
+    digest of the block's word list, by which both parts prove that they come from the same block.
+    """
 
     def rows(block: int, part: pa.RecordBatch) -> pa.RecordBatch:
         import pandas as pd
@@ -118,28 +122,25 @@ def _block_rows(buckets: int):
         names = coded.dictionary
         codes = coded.indices.to_numpy(zero_copy_only=False)
         of = (pd.util.hash_array(np.array(names.to_pylist(), dtype=object), categorize=False) % buckets).astype(np.int64) if len(names) else np.zeros(0, np.int64)
-        # Positions hold ranks by frequency, which compress well; order says where a rank stands in the buckets' lists.
-        often = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
-        rank = np.empty(len(names), np.int64)
-        rank[often] = np.arange(len(names))
         dealt = np.argsort(of, kind="stable")
-        place = np.empty(len(names), np.int64)
-        place[dealt] = np.arange(len(names))
-        ids = part.column(0)
-        head = [
-            pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(),
-            _pack(pc.list_value_length(words).to_numpy(zero_copy_only=False)), _pack(rank[codes]), _pack(place[often]),
-        ]
-        body = b"".join(len(h).to_bytes(8, "little") + h for h in head)
-        cuts = np.flatnonzero(np.diff(of[dealt], prepend=-1))
-        listed = names.take(pa.array(dealt))
-        ends = [*cuts[1:], len(dealt)]
+        mark = hashlib.blake2b(b"\0".join(x.encode() for x in names.to_pylist()), digest_size=8).digest()
+        if heads:
+            # Positions hold ranks by frequency, which compress well; place says where a rank stands in the buckets' lists.
+            often = np.argsort(-np.bincount(codes, minlength=len(names)), kind="stable")
+            rank, place = np.empty(len(names), np.int64), np.empty(len(names), np.int64)
+            rank[often] = place[dealt] = np.arange(len(names))
+            ids = part.column(0)
+            head = [
+                pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), np.packbits(ids.is_null().to_numpy(zero_copy_only=False)).tobytes(),
+                _pack(pc.list_value_length(words).to_numpy(zero_copy_only=False)), _pack(rank[codes]), _pack(place[often]),
+            ]
+            out = [(-1, mark + b"".join(len(h).to_bytes(8, "little") + h for h in head))]
+        else:
+            cuts = np.flatnonzero(np.diff(of[dealt], prepend=-1))
+            listed = names.take(pa.array(dealt))
+            out = [(int(of[dealt[a]]), mark + _pack_words(listed.slice(a, b - a))) for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(dealt)])]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([block] * (len(cuts) + 1), pa.int64()), pa.array([*of[dealt[cuts]].tolist(), -1 - block], pa.int64()),
-                pa.array([*(_pack_words(listed.slice(a, b - a)) for a, b in zip(cuts.tolist(), ends)), body], pa.binary()),
-            ],
-            names=["block", "bucket", "body"],
+            [pa.array([block] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["block", "bucket", "body"]
         )
 
     def run(batches):
@@ -158,20 +159,18 @@ def _encode_bucket(path: str):
     """One bucket of the distinct-word table: each distinct word is encoded once, each block's list answered in its order."""
 
     def run(group: pa.Table) -> pa.Table:
-        bucket = group.column("bucket")[0].as_py()
-        if bucket < 0:
-            return group
-        lists = [_unpack_words(x) for x in group.column("body").to_pylist()]
+        bodies = group.column("body").to_pylist()
+        lists = [_unpack_words(x[8:]) for x in bodies]
         coded = pa.concat_arrays(lists).dictionary_encode()
         tok = _tokenizer(path)
         found = [e.ids for e in tok.encode_batch(coded.dictionary.to_pylist(), add_special_tokens=False)]
         ids = pa.array(found, pa.list_(pa.uint32()))
         out, at = [], 0
-        for own in lists:
+        for own, body in zip(lists, bodies):
             mine = ids.take(coded.indices.slice(at, len(own)))
             at += len(own)
             sizes = pc.list_value_length(mine).to_numpy(zero_copy_only=False)
-            out.append(_pack(np.concatenate(([len(own)], sizes, mine.flatten().to_numpy(zero_copy_only=False)))))
+            out.append(body[:8] + _pack(np.concatenate(([len(own)], sizes, mine.flatten().to_numpy(zero_copy_only=False)))))
         return pa.table({"block": group.column("block"), "bucket": group.column("bucket"), "body": pa.array(out, pa.binary())})
 
     return run
@@ -181,6 +180,9 @@ def _put_back(group: pa.Table, path: str):
     """(ids of a block's documents, their token ids as arrays)."""
     group = group.take(pa.array(np.argsort(group.column("bucket").to_numpy(), kind="stable"))).combine_chunks()
     bodies = group.column("body").to_pylist()
+    if group.column("bucket")[0].as_py() != -1 or len({x[:8] for x in bodies}) > 1:
+        raise RuntimeError("the input gave other rows when it was read again; write it as a table first")
+    bodies = [x[8:] for x in bodies]
     head, at = [], 0
     while at < len(bodies[0]):
         size = int.from_bytes(bodies[0][at : at + 8], "little")
@@ -245,6 +247,14 @@ def _whole(path: str):
     return run
 
 
+def _repeatable(df: DataFrame) -> bool:
+    """Whether two scans give the same rows in the same order: files, projected or filtered, and nothing else."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
     """Encode every whole text and decode it again.
 
@@ -255,12 +265,16 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     spark = docs.sparkSession
     specials = special_tokens(tokenizer_path)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    if not _repeatable(chosen):
+        path = shared_path(spark, "bpe-docs")
+        chosen.write.parquet(path)
+        chosen = spark.read.parquet(path)
     split = chosen.select("id", split_words(F.col("text"), specials).alias("words"), F.octet_length("text").cast("long").alias("size"))
     # The number of buckets follows the session's shuffle width, which is set to suit the input.
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     form = "block long, bucket long, body binary"
-    rows = split.mapInArrow(_block_rows(buckets), form)
-    answered = rows.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer_path), form)
+    lists = split.mapInArrow(_block_rows(buckets, heads=False), form)
+    answered = split.mapInArrow(_block_rows(buckets, heads=True), form).unionByName(lists.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer_path), form))
     if digests:
         return answered.groupBy("block").applyInArrow(_summary(tokenizer_path), SUMMARY)
     return answered.groupBy("block").applyInArrow(_whole(tokenizer_path), "id long, token_ids array<int>, decoded string")
