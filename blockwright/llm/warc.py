@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -119,6 +120,18 @@ def parse_warc(data: bytes):
         at = end + 8 + size
 
 
+def gunzip(data: bytes) -> bytes:
+    """All members of a gzip file; other bytes as they are."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data) + member.flush())
+        if not member.eof:
+            raise ArchiveError("a compressed archive is cut off")
+        data = member.unused_data
+    return b"".join(out) if out else data
+
+
 def digest(payload: bytes) -> str:
     return hashlib.sha256(payload).hexdigest()
 
@@ -163,16 +176,22 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return chosen.mapInArrow(run, "archive binary")
 
 
-def read_arc(archives: DataFrame, column: str = "archive") -> DataFrame:
-    """The content records of ARC archives. An archive that breaks the format gives the records before the break."""
+def read_arc(archives: DataFrame, column: str = "archive", pack: bool = False) -> DataFrame:
+    """The content records of ARC archives, with ``pack`` their payloads compressed for the way between executors.
+
+    An archive that breaks the format gives the records before the break.
+    """
 
     def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress if pack else bytes
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 rows = []
                 try:
                     for row in _converted(data or b""):
-                        rows.append(dict(zip(_ARROW.names, row)))
+                        rows.append(dict(zip(_ARROW.names, row)) | {"payload": press(row[5])})
                 except ArchiveError:
                     pass
                 if rows:
@@ -192,17 +211,20 @@ def with_revisits(records: DataFrame) -> DataFrame:
     return joined.withColumn("refers_to", F.when(other, F.col("first"))).drop("d", "first")
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """WARC archives of FILE_RECORDS records at most, under path; records with refers_to become revisits."""
+def write_warc(records: DataFrame, path: str, packed: bool = False) -> None:
+    """Gzipped WARC archives of FILE_RECORDS records at most, under path; records with refers_to become revisits."""
 
     def run(batches):
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor().decompress if packed else bytes
         for batch in batches:
             cols = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
             out = []
             for page, url, date, kind, head, payload, sha, size, to in zip(*cols):
                 name = uuid.uuid5(NAMESPACE, f"{page}|{url}|{date}|{sha}")
                 fields = {"WARC-Type": "revisit" if to is not None else kind, "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": date, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha256:{sha}"}
-                block = head if to is not None else head + payload
+                block = head if to is not None else head + unpress(payload)
                 if to is not None:
                     fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-Id": str(to)}
                 fields |= {"Content-Type": "application/http;msgtype=response" if head else "application/octet-stream", "X-Page-Id": "" if page is None else str(page), "X-Payload-Length": str(size), "WARC-Block-Digest": f"sha256:{digest(block)}"}
@@ -210,7 +232,7 @@ def write_warc(records: DataFrame, path: str) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     chosen = records.select(*_ARROW.names, "refers_to").mapInArrow(run, "record binary")
-    chosen.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    chosen.select(F.col("record").cast("string").alias("value")).write.options(lineSep="\r\n", maxRecordsPerFile=FILE_RECORDS, compression="gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -222,7 +244,7 @@ def read_warc(spark, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 rows = []
-                for fields, block in parse_warc(data):
+                for fields, block in parse_warc(gunzip(data)):
                     sha, kind = fields["WARC-Payload-Digest"].removeprefix("sha256:"), fields["WARC-Type"]
                     size = int(fields["X-Payload-Length"])
                     if kind != "revisit":
@@ -245,7 +267,7 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
-    write_warc(with_revisits(read_arc(pages_to_arc(pages))), path)
+    write_warc(with_revisits(read_arc(pages_to_arc(pages), pack=True)), path, packed=True)
     if spark.read.format("binaryFile").load(path).select("path").isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string")
     return read_warc(spark, path)
