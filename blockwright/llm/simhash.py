@@ -271,3 +271,181 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = roots.groupBy("root").agg(F.min("least").alias("component"))
     classes = roots.join(least, "root").select(F.col("fp").alias("class_fp"), "component")
     return prints.join(classes, prints.fp == classes.class_fp).select("id", "fp", "component")
+
+
+#: Near copies: fingerprints of each text, words of their shingles, bits of a field. Of all 320 bits about 30 differ at
+#: a similarity of 0.8; pairs of up to FAR_BITS are candidates, and a text this TIGHT to a leader needs no other one.
+PRINTS, PRINT_WIDTH, FIELD_BITS, FAR_BITS, TIGHT_BITS = 5, 2, 16, 46, 30
+#: Groups up to this size give all their candidate pairs.
+PAIRED = 256
+
+
+def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; fewer words are one shingle."""
+    from xxhash import xxh64_intdigest
+
+    line = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(line, 42)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.unique(np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64))
+
+
+def _several_prints(hashes: np.ndarray) -> np.ndarray:
+    """PRINTS independent 64-bit fingerprints of one set of hashes."""
+    out = np.empty(PRINTS, np.uint64)
+    for k in range(PRINTS):
+        h = hashes if not k else _mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(bits * 2 > len(h)).view(">u8")[0]
+    return out
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mixer of 64-bit numbers (the finaliser of SplitMix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _text_prints(docs: DataFrame) -> DataFrame:
+    """(id, words, p0..): the digest of each text's words, and its fingerprints; texts without words are left out."""
+    from hashlib import blake2b
+
+    def run(batches):
+        for batch in batches:
+            for part in text_runs(batch, 1, RUN_BYTES):
+                ids, keys, prints = [], [], []
+                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    words = (text or "").encode().lower().split()
+                    if words:
+                        ids.append(i)
+                        keys.append(blake2b(b" ".join(words), digest_size=16).digest())
+                        prints.append(_several_prints(_shingle_hashes(words, PRINT_WIDTH)))
+                cols = np.stack(prints).view(np.int64) if prints else np.zeros((0, PRINTS), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(cols[:, k]) for k in range(PRINTS))], names=["id", "words", *(f"p{k}" for k in range(PRINTS))])
+
+    return docs.mapInArrow(run, "id long, words binary, " + ", ".join(f"p{k} long" for k in range(PRINTS)))
+
+
+def _to_leaders(batches):
+    """Rows (key, chunk, id, p0..) to (key, src, dst): candidate pairs of each group, and of chunks (from 0) the leaders, with a null dst."""
+
+    def solve(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+        key, chunk, ids, prints = rows[:, 0], rows[:, 1], rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+        begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))))
+        sizes = np.diff(np.append(begin, len(rows)))
+        apart = lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
+        src, dst, lead = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.ones(len(rows), bool)
+        live = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= PAIRED), sizes))
+        left = np.repeat(begin + sizes, sizes)  # where the row's group ends
+        for d in range(1, int(sizes[sizes <= PAIRED].max(initial=1))):
+            live = live[live + d < left[live]]
+            bits = apart(live, live + d)
+            near = bits <= FAR_BITS
+            src.append(live[near] + d), dst.append(live[near])
+            lead[live[bits <= TIGHT_BITS] + d] = False
+        for k in np.flatnonzero(sizes > PAIRED):
+            rest = np.arange(begin[k], begin[k] + sizes[k])
+            while len(rest) > 1:
+                bits = np.bitwise_count(prints[rest[1:]] ^ prints[rest[0]]).sum(axis=1, dtype=np.int64)
+                own = rest[1:][bits <= FAR_BITS]
+                src.append(own), dst.append(np.full(len(own), rest[0]))
+                lead[rest[1:][bits <= TIGHT_BITS]] = False
+                rest = rest[1:][bits > TIGHT_BITS]
+        a, b = np.concatenate(src), np.concatenate(dst)
+        stay = np.flatnonzero(lead & (chunk >= 0))
+        at = np.concatenate((a, stay))
+        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(ids[at]), pa.concat_arrays([pa.array(ids[b]), pa.nulls(len(stay), pa.int64())])], names=["key", "src", "dst"])
+
+    held: list[np.ndarray] = []
+    rows = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+        rows += batch.num_rows
+        if rows >= 200_000:
+            whole = np.concatenate(held)
+            last = int(np.argmax((whole[:, :2] == whole[-1, :2]).all(axis=1)))
+            if last:
+                yield solve(whole[:last])
+            held, rows = [whole[last:]], len(whole) - last
+    if rows:
+        yield solve(np.concatenate(held))
+
+
+def candidate_pairs(prints: DataFrame) -> DataFrame:
+    """(src, dst) pairs of distinct texts that share a field of a fingerprint and differ in FAR_BITS bits of all at most.
+
+    Groups of up to PAIRED texts give all their candidate pairs. In a larger one a text is paired with the leaders
+    before it that are near enough, until one is so near that the text is no leader itself; so a group of near copies
+    gives a few pairs for each text, not all pairs. Groups above GROUP texts are dealt into chunks; their leaders
+    alone meet in the next round, until a round no longer makes a group smaller.
+    """
+    names = [f"p{k}" for k in range(PRINTS)]
+    mask = (1 << FIELD_BITS) - 1
+    fields = [F.xxhash64(F.lit(k * 64 + low), F.shiftrightunsigned(F.col(names[k]), low).bitwiseAND(F.lit(mask).cast("long"))) for k in range(PRINTS) for low in range(0, 64, FIELD_BITS)]
+    rows = prints.select(F.explode(F.array(*fields)).alias("key"), "id", *names)
+    out, before = None, None
+    form = "key long, src long, dst long"
+    while True:
+        sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
+        total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
+        chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)).cast("long")
+        joined = rows.join(sizes, "key", "left").select("key", F.when(F.col("n").isNotNull(), chunk).otherwise(F.lit(-1).cast("long")).alias("chunk"), "id", *names)
+        made = cut(joined.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_to_leaders, form))
+        pairs = made.where("dst is not null").select("src", "dst")
+        out = pairs if out is None else out.unionByName(pairs)
+        if not total or total == before:
+            return out.distinct()
+        before = total
+        leaders = made.where("dst is null").select("key", F.col("src").alias("id"))
+        rows = cut(leaders.join(prints, "id").select("key", "id", *names))
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose texts' sets of shingles have this Jaccard similarity or more, counted exactly."""
+    touched = pairs.select(F.explode(F.array("src", "dst")).alias("t")).distinct()
+
+    def sets(batches):
+        for batch in batches:
+            for part in text_runs(batch, 1, RUN_BYTES):
+                made = [_shingle_hashes(t.encode().lower().split(), width).tobytes() for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["k", "s"])
+
+    some = cut(docs.join(touched, docs.id == touched.t, "left_semi").where("text is not null").dropDuplicates(["id"]).select("id", "text").mapInArrow(sets, "k long, s binary"))
+
+    def close(batches):
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["src", "dst"])
+
+    left = pairs.join(some.select(F.col("k").alias("src"), F.col("s").alias("a")), "src")
+    return left.join(some.select(F.col("k").alias("dst"), F.col("s").alias("b")), "dst").select("src", "dst", "a", "b").mapInArrow(close, "src long, dst long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component) of the texts that have a copy: equal words, or shingles of ``width`` words with this Jaccard similarity.
+
+    Candidates share a field of one of several SimHash fingerprints (measured on changed copies: about 98 % of those
+    at the threshold are found, more above it); each pair is then counted exactly, so no text is called a copy that
+    is none. The component is the smallest id. Null ids and texts without words are left out. Rows that repeat an id
+    count as one text, that with the smallest digest.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    prints = cut(_text_prints(texts))
+    names = [f"p{k}" for k in range(PRINTS)]
+    one = prints.groupBy("id").agg(F.min("words").alias("words"))
+    classes = cut(one.groupBy("words").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    distinct = cut(prints.join(classes.select(F.col("words").alias("w"), "first"), (F.col("id") == F.col("first")) & (F.col("words") == F.col("w"))).select("id", *names).dropDuplicates(["id"]))
+    linked = similar_pairs(texts, candidate_pairs(distinct), width, similarity)
+    comps = connected_components(linked)
+    roots = classes.join(comps, F.col("first") == F.col("node"), "left").select("words", F.coalesce("component", "first").alias("component"), (F.col("node").isNotNull() | (F.col("n") > 1)).alias("copied")).where("copied").drop("copied")
+    return one.join(roots, "words").select("id", "component")

@@ -97,3 +97,58 @@ def test_nulls_and_empty_table(spark):
     df = documents(spark, [(None, "one two three four"), (4, "one two three four"), (4, "one two three four")])
     assert [r["component"] for r in simhash.near_duplicates(df).collect()] == [4, 4, 4]
     assert simhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def jaccard(a, b, width=5):
+    def shingles(t):
+        w = t.lower().split()
+        return {" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    ts = list(HARD)
+    for n in (40, 90, 200):
+        for _ in range(12):
+            base = words(rng, n, 4000)
+            for changes in (0, 1, 2, 5):
+                w = base.split()
+                for k in rng.sample(range(n), changes):
+                    w[k] = "changed"
+                ts.append(" ".join(w))
+    df = documents(spark, ts)
+    got = {r["id"]: r["component"] for r in simhash.near_copies(df).collect()}
+    up = list(range(len(ts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    with_words = [k for k, t in enumerate(ts) if t and t.split()]
+    for i in with_words:
+        for j in with_words:
+            if i < j and jaccard(ts[i], ts[j]) >= 0.8:
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    groups = {k: root(k) for k in with_words}
+    want = {k: r for k, r in groups.items() if list(groups.values()).count(r) > 1}
+    assert got == want
+
+
+def test_divided_groups_keep_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 20)
+    monkeypatch.setattr(simhash, "PAIRED", 4)
+    rng = random.Random(13)
+    base = words(rng, 200, 4000).split()
+    ts = []
+    for k in range(150):
+        w = list(base)
+        w[rng.randrange(200)] = f"c{k}"
+        ts.append(" ".join(w))
+    got = {r["component"] for r in simhash.near_copies(documents(spark, ts)).collect()}
+    assert got == {0}
+    assert simhash.near_copies(documents(spark, ts).limit(0)).count() == 0
