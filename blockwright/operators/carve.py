@@ -373,3 +373,65 @@ def index_chains(slots: DataFrame, most: int = 1 << 16) -> DataFrame:
         return pd.DataFrame(rows, columns=["volume", "head", "clusters", "ok", "note"])
 
     return slots.groupBy("volume").applyInPandas(run, "volume long, head long, clusters array<long>, ok boolean, note string")
+
+
+def signature_hits(blocks: DataFrame, patterns: dict[str, bytes]) -> DataFrame:
+    """(signature_id, offset) of byte patterns in blocks read with look-behind: a find that starts in the block before and ends in this one is reported here, once.
+
+    A pattern's finds do not overlap within a block. Look-behind must be the longest pattern less one byte.
+    """
+    longest = max(map(len, patterns.values()))
+    union = re.compile(b"|".join(b"(" + re.escape(p) + b")" for p in patterns.values()))
+    names = list(patterns)
+
+    def run(batches):
+        for batch in batches:
+            for offset, content, before in zip(*(c.to_pylist() for c in batch.columns)):
+                tail = (before or b"")[-(longest - 1) :] if longest > 1 else b""
+                data, out = tail + content, ([], [])
+                for m in union.finditer(data):
+                    if m.end() > len(tail):
+                        out[0].append(names[m.lastindex - 1])
+                        out[1].append(offset - len(tail) + m.start())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64())], names=["signature_id", "offset"])
+
+    return blocks.select("offset", "content", "before").mapInArrow(run, "signature_id string, offset long")
+
+
+#: Footage this much older than its cluster's span is older footage, not overflow, in seconds (fixed value).
+REMNANT_AGE = 3600
+
+
+def classified_frames(found: DataFrame, clusters: DataFrame, size: int, slack: int = 3) -> DataFrame:
+    """Frames with the class of their place: own (inside the cluster's span, widened a little), spill (just outside it), remnant (an hour or more before it), or unassigned where no index slot holds the cluster.
+
+    Clusters: (volume, cluster, start_s, end_s). The join is on the cluster's number; dates decide the class.
+    """
+    at = found.withColumn("cluster", F.floor(F.col("offset") / size).cast("bigint")).withColumn("t", F.unix_timestamp(packed_date(F.col("date")).cast("timestamp")))
+    joined = at.join(clusters.select("volume", "cluster", "start_s", "end_s"), ["volume", "cluster"], "left")
+    kind = (
+        F.when(F.col("start_s").isNull() | F.col("t").isNull(), "unassigned").when(F.col("t").between(F.col("start_s") - slack, F.col("end_s") + slack), "own")
+        .when(F.col("t") <= F.col("start_s") - REMNANT_AGE, "remnant").otherwise("spill")
+    )
+    return joined.withColumn("class", kind).drop("start_s", "end_s")
+
+
+def remnants(classified: DataFrame, least: int = LEAST) -> DataFrame:
+    """(volume, run, frames, first_s, last_s, bytes): runs of older footage of ``least`` frames or more; a frame of another class, or a step of over an hour, ends a run."""
+    prev = sequence.with_previous(classified, ["volume"], "offset", [], ["class", "t"], stretch=1 << 26)
+    breaks = (F.col("class") != F.col("prev_class")) | (F.abs(F.col("t") - F.col("prev_t")) > REMNANT_AGE)
+    run = sequence.runs(prev, ["volume"], "offset", [], breaks, "run", stretch=1 << 26).where("class = 'remnant'")
+    return run.groupBy("volume", "run").agg(F.count("*").alias("frames"), F.min("t").alias("first_s"), F.max("t").alias("last_s"), F.sum("length").alias("bytes")).where(F.col("frames") >= least)
+
+
+def reassembled(classified: DataFrame, chains: DataFrame, least: int = 1) -> DataFrame:
+    """(volume, head, frames, bytes, missing, extents): a file's own frames along its chain (volume, head, clusters), in chain order, repeats dropped; missing counts numbers between the video counter's ends that no frame has."""
+    links = chains.select("volume", "head", F.posexplode("clusters").alias("place", "cluster"))
+    own = classified.where("class = 'own'").join(links, ["volume", "cluster"])
+    video = F.col("ftype").isin(*VIDEO)
+    kept = sequence.not_repeated(own.withColumn("lane", F.concat_ws(":", "volume", "head", video.cast("string"))).withColumn("at", F.col("place") * (1 << 40) + F.col("offset")), ["lane"], "at", [], "frame_number", stretch=1 << 44)
+    number = F.when(video, F.col("frame_number"))
+    return kept.groupBy("volume", "head").agg(
+        F.count("*").alias("frames"), F.sum("length").alias("bytes"), (F.max(number) - F.min(number) + 1 - F.countDistinct(number)).alias("missing"),
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "offset", "length"))), lambda x: F.struct(x["offset"].alias("offset"), x["length"].alias("length"))).alias("extents"),
+    ).where(F.col("frames") >= least)

@@ -146,3 +146,44 @@ def test_hostile_images_give_rows_not_errors(spark, tmp_path):
     df = blocks(spark, tmp_path, bytes(disk[:-7]))
     for found in (carve.frames(df), carve.packs(df), carve.index_leaves(df, 1 << 40), carve.log_records(df), carve.nal_units(df)):
         found.select(F.count("*")).collect()
+
+
+def test_signatures_across_blocks(spark, tmp_path):
+    data = bytearray(5000)
+    for at in (0, 1020, 1022, 2046, 3000, 4990):
+        data[at : at + 5] = b"MAGIC"
+    data[3000:3008] = b"MAGMAGIC"
+    path = tmp_path / "disk.img"
+    path.write_bytes(data)
+    source.register(spark)
+    df = spark.read.format("rawblocks").option("path", str(path)).option("blockSize", 1024).option("lookBehind", 4).load()
+    rows = carve.signature_hits(df, {"a": b"MAGIC", "b": b"MAGM"}).orderBy("offset").collect()
+    import re
+
+    assert [(r["signature_id"], r["offset"]) for r in rows] == [("a" if m[0] == b"MAGIC" else "b", m.start()) for m in re.finditer(b"MAGIC|MAGM", bytes(data))]
+
+
+def test_clusters_remnants_and_files(spark):
+    from datetime import datetime, timedelta
+
+    t = datetime(2024, 1, 2, 12)
+    rows, n = [], 0
+    put = lambda cluster, when, number: rows.append((0, cluster * 1000 + len([r for r in rows if r[1] // 1000 == cluster]) * 20, 0xFD, number, 20, images.packed(when), 0, 0))
+    for cluster in (2, 5):
+        for k in range(10):
+            put(cluster, t + timedelta(seconds=n), n)
+            n += 1
+    put(5, t + timedelta(seconds=5), 5)
+    for k in range(30):
+        put(5, t - timedelta(days=3) + timedelta(seconds=k), 900 + k)
+    put(5, t - timedelta(seconds=60), 1)
+    put(7, t, 3)
+    base = int((t - datetime(1970, 1, 1)).total_seconds())
+    frames = spark.createDataFrame(rows, carve.FRAME_SCHEMA)
+    clusters = spark.createDataFrame([(0, 2, base, base + 30), (0, 5, base, base + 30)], "volume long, cluster long, start_s long, end_s long")
+    got = carve.classified_frames(frames, clusters, 1000)
+    assert {r["class"]: r["count"] for r in got.groupBy("class").count().collect()} == {"own": 21, "remnant": 30, "spill": 1, "unassigned": 1}
+    (old,) = carve.remnants(got).collect()
+    assert old["frames"] == 30 and old["last_s"] - old["first_s"] == 29
+    (file,) = carve.reassembled(got, spark.createDataFrame([(0, 2, [2, 5])], "volume long, head long, clusters array<long>")).collect()
+    assert file["frames"] == 20 and file["missing"] == 0 and file["bytes"] == 400 and file["extents"][0]["offset"] == 2000
