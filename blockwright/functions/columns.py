@@ -49,7 +49,7 @@ def epoch_guess(value: Column) -> Column:
 
 def to_utc(local_us: Column, zone_min: Column, drift_s: Column) -> Column:
     """UTC = local - drift - zone; null where no zone is stated."""
-    return local_us - F.coalesce(drift_s, F.lit(0)) * US - zone_min * 60 * US
+    return local_us - F.coalesce(drift_s, F.lit(0)).cast("bigint") * US - zone_min.cast("bigint") * 60 * US
 
 
 def ten_minutes(local_us: Column) -> Column:
