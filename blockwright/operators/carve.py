@@ -187,25 +187,27 @@ def clock_of(head: bytes) -> int | None:
 
 def pack_at(data: bytes, at: int, at_end: bool = False) -> tuple[int, int, int, int] | None:
     """(length, clock, video, audio) of a pack whose packets end exactly at the next pack, or with ``at_end`` at the end of the data."""
-    clock = clock_of(data[at : at + 14])
-    if clock is None:
+    n = len(data)
+    if at + 14 > n or data[at + 4] & 0xC0 != 0x40:
         return None
-    q, n, video, audio = at + 14 + (data[at + 13] & 7), len(data), 0, 0
+    q, video, audio = at + 14 + (data[at + 13] & 7), 0, 0
     while q + 4 <= n:
-        if data[q : q + 3] != b"\x00\x00\x01":
+        if not data.startswith(b"\x00\x00\x01", q):
             return None
         kind = data[q + 3]
         if kind == 0xBA:
-            return q - at, clock, video, audio
+            return q - at, clock_of(data[at : at + 14]), video, audio
         if kind == 0xB9:
             q += 4
             continue
         if kind < 0xBB or q + 6 > n:
             return None
-        video += 0xE0 <= kind <= 0xEF
-        audio += 0xC0 <= kind <= 0xDF
-        q += 6 + int.from_bytes(data[q + 4 : q + 6], "big")
-    return (q - at, clock, video, audio) if at_end and q == n else None
+        if kind >= 0xE0:
+            video += kind <= 0xEF
+        elif kind >= 0xC0:
+            audio += 1
+        q += 6 + (data[q + 4] << 8 | data[q + 5])
+    return (q - at, clock_of(data[at : at + 14]), video, audio) if at_end and q == n else None
 
 
 def packs(blocks: DataFrame, volume: int = 0) -> DataFrame:
