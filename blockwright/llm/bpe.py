@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, shared_path, text_or_empty
+from .common import give_back, runs, shared_path, small_batches, text_or_empty, tidy
 
 #: The byte-level pre-tokenizer's pattern, with Unicode white space spelled out (fixed values).
 SPACE = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -107,6 +107,10 @@ def _unpack_words(packed: bytes) -> pa.Array:
     return pa.StringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[4 + 4 * n :]))
 
 
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if len(parts) > 1 else parts[0]
+
+
 def _block_rows(buckets: int, heads: bool):
     """Rows (block, bucket, body) of blocks: their heads, at bucket -1, or their distinct words by bucket.
 
@@ -146,11 +150,16 @@ def _block_rows(buckets: int, heads: bool):
     def run(batches):
         from pyspark import TaskContext
 
-        task, k = TaskContext.get().partitionId(), 0
+        task, k, held, total = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
             for part in runs(batch, batch.column(2).to_numpy(), BLOCK_BYTES):
-                yield rows((task << 24) + k, part)
-                k += 1
+                held.append(part)
+                total += pc.sum(part.column(2)).as_py()
+                if total >= BLOCK_BYTES:
+                    yield rows((task << 24) + k, _joined(held))
+                    held, total, k = [], 0, k + 1
+        if held:
+            yield rows((task << 24) + k, _joined(held))
 
     return run
 
@@ -232,6 +241,7 @@ def _summary(path: str):
             count.append(len(ids))
             coded.append(hashlib.sha256(ids.tobytes()).hexdigest())
             decoded.append(hashlib.sha256(_decode(ids, pieces).encode()).hexdigest())
+        give_back()
         return pa.table({"id": names, "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(coded, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
     return run
@@ -263,6 +273,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     kept. Special tokens of the tokenizer that stand in a text get their ids, as in the library.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     specials = special_tokens(tokenizer_path)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     if not _repeatable(chosen):
@@ -273,8 +284,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     # The number of buckets follows the session's shuffle width, which is set to suit the input.
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     form = "block long, bucket long, body binary"
-    lists = split.mapInArrow(_block_rows(buckets, heads=False), form)
-    answered = split.mapInArrow(_block_rows(buckets, heads=True), form).unionByName(lists.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer_path), form))
+    lists = split.mapInArrow(tidy(_block_rows(buckets, heads=False)), form)
+    answered = split.mapInArrow(tidy(_block_rows(buckets, heads=True)), form).unionByName(lists.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer_path), form))
     if digests:
         return answered.groupBy("block").applyInArrow(_summary(tokenizer_path), SUMMARY)
     return answered.groupBy("block").applyInArrow(_whole(tokenizer_path), "id long, token_ids array<int>, decoded string")

@@ -55,11 +55,51 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Most bytes and rows of a batch between Spark and its Python workers.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep batches of texts small for the rest of the session; smaller settings of its own stay.
+
+    A batch exists several times at once (in Spark, on its way, in the worker), and by rows alone ten thousand long
+    texts would be one batch.
+    """
+    for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int("".join(c for c in spark.conf.get(name) if c.isdigit() or c == "-") or -1)
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def text_or_empty(name: str = "text"):
     """The text column with null read as the empty text."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on from stage to stage, beside an executor that needs it."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(run):
+    """A function over batches that gives its memory back when it is through."""
+
+    def through(batches):
+        yield from run(batches)
+        give_back()
+
+    return through
+
+
 def runs(batch: pa.RecordBatch, sizes: np.ndarray, most: int):
     """Cut a batch into runs of rows whose sizes add up to about ``most``; one larger row is a run of its own."""
     ends, start = np.cumsum(sizes), 0

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_runs
+from .common import small_batches, text_runs, tidy
 
 #: Items of a block, rank of the latent space, seed of the random sketch.
 BLOCK, RANK, SEED = 256, 64, 5
@@ -193,7 +193,7 @@ def _frequencies(docs: DataFrame, block: Block):
         return pa.table({"term": group.column("term").slice(0, 1), "n": pa.array([pc.sum(group.column("n")).as_py()]), "z": pa.array([z.astype(np.float32)], pa.list_(pa.float32()))})
 
     form = "term int, n long, z array<float>"
-    rows = docs.mapInArrow(run, form).groupBy("term").applyInArrow(added, form).collect()  # one row per term of the block
+    rows = docs.mapInArrow(tidy(run), form).groupBy("term").applyInArrow(added, form).collect()  # one row per term of the block
     count, total, passages = np.zeros(len(terms)), np.zeros((len(terms), width)), 0
     for r in rows:
         if r["term"] < 0:
@@ -213,12 +213,12 @@ def _search(docs: DataFrame, block: Block, space: Space, id_type: str) -> DataFr
                 counts, words = word_lists(pc.fill_null(part.column(1), ""))
                 names, starts, _, term, texts, begin, end = block.hits(counts, words, values)
                 best: dict[tuple[int, int], tuple[float, bool, float]] = {}
-                for at in range(0, len(names), 8192):
-                    lo, hi = starts[at], starts[at + 8192] if at + 8192 < len(names) else len(term)
-                    made = np.add.reduceat(space.basis[term[lo:hi]], starts[at : at + 8192] - lo, axis=0)
+                for at in range(0, len(names), 2048):
+                    lo, hi = starts[at], starts[at + 2048] if at + 2048 < len(names) else len(term)
+                    made = np.add.reduceat(space.basis[term[lo:hi]], starts[at : at + 2048] - lo, axis=0)
                     made /= np.maximum(np.linalg.norm(made, axis=1), 1e-9)[:, None]
                     cosine = made @ space.items.T
-                    shared = np.add.reduceat(space.has[term[lo:hi]], starts[at : at + 8192] - lo, axis=0, dtype=np.int16)
+                    shared = np.add.reduceat(space.has[term[lo:hi]], starts[at : at + 2048] - lo, axis=0, dtype=np.int16)
                     for p, k in zip(*(x.tolist() for x in np.nonzero((cosine >= COSINE) & (shared >= space.least)))):
                         a = int(begin[at + p])
                         passage = words.slice(a, min(2 * block.step, int(end[at + p]) - a)).to_pylist()
@@ -235,7 +235,7 @@ def _search(docs: DataFrame, block: Block, space: Space, id_type: str) -> DataFr
                     names=["id", "item_id", "overlap", "answer", "cosine"],
                 )
 
-    return docs.mapInArrow(run, f"id {id_type}, item_id long, overlap double, answer boolean, cosine double")
+    return docs.mapInArrow(tidy(run), f"id {id_type}, item_id long, overlap double, answer boolean, cosine double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -246,12 +246,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = dict(chosen.dtypes)["id"]
+    small_batches(docs.sparkSession)
     rows = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).toLocalIterator()
-    out = docs.sparkSession.createDataFrame([], f"id {id_type}, item_id long, overlap double, answer boolean, cosine double")
+    out = None
     while part := [(r[0], r[1]) for r in islice(rows, BLOCK)]:
         block = Block(part)
         if not block.ids or not block.terms:
             continue
         space = Space(block, *_frequencies(chosen.select("text"), block))
-        out = out.unionByName(_search(chosen, block, space, id_type))
+        found = _search(chosen, block, space, id_type)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = docs.sparkSession.createDataFrame([], f"id {id_type}, item_id long, overlap double, answer boolean, cosine double")
     return out

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_runs
+from .common import cut, small_batches, text_runs, tidy
 
 #: Random features, kernel width (in standard deviations), ridge, bins of the calibration, seed.
 FEATURES, WIDTH, RIDGE, BINS, SEED = 160, 3.0, 1.0, 512, 11
@@ -128,7 +128,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), rows], names=["id", "held_out", "x"])
 
-    return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, held_out boolean, x array<double>")
+    return chosen.mapInArrow(tidy(run), f"id {dict(chosen.dtypes)['id']}, held_out boolean, x array<double>")
 
 
 def _matrix(batch, column: int) -> np.ndarray:
@@ -160,7 +160,7 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         return pa.table({"salt": pa.array([0], pa.int32()), "k": group.column("k").slice(0, 1), "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
     form = "salt int, k int, v array<double>"
-    met = rows.mapInArrow(equations, form).groupBy("salt", "k").applyInArrow(added, form).groupBy("k").applyInArrow(added, form)
+    met = rows.mapInArrow(tidy(equations), form).groupBy("salt", "k").applyInArrow(added, form).groupBy("k").applyInArrow(added, form)
     whole = np.array([r["v"] for r in sorted(met.collect(), key=lambda r: r["k"])])
     gram, right = whole[:, :-1], whole[:, -1]
     model.weights = np.linalg.solve(gram + RIDGE * np.eye(len(gram)), right)
@@ -175,7 +175,7 @@ def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col
         used = np.flatnonzero(counts[:, 0])
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(counts[used, k]) for k in range(3))], names=["bin", "n", "good", "raw"])
 
-    bins = rows.mapInArrow(histogram, "bin int, n double, good double, raw double").groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("n", "good", "raw")]).orderBy("bin").collect()
+    bins = rows.mapInArrow(tidy(histogram), "bin int, n double, good double, raw double").groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("n", "good", "raw")]).orderBy("bin").collect()
     n, good, raw = (np.array([r[c] for r in bins]) for c in ("n", "good", "raw"))
     model.edges, model.levels = raw / n, isotonic(n, good)
     return model
@@ -187,6 +187,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Scores come from the text's statistics alone; null and empty texts are scored like any other. Without labels
     every score is 0.5. Repeated rows stay.
     """
+    small_batches(docs.sparkSession)
     stats = cut(document_statistics(docs, id_col, text_col))
     model = learn(stats, labels, id_col, label_col)
 
@@ -195,4 +196,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             score = model.score(_matrix(batch, 2)) if model is not None and batch.num_rows else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["id", "held_out", "score", "predicted"])
 
-    return stats.mapInArrow(run, f"id {dict(stats.dtypes)['id']}, held_out boolean, score double, predicted int")
+    return stats.mapInArrow(tidy(run), f"id {dict(stats.dtypes)['id']}, held_out boolean, score double, predicted int")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_runs
+from .common import small_batches, text_runs, tidy
 
 #: Base patterns (fixed values), in the order of kinds.
 KINDS = ("assign", "access", "hex")
@@ -210,7 +210,7 @@ def labelled_values(docs: DataFrame, text_col: str = "text", sample: int = SAMPL
                             kinds.append(KINDS[k]), values.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["kind", "value"])
 
-    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind string, value string").distinct()
+    found = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "kind string, value string").distinct()
     found = found.persist()
     try:
         return {k: [r[0] for r in found.where(F.col("kind") == k).select("value").orderBy(F.xxhash64("value"), "value").limit(sample).collect()] for k in KINDS}
@@ -224,6 +224,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gramma
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then kind, comma-joined. ``redacted`` is
     the text with every span replaced. A null text counts as empty for the spans and stays null when redacted.
     """
+    small_batches(docs.sparkSession)
     grammar = grammar or Grammar(labelled_values(docs, text_col))
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     schema = "id " + dict(chosen.dtypes)["id"] + ", n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string" + "".join(f", keep_{c} {dict(docs.dtypes)[c]}" for c in keep)
@@ -264,4 +265,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gramma
                     names=["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted", *(f"keep_{c}" for c in keep)],
                 )
 
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(tidy(run), schema)

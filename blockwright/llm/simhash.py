@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_runs
+from .common import cut, small_batches, text_runs, tidy
 from .components import connected_components
 
 #: Longest run of rows handled at once, in bytes of text.
@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, fp long")
+    return chosen.mapInArrow(tidy(run), "id long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -252,7 +252,7 @@ def hamming_edges(fps: DataFrame, radius: int = 3) -> DataFrame:
         depth += 1
     edges = None
     for part in out:
-        one = part.repartition("key").sortWithinPartitions("key").mapInArrow(_forest(radius), "src long, dst long")
+        one = part.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_forest(radius)), "src long, dst long")
         edges = one if edges is None else edges.unionByName(one)
     return edges.distinct()
 
@@ -264,6 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never a component unless all of its component's ids are null. Null and empty texts have fingerprint 0, which
     links like any other. Repeated rows stay repeated.
     """
+    small_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     comps = connected_components(hamming_edges(distinct, radius))
@@ -326,7 +327,7 @@ def _text_prints(docs: DataFrame) -> DataFrame:
                 cols = np.stack(prints).view(np.int64) if prints else np.zeros((0, PRINTS), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(cols[:, k]) for k in range(PRINTS))], names=["id", "words", *(f"p{k}" for k in range(PRINTS))])
 
-    return docs.mapInArrow(run, "id long, words binary, " + ", ".join(f"p{k} long" for k in range(PRINTS)))
+    return docs.mapInArrow(tidy(run), "id long, words binary, " + ", ".join(f"p{k} long" for k in range(PRINTS)))
 
 
 def _to_leaders(batches):
@@ -396,7 +397,7 @@ def candidate_pairs(prints: DataFrame) -> DataFrame:
         total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
         chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)).cast("long")
         joined = rows.join(sizes, "key", "left").select("key", F.when(F.col("n").isNotNull(), chunk).otherwise(F.lit(-1).cast("long")).alias("chunk"), "id", *names)
-        made = cut(joined.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(_to_leaders, form))
+        made = cut(joined.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(tidy(_to_leaders), form))
         pairs = made.where("dst is not null").select("src", "dst")
         out = pairs if out is None else out.unionByName(pairs)
         if not total or total == before:
@@ -416,7 +417,7 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int, similarity: flo
                 made = [_shingle_hashes(t.encode().lower().split(), width).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["k", "s"])
 
-    some = cut(docs.join(touched, docs.id == touched.t, "left_semi").where("text is not null").dropDuplicates(["id"]).select("id", "text").mapInArrow(sets, "k long, s binary"))
+    some = cut(docs.join(touched, docs.id == touched.t, "left_semi").where("text is not null").dropDuplicates(["id"]).select("id", "text").mapInArrow(tidy(sets), "k long, s binary"))
 
     def close(batches):
         for batch in batches:
@@ -428,7 +429,7 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int, similarity: flo
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["src", "dst"])
 
     left = pairs.join(some.select(F.col("k").alias("src"), F.col("s").alias("a")), "src")
-    return left.join(some.select(F.col("k").alias("dst"), F.col("s").alias("b")), "dst").select("src", "dst", "a", "b").mapInArrow(close, "src long, dst long")
+    return left.join(some.select(F.col("k").alias("dst"), F.col("s").alias("b")), "dst").select("src", "dst", "a", "b").mapInArrow(tidy(close), "src long, dst long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -440,6 +441,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     count as one text, that with the smallest digest.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    small_batches(docs.sparkSession)
     prints = cut(_text_prints(texts))
     names = [f"p{k}" for k in range(PRINTS)]
     one = prints.groupBy("id").agg(F.min("words").alias("words"))

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_runs
+from .common import shared_path, small_batches, text_runs, tidy
 
 #: Field names of a header line, by the version in the filedesc record (fixed values).
 ARC_FIELDS = {
@@ -173,7 +173,7 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                     offset += len(out[-1])
                 yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["archive"])
 
-    return chosen.mapInArrow(run, "archive binary")
+    return chosen.mapInArrow(tidy(run), "archive binary")
 
 
 def read_arc(archives: DataFrame, column: str = "archive", pack: bool = False) -> DataFrame:
@@ -197,7 +197,7 @@ def read_arc(archives: DataFrame, column: str = "archive", pack: bool = False) -
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    return archives.select(column).mapInArrow(run, FORM)
+    return archives.select(column).mapInArrow(tidy(run), FORM)
 
 
 def with_revisits(records: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def write_warc(records: DataFrame, path: str, packed: bool = False) -> None:
                 out.append(warc_record(fields, block))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    chosen = records.select(*_ARROW.names, "refers_to").mapInArrow(run, "record binary")
+    chosen = records.select(*_ARROW.names, "refers_to").mapInArrow(tidy(run), "record binary")
     chosen.select(F.col("record").cast("string").alias("value")).write.options(lineSep="\r\n", maxRecordsPerFile=FILE_RECORDS, compression="gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
@@ -257,7 +257,7 @@ def read_warc(spark, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string")
+    return files.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -266,6 +266,7 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     A null html is an empty payload, a null URL the scheme ``unknown:``. Repeated rows give a record each.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     path = path or shared_path(spark, "warc")
     write_warc(with_revisits(read_arc(pages_to_arc(pages), pack=True)), path, packed=True)
     if spark.read.format("binaryFile").load(path).select("path").isEmpty():
