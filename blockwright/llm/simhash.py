@@ -276,9 +276,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Near copies: fingerprints of each text, words of their shingles, bits of a field. Of all 320 bits about 30 differ at
 #: a similarity of 0.8; pairs of up to FAR_BITS are candidates, and a text this TIGHT to a leader needs no other one.
-PRINTS, PRINT_WIDTH, FIELD_BITS, FAR_BITS, TIGHT_BITS = 5, 2, 16, 46, 30
+PRINTS, PRINT_WIDTH, FIELD_BITS, FAR_BITS, TIGHT_BITS = 5, 2, 16, 46, 36
 #: Groups up to this size give all their candidate pairs.
-PAIRED = 256
+PAIRED = 32
 
 
 def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
