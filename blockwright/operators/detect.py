@@ -77,15 +77,14 @@ def blockmap_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame
     return x.join(y, F.col("k1") == F.col("k2"), "full_outer").select(F.coalesce("k1", "k2").alias(key), state.alias("state")).where("state is not null")
 
 
-def token_survey(tokens: DataFrame, samples: Column, least: int = 50, spread: float = 0.10, enrichment: float = 20.0) -> DataFrame:
-    """Tokens (token, sample) that occur often, in many samples, and far above the upper median of all tokens' counts."""
+def token_survey(tokens: DataFrame, samples: DataFrame, least: int = 50, spread: float = 0.10, enrichment: float = 20.0) -> DataFrame:
+    """Tokens (token, sample) that occur often, in many samples, and far above the upper median of all tokens' counts. ``samples`` has one row: how many there are."""
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("sample").alias("in_samples"))
     sizes = counts.groupBy("n").agg(F.count("*").alias("c"))
     w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # one row for each distinct count
     ranked = sizes.withColumn("upto", F.sum("c").over(w)).withColumn("all", F.sum("c").over(Window.partitionBy()))
     median = ranked.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("n").alias("median"))
-    total = tokens.sparkSession.range(1).select(samples.alias("samples")) if isinstance(samples, int) else samples
-    joined = counts.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(total))
+    joined = counts.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(samples))
     return joined.where((F.col("n") >= least) & (F.col("in_samples") >= spread * F.col("samples")) & (F.col("n") >= enrichment * F.col("median"))).select("token", "n", "in_samples", "median")
 
 

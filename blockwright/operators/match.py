@@ -36,8 +36,8 @@ def range_label(streams: DataFrame, index: DataFrame, block: str, start: str, en
 def majority_label(tallies: DataFrame, stream: str, label: str, n: str, share: float = 0.9) -> DataFrame:
     """(stream, label): the commonest label if it has ``share`` of the frames, else mixed-evidence; ties: the smallest label."""
     counts = tallies.groupBy(stream, label).agg(F.sum(n).alias("_n"))
-    by = counts.groupBy(stream).agg(F.max(F.struct("_n")).alias("_m"), F.max_by(label, F.struct("_n")).alias("_any"), F.sum("_n").alias("_all"), F.min_by(label, F.struct((-F.col("_n")).alias("a"), F.col(label).alias("b"))).alias("_l"))
-    return by.select(stream, F.when(F.col("_m._n") >= share * F.col("_all"), F.col("_l")).otherwise("mixed-evidence").alias("label"), F.col("_all").alias("frames"))
+    by = counts.groupBy(stream).agg(F.max("_n").alias("_m"), F.sum("_n").alias("_all"), F.min_by(label, F.struct((-F.col("_n")).alias("a"), F.col(label).alias("b"))).alias("_l"))
+    return by.select(stream, F.when(F.col("_m") >= share * F.col("_all"), F.col("_l")).otherwise("mixed-evidence").alias("label"), F.col("_all").alias("frames"))
 
 
 def digest_matches(ours: DataFrame, theirs: DataFrame, least: int) -> DataFrame:

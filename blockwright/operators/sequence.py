@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import upper_median, wrapped_difference
+from ..functions.columns import wrapped_difference
 from .intervals import STRETCH, running_max
 
-ROWS = 1 << 40
-
 
 def with_previous(df: DataFrame, lanes: list[str], order: str, ties: list[str], columns: list[str], stretch: int = STRETCH) -> DataFrame:
     """Adds prev_<column>: values of the row before in the lane. A running maximum over (order, ties, values), so a long lane is no single task."""
@@ -85,6 +83,3 @@ def lane_median(cells: DataFrame, lane: str, value: str) -> DataFrame:
     total = Window.partitionBy(lane)
     ranked = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(total))
     return ranked.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy(lane).agg(F.min(value).alias("median"), F.max("n").alias("n"))
-
-
-__all__ = ["clock_runs", "decode_classes", "lane_median", "local_index", "missing_counters", "not_repeated", "row_numbers", "runs", "upper_median", "with_previous"]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import US, micros
+from ..functions.columns import US
 from ..operators import intervals, timeline
-from .common import RECORDINGS, recordings, table
+from .common import RECORDINGS, recordings
 
 MINUTE, HOUR = 60 * US, 3600 * US
 _RUN = f"WITH {RECORDINGS}, run AS (SELECT *, max(e) OVER (PARTITION BY camera ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM rec)"
