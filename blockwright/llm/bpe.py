@@ -185,7 +185,7 @@ def _encode_bucket(path: str):
     return run
 
 
-def _put_back(group: pa.Table, path: str):
+def _put_back(group: pa.Table):
     """(ids of a block's documents, their token ids as arrays)."""
     group = group.take(pa.array(np.argsort(group.column("bucket").to_numpy(), kind="stable"))).combine_chunks()
     bodies = group.column("body").to_pylist()
@@ -234,7 +234,7 @@ SUMMARY = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def _summary(path: str):
     def run(group: pa.Table) -> pa.Table:
-        names, documents = _put_back(group, path)
+        names, documents = _put_back(group)
         pieces = id_to_piece(path)
         count, coded, decoded = [], [], []
         for ids in documents():
@@ -249,7 +249,7 @@ def _summary(path: str):
 
 def _whole(path: str):
     def run(group: pa.Table) -> pa.Table:
-        names, documents = _put_back(group, path)
+        names, documents = _put_back(group)
         pieces = id_to_piece(path)
         ids = [x.astype(np.int32) for x in documents()]
         return pa.table({"id": names, "token_ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array([_decode(x, pieces) for x in ids], pa.string())})
