@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import packed_date
+from ..functions.columns import micros, packed_date
 from . import sequence
 
 #: DHAV frames: magic, trailer, frame types, largest frame (fixed values).
@@ -162,7 +162,7 @@ STREAM_SCHEMA = "volume long, sid long, first_offset long, frames long, video_fr
 
 def carve_streams(found: DataFrame, least: int = LEAST) -> DataFrame:
     """Streams of each volume; ``kept`` marks those of ``least`` frames or more. One task per volume: order decides, and rows are headers only."""
-    dated = found.withColumn("seconds", F.unix_timestamp(packed_date(F.col("date")).cast("timestamp")))
+    dated = found.withColumn("seconds", F.floor(micros(packed_date(F.col("date"))) / 1_000_000).cast("bigint"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("offset")
@@ -409,7 +409,7 @@ def classified_frames(found: DataFrame, clusters: DataFrame, size: int, slack: i
 
     Clusters: (volume, cluster, start_s, end_s). The join is on the cluster's number; dates decide the class.
     """
-    at = found.withColumn("cluster", F.floor(F.col("offset") / size).cast("bigint")).withColumn("t", F.unix_timestamp(packed_date(F.col("date")).cast("timestamp")))
+    at = found.withColumn("cluster", F.floor(F.col("offset") / size).cast("bigint")).withColumn("t", F.floor(micros(packed_date(F.col("date"))) / 1_000_000).cast("bigint"))
     joined = at.join(clusters.select("volume", "cluster", "start_s", "end_s"), ["volume", "cluster"], "left")
     kind = (
         F.when(F.col("start_s").isNull() | F.col("t").isNull(), "unassigned").when(F.col("t").between(F.col("start_s") - slack, F.col("end_s") + slack), "own")
