@@ -265,6 +265,13 @@ def _repeatable(df: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
 
 
+def _same_splits(spark) -> None:
+    """Fix the least number of splits of a scan for the session; unset, it follows the executors that happen to be there, and two scans of one query could be cut differently."""
+    name = "spark.sql.files.minPartitionNum"
+    if not (spark.conf.get(name, None) or "").isdigit():
+        spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
     """Encode every whole text and decode it again.
 
@@ -274,6 +281,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """
     spark = docs.sparkSession
     small_batches(spark)
+    _same_splits(spark)
     specials = special_tokens(tokenizer_path)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     if not _repeatable(chosen):
