@@ -274,11 +274,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes, prints.fp == classes.class_fp).select("id", "fp", "component")
 
 
-#: Near copies: fingerprints of each text, words of their shingles, bits of a field. Of all 320 bits about 30 differ at
-#: a similarity of 0.8; pairs of up to FAR_BITS are candidates, and a text this TIGHT to a leader needs no other one.
-PRINTS, PRINT_WIDTH, FIELD_BITS, FAR_BITS, TIGHT_BITS = 5, 2, 16, 46, 36
-#: Groups up to this size give all their candidate pairs.
+#: Near copies: lists of texts that share a shingle give all their candidate pairs at once up to this size.
 PAIRED = 32
+#: Shingles in PAIRED texts or more stand last in every text's order; so many of them at most. Speed alone hangs on it.
+COMMON = 100_000
+#: Bits of a text's sketch, the parities of its shingles' hashes by their lowest bits.
+SKETCH = 1024
+#: Candidates compared at once.
+SLAB = 64
 
 
 def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -293,118 +296,206 @@ def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64))
 
 
-def _several_prints(hashes: np.ndarray) -> np.ndarray:
-    """PRINTS independent 64-bit fingerprints of one set of hashes."""
-    out = np.empty(PRINTS, np.uint64)
-    for k in range(PRINTS):
-        h = hashes if not k else _mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(bits * 2 > len(h)).view(">u8")[0]
-    return out
+def _prefix_size(n: int, similarity: float) -> int:
+    """So many first shingles of n, in one order for all texts, share one with every text of this similarity."""
+    return n - int(np.ceil(similarity * n - 1e-9)) + 1
+
+
+def _hash_sets(texts: list, width: int):
+    """(index, words, hashes) of the texts that have words."""
+    for i, text in enumerate(texts):
+        words = (text or "").encode().lower().split()
+        if words:
+            yield i, words, _shingle_hashes(words, width)
+
 
+def common_shingles(texts: DataFrame, width: int, similarity: float) -> np.ndarray:
+    """Sorted hashes of the shingles that begin most texts when each text's are ordered by hash."""
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mixer of 64-bit numbers (the finaliser of SplitMix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    def run(batches):
+        for batch in batches:
+            for part in text_runs(batch, 1, RUN_BYTES):
+                firsts = [h[: _prefix_size(len(h), similarity)] for _, _, h in _hash_sets(part.column(1).to_pylist(), width)]
+                if firsts:
+                    k, n = np.unique(np.concatenate(firsts), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["k", "n"])
 
+    counts = texts.mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIRED)
+    return np.sort(np.array([r["k"] for r in counts.orderBy(F.desc("n"), "k").limit(COMMON).collect()], np.int64).view(np.uint64))
 
-def _text_prints(docs: DataFrame) -> DataFrame:
-    """(id, words, p0..): the digest of each text's words, and its fingerprints; texts without words are left out."""
+
+def _text_prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(id, words, n, light, prefix, bits): the digest of each text's words, how many shingles it has, the first of them (the first ``light`` are not common), its sketch."""
     from hashlib import blake2b
 
     def run(batches):
         for batch in batches:
             for part in text_runs(batch, 1, RUN_BYTES):
-                ids, keys, prints = [], [], []
-                for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    words = (text or "").encode().lower().split()
-                    if words:
-                        ids.append(i)
-                        keys.append(blake2b(b" ".join(words), digest_size=16).digest())
-                        prints.append(_several_prints(_shingle_hashes(words, PRINT_WIDTH)))
-                cols = np.stack(prints).view(np.int64) if prints else np.zeros((0, PRINTS), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), *(pa.array(cols[:, k]) for k in range(PRINTS))], names=["id", "words", *(f"p{k}" for k in range(PRINTS))])
+                at, keys, sizes, lights, firsts, bits = [], [], [], [], [], []
+                for i, words, h in _hash_sets(part.column(1).to_pylist(), width):
+                    often = np.isin(h, common, assume_unique=True)
+                    first = np.concatenate((h[~often], h[often]))[: _prefix_size(len(h), similarity)]
+                    at.append(i), sizes.append(len(h)), firsts.append(first.view(np.int64))
+                    keys.append(blake2b(b" ".join(words), digest_size=16).digest())
+                    lights.append(min(len(first), int((~often).sum())))
+                    bits.append(np.packbits((np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes())
+                ends = np.concatenate(([0], np.cumsum([len(f) for f in firsts]))).astype(np.int32)
+                prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lights, pa.int64()), prefix, pa.array(bits, pa.binary())],
+                    names=["id", "words", "n", "light", "prefix", "bits"],
+                )
+
+    return texts.mapInArrow(tidy(run), "id long, words binary, n long, light long, prefix array<long>, bits binary")
 
-    return docs.mapInArrow(tidy(run), "id long, words binary, " + ", ".join(f"p{k} long" for k in range(PRINTS)))
 
+def _can_reach(n, m, i, j, similarity: float):
+    """Whether texts of n and m shingles that share their i-th and j-th, and none before, may be similar enough."""
+    return 1 + np.minimum(n - i - 1, m - j - 1) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
-def _to_leaders(batches):
-    """Rows (key, chunk, id, p0..) to (key, src, dst): candidate pairs of each group, and of chunks (from 0) the leaders, with a null dst."""
+
+def _short_lists(similarity: float):
+    """Rows (key, id, n, pos), a key's together, to (key, src, dst, n, pos): pairs of lists up to PAIRED texts; rows of longer ones, with a null dst."""
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
-        rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
-        key, chunk, ids, prints = rows[:, 0], rows[:, 1], rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
-        begin = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))))
+        begin = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
         sizes = np.diff(np.append(begin, len(rows)))
-        apart = lambda a, b: np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1, dtype=np.int64)
-        src, dst, lead = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.ones(len(rows), bool)
+        left = np.repeat(begin + sizes, sizes)
         live = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= PAIRED), sizes))
-        left = np.repeat(begin + sizes, sizes)  # where the row's group ends
+        found = [np.zeros((0, 2), np.int64)]
         for d in range(1, int(sizes[sizes <= PAIRED].max(initial=1))):
             live = live[live + d < left[live]]
-            bits = apart(live, live + d)
-            near = bits <= FAR_BITS
-            src.append(live[near] + d), dst.append(live[near])
-            lead[live[bits <= TIGHT_BITS] + d] = False
-        for k in np.flatnonzero(sizes > PAIRED):
-            rest = np.arange(begin[k], begin[k] + sizes[k])
-            while len(rest) > 1:
-                bits = np.bitwise_count(prints[rest[1:]] ^ prints[rest[0]]).sum(axis=1, dtype=np.int64)
-                own = rest[1:][bits <= FAR_BITS]
-                src.append(own), dst.append(np.full(len(own), rest[0]))
-                lead[rest[1:][bits <= TIGHT_BITS]] = False
-                rest = rest[1:][bits > TIGHT_BITS]
-        a, b = np.concatenate(src), np.concatenate(dst)
-        stay = np.flatnonzero(lead & (chunk >= 0))
-        at = np.concatenate((a, stay))
-        return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(ids[at]), pa.concat_arrays([pa.array(ids[b]), pa.nulls(len(stay), pa.int64())])], names=["key", "src", "dst"])
-
-    held: list[np.ndarray] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
-        rows += batch.num_rows
-        if rows >= 200_000:
-            whole = np.concatenate(held)
-            last = int(np.argmax((whole[:, :2] == whole[-1, :2]).all(axis=1)))
-            if last:
-                yield solve(whole[:last])
-            held, rows = [whole[last:]], len(whole) - last
-    if rows:
-        yield solve(np.concatenate(held))
-
-
-def candidate_pairs(prints: DataFrame) -> DataFrame:
-    """(src, dst) pairs of distinct texts that share a field of a fingerprint and differ in FAR_BITS bits of all at most.
-
-    Groups of up to PAIRED texts give all their candidate pairs. In a larger one a text is paired with the leaders
-    before it that are near enough, until one is so near that the text is no leader itself; so a group of near copies
-    gives a few pairs for each text, not all pairs. Groups above GROUP texts are dealt into chunks; their leaders
-    alone meet in the next round, until a round no longer makes a group smaller.
+            x, y = rows[live], rows[live + d]
+            ok = _can_reach(x[:, 2], y[:, 2], x[:, 3], y[:, 3], similarity) & (x[:, 1] != y[:, 1])
+            found.append(np.sort(np.stack([x[ok, 1], y[ok, 1]], axis=1), axis=1)[:, ::-1])
+        pairs = np.unique(np.concatenate(found), axis=0)
+        more = rows[np.repeat(sizes > PAIRED, sizes)]
+        none = np.zeros(len(pairs), np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((none, more[:, 0]))), pa.array(np.concatenate((pairs[:, 0], more[:, 1]))), pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(more), pa.int64())]), pa.array(np.concatenate((none, more[:, 2]))), pa.array(np.concatenate((none, more[:, 3])))],
+            names=["key", "src", "dst", "n", "pos"],
+        )
+
+    def run(batches):
+        held: list[np.ndarray] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
+            rows += batch.num_rows
+            if rows >= 200_000:
+                whole = np.concatenate(held)
+                last = int(np.argmax(whole[:, 0] == whole[-1, 0]))
+                if last:
+                    yield solve(whole[:last])
+                held, rows = [whole[last:]], len(whole) - last
+        if rows:
+            yield solve(np.concatenate(held))
+
+    return run
+
+
+def _long_lists(similarity: float, nearest: bool):
+    """Rows (key, a, b, chunk, id, n, pos, comp, bits), a block's together, to (src, dst) pairs of its chunks a and b.
+
+    Either of each text its nearest one, or all that may be similar enough and are not of one component.
     """
-    names = [f"p{k}" for k in range(PRINTS)]
-    mask = (1 << FIELD_BITS) - 1
-    fields = [F.xxhash64(F.lit(k * 64 + low), F.shiftrightunsigned(F.col(names[k]), low).bitwiseAND(F.lit(mask).cast("long"))) for k in range(PRINTS) for low in range(0, 64, FIELD_BITS)]
-    rows = prints.select(F.explode(F.array(*fields)).alias("key"), "id", *names)
-    out, before = None, None
-    form = "key long, src long, dst long"
-    while True:
-        sizes = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP))
-        total = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
-        chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)).cast("long")
-        joined = rows.join(sizes, "key", "left").select("key", F.when(F.col("n").isNotNull(), chunk).otherwise(F.lit(-1).cast("long")).alias("chunk"), "id", *names)
-        made = cut(joined.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(tidy(_to_leaders), form))
-        pairs = made.where("dst is not null").select("src", "dst")
-        out = pairs if out is None else out.unionByName(pairs)
-        if not total or total == before:
-            return out.distinct()
-        before = total
-        leaders = made.where("dst is null").select("key", F.col("src").alias("id"))
-        rows = cut(leaders.join(prints, "id").select("key", "id", *names))
+
+    def solve(a: int, b: int, cols: list[np.ndarray]):
+        chunk, ids, n, pos, comp, bits = cols
+        order = np.lexsort((ids, n))
+        chunk, ids, n, pos, comp, bits = (c[order] for c in (chunk, ids, n, pos, comp, bits))
+        xs, ys = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
+        for at in range(0, len(xs), SLAB):
+            x = xs[at : at + SLAB]
+            y = ys[np.searchsorted(n[ys], similarity * n[x[0]] - 1e-6) : np.searchsorted(n[ys], n[x[-1]] / similarity + 1e-6, side="right")]
+            for k in range(0, len(y), GROUP):
+                z = y[k : k + GROUP]
+                ok = _can_reach(n[x][:, None], n[z][None, :], pos[x][:, None], pos[z][None, :], similarity) & (ids[x][:, None] != ids[z][None, :])
+                if a == b:
+                    ok &= x[:, None] < z[None, :]
+                if not nearest:
+                    ok &= comp[x][:, None] != comp[z][None, :]
+                i, j = np.nonzero(ok)
+                # Sets that differ in d shingles have sketches that differ in d bits at most.
+                apart = np.concatenate([np.bitwise_count(bits[x[i[q : q + 65536]]] ^ bits[z[j[q : q + 65536]]]).sum(axis=1, dtype=np.int64) for q in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+                near = apart <= (1 - similarity) / (1 + similarity) * (n[x[i]] + n[z[j]]) + 1e-6
+                i, j, apart = i[near], j[near], apart[near]
+                if nearest:
+                    order = np.lexsort((apart, i))
+                    i, j = i[order], j[order]
+                    one = np.concatenate(([True], i[1:] != i[:-1])) if len(i) else np.zeros(0, bool)
+                    i, j = i[one], j[one]
+                if len(i):
+                    s, t = ids[x[i]], ids[z[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(s, t)), pa.array(np.minimum(s, t))], names=["src", "dst"])
+
+    def solve_all(table: pa.Table):
+        cols = [table.column(k).to_numpy() for k in range(8)]
+        bits = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+        new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+        cuts = np.flatnonzero(np.concatenate(([True], new, [True])))
+        for s, e in zip(cuts[:-1], cuts[1:]):
+            yield from solve(cols[1][s], cols[2][s], [c[s:e] for c in cols[3:]] + [bits[s:e]])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= 50_000:
+                whole = pa.Table.from_batches(held)
+                same = np.ones(len(whole), bool)
+                for k in range(3):
+                    c = whole.column(k).to_numpy()
+                    same &= c == c[-1]
+                last = int(np.argmax(same))
+                if last:
+                    yield from solve_all(whole.slice(0, last))
+                held, rows = whole.slice(last).to_batches(), len(whole) - last
+        if rows:
+            yield from solve_all(pa.Table.from_batches(held))
+
+    return run
+
+
+def _blocks(entries: DataFrame) -> DataFrame:
+    """(key, a, b, chunk, id, n, pos): lists above GROUP texts are dealt into chunks, and every two chunks meet in a block."""
+    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("chunks"))
+    dealt = entries.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    others = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return others.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "id", "n", "pos")
+
+
+def near_links(texts: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(src, dst) links of this Jaccard similarity or more that connect exactly the texts which all such links connect.
+
+    Two such texts share one of their first shingles (prefix filter), so a list of the texts for each first shingle
+    holds every pair. Short lists give all pairs. In long ones each text is first paired with its nearest one; what
+    these links, counted exactly, do not connect is then compared in full, blocks of two chunks at a time.
+    """
+    posted = distinct.select("id", "n", "light", F.posexplode("prefix").alias("pos", "key")).select("key", "id", "n", F.col("pos").cast("long").alias("pos"), (F.col("pos") < F.col("light")).alias("rare"))
+    rare = posted.where("rare").drop("rare").repartition("key").sortWithinPartitions("key")
+    made = cut(rare.mapInArrow(tidy(_short_lists(similarity)), "key long, src long, dst long, n long, pos long"))
+    pairs = made.where("dst is not null").select("src", "dst")
+    entries = posted.where("not rare").drop("rare").unionByName(made.where("dst is null").select("key", F.col("src").alias("id"), "n", "pos"))
+    blocks = cut(_blocks(entries))
+    if blocks.isEmpty():
+        return similar_pairs(texts, pairs.distinct(), width, similarity)
+
+    def long(comps: DataFrame, nearest: bool) -> DataFrame:
+        rows = blocks.join(comps, "id").select("key", "a", "b", "chunk", "id", "n", "pos", "comp", "bits")
+        return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(tidy(_long_lists(similarity, nearest)), "src long, dst long")
+
+    first = long(distinct.select("id", "bits", F.col("id").alias("comp")), True)
+    links = cut(similar_pairs(texts, pairs.unionByName(first).distinct(), width, similarity))
+    comps = connected_components(links)
+    joined = distinct.select("id", "bits").join(comps, F.col("id") == F.col("node"), "left").select("id", "bits", F.coalesce("component", "id").alias("comp"))
+    return links.unionByName(similar_pairs(texts, long(joined, False).distinct(), width, similarity))
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -435,19 +526,16 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int, similarity: flo
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) of the texts that have a copy: equal words, or shingles of ``width`` words with this Jaccard similarity.
 
-    Candidates share a field of one of several SimHash fingerprints (measured on changed copies: about 98 % of those
-    at the threshold are found, more above it); each pair is then counted exactly, so no text is called a copy that
-    is none. The component is the smallest id. Null ids and texts without words are left out. Rows that repeat an id
-    count as one text, that with the smallest digest.
+    Every such pair counts, wherever the texts differ, and none else. The component is the smallest id. Null ids and
+    texts without words are left out. Rows that repeat an id count as one text, that with the smallest digest.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     small_batches(docs.sparkSession)
-    prints = cut(_text_prints(texts))
-    names = [f"p{k}" for k in range(PRINTS)]
+    prints = cut(_text_prefixes(texts, width, similarity, common_shingles(texts, width, similarity)))
     one = prints.groupBy("id").agg(F.min("words").alias("words"))
     classes = cut(one.groupBy("words").agg(F.min("id").alias("first"), F.count("*").alias("n")))
-    distinct = cut(prints.join(classes.select(F.col("words").alias("w"), "first"), (F.col("id") == F.col("first")) & (F.col("words") == F.col("w"))).select("id", *names).dropDuplicates(["id"]))
-    linked = similar_pairs(texts, candidate_pairs(distinct), width, similarity)
-    comps = connected_components(linked)
+    firsts = classes.select(F.col("words").alias("w"), "first")
+    distinct = cut(prints.join(firsts, (F.col("id") == F.col("first")) & (F.col("words") == F.col("w"))).select("id", prints.n, "light", "prefix", "bits").dropDuplicates(["id"]))
+    comps = connected_components(near_links(texts, distinct, width, similarity))
     roots = classes.join(comps, F.col("first") == F.col("node"), "left").select("words", F.coalesce("component", "first").alias("component"), (F.col("node").isNotNull() | (F.col("n") > 1)).alias("copied")).where("copied").drop("copied")
     return one.join(roots, "words").select("id", "component")

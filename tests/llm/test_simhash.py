@@ -152,3 +152,45 @@ def test_divided_groups_keep_near_copies(spark, monkeypatch):
     got = {r["component"] for r in simhash.near_copies(documents(spark, ts)).collect()}
     assert got == {0}
     assert simhash.near_copies(documents(spark, ts).limit(0)).count() == 0
+
+
+def copies_by_brute_force(ts):
+    up = list(range(len(ts)))
+    sets = []
+    for t in ts:
+        w = t.lower().split()
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(ts)):
+        for j in range(i + 1, len(ts)):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    groups = [root(k) for k in range(len(ts))]
+    return {k: r for k, r in enumerate(groups) if groups.count(r) > 1}
+
+
+def family(rng):
+    """A text, and pairs of texts that are similar enough to each other but not to it."""
+    base = words(rng, 400, 100000).split()
+    ts = [" ".join(base)]
+    for k in range(150):
+        at = [p * 30 + rng.randrange(20) for p in rng.sample(range(13), 11)]
+        for own in (0, 1):
+            w = list(base)
+            for n, p in enumerate(at):
+                w[p] = f"c{k}" if n < 3 else f"c{k}-{own}"
+            ts.append(" ".join(w))
+    return ts
+
+
+def test_texts_near_an_unlinked_leader_still_meet(spark):
+    ts = family(random.Random(15))
+    want = copies_by_brute_force(ts)
+    assert 0 not in want and len(want) == 300 and len(set(want.values())) == 150
+    assert {r["id"]: r["component"] for r in simhash.near_copies(documents(spark, ts)).collect()} == want
