@@ -175,6 +175,22 @@ def copies_by_brute_force(ts):
     return {k: r for k, r in enumerate(groups) if groups.count(r) > 1}
 
 
+@pytest.mark.parametrize("paired", [32, 2])
+def test_near_copies_that_differ_by_a_block(spark, monkeypatch, paired):
+    monkeypatch.setattr(simhash, "PAIRED", paired)
+    rng = random.Random(14)
+    ts = []
+    for k in range(60):
+        base = words(rng, 300, 100000).split()
+        more = words(rng, 80, 100000).split()
+        at = rng.randrange(250)
+        changed = [base + more[:72], base[: 300 - 58], base[:at] + more[:28] + base[at + 28 :]][k % 3]
+        ts += [" ".join(base), " ".join(changed)]
+    want = copies_by_brute_force(ts)
+    assert len(want) == 120
+    assert {r["id"]: r["component"] for r in simhash.near_copies(documents(spark, ts)).collect()} == want
+
+
 def family(rng):
     """A text, and pairs of texts that are similar enough to each other but not to it."""
     base = words(rng, 400, 100000).split()
