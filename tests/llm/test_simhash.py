@@ -210,3 +210,12 @@ def test_texts_near_an_unlinked_leader_still_meet(spark):
     want = copies_by_brute_force(ts)
     assert 0 not in want and len(want) == 300 and len(set(want.values())) == 150
     assert {r["id"]: r["component"] for r in simhash.near_copies(documents(spark, ts)).collect()} == want
+
+
+def test_chunks_of_a_list_that_does_not_shrink_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "GROUP", 16)
+    monkeypatch.setattr(simhash, "PAIRED", 4)
+    ts = family(random.Random(16))
+    want = copies_by_brute_force(ts)
+    assert 0 not in want and len(want) == 300
+    assert {r["id"]: r["component"] for r in simhash.near_copies(documents(spark, ts)).collect()} == want
