@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, runs, shared_path, small_batches, text_or_empty, tidy
+from .common import give_back, runs, shared_path, text_or_empty, tidy
 
 #: The byte-level pre-tokenizer's pattern, with Unicode white space spelled out (fixed values).
 SPACE = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -280,7 +280,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     kept. Special tokens of the tokenizer that stand in a text get their ids, as in the library.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     _same_splits(spark)
     specials = special_tokens(tokenizer_path)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))

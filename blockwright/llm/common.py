@@ -20,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` of the session decides. Only a session that names none (tests on one machine)
-    gets a fresh temporary folder, which is then also the session's checkpoint folder.
+    ``spark.checkpoint.dir`` of the session decides. Only a session on one machine that names none (in tests) gets a
+    fresh temporary folder, which is then also the session's checkpoint folder; on a cluster that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="blockwright-")
     sc.setCheckpointDir(own)
     return own
@@ -48,13 +50,6 @@ def shared_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a path through the file system that owns it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 #: Most bytes and rows of a batch between Spark and its Python workers.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_runs, tidy
+from .common import text_runs, tidy
 
 #: Items of a block, rank of the latent space, seed of the random sketch.
 BLOCK, RANK, SEED = 256, 64, 5
@@ -246,7 +246,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = dict(chosen.dtypes)["id"]
-    small_batches(docs.sparkSession)
     rows = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).toLocalIterator()
     out = None
     while part := [(r[0], r[1]) for r in islice(rows, BLOCK)]:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_runs, tidy
+from .common import text_runs, tidy
 
 RUN_BYTES = 4 << 20
 #: The order in which a block's coefficients are stored: by anti-diagonals, in turning direction.
@@ -313,6 +313,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 more = [pa.array(pictures, pa.binary())] if media else []
                 yield pa.RecordBatch.from_arrays([part.column(0), *facts.columns, *more], names=["id", *fields.names, *["media"] * media])
 
-    small_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(tidy(run), f"id {dict(chosen.dtypes)['id']}, {SCHEMA}" + ", media binary" * media)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_runs, tidy
+from .common import text_runs, tidy
 
 #: Bytes of a window, units of each direction, windows that step together.
 WINDOW, UNITS, SIDE = 64, 8, 4096
@@ -198,7 +198,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     is every text when no document is labelled. Ties go to the language that comes first in the alphabet. Repeated
     rows stay.
     """
-    small_batches(docs.sparkSession)
     network = network or learn(docs, id_col, text_col, lang_col)
     chosen = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     schema = f"id {dict(chosen.dtypes)['id']}, held_out boolean, lang_pred string, score double" + "".join(f", keep_{c} {dict(docs.dtypes)[c]}" for c in keep)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_runs, tidy
+from .common import cut, text_runs, tidy
 
 #: Random features, kernel width (in standard deviations), ridge, bins of the calibration, seed.
 FEATURES, WIDTH, RIDGE, BINS, SEED = 160, 3.0, 1.0, 512, 11
@@ -187,7 +187,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     Scores come from the text's statistics alone; null and empty texts are scored like any other. Without labels
     every score is 0.5. Repeated rows stay.
     """
-    small_batches(docs.sparkSession)
     stats = cut(document_statistics(docs, id_col, text_col))
     model = learn(stats, labels, id_col, label_col)
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_runs, tidy
+from .common import text_runs, tidy
 
 #: Base patterns (fixed values), in the order of kinds.
 KINDS = ("assign", "access", "hex")
@@ -224,7 +224,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gramma
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then kind, comma-joined. ``redacted`` is
     the text with every span replaced. A null text counts as empty for the spans and stays null when redacted.
     """
-    small_batches(docs.sparkSession)
     grammar = grammar or Grammar(labelled_values(docs, text_col))
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     schema = "id " + dict(chosen.dtypes)["id"] + ", n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string" + "".join(f", keep_{c} {dict(docs.dtypes)[c]}" for c in keep)

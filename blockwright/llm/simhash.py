@@ -12,12 +12,15 @@ links, never all pairs, and distributed connected components join the forests.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, text_runs, tidy
+from .common import cut, text_runs, tidy
 from .components import connected_components
 
 #: Longest run of rows handled at once, in bytes of text.
@@ -28,45 +31,72 @@ LEAF, FAN = 32, 8
 GROUP = 4096
 #: Most divisions, after which free bits run short; a group of distinct fingerprints has then at most 2**16 entries.
 DEPTH = 4
+#: Bytes of a long text that are cut into words at once, and hashes whose bits are counted at once.
+PIECE, VOTED = 1 << 20, 200_000
+BLANK = re.compile(rb"[ \t-\r]")
 
 
-def _fingerprints(texts: list[str], width: int) -> np.ndarray:
-    """One 64-bit fingerprint for each text."""
-    from xxhash import xxh64_intdigest
+class Votes:
+    """For each of many texts, how many of its shingles' hashes set each bit; hashes are counted many texts at once."""
 
-    out = np.zeros(len(texts), np.uint64)
-    hashes: list[int] = []
-    owners: list[int] = []
-    counts: list[int] = []
+    def __init__(self, texts: int):
+        self.sums, self.n = np.zeros((texts, 64), np.int32), np.zeros(texts, np.int64)
+        self.hashes: list[np.ndarray] = []
+        self.owners: list[int] = []
+        self.held = 0
 
-    def settle() -> None:
-        if not hashes:
+    def add(self, text: int, hashes: np.ndarray) -> None:
+        self.hashes.append(hashes), self.owners.append(text)
+        self.held += len(hashes)
+        if self.held >= VOTED:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.hashes:
             return
-        bits = np.unpackbits(np.array(hashes, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        n = np.array(counts)
-        starts = np.cumsum(n) - n
-        sums = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[owners] = np.packbits(sums * 2 > n[:, None], axis=1).view(">u8").ravel()
-        hashes.clear(), owners.clear(), counts.clear()
+        sizes = np.array([len(h) for h in self.hashes])
+        bits = np.unpackbits(np.concatenate(self.hashes).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        np.add.at(self.sums, self.owners, np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32))
+        np.add.at(self.n, self.owners, sizes)
+        self.hashes, self.owners, self.held = [], [], 0
 
-    for i, text in enumerate(texts):
-        words = text.encode().lower().split()
-        if not words:
-            continue
-        line = b" ".join(words)
-        if len(words) <= width:
-            got = [xxh64_intdigest(line, 42)]
-        else:
+    def result(self) -> np.ndarray:
+        """The fingerprints: a bit is set if it is in over half the hashes."""
+        self.settle()
+        return np.packbits(self.sums * 2 > self.n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def shingle_hashes(text: str, width: int, digest=None):
+    """Arrays of the hashes of a text's shingles, in order, a piece of the text at a time; ``digest`` takes in its words."""
+    from xxhash import xxh64_intdigest
+
+    data, at, words, total = text.encode(), 0, [], 0
+    while at < len(data):
+        blank = BLANK.search(data, at + PIECE)
+        end = blank.start() if blank else len(data)
+        fresh = data[at:end].lower().split()
+        at = end
+        if digest is not None and fresh:
+            digest.update((b" " if total else b"") + b" ".join(fresh))
+        total += len(fresh)
+        words += fresh
+        if len(words) >= width:
+            line = b" ".join(words)
             ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
             starts = np.concatenate(([0], ends[:-1] + 1))
-            got = [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
-        hashes += got
-        owners.append(i)
-        counts.append(len(got))
-        if len(hashes) > 200_000:
-            settle()
-    settle()
-    return out
+            yield np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64)
+            words = words[len(words) - width + 1 :]
+    if 0 < total < width:
+        yield np.array([xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+
+
+def _fingerprints(texts: list[str], width: int) -> np.ndarray:
+    """One 64-bit fingerprint for each text; without words it is zero."""
+    votes = Votes(len(texts))
+    for i, text in enumerate(texts):
+        for hashes in shingle_hashes(text, width):
+            votes.add(i, hashes)
+    return votes.result()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -264,7 +294,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never a component unless all of its component's ids are null. Null and empty texts have fingerprint 0, which
     links like any other. Repeated rows stay repeated.
     """
-    small_batches(docs.sparkSession)
     prints = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     comps = connected_components(hamming_edges(distinct, radius))
@@ -276,24 +305,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Near copies: lists of texts that share a shingle give all their candidate pairs at once up to this size.
 PAIRED = 32
-#: Shingles in PAIRED texts or more stand last in every text's order; so many of them at most. Speed alone hangs on it.
+#: Shingles of PAIRED texts or more stand last in every text's order; so many of them at most. Speed alone hangs on it.
 COMMON = 100_000
-#: Bits of a text's sketch, the parities of its shingles' hashes by their lowest bits.
+#: Shingles counted at once; one that is met once only in so many is not passed on.
+COUNTED = 4_000_000
+#: Least bits of a text's sketch, the parities of its shingles' hashes by their lowest bits; it has two for a shingle.
 SKETCH = 1024
-#: Candidates compared at once.
-SLAB = 64
+#: Differing bits of fingerprints that are linked before shingles are looked at.
+RADIUS = 3
+#: Rows of one list that are dealt into one chunk.
+BLOCK = 4096
+#: Rows of a few ids that may be broadcast; more are joined by a shuffle.
+BROADCAST = 1 << 18
+#: Pairs that a text's set meets at once.
+PAIRS = 4096
 
 
-def _shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; fewer words are one shingle."""
-    from xxhash import xxh64_intdigest
-
-    line = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxh64_intdigest(line, 42)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    return np.unique(np.array([xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())], np.uint64))
+def shingle_set(text: str, width: int, digest=None) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    parts = list(shingle_hashes(text, width, digest))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
 def _prefix_size(n: int, similarity: float) -> int:
@@ -301,101 +332,236 @@ def _prefix_size(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - 1e-9)) + 1
 
 
-def _hash_sets(texts: list, width: int):
-    """(index, words, hashes) of the texts that have words."""
-    for i, text in enumerate(texts):
-        words = (text or "").encode().lower().split()
-        if words:
-            yield i, words, _shingle_hashes(words, width)
-
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles of most texts.
 
-def common_shingles(texts: DataFrame, width: int, similarity: float) -> np.ndarray:
-    """Sorted hashes of the shingles that begin most texts when each text's are ordered by hash."""
+    All shingles of all texts are counted. One that a stretch of COUNTED shingles holds once only is not passed on
+    from there, so what is missed stands in fewer texts than there are stretches.
+    """
 
     def run(batches):
+        held, total = [], 0
+
+        def told():
+            k, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(k[n > 1].view(np.int64)), pa.array(n[n > 1])], names=["k", "n"])
+
         for batch in batches:
             for part in text_runs(batch, 1, RUN_BYTES):
-                firsts = [h[: _prefix_size(len(h), similarity)] for _, _, h in _hash_sets(part.column(1).to_pylist(), width)]
-                if firsts:
-                    k, n = np.unique(np.concatenate(firsts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["k", "n"])
+                for text in part.column(1).to_pylist():
+                    own = shingle_set(text or "", width)
+                    held.append(own)
+                    total += len(own)
+                    if total >= COUNTED:
+                        yield told()
+                        held, total = [], 0
+        if held:
+            yield told()
 
     counts = texts.mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= PAIRED)
     return np.sort(np.array([r["k"] for r in counts.orderBy(F.desc("n"), "k").limit(COMMON).collect()], np.int64).view(np.uint64))
 
 
-def _text_prefixes(texts: DataFrame, width: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """(id, words, n, light, prefix, bits): the digest of each text's words, how many shingles it has, the first of them (the first ``light`` are not common), its sketch."""
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parities of distinct hashes by their lowest bits, as words; a power of two of them."""
+    size = SKETCH
+    while size < 2 * len(hashes):
+        size *= 2
+    odd = (np.bincount((hashes % np.uint64(size)).astype(np.int64), minlength=size) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same hashes with ``size`` words, which is no larger."""
+    return np.bitwise_xor.reduce(words.reshape(-1, size), axis=0)
+
+
+def _sketches(column, size: int = SKETCH // 64) -> np.ndarray:
+    """Sketches of a column, all folded to the least size."""
+    return np.stack([folded(np.frombuffer(b, np.uint64), size) for b in column.to_pylist()]) if len(column) else np.zeros((0, size), np.uint64)
+
+
+def _within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values stand in the sorted array known."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _text_facts(texts: DataFrame, width: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(id, words, fp, n, light, prefix, bits) of the texts that have words.
+
+    The digest of the words, the fingerprint of the shingles, how many there are, the first of them (of which the
+    first ``light`` are not common) and their sketch.
+    """
     from hashlib import blake2b
 
     def run(batches):
         for batch in batches:
             for part in text_runs(batch, 1, RUN_BYTES):
-                at, keys, sizes, lights, firsts, bits = [], [], [], [], [], []
-                for i, words, h in _hash_sets(part.column(1).to_pylist(), width):
-                    often = np.isin(h, common, assume_unique=True)
+                at, keys, sets, lights, firsts, bits = [], [], [], [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    digest = blake2b(digest_size=16)
+                    h = shingle_set(text or "", width, digest)
+                    if not len(h):
+                        continue
+                    often = _within(h, common)
                     first = np.concatenate((h[~often], h[often]))[: _prefix_size(len(h), similarity)]
-                    at.append(i), sizes.append(len(h)), firsts.append(first.view(np.int64))
-                    keys.append(blake2b(b" ".join(words), digest_size=16).digest())
+                    at.append(i), sets.append(h), firsts.append(first.view(np.int64)), keys.append(digest.digest())
                     lights.append(min(len(first), int((~often).sum())))
-                    bits.append(np.packbits((np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes())
+                    bits.append(sketch(h).tobytes())
                 ends = np.concatenate(([0], np.cumsum([len(f) for f in firsts]))).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.zeros(0, np.int64)))
+                votes = Votes(len(sets))
+                for i, h in enumerate(sets):
+                    for k in range(0, len(h), VOTED):
+                        votes.add(i, h[k : k + VOTED])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(lights, pa.int64()), prefix, pa.array(bits, pa.binary())],
-                    names=["id", "words", "n", "light", "prefix", "bits"],
-                )
+                    [
+                        part.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.binary()), pa.array(votes.result().view(np.int64)), pa.array([len(h) for h in sets], pa.int64()),
+                        pa.array(lights, pa.int64()), prefix, pa.array(bits, pa.binary()),
+                    ],
+                    names=["id", "words", "fp", "n", "light", "prefix", "bits"],
+                )
+
+    return texts.mapInArrow(tidy(run), "id long, words binary, fp long, n long, light long, prefix array<long>, bits binary")
 
-    return texts.mapInArrow(tidy(run), "id long, words binary, n long, light long, prefix array<long>, bits binary")
+
+def _most_apart(n, m, similarity: float):
+    """So many shingles at most are in one only of two sets of n and m of this similarity; their sketches differ in no more bits."""
+    return (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
 
 
 def _can_reach(n, m, i, j, similarity: float):
-    """Whether texts of n and m shingles that share their i-th and j-th, and none before, may be similar enough."""
+    """Whether sets of n and m that share their i-th and j-th shingle, and none before, may be similar enough."""
     return 1 + np.minimum(n - i - 1, m - j - 1) >= similarity / (1 + similarity) * (n + m) - 1e-6
 
 
 def _short_lists(similarity: float):
-    """Rows (key, id, n, pos), a key's together, to (key, src, dst, n, pos): pairs of lists up to PAIRED texts; rows of longer ones, with a null dst."""
+    """Rows (key, id, spot, comp), a rare key's together, to (key, src, dst, n, pos, comp); spot holds n, pos and whether the key is rare.
 
-    def solve(rows: np.ndarray) -> pa.RecordBatch:
-        begin = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-        sizes = np.diff(np.append(begin, len(rows)))
+    Pairs of different components from the lists of up to PAIRED texts; rows of longer lists as they are, with a null
+    dst. No list is held: once it is longer its rows are passed on as they come.
+    """
+    names = ["key", "src", "dst", "n", "pos", "comp"]
+
+    def passed(rows: np.ndarray) -> pa.RecordBatch:
+        key, i, n, pos, comp = (pa.array(np.ascontiguousarray(c)) for c in rows.T)
+        return pa.RecordBatch.from_arrays([key, i, pa.nulls(len(rows), pa.int64()), n, pos, comp], names=names)
+
+    def paired(rows: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
         left = np.repeat(begin + sizes, sizes)
-        live = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= PAIRED), sizes))
+        live = np.flatnonzero(np.repeat(sizes > 1, sizes))
         found = [np.zeros((0, 2), np.int64)]
-        for d in range(1, int(sizes[sizes <= PAIRED].max(initial=1))):
+        for d in range(1, int(sizes.max(initial=1))):
             live = live[live + d < left[live]]
             x, y = rows[live], rows[live + d]
-            ok = _can_reach(x[:, 2], y[:, 2], x[:, 3], y[:, 3], similarity) & (x[:, 1] != y[:, 1])
-            found.append(np.sort(np.stack([x[ok, 1], y[ok, 1]], axis=1), axis=1)[:, ::-1])
+            ok = _can_reach(x[:, 2], y[:, 2], x[:, 3], y[:, 3], similarity) & (x[:, 4] != y[:, 4])
+            found.append(np.stack([np.maximum(x[ok, 1], y[ok, 1]), np.minimum(x[ok, 1], y[ok, 1])], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
-        more = rows[np.repeat(sizes > PAIRED, sizes)]
-        none = np.zeros(len(pairs), np.int64)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((none, more[:, 0]))), pa.array(np.concatenate((pairs[:, 0], more[:, 1]))), pa.concat_arrays([pa.array(np.ascontiguousarray(pairs[:, 1])), pa.nulls(len(more), pa.int64())]), pa.array(np.concatenate((none, more[:, 2]))), pa.array(np.concatenate((none, more[:, 3])))],
-            names=["key", "src", "dst", "n", "pos"],
-        )
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.RecordBatch.from_arrays([none, pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), none, none, none], names=names)
+
+    def solve(rows: np.ndarray):
+        begin = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
+        sizes = np.diff(np.append(begin, len(rows)))
+        short = np.repeat(sizes <= PAIRED, sizes)
+        if not short.all():
+            yield passed(rows[~short])
+            rows, sizes = rows[short], sizes[sizes <= PAIRED]
+        if len(rows):
+            yield paired(rows, sizes, np.cumsum(sizes) - sizes)
 
     def run(batches):
         held: list[np.ndarray] = []
-        rows = 0
+        many, long = 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([c.to_numpy() for c in batch.columns], axis=1))
-            rows += batch.num_rows
-            if rows >= 200_000:
+            key, ids, spot = (batch.column(k).to_numpy() for k in range(3))
+            comp = pc.coalesce(batch.column(3), batch.column(1)).to_numpy()
+            rows, rare = np.stack((key, ids, spot >> 32, (spot & 0xFFFFFFFF) >> 1, comp), axis=1), (spot & 1).astype(bool)
+            if not rare.all():
+                yield passed(rows[~rare])
+                rows = rows[rare]
+            if long is not None and len(rows):  # the list that filled the last rows goes on
+                own = rows[:, 0] == long
+                if own.any():
+                    yield passed(rows[own])
+                    rows = rows[~own]
+                if len(rows):
+                    long = None
+            held.append(rows)
+            many += len(rows)
+            if many >= 100_000:
                 whole = np.concatenate(held)
                 last = int(np.argmax(whole[:, 0] == whole[-1, 0]))
                 if last:
-                    yield solve(whole[:last])
-                held, rows = [whole[last:]], len(whole) - last
-        if rows:
-            yield solve(np.concatenate(held))
+                    yield from solve(whole[:last])
+                rest = whole[last:]
+                if len(rest) > PAIRED:
+                    long = rest[0, 0]
+                    yield passed(rest)
+                    rest = rest[:0]
+                held, many = [rest], len(rest)
+        if many:
+            yield from solve(np.concatenate(held))
 
     return run
 
 
+def gray_order(x: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The order of rows of words by group, then by the Gray rank of all their bits."""
+    odd = (np.bitwise_count(x) & 1).astype(np.int64)
+    turned = (np.cumsum(odd, axis=1) - odd) & 1
+    rank = np.where(turned == 1, ~gray_rank(x), gray_rank(x))
+    return np.lexsort((*rank.T[::-1], group))
+
+
+def close_pairs(x: np.ndarray, n: np.ndarray, comp: np.ndarray, similarity: float, suits, chunk: int = 64):
+    """(i, j, differing bits) of the rows of sketches x, in Gray order, that may be similar enough and are of two components.
+
+    A search walks pairs of nodes of the hierarchical index from the top. A pair of nodes is dropped when the bits
+    that their members share already differ too often, when no sizes fit, or when all are of one component.
+    ``suits(i, j)`` says which pairs of rows are wanted.
+    """
+    levels, ranges = _levels(x), []
+    at = [n, n, comp, comp]
+    for k in range(len(levels)):
+        cuts = np.arange(0, len(at[0]), FAN if k else LEAF)
+        at = [f.reduceat(v, cuts) for f, v in zip((np.minimum, np.maximum) * 2, at)]
+        ranges.append(at)
+    todo = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while todo:
+        level, a, b = todo.pop()
+        mask, value = levels[level]
+        low, high, first, last = ranges[level]
+        ok = (similarity * low[b] <= high[a] + 1e-6) & (similarity * low[a] <= high[b] + 1e-6)
+        ok &= ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count((value[a] ^ value[b]) & mask[a] & mask[b]).sum(axis=1, dtype=np.int64) <= _most_apart(high[a], high[b], similarity)
+        a, b = a[ok], b[ok]
+        if not len(a):
+            continue
+        if len(a) > chunk:
+            todo += [(level, a[i : i + chunk], b[i : i + chunk]) for i in range(0, len(a), chunk)]
+            continue
+        wide, size = (FAN, len(levels[level - 1][0])) if level else (LEAF, len(x))
+        i = (a[:, None] * wide + np.arange(wide)).repeat(wide, axis=1).ravel()
+        j = np.tile(b[:, None] * wide + np.arange(wide), (1, wide)).ravel()
+        if level:
+            ok = (i < size) & (j < size) & (i <= j)
+            todo.append((level - 1, i[ok], j[ok]))
+            continue
+        ok = (i < size) & (j < size) & (i < j)
+        i, j = i[ok], j[ok]
+        ok = (comp[i] != comp[j]) & suits(i, j)
+        i, j = i[ok], j[ok]
+        apart = np.bitwise_count(x[i] ^ x[j]).sum(axis=1, dtype=np.int64)
+        ok = apart <= _most_apart(n[i], n[j], similarity)
+        yield i[ok], j[ok], apart[ok]
+
+
 def _long_lists(similarity: float, nearest: bool):
     """Rows (key, a, b, chunk, id, n, pos, comp, bits), a block's together, to (src, dst) pairs of its chunks a and b.
 
@@ -403,41 +569,36 @@ def _long_lists(similarity: float, nearest: bool):
     """
 
     def solve(a: int, b: int, cols: list[np.ndarray]):
-        chunk, ids, n, pos, comp, bits = cols
-        order = np.lexsort((ids, n))
-        chunk, ids, n, pos, comp, bits = (c[order] for c in (chunk, ids, n, pos, comp, bits))
-        xs, ys = np.flatnonzero(chunk == a), np.flatnonzero(chunk == b)
-        for at in range(0, len(xs), SLAB):
-            x = xs[at : at + SLAB]
-            y = ys[np.searchsorted(n[ys], similarity * n[x[0]] - 1e-6) : np.searchsorted(n[ys], n[x[-1]] / similarity + 1e-6, side="right")]
-            for k in range(0, len(y), GROUP):
-                z = y[k : k + GROUP]
-                ok = _can_reach(n[x][:, None], n[z][None, :], pos[x][:, None], pos[z][None, :], similarity) & (ids[x][:, None] != ids[z][None, :])
-                if a == b:
-                    ok &= x[:, None] < z[None, :]
-                if not nearest:
-                    ok &= comp[x][:, None] != comp[z][None, :]
-                i, j = np.nonzero(ok)
-                # Sets that differ in d shingles have sketches that differ in d bits at most.
-                apart = np.concatenate([np.bitwise_count(bits[x[i[q : q + 65536]]] ^ bits[z[j[q : q + 65536]]]).sum(axis=1, dtype=np.int64) for q in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
-                near = apart <= (1 - similarity) / (1 + similarity) * (n[x[i]] + n[z[j]]) + 1e-6
-                i, j, apart = i[near], j[near], apart[near]
-                if nearest:
-                    order = np.lexsort((apart, i))
-                    i, j = i[order], j[order]
-                    one = np.concatenate(([True], i[1:] != i[:-1])) if len(i) else np.zeros(0, bool)
-                    i, j = i[one], j[one]
-                if len(i):
-                    s, t = ids[x[i]], ids[z[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(s, t)), pa.array(np.minimum(s, t))], names=["src", "dst"])
+        n, bits = cols[2], cols[5]
+        order = gray_order(bits, np.floor(np.log(np.maximum(n, 1)) / -np.log(similarity)).astype(np.int64) if similarity < 1 else n)
+        chunk, ids, n, pos, comp, bits = (c[order] for c in cols)
+
+        def suits(i, j):
+            return (ids[i] != ids[j]) & (np.minimum(chunk[i], chunk[j]) == a) & (np.maximum(chunk[i], chunk[j]) == b) & _can_reach(n[i], n[j], pos[i], pos[j], similarity)
+
+        best, mate = np.full(len(ids), SKETCH + 1), np.zeros(len(ids), np.int64)
+        for i, j, apart in close_pairs(bits, n, comp, similarity, suits):
+            if not nearest:
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.array(np.minimum(ids[i], ids[j]))], names=["src", "dst"])
+                continue
+            x, y, apart = np.concatenate((i, j)), np.concatenate((j, i)), np.tile(apart, 2)
+            order = np.lexsort((ids[y], apart, x))
+            x, y, apart = x[order], y[order], apart[order]
+            one = np.concatenate(([True], x[1:] != x[:-1])) if len(x) else np.zeros(0, bool)
+            x, y, apart = x[one], y[one], apart[one]
+            less = apart < best[x]
+            best[x[less]], mate[x[less]] = apart[less], y[less]
+        if nearest and (i := np.flatnonzero(best <= SKETCH)).size:
+            s, t = ids[i], ids[mate[i]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(s, t)), pa.array(np.minimum(s, t))], names=["src", "dst"])
 
     def solve_all(table: pa.Table):
         cols = [table.column(k).to_numpy() for k in range(8)]
-        bits = np.frombuffer(b"".join(table.column(8).to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+        bits = _sketches(table.column(8))
         new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
         cuts = np.flatnonzero(np.concatenate(([True], new, [True])))
         for s, e in zip(cuts[:-1], cuts[1:]):
-            yield from solve(cols[1][s], cols[2][s], [c[s:e] for c in cols[3:]] + [bits[s:e]])
+            yield from solve(cols[1][s], cols[2][s], [*(c[s:e] for c in cols[3:]), bits[s:e]])
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -464,78 +625,134 @@ def _long_lists(similarity: float, nearest: bool):
 
 
 def _blocks(entries: DataFrame) -> DataFrame:
-    """(key, a, b, chunk, id, n, pos): lists above GROUP texts are dealt into chunks, and every two chunks meet in a block."""
-    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("chunks"))
+    """(key, a, b, chunk, id, n, pos): lists above BLOCK texts are dealt into chunks, and every two chunks meet in a block; lists of one component alone are not needed."""
+    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high")
     dealt = entries.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     others = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     return others.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "id", "n", "pos")
 
 
-def near_links(texts: DataFrame, distinct: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(src, dst) links of this Jaccard similarity or more that connect exactly the texts which all such links connect.
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows of a few ids each, marked for a broadcast if they are counted to be few enough."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
 
-    Two such texts share one of their first shingles (prefix filter), so a list of the texts for each first shingle
-    holds every pair. Short lists give all pairs. In long ones each text is first paired with its nearest one; what
-    these links, counted exactly, do not connect is then compared in full, blocks of two chunks at a time.
-    """
-    posted = distinct.select("id", "n", "light", F.posexplode("prefix").alias("pos", "key")).select("key", "id", "n", F.col("pos").cast("long").alias("pos"), (F.col("pos") < F.col("light")).alias("rare"))
-    rare = posted.where("rare").drop("rare").repartition("key").sortWithinPartitions("key")
-    made = cut(rare.mapInArrow(tidy(_short_lists(similarity)), "key long, src long, dst long, n long, pos long"))
-    pairs = made.where("dst is not null").select("src", "dst")
-    entries = posted.where("not rare").drop("rare").unionByName(made.where("dst is null").select("key", F.col("src").alias("id"), "n", "pos"))
-    blocks = cut(_blocks(entries))
-    if blocks.isEmpty():
-        return similar_pairs(texts, pairs.distinct(), width, similarity)
-
-    def long(comps: DataFrame, nearest: bool) -> DataFrame:
-        rows = blocks.join(comps, "id").select("key", "a", "b", "chunk", "id", "n", "pos", "comp", "bits")
-        return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(tidy(_long_lists(similarity, nearest)), "src long, dst long")
-
-    first = long(distinct.select("id", "bits", F.col("id").alias("comp")), True)
-    links = cut(similar_pairs(texts, pairs.unionByName(first).distinct(), width, similarity))
-    comps = connected_components(links)
-    joined = distinct.select("id", "bits").join(comps, F.col("id") == F.col("node"), "left").select("id", "bits", F.coalesce("component", "id").alias("comp"))
-    return links.unionByName(similar_pairs(texts, long(joined, False).distinct(), width, similarity))
+
+def _joined(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of nodes with comp, the component of their id under the links."""
+    comps = _small(connected_components(links))
+    return nodes.join(comps, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
 
 
-def similar_pairs(docs: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs whose texts' sets of shingles have this Jaccard similarity or more, counted exactly."""
-    touched = pairs.select(F.explode(F.array("src", "dst")).alias("t")).distinct()
+def similar_pairs(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (src, dst) of ids whose sets of shingles have this Jaccard similarity or more.
+
+    The sketches (id, words, n, bits) drop most of the others first; what is left is counted exactly over the sets of
+    the texts with these ids and digests of words.
+    """
+    pairs = cut(pairs.distinct())
+    ids = _small(pairs.select(F.explode(F.array("src", "dst")).alias("t")).distinct())
+    sketches = sketches.join(ids, F.col("id") == F.col("t"), "left_semi")
+    left = sketches.select(F.col("id").alias("src"), F.col("words").alias("src_words"), F.col("n").alias("m"), F.col("bits").alias("a"))
+    right = sketches.select(F.col("id").alias("dst"), F.col("words").alias("dst_words"), "n", F.col("bits").alias("b"))
+    met = pairs.join(left, "src").join(right, "dst").select("src", "dst", "src_words", "dst_words", "m", "n", "a", "b")
+    form = "src long, dst long, src_words binary, dst_words binary"
+
+    def may_be(batches):
+        for batch in batches:
+            apart = np.zeros(batch.num_rows, np.int64)
+            for i, pair in enumerate(zip(*(batch.column(k).to_pylist() for k in (6, 7)))):
+                a, b = (np.frombuffer(x, np.uint64) for x in pair)
+                size = min(len(a), len(b))
+                apart[i] = np.bitwise_count(folded(a, size) ^ folded(b, size)).sum()
+            m, n = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+            ok = (apart <= _most_apart(m, n, similarity)) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in range(4)], names=["src", "dst", "src_words", "dst_words"])
+
+    near = cut(met.mapInArrow(tidy(may_be), form))
+    # A pair meets at its src: that text's set goes there once for each PAIRS pairs, the other texts' sets follow it.
+    parts = near.groupBy(F.col("src").alias("at")).agg(F.ceil(F.count("*") / PAIRS).cast("long").alias("parts"))
+    led = near.join(parts, F.col("src") == F.col("at")).withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")))
+    heads = led.select(F.col("src").alias("k"), F.col("src_words").alias("w"), "at", "part", F.lit(True).alias("head")).distinct()
+    places = _small(heads.unionByName(led.select(F.col("dst").alias("k"), F.col("dst_words").alias("w"), "at", "part", F.lit(False).alias("head"))))
+    from hashlib import blake2b
 
     def sets(batches):
         for batch in batches:
             for part in text_runs(batch, 1, RUN_BYTES):
-                made = [_shingle_hashes(t.encode().lower().split(), width).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.binary())], names=["k", "s"])
+                keys, made = [], []
+                for text in part.column(1).to_pylist():
+                    digest = blake2b(digest_size=16)
+                    made.append(shingle_set(text, width, digest).tobytes()), keys.append(digest.digest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["id", "words", "s"])
 
-    some = cut(docs.join(touched, docs.id == touched.t, "left_semi").where("text is not null").dropDuplicates(["id"]).select("id", "text").mapInArrow(tidy(sets), "k long, s binary"))
+    touched = _small(places.select(F.col("k").alias("t")).distinct())
+    mine = texts.join(touched, texts.id == F.col("t"), "left_semi").where("text is not null").dropDuplicates(["id", "text"])
+    sent = mine.mapInArrow(tidy(sets), "id long, words binary, s binary").join(places, (F.col("id") == F.col("k")) & (F.col("words") == F.col("w")))
 
     def close(batches):
+        at = head = None
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["src", "dst"])
+            src, dst = [], []
+            for group, part, first, k, s in zip(*(batch.column(c).to_pylist() for c in range(5))):
+                own = np.frombuffer(s, np.uint64)
+                if first:
+                    at, head = (group, part), own
+                elif at == (group, part):
+                    both = len(np.intersect1d(head, own, assume_unique=True))
+                    if both >= similarity * (len(head) + len(own) - both):
+                        src.append(group), dst.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
 
-    left = pairs.join(some.select(F.col("k").alias("src"), F.col("s").alias("a")), "src")
-    return left.join(some.select(F.col("k").alias("dst"), F.col("s").alias("b")), "dst").select("src", "dst", "a", "b").mapInArrow(tidy(close), "src long, dst long")
+    met = sent.select("at", "part", "head", "id", "s").repartition("at", "part").sortWithinPartitions("at", "part", F.desc("head"))
+    return met.mapInArrow(tidy(close), "src long, dst long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component) of the texts that have a copy: equal words, or shingles of ``width`` words with this Jaccard similarity.
 
-    Every such pair counts, wherever the texts differ, and none else. The component is the smallest id. Null ids and
-    texts without words are left out. Rows that repeat an id count as one text, that with the smallest digest.
+    Every such pair counts, wherever the texts differ, and none else. Texts with equal words meet first, then those
+    whose fingerprints the Gray-order index links. What is still apart is compared by shared shingles: two such texts
+    share one of their first shingles in one order for all texts (prefix filter), so a list of the texts for each
+    first shingle holds every pair. Short lists give all pairs; long ones are searched through the Gray-order index
+    over sketches, blocks of two chunks at a time, first for each text's nearest one and then for all that is not yet
+    connected. Every pair found in any of these ways is counted exactly before it links.
+
+    The component is the smallest id. Null ids and texts without words are left out; an empty table gives no rows.
+    Repeated rows count once. Of different texts with one id that with the smallest digest of words counts. Long texts
+    are read in pieces.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    small_batches(docs.sparkSession)
-    prints = cut(_text_prefixes(texts, width, similarity, common_shingles(texts, width, similarity)))
-    one = prints.groupBy("id").agg(F.min("words").alias("words"))
-    classes = cut(one.groupBy("words").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    facts = cut(_text_facts(texts, width, similarity, common_shingles(texts, width)))
+    one = facts.groupBy("id").agg(F.min("words").alias("words"))
+    classes = cut(one.groupBy("words").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     firsts = classes.select(F.col("words").alias("w"), "first")
-    distinct = cut(prints.join(firsts, (F.col("id") == F.col("first")) & (F.col("words") == F.col("w"))).select("id", prints.n, "light", "prefix", "bits").dropDuplicates(["id"]))
-    comps = connected_components(near_links(texts, distinct, width, similarity))
-    roots = classes.join(comps, F.col("first") == F.col("node"), "left").select("words", F.coalesce("component", "first").alias("component"), (F.col("node").isNotNull() | (F.col("n") > 1)).alias("copied")).where("copied").drop("copied")
+    chosen = cut(facts.join(firsts, (F.col("id") == F.col("first")) & (F.col("words") == F.col("w"))).drop("w", "first").dropDuplicates(["id", "words"]))
+    sketches = chosen.select("id", "words", "n", "bits")
+
+    # What the fingerprints link.
+    prints = chosen.groupBy("fp").agg(F.min("id").alias("at"))
+    edges = hamming_edges(prints.select("fp"), RADIUS)
+    at = [prints.select(F.col("fp").alias(f"{k}_fp"), F.col("at").alias(k)) for k in ("x", "y")]
+    across = edges.join(at[0], F.col("src") == F.col("x_fp")).join(at[1], F.col("dst") == F.col("y_fp")).select("x", "y")
+    equal = chosen.join(prints, "fp").where("id <> at").select(F.col("id").alias("x"), F.col("at").alias("y"))
+    told = across.unionByName(equal).select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst"))
+    links = cut(similar_pairs(texts, sketches, told, width, similarity))
+
+    # What shared shingles link beyond that.
+    posted = _joined(links, chosen.select("id", "n", "light", "prefix")).select("id", "n", "light", "comp", F.posexplode("prefix").alias("pos", "key"))
+    rare = (F.col("pos") < F.col("light")).cast("long")
+    spot = F.shiftleft(F.col("n"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(rare)
+    posted = posted.select("key", "id", spot.alias("spot"), F.when(F.col("comp") != F.col("id"), F.col("comp")).alias("comp"))
+    dealt = posted.repartition(F.when(F.col("spot").bitwiseAND(F.lit(1)) == 1, F.col("key")).otherwise(F.xxhash64("id", "key"))).sortWithinPartitions("key")
+    made = cut(dealt.mapInArrow(tidy(_short_lists(similarity)), "key long, src long, dst long, n long, pos long, comp long"))
+    links = cut(links.unionByName(similar_pairs(texts, sketches, made.where("dst is not null").select("src", "dst"), width, similarity)))
+    blocks = cut(_blocks(made.where("dst is null").select("key", F.col("src").alias("id"), "n", "pos", "comp")))
+    if not blocks.isEmpty():
+        for nearest in (True, False):
+            rows = blocks.join(_joined(links, sketches.select("id", "bits")), "id").select("key", "a", "b", "chunk", "id", "n", "pos", "comp", "bits")
+            found = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(tidy(_long_lists(similarity, nearest)), "src long, dst long")
+            links = cut(links.unionByName(similar_pairs(texts, sketches, found, width, similarity)))
+    comps = connected_components(links)
+    roots = classes.join(comps, F.col("first") == F.col("node"), "left").where("node is not null or copies > 1").select("words", F.coalesce("component", "first").alias("component"))
     return one.join(roots, "words").select("id", "component")

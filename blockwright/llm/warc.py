@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, small_batches, text_runs, tidy
+from .common import shared_path, text_runs, tidy
 
 #: Field names of a header line, by the version in the filedesc record (fixed values).
 ARC_FIELDS = {
@@ -266,7 +266,6 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     A null html is an empty payload, a null URL the scheme ``unknown:``. Repeated rows give a record each.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     path = path or shared_path(spark, "warc")
     write_warc(with_revisits(read_arc(pages_to_arc(pages), pack=True)), path, packed=True)
     if spark.read.format("binaryFile").load(path).select("path").isEmpty():

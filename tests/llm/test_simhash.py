@@ -219,3 +219,53 @@ def test_chunks_of_a_list_that_does_not_shrink_meet(spark, monkeypatch):
     want = copies_by_brute_force(ts)
     assert 0 not in want and len(want) == 300
     assert {r["id"]: r["component"] for r in simhash.near_copies(documents(spark, ts)).collect()} == want
+
+
+@pytest.mark.parametrize("passage", [False, True])
+@pytest.mark.parametrize("shared", [False, True])
+def test_near_copies_inside_a_family_of_one_boilerplate(spark, shared, passage):
+    """Pairs at 0.8 or more are found whether or not all texts share most of their words with all others."""
+    rng = random.Random(17)
+    base, ts = words(rng, 200, 100000).split(), []
+    for k in range(500):
+        one = list(base) if shared else words(rng, 200, 100000).split()
+        for p in rng.sample(range(0, 192, 12), 6):
+            one[p + rng.randrange(8)] = f"x{k}-{p}"
+        two = list(one)
+        at = range(180)[rng.randrange(180)]
+        for q in range(12) if passage else (5, 55, 105, 155):
+            two[q + at if passage else q] = f"y{k}-{q}"
+        ts += [" ".join(one), " ".join(two)]
+    pairs = [k for k in range(0, len(ts), 2) if jaccard(ts[k], ts[k + 1]) >= 0.8]
+    got = {r["id"]: r["component"] for r in simhash.near_copies(documents(spark, ts)).collect()}
+    assert len(pairs) > 450 and all(got.get(k) == k == got.get(k + 1) for k in pairs)
+
+
+def test_near_copies_of_long_texts_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 50)
+    rng = random.Random(18)
+    long = words(rng, 3000, 100000)
+    rows = [(1, long), (2, long.replace(" ", "  ", 40).upper()), (3, long + " more words at the end"), (3, long + " more words at the end"), (4, "x" * 4000), (None, long), (5, "one two"), (5, "Two one"), (6, "two ONE")]
+    got = {(r["id"], r["component"]) for r in simhash.near_copies(documents(spark, rows)).collect()}
+    assert {(1, 1), (2, 1), (3, 1)} <= got and {i for i, _ in got} <= {1, 2, 3, 5, 6}
+
+
+def test_pieces_of_a_text_give_the_same_shingles(monkeypatch):
+    rng = random.Random(19)
+    for width in (1, 3, 5):
+        for n in (0, 1, 2, 3, 4, 5, 6, 40):
+            text = words(rng, n, 50)
+            monkeypatch.setattr(simhash, "PIECE", 1 << 20)
+            whole = [int(h) for part in simhash.shingle_hashes(text, width) for h in part]
+            monkeypatch.setattr(simhash, "PIECE", 7)
+            assert [int(h) for part in simhash.shingle_hashes(text, width) for h in part] == whole
+
+
+def test_folded_sketches_bound_the_difference():
+    rng = np.random.default_rng(20)
+    for n, m in ((10, 12), (700, 650), (3000, 900)):
+        both = rng.integers(0, 1 << 63, min(n, m) // 2, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate((both, rng.integers(0, 1 << 63, k - len(both), dtype=np.uint64)))) for k in (n, m))
+        x, y = simhash.sketch(a), simhash.sketch(b)
+        size = min(len(x), len(y))
+        assert np.bitwise_count(simhash.folded(x, size) ^ simhash.folded(y, size)).sum() <= len(np.setxor1d(a, b))
