@@ -27,6 +27,8 @@ SPACE = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 6 << 20
+#: Bytes of input for each bucket of the distinct-word table, and fewest buckets.
+BUCKET_BYTES, LEAST_BUCKETS = 8 << 20, 32
 
 
 @lru_cache(maxsize=2)
@@ -265,22 +267,16 @@ def _repeatable(df: DataFrame) -> bool:
     return plan.nodeName() == "LogicalRelation" or plan.nodeName().startswith("Relation")
 
 
-def _same_splits(spark) -> None:
-    """Fix the least number of splits of a scan for the session; unset, it follows the executors that happen to be there, and two scans of one query could be cut differently."""
-    name = "spark.sql.files.minPartitionNum"
-    if not (spark.conf.get(name, None) or "").isdigit():
-        spark.conf.set(name, str(max(1, spark.sparkContext.defaultParallelism)))
-
-
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
     """Encode every whole text and decode it again.
 
     With ``digests`` the rows are (id, n_tokens, ids_sha256, decoded_sha256), else (id, token_ids, decoded).
     A null text is empty: no tokens, digests of nothing. Repeated rows and equal ids give a row each; a null id is
-    kept. Special tokens of the tokenizer that stand in a text get their ids, as in the library.
+    kept; an empty table gives no rows. A very long text is a block of its own. Special tokens of the tokenizer that
+    stand in a text get their ids, as in the library. Files are read twice: a session whose executors come and go
+    should fix ``spark.sql.files.minPartitionNum``, so that both scans cut them alike; if not, the job ends with an error.
     """
     spark = docs.sparkSession
-    _same_splits(spark)
     specials = special_tokens(tokenizer_path)
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     if not _repeatable(chosen):
@@ -288,8 +284,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         chosen.write.parquet(path)
         chosen = spark.read.parquet(path)
     split = chosen.select("id", split_words(F.col("text"), specials).alias("words"), F.octet_length("text").cast("long").alias("size"))
-    # The number of buckets follows the session's shuffle width, which is set to suit the input.
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # What a bucket holds stays alike: there are more of them in a larger input, by the size that its files report.
+    size = int(chosen._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     form = "block long, bucket long, body binary"
     lists = split.mapInArrow(tidy(_block_rows(buckets, heads=False)), form)
     answered = split.mapInArrow(tidy(_block_rows(buckets, heads=True)), form).unionByName(lists.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer_path), form))

@@ -54,17 +54,20 @@ def shared_path(spark: SparkSession, what: str) -> str:
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep batches of texts small for the rest of the session; smaller settings of its own stay.
+def own_session(spark: SparkSession) -> None:
+    """Keep batches of texts small for the rest of a session that is the caller's own; smaller settings stay.
 
     A batch exists several times at once (in Spark, on its way, in the worker), and by rows alone ten thousand long
-    texts would be one batch.
+    texts would be one batch. Scans of one table are cut alike throughout the session, however many executors there are.
     """
     for key, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
         name = f"spark.sql.execution.arrow.{key}"
         now = int("".join(c for c in spark.conf.get(name) if c.isdigit() or c == "-") or -1)
         if not 0 < now <= most:
             spark.conf.set(name, str(most))
+    splits = "spark.sql.files.minPartitionNum"
+    if not (spark.conf.get(splits, None) or "").isdigit():
+        spark.conf.set(splits, str(max(1, spark.sparkContext.defaultParallelism)))
 
 
 def text_or_empty(name: str = "text"):

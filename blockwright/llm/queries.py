@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, html, jpeg, langid, quality, secret_scan, simhash, urls, warc
-from .common import small_batches
+from .common import own_session
 from .common import table as read_table
 
 #: Where the public tokenizers' files are; a parameter of the operator.
@@ -14,8 +14,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table; the session of a query keeps its batches of texts small."""
-    small_batches(spark)
+    """An input table; the session of a query keeps its batches of texts small and its scans alike."""
+    own_session(spark)
     return read_table(spark, sf_dir, name)
 
 
