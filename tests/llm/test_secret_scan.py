@@ -44,3 +44,58 @@ def test_automaton_merges_and_scores():
 
 def test_empty_table(spark):
     assert secret_scan.scan(documents(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_planted_credentials_are_found_in_the_table(spark):
+    """Bare values of the formats that the table's labelled credentials have, in every fifth text: recall and precision."""
+    rng = random.Random(23)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    planted, texts = {}, []
+    for i, text in rows:
+        if text and i % 5 == 0:
+            value = "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((18, 20, 23))))
+            at = text.find(" ", rng.randrange(len(text))) % (len(text) + 1)
+            text = f"{text[:at]} {value} {text[at:]}"
+            planted[i] = f"{at + 1}:{at + 1 + len(value)}"
+        texts.append((i, text))
+    got = {r["id"]: [s.split(":", 1)[1] for s in r["spans"].split(",") if s.startswith("format_")] for r in secret_scan.scan(documents(spark, texts)).collect()}
+    found = sum(planted[i] in got[i] for i in planted)
+    others = sum(len(v) for v in got.values()) - found
+    print(len(planted), found, others)
+    assert found >= 0.9 * len(planted) and others <= 0.05 * found
+
+
+def plain_score(automaton, value):
+    """The likelihood of a value, step by step."""
+    return automaton.score(value) * (len(value) + 1)
+
+
+def test_tokens_in_step_score_as_one_by_one(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(secret_scan, "LONG", 40)
+    rng = random.Random(24)
+    automaton = secret_scan.Automaton(["".join(rng.choice("0123456789abcdefXYZ") for _ in range(rng.randint(4, 60))) for _ in range(200)])
+    texts = [" ".join("".join(rng.choice("0189abcdefXYZgq+=.") for _ in range(rng.randint(1, 70))) for _ in range(20)) for _ in range(20)] + ["", "é..é", "..a..", "=" * 100]
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(secret_scan, "PIECE", piece)
+        raw = pa.array(texts).cast(pa.large_binary())
+        offsets, data = np.frombuffer(raw.buffers()[1], np.int64), np.frombuffer(raw.buffers()[2], np.uint8)
+        found = []
+        for bounds in secret_scan._gathered(secret_scan._pieces(data, offsets)):
+            classes, a, b, owner = secret_scan.tokens(data, bounds)
+            scores = secret_scan.likelihoods(automaton.tables(), classes, a, b)
+            for x, y, k, s in zip(a.tolist(), b.tolist(), owner.tolist(), scores.tolist()):
+                value = data[bounds[0][0] + x : bounds[0][0] + y].tobytes().decode()
+                found.append((k, value))
+                want = plain_score(automaton, value)
+                assert s == want or abs(s - want) < 1e-6, value
+        want = [(k, m[0].strip("+/_.=-")) for k, t in enumerate(texts) for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", t)]
+        assert found == [x for x in want if x[1]]
+
+
+def test_many_secrets_take_linear_time(spark):
+    text = " ".join(f"token=abc{k}def password: xyz{k}abc" for k in range(30000))
+    row = secret_scan.scan(documents(spark, [text, None])).orderBy("id").collect()[0]
+    assert row["n_assign"] == 60000 and "abc7def" not in row["redacted"]
