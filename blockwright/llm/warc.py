@@ -4,7 +4,8 @@ An ARC file opens with a ``filedesc`` record that names its version and so the f
 last field of a line is the record's declared length, which alone says where the next record starts. The converter
 turns each record into a WARC record with an identifier derived from its content, an ISO date, a type by its scheme
 and digests. Archives are written by Spark's text sink, whose line separator is the end of a WARC record, into the
-shared folder, and read back as whole files of a bounded number of records.
+shared folder, and read back as whole files of bounded size. Of payloads that are equal within an archive one alone
+moves on; which record is a response is settled among the digests, in parts for those that many records share.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, text_runs, tidy
+from .common import cut, shared_path, text_runs, tidy
 
 #: Field names of a header line, by the version in the filedesc record (fixed values).
 ARC_FIELDS = {
@@ -28,7 +29,10 @@ ARC_FIELDS = {
 }
 #: Payloads below this size are always stored.
 LEAST_BYTES = 100
-SHARD_BYTES, FILE_RECORDS = 4 << 20, 500
+#: Bytes of an ARC archive and of a stretch of WARC records (one larger record is a stretch of its own), and stretches of a file.
+SHARD_BYTES, FILE_STRETCHES = 4 << 20, 8
+#: Digests of more than one of so many records are hot: their records are dealt into so many parts.
+PARTS = 64
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 EPOCH = "20000101000000"
 
@@ -136,7 +140,7 @@ def digest(payload: bytes) -> str:
     return hashlib.sha256(payload).hexdigest()
 
 
-FORM = "page_id long, url string, date string, type string, head binary, payload binary, digest string, size long"
+FORM = "page_id long, url string, date string, type string, head binary, payload binary, digest string, size long, error string"
 
 
 def _converted(data: bytes):
@@ -150,7 +154,7 @@ def _converted(data: bytes):
         yield (int(page) if page else None, fields["URL"], iso_date(fields["Archive-date"]), "resource" if scheme == "dns" else "response", head, payload, digest(payload), len(payload))
 
 
-_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("type", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("digest", pa.string()), ("size", pa.int64())])
+_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("type", pa.string()), ("head", pa.binary()), ("payload", pa.binary()), ("digest", pa.string()), ("size", pa.int64()), ("error", pa.string())])
 
 
 def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -176,10 +180,21 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     return chosen.mapInArrow(tidy(run), "archive binary")
 
 
+def _needed(rows: list[dict]) -> None:
+    """Drop the payloads that need not be stored, because one of the same archive with a smaller page_id is equal."""
+    least: dict[str, int] = {}
+    for r in rows:
+        if r["page_id"] is not None and (r["digest"] not in least or r["page_id"] < least[r["digest"]]):
+            least[r["digest"]] = r["page_id"]
+    for r in rows:
+        if r["size"] >= LEAST_BYTES and r["digest"] in least and r["page_id"] != least[r["digest"]]:
+            r["payload"] = None
+
+
 def read_arc(archives: DataFrame, column: str = "archive", pack: bool = False) -> DataFrame:
-    """The content records of ARC archives, with ``pack`` their payloads compressed for the way between executors.
+    """The content records of ARC archives, with ``pack`` compressed and without payloads that are sure to be revisits.
 
-    An archive that breaks the format gives the records before the break.
+    An archive that breaks the format gives the records before the break, and then a row that holds the error alone.
     """
 
     def run(batches):
@@ -191,9 +206,14 @@ def read_arc(archives: DataFrame, column: str = "archive", pack: bool = False) -
                 rows = []
                 try:
                     for row in _converted(data or b""):
-                        rows.append(dict(zip(_ARROW.names, row)) | {"payload": press(row[5])})
-                except ArchiveError:
-                    pass
+                        rows.append(dict(zip(_ARROW.names, row)))
+                    if pack:
+                        _needed(rows)
+                except ArchiveError as broken:
+                    rows.append({"error": str(broken)})
+                for r in rows:
+                    if r.get("payload") is not None:
+                        r["payload"] = press(r["payload"])
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
@@ -203,25 +223,33 @@ def read_arc(archives: DataFrame, column: str = "archive", pack: bool = False) -
 def with_revisits(records: DataFrame) -> DataFrame:
     """Records with refers_to: the smallest page_id with an equal payload of LEAST_BYTES or more, null for that page itself.
 
-    Rows that share the smallest page_id are all stored. A null page_id never is referred to.
+    Rows that share the smallest page_id are all stored. A null page_id never is referred to; if a payload has no
+    other, all its records are stored.
     """
-    first = records.where(F.col("size") >= LEAST_BYTES).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    joined = records.join(first, records.digest == first.d, "left")
+    counts = records.where(F.col("size") >= LEAST_BYTES).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    first = cut(counts)
+    total = first.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(first.where(F.col("n") * PARTS > total).select(F.col("d").alias("hot")))  # fewer than PARTS digests can be
+    part = F.when(F.col("hot").isNotNull(), F.pmod(F.xxhash64("page_id"), F.lit(PARTS))).otherwise(0)
+    parts = F.when(F.col("hot").isNotNull(), F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
+    left = records.join(hot, F.col("digest") == F.col("hot"), "left").withColumn("part", part).drop("hot")
+    right = first.join(hot, F.col("d") == F.col("hot"), "left").select("d", "first", F.explode(parts).alias("p"))
+    joined = left.join(right, (F.col("digest") == F.col("d")) & (F.col("part") == F.col("p")), "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return joined.withColumn("refers_to", F.when(other, F.col("first"))).drop("d", "first")
+    return joined.withColumn("refers_to", F.when(other, F.col("first"))).drop("d", "first", "part", "p")
 
 
 def write_warc(records: DataFrame, path: str, packed: bool = False) -> None:
-    """Gzipped WARC archives of FILE_RECORDS records at most, under path; records with refers_to become revisits."""
+    """Gzipped WARC archives of FILE_STRETCHES stretches of records at most, under path; records with refers_to become revisits."""
 
     def run(batches):
         import zstandard
 
         unpress = zstandard.ZstdDecompressor().decompress if packed else bytes
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
-            out = []
-            for page, url, date, kind, head, payload, sha, size, to in zip(*cols):
+            out, held = [], 0
+            for row in zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))):
+                page, url, date, kind, head, payload, sha, size, to = row
                 name = uuid.uuid5(NAMESPACE, f"{page}|{url}|{date}|{sha}")
                 fields = {"WARC-Type": "revisit" if to is not None else kind, "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": date, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha256:{sha}"}
                 block = head if to is not None else head + unpress(payload)
@@ -229,10 +257,16 @@ def write_warc(records: DataFrame, path: str, packed: bool = False) -> None:
                     fields |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "X-Refers-To-Page-Id": str(to)}
                 fields |= {"Content-Type": "application/http;msgtype=response" if head else "application/octet-stream", "X-Page-Id": "" if page is None else str(page), "X-Payload-Length": str(size), "WARC-Block-Digest": f"sha256:{digest(block)}"}
                 out.append(warc_record(fields, block))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                held += len(out[-1])
+                if held >= SHARD_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\r\n".join(out)], pa.binary())], names=["records"])
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([b"\r\n".join(out)], pa.binary())], names=["records"])
 
-    chosen = records.select(*_ARROW.names, "refers_to").mapInArrow(tidy(run), "record binary")
-    chosen.select(F.col("record").cast("string").alias("value")).write.options(lineSep="\r\n", maxRecordsPerFile=FILE_RECORDS, compression="gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    names = [n for n in _ARROW.names if n != "error"]
+    chosen = records.where("error is null").select(*names, "refers_to").mapInArrow(tidy(run), "records binary")
+    chosen.select(F.col("records").cast("string").alias("value")).write.options(lineSep="\r\n", maxRecordsPerFile=FILE_STRETCHES, compression="gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
@@ -263,11 +297,15 @@ def read_warc(spark, path: str) -> DataFrame:
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Pages as ARC, converted to WARC with revisits, written below path, and read back.
 
-    A null html is an empty payload, a null URL the scheme ``unknown:``. Repeated rows give a record each.
+    A null html is an empty payload, a null URL the scheme ``unknown:``. Repeated rows give a record each, and ties of
+    the smallest page_id are all responses. Null ids stay. A very long page is a stretch of its own. An empty table
+    gives no rows. An archive that cannot be read back ends the job with its error.
     """
     spark = pages.sparkSession
     path = path or shared_path(spark, "warc")
-    write_warc(with_revisits(read_arc(pages_to_arc(pages), pack=True)), path, packed=True)
+    records = read_arc(pages_to_arc(pages), pack=True)
+    sound = records.withColumn("digest", F.when(F.col("error").isNull(), F.col("digest")).otherwise(F.raise_error(F.col("error"))))
+    write_warc(with_revisits(sound), path, packed=True)
     if spark.read.format("binaryFile").load(path).select("path").isEmpty():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string")
     return read_warc(spark, path)
