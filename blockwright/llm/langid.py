@@ -11,15 +11,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_runs, tidy
+from .common import cut, text_runs, tidy
 
 #: Bytes of a window, units of each direction, windows that step together.
 WINDOW, UNITS, SIDE = 64, 8, 4096
-#: Labelled documents of each language, at most, and windows taken from each; languages learnt, at most.
-SAMPLE, WINDOWS, LANGUAGES = 200, 4, 64
+#: Labelled documents of each language, at most, and windows taken from each.
+SAMPLE, WINDOWS = 200, 4
+#: Decimals of a score: products of batches of other sizes may differ in later ones.
+DECIMALS = 4
 EPOCHS, BATCH, RATE, SEED = 12, 128, 0.02, 7
 #: One code after the bytes stands for what lies past a text's end.
 CODES = 257
@@ -158,15 +160,16 @@ def held_out(id_col: str = "doc_id"):
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network trained on windows of the labelled documents with the smallest id hashes of each language; None without any."""
-    spark = docs.sparkSession
-    keys = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    languages = [r[0] for r in keys.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    keys = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    counts = cut(keys.groupBy("lang").agg(F.count("*").alias("n")))  # a row for each language
+    languages = sorted(r["lang"] for r in counts.collect())
     if not languages:
         return None
-    chosen = []
-    for lang in languages:
-        chosen += [(r[0],) for r in keys.where(F.col("lang") == lang).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()]
-    few = F.broadcast(spark.createDataFrame(chosen, f"id {dict(keys.dtypes)['id']}").distinct())  # at most LANGUAGES * SAMPLE ids
+    # The smallest hashes of each language: few rows are near enough to nought to be ranked at all.
+    share = (F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("share")
+    near = keys.join(F.broadcast(counts), "lang").select("id", "lang", "n", share).where(F.col("share") * F.col("n") < 8 * SAMPLE).select("id", "lang", "share").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("share", "id"))
+    few = F.broadcast(cut(near.withColumn("rank", rank).where(F.col("rank") <= SAMPLE).select("id").distinct()))  # SAMPLE ids of each language at most
 
     def run(batches):
         for batch in batches:
@@ -180,13 +183,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null and text <> ''")
     rows = texts.join(few, "id", "left_semi").mapInArrow(tidy(run), "lang string, bytes binary").collect()
-    rows = sorted((r["lang"], bytes(r["bytes"])) for r in rows if r["lang"] in languages)
+    rows = sorted((r["lang"], bytes(r["bytes"])) for r in rows)
     if not rows:
         return None
     codes = np.full((WINDOW, len(rows)), CODES - 1, np.int64)
     for i, (_, window) in enumerate(rows):
         codes[: len(window), i] = np.frombuffer(window, np.uint8)
-    network = Network(sorted(languages))
+    network = Network(sorted({lang for lang, _ in rows}))
     network.train(codes, np.array([network.languages.index(lang) for lang, _ in rows]), (codes < CODES - 1).astype(np.float32))
     return network
 
@@ -195,8 +198,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(id, held_out, lang_pred, score, and ``keep``) for every document.
 
     The prediction uses the text alone. A null text, an empty one or one without a letter is ``und`` with score 0, as
-    is every text when no document is labelled. Ties go to the language that comes first in the alphabet. Repeated
-    rows stay.
+    is every text when no document is labelled. Ties go to the language that comes first in the alphabet. Null ids and
+    repeated rows stay; an empty table gives no rows. A very long text is read in windows like any other.
     """
     network = network or learn(docs, id_col, text_col, lang_col)
     chosen = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
@@ -209,10 +212,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 letters = pc.match_substring_regex(texts, r"\pL").to_numpy(zero_copy_only=False)
                 langs, scores = np.full(len(texts), UND, object), np.zeros(len(texts))
                 if network is not None:
-                    p = network.documents(texts)
+                    p = np.round(network.documents(texts), DECIMALS)
                     best = p.argmax(axis=1)
                     langs = np.where(letters, np.array(network.languages, object)[best], UND)
-                    scores = np.where(letters, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
+                    scores = np.where(letters, np.round(np.clip(p[np.arange(len(p)), best], 0, 1), DECIMALS), 0.0)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(langs.tolist(), pa.string()), pa.array(scores), *(part.column(3 + j) for j in range(len(keep)))],
                     names=["id", "held_out", "lang_pred", "score", *(f"keep_{c}" for c in keep)],
