@@ -1,13 +1,13 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Every text is cut into overlapping passages, at least as long as the longest item and half of each shared with the
-next, so that a passage of any item stands whole in one of them. Passages are TF-IDF vectors over the benchmark's
-terms (other words have no weight against any item). One pass sums document frequencies and the sketch C W of
-C = A'A for a random W, which partial sums of partitions give; the driver turns the sketch into singular vectors of
-A (randomised Nystroem decomposition; its size depends on the benchmark block alone). A second pass projects every
-passage and searches all items by cosine; candidates are then checked word by word: longest common subsequence, the
-same over distinctive words, and whether the item's answer part is there. The benchmark is a query set and is worked
-through in blocks of ``BLOCK`` items.
+Every text is cut into overlapping passages, at least as long as the longest item of a block and half of each shared
+with the next, so that a passage of any item stands whole in one of them. Passages are TF-IDF vectors over the items'
+terms (other words have no weight against any item). One pass sums document frequencies and the sketch C W of C = A'A
+for a random W, which partial sums of partitions give; the driver turns the sketch into singular vectors of A
+(randomised Nystroem decomposition), where A holds the passages and, with as much weight in all, the items. A second
+pass projects every passage and searches all items by cosine alone; candidates are then checked word by word: longest
+common subsequence, the same over distinctive words, and the item's answer part. The benchmark is a query set: items
+of like length make blocks of ``BLOCK``, each with a latent space of its own, and ``SCAN`` blocks share both passes.
 """
 
 from __future__ import annotations
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import text_runs, tidy
 
-#: Items of a block, rank of the latent space, seed of the random sketch.
-BLOCK, RANK, SEED = 256, 64, 5
-#: An item's terms are its words that fewest items of the block have, so many of them; a passage needs this many hits.
-TERMS, HITS = 12, 2
-#: Least cosine of a candidate, and least share of an item's length that the singular vectors must keep.
-COSINE, KEPT = 0.2, 0.7
-#: Least shares of an item's words, of its distinctive words, and of its answer, in order, within a passage.
-WORDS, FEWER_WORDS, DISTINCTIVE, ANSWER = 0.7, 0.5, 0.6, 0.8
+#: Items of a block, dimensions of its latent space beyond one for each item, seed of the random sketch, blocks of a scan.
+BLOCK, EXTRA, SEED, SCAN = 32, 32, 5, 512
+#: Words that more than this share of a block's items have are no terms and not distinctive, unless an item has no others.
+USUAL = 0.1
+#: Least cosine of a candidate.
+COSINE = 0.25
+#: Least shares of an item's words and of its distinctive words, in order, within a passage; and so many at least, or all.
+WORDS, DISTINCTIVE, LEAST_WORDS, LEAST_DISTINCTIVE = 0.45, 0.4, 8, 5
+#: Below this share of its words a part of the item's answer must be there too; from the second on the answer counts as found.
+SURE, TRACE, ANSWER = 0.7, 0.34, 0.8
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|+-_=/\\~`^@"
 RUN_BYTES = 4 << 20
 
@@ -67,51 +69,50 @@ class Item:
         rare = [w for w in words if w in terms]
         answer = words[-max(3, self.n // 4) :]
         self.words, self.rare, self.answer = (masks(words), self.n), (masks(rare), len(rare)), (masks(answer), len(answer))
+        self.least = max(int(np.ceil(WORDS * self.n)), min(self.n, LEAST_WORDS))
+        self.least_rare = max(int(np.ceil(DISTINCTIVE * len(rare))), min(len(rare), LEAST_DISTINCTIVE))
 
     def check(self, words: list[str]) -> tuple[float, bool] | None:
         """(share of the item's words, answer found) of the best stretch of a passage, or None if nothing holds."""
+        here = set(words)
+        if sum(m.bit_count() for w, m in self.rare[0].items() if w in here) < self.least_rare:
+            return None
         span = self.n + self.n // 2 + 2
         best = None
         for a in range(0, max(1, len(words) - span // 2), max(1, self.n // 4)):
             part = words[a : a + span]
-            rare = common_subsequence(*self.rare, part) / self.rare[1] if self.rare[1] else 1.0
-            if rare < DISTINCTIVE:
+            if common_subsequence(*self.rare, part) < self.least_rare:
                 continue
-            share = common_subsequence(*self.words, part) / self.n
-            if share < FEWER_WORDS:
+            held = common_subsequence(*self.words, part)
+            if held < self.least:
                 continue
-            answer = common_subsequence(*self.answer, part) >= ANSWER * self.answer[1]
-            if (share >= WORDS or answer) and (best is None or (share, answer) > best):
-                best = (share, answer)
+            answer = common_subsequence(*self.answer, part) / self.answer[1]
+            found = (held / self.n, answer >= ANSWER)
+            if (found[0] >= SURE or answer >= TRACE) and (best is None or found > best):
+                best = found
         return best
 
 
 class Block:
     """A block of items: its terms, and the length of passages."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        counts, words = word_lists(pa.array([t for _, t in rows], pa.string()))
-        ends = np.cumsum(counts)
-        lists = [words.slice(e - c, c).to_pylist() for c, e in zip(counts.tolist(), ends.tolist())]
-        lists = [[w for w in x if w] for x in lists]
-        kept = [(i, x) for (i, _), x in zip(rows, lists) if x]
-        self.ids = [i for i, _ in kept]
+    def __init__(self, rows: list[tuple[int, list[str]]]):
+        self.ids = [i for i, _ in rows]
         seen: dict[str, int] = {}
-        for _, x in kept:
+        for _, x in rows:
             for w in set(x):
                 seen[w] = seen.get(w, 0) + 1
-        self.terms = sorted({w for _, x in kept for w in sorted(set(x), key=lambda w: (seen[w], -len(w), w))[:TERMS]})
-        chosen = set(self.terms)
-        self.items = [Item(x, chosen) for _, x in kept]
+        usual = {w for w, k in seen.items() if k > max(1, USUAL * len(rows))}
+        own = [[w for w in x if w not in usual] or x for _, x in rows]
+        self.terms = sorted({w for x in own for w in x})
+        self.items = [Item(x, set(o)) for (_, x), o in zip(rows, own)]
         at = {w: k for k, w in enumerate(self.terms)}
-        self.of = [sorted({at[w] for w in x if w in at}) for _, x in kept]
-        self.step = max([16, *(len(x) for _, x in kept)])
-        self.sketch = np.random.default_rng(SEED).standard_normal((len(self.terms), min(RANK, max(1, len(self.terms))))).astype(np.float32)
+        self.of = [sorted({at[w] for w in x}) for x in own]
+        self.step = max(16, *(len(x) for _, x in rows))
+        self.sketch = np.random.default_rng(SEED).standard_normal((len(self.terms), min(len(rows) + EXTRA, len(self.terms)))).astype(np.float32)
 
-    def hits(self, counts: np.ndarray, words: pa.Array, values: pa.Array):
-        """(passage, term) of the distinct terms of each passage, sorted, for the passages with enough of them; the passages' texts and places."""
-        codes = pc.fill_null(pc.index_in(words, value_set=values), -1).to_numpy(zero_copy_only=False)
-        where = np.flatnonzero(codes >= 0)
+    def hits(self, counts: np.ndarray, where: np.ndarray, codes: np.ndarray):
+        """(passage, term) of the distinct terms of each passage, sorted; the passages' texts and places. Words ``where`` are the terms ``codes``."""
         ends = np.cumsum(counts)
         begins = ends - counts
         owner = np.searchsorted(ends, where, side="right")
@@ -120,116 +121,134 @@ class Block:
         base = np.cumsum(many) - many
         k = (where - begins[owner]) // self.step
         passage = np.concatenate((base[owner] + k, (base[owner] + k - 1)[k > 0]))
-        term = np.concatenate((codes[where], codes[where][k > 0])).astype(np.int64)
+        term = np.concatenate((codes, codes[k > 0])).astype(np.int64)
         keys = np.unique(passage << 32 | term)
         passage, term = keys >> 32, keys & 0xFFFFFFFF
-        starts = np.flatnonzero(np.diff(passage, prepend=-1))
-        sizes = np.diff(np.append(starts, len(passage)))
-        enough = np.repeat(sizes >= HITS, sizes)
-        passage, term = passage[enough], term[enough]
         names, starts = np.unique(passage, return_index=True)
         texts = np.searchsorted(base, names, side="right") - 1
         return names, starts, np.repeat(np.arange(len(names)), np.diff(np.append(starts, len(passage)))), term, texts, begins[texts] + (names - base[texts]) * self.step, ends[texts]
 
 
+class Scan:
+    """The blocks of a scan and which of their terms each word is."""
+
+    def __init__(self, blocks: list[Block]):
+        self.blocks = blocks
+        self.words = sorted({w for b in blocks for w in b.terms})
+        at = {w: k for k, w in enumerate(self.words)}
+        slots = sorted((at[w], b, t) for b, block in enumerate(blocks) for t, w in enumerate(block.terms))
+        word, self.block, self.term = (np.array(c, np.int64) for c in zip(*slots))
+        self.many = np.bincount(word, minlength=len(self.words))
+        self.first = np.cumsum(self.many) - self.many
+
+    def found(self, words: pa.Array, values: pa.Array):
+        """(block, places of its terms' words, which terms) for each block that some word belongs to."""
+        codes = pc.fill_null(pc.index_in(words, value_set=values), -1).to_numpy(zero_copy_only=False)
+        where = np.flatnonzero(codes >= 0)
+        codes = codes[where]
+        many = self.many[codes]
+        slot = np.repeat(self.first[codes] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        where, block = np.repeat(where, many), self.block[slot]
+        order = np.argsort(block, kind="stable")
+        where, slot = where[order], slot[order]
+        names, cuts = np.unique(block[order], return_index=True)
+        for b, x, y in zip(names.tolist(), cuts, [*cuts[1:], len(slot)]):
+            yield b, where[x:y], self.term[slot[x:y]]
+
+
 class Space:
     """Weights of the terms, singular vectors of the passages, and the items in that space."""
 
     def __init__(self, block: Block, frequency: np.ndarray, sketch: np.ndarray, passages: int):
         self.weight = np.log((passages + 1) / (frequency + 1)) + 1
-        z = sketch * self.weight[:, None]
         omega = block.sketch / self.weight[:, None]
+        whole = np.zeros((len(block.of), len(self.weight)))
+        for k, t in enumerate(block.of):
+            whole[k, t] = self.weight[t]
+        # The items are passages too, and weigh as much as all of the corpus.
+        size = (whole**2).sum()
+        more = max((frequency * self.weight**2).sum(), size) / size
+        z = sketch * self.weight[:, None] + more * (whole.T @ (whole @ omega))
         # C is about Z (W'Z)^-1 Z'; a small shift keeps the factor stable.
-        shift = 1e-6 * max(1e-9, float(np.linalg.norm(z)))
-        z = z + shift * omega
+        z = z + 1e-6 * max(1e-9, float(np.linalg.norm(z))) * omega
         core = omega.T @ z
         values, turn = np.linalg.eigh((core + core.T) / 2)
         keep = values > 1e-9 * max(values.max(initial=0), 1e-30)
         left, self.singular, _ = np.linalg.svd(z @ turn[:, keep] / np.sqrt(values[keep]), full_matrices=False)
-        # An item that the leading vectors lose could not be found by cosine: what they lose of it joins the basis.
-        whole = np.zeros((len(block.of), len(self.weight)))
-        for k, t in enumerate(block.of):
-            whole[k, t] = self.weight[t]
-        size = np.maximum(np.linalg.norm(whole, axis=1, keepdims=True), 1e-9)
-        lost = whole / size
-        lost = (lost - (lost @ left) @ left.T)[np.linalg.norm(whole @ left, axis=1) < KEPT * size[:, 0]]
-        if len(lost):
-            more, values, _ = np.linalg.svd(lost.T, full_matrices=False)
-            left = np.concatenate((left, more[:, values > 1e-6]), axis=1)
         self.basis = (left * self.weight[:, None]).astype(np.float32)
         rows = whole @ left
         self.items = (rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-9)[:, None]).astype(np.float32)
-        # Which items have a term: the check after the cosine needs so many of an item's distinct terms at least.
-        self.has = (whole > 0).T.astype(np.uint8)
-        self.least = np.array([np.ceil(DISTINCTIVE * x.rare[1]) - (x.rare[1] - len(x.rare[0])) for x in block.items])
 
 
-def _frequencies(docs: DataFrame, block: Block):
-    """(document frequencies, C W, number of passages), summed by term over partitions."""
-    terms, width = block.terms, block.sketch.shape[1]
+def _frequencies(docs: DataFrame, scan: Scan):
+    """For each block (document frequencies, C W, number of passages), summed by term over partitions."""
 
     def run(batches):
-        values = pa.array(terms, pa.string())
-        count, total, passages = np.zeros(len(terms), np.int64), np.zeros((len(terms), width), np.float32), 0
+        values = pa.array(scan.words, pa.string())
+        count = [np.zeros(len(b.terms), np.int64) for b in scan.blocks]
+        total = [np.zeros(b.sketch.shape, np.float32) for b in scan.blocks]
+        passages = np.zeros(len(scan.blocks), np.int64)
         for batch in batches:
             for part in text_runs(batch, 0, RUN_BYTES):
                 counts, words = word_lists(pc.fill_null(part.column(0), ""))
-                passages += int(np.maximum(1, -(-counts // block.step)).sum())
-                _, starts, row, term, *_ = block.hits(counts, words, values)
-                if not len(term):
-                    continue
-                made = np.add.reduceat(block.sketch[term], starts, axis=0)
-                order = np.argsort(term, kind="stable")
-                kinds, cuts = np.unique(term[order], return_index=True)
-                total[kinds] += np.add.reduceat(made[row[order]], cuts, axis=0)
-                count += np.bincount(term, minlength=len(terms))
-        used = np.flatnonzero(count)
-        rows = pa.FixedSizeListArray.from_arrays(pa.array(total[used].ravel()), width).cast(pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(count[used]), rows], names=["term", "n", "z"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([passages], pa.int64()), pa.array([[0.0] * width], pa.list_(pa.float32()))], names=["term", "n", "z"])
+                for k, block in enumerate(scan.blocks):
+                    passages[k] += int(np.maximum(1, -(-counts // block.step)).sum())
+                for k, where, codes in scan.found(words, values):
+                    block = scan.blocks[k]
+                    _, starts, row, term, *_ = block.hits(counts, where, codes)
+                    made = np.add.reduceat(block.sketch[term], starts, axis=0)
+                    order = np.argsort(term, kind="stable")
+                    kinds, cuts = np.unique(term[order], return_index=True)
+                    total[k][kinds] += np.add.reduceat(made[row[order]], cuts, axis=0)
+                    count[k] += np.bincount(term, minlength=len(block.terms))
+        for k in range(len(scan.blocks)):
+            used = np.flatnonzero(count[k])
+            z = pa.array(list(total[k][used]), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(count[k][used]), z], names=["block", "term", "n", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([-1], pa.int32()), pa.array([passages[k]], pa.int64()), pa.array([[0.0]], pa.list_(pa.float32()))], names=["block", "term", "n", "z"])
 
     def added(group: pa.Table) -> pa.Table:
         z = group.column("z").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(group.num_rows, -1).astype(np.float64).sum(axis=0)
-        return pa.table({"term": group.column("term").slice(0, 1), "n": pa.array([pc.sum(group.column("n")).as_py()]), "z": pa.array([z.astype(np.float32)], pa.list_(pa.float32()))})
+        return pa.table({"block": group.column("block").slice(0, 1), "term": group.column("term").slice(0, 1), "n": pa.array([pc.sum(group.column("n")).as_py()]), "z": pa.array([z.astype(np.float32)], pa.list_(pa.float32()))})
 
-    form = "term int, n long, z array<float>"
-    rows = docs.mapInArrow(tidy(run), form).groupBy("term").applyInArrow(added, form).collect()  # one row per term of the block
-    count, total, passages = np.zeros(len(terms)), np.zeros((len(terms), width)), 0
-    for r in rows:
+    form = "block int, term int, n long, z array<float>"
+    out = [[np.zeros(len(b.terms)), np.zeros(b.sketch.shape), 0] for b in scan.blocks]
+    for r in docs.mapInArrow(tidy(run), form).groupBy("block", "term").applyInArrow(added, form).collect():  # one row per term of the scan's items
         if r["term"] < 0:
-            passages = r["n"]
+            out[r["block"]][2] = r["n"]
         else:
-            count[r["term"]], total[r["term"]] = r["n"], r["z"]
-    return count, total, passages
-
+            out[r["block"]][0][r["term"]], out[r["block"]][1][r["term"]] = r["n"], r["z"]
+    return out
 
-def _search(docs: DataFrame, block: Block, space: Space, id_type: str) -> DataFrame:
-    terms = block.terms
 
+def _search(docs: DataFrame, scan: Scan, spaces: list[Space], id_type: str) -> DataFrame:
     def run(batches):
-        values = pa.array(terms, pa.string())
+        values = pa.array(scan.words, pa.string())
         for batch in batches:
             for part in text_runs(batch, 1, RUN_BYTES):
                 counts, words = word_lists(pc.fill_null(part.column(1), ""))
-                names, starts, _, term, texts, begin, end = block.hits(counts, words, values)
-                best: dict[tuple[int, int], tuple[float, bool, float]] = {}
-                for at in range(0, len(names), 2048):
-                    lo, hi = starts[at], starts[at + 2048] if at + 2048 < len(names) else len(term)
-                    made = np.add.reduceat(space.basis[term[lo:hi]], starts[at : at + 2048] - lo, axis=0)
-                    made /= np.maximum(np.linalg.norm(made, axis=1), 1e-9)[:, None]
-                    cosine = made @ space.items.T
-                    shared = np.add.reduceat(space.has[term[lo:hi]], starts[at : at + 2048] - lo, axis=0, dtype=np.int16)
-                    for p, k in zip(*(x.tolist() for x in np.nonzero((cosine >= COSINE) & (shared >= space.least)))):
-                        a = int(begin[at + p])
-                        passage = words.slice(a, min(2 * block.step, int(end[at + p]) - a)).to_pylist()
-                        found = block.items[k].check(passage)
-                        if found:
-                            key = (int(texts[at + p]), k)
-                            best[key] = max(best.get(key, (0.0, False, 0.0)), (*found, float(cosine[p, k])))
+                best: dict[tuple[int, int, int], tuple[float, bool, float]] = {}
+                for b, where, codes in scan.found(words, values):
+                    block, space = scan.blocks[b], spaces[b]
+                    names, starts, _, term, texts, begin, end = block.hits(counts, where, codes)
+                    for at in range(0, len(names), 2048):
+                        lo, hi = starts[at], starts[at + 2048] if at + 2048 < len(names) else len(term)
+                        made = np.add.reduceat(space.basis[term[lo:hi]], starts[at : at + 2048] - lo, axis=0)
+                        made /= np.maximum(np.linalg.norm(made, axis=1), 1e-9)[:, None]
+                        cosine = made @ space.items.T
+                        near, which = np.nonzero(cosine >= COSINE)
+                        told, passage = -1, []
+                        for p, k in zip(near.tolist(), which.tolist()):
+                            if p != told:
+                                a = int(begin[at + p])
+                                told, passage = p, words.slice(a, min(2 * block.step, int(end[at + p]) - a)).to_pylist()
+                            if found := block.items[k].check(passage):
+                                key = (int(texts[at + p]), b, k)
+                                best[key] = max(best.get(key, (0.0, False, 0.0)), (*found, round(float(cosine[p, k]), 4)))
                 rows = sorted(best)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0).take(pa.array([r for r, _ in rows], pa.int64())), pa.array([block.ids[k] for _, k in rows], pa.int64()),
+                        part.column(0).take(pa.array([r for r, *_ in rows], pa.int64())), pa.array([scan.blocks[b].ids[k] for _, b, k in rows], pa.int64()),
                         *(pa.array([best[r][c] for r in rows], t) for c, t in enumerate((pa.float64(), pa.bool_(), pa.float64()))),
                     ],
                     names=["id", "item_id", "overlap", "answer", "cosine"],
@@ -241,19 +260,27 @@ def _search(docs: DataFrame, block: Block, space: Space, id_type: str) -> DataFr
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item_id, overlap, answer, cosine): a row for each document and each benchmark item that it holds.
 
-    Items and texts that are null or have no words match nothing; an empty benchmark gives no rows. Repeated rows of
-    documents or items are found each for itself.
+    An item is held where a stretch of half its length more than its own has enough of its words in order (see WORDS
+    and DISTINCTIVE; all words of an item of up to five, so an item of one word is held wherever the word stands). Of
+    several such stretches the best counts. Items and texts that are null or have no words match nothing; an empty
+    benchmark or table gives no rows. Null ids stay null. Repeated rows of documents or items are found each for
+    itself. Whole texts are searched; a text is held as words while it is.
     """
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = dict(chosen.dtypes)["id"]
-    rows = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).toLocalIterator()
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t"))
+    rows = items.orderBy(F.length("t"), "i", "t").toLocalIterator()  # like lengths meet in a block
     out = None
-    while part := [(r[0], r[1]) for r in islice(rows, BLOCK)]:
-        block = Block(part)
-        if not block.ids or not block.terms:
+    while part := [(r[0], r[1]) for r in islice(rows, BLOCK * SCAN)]:
+        counts, words = word_lists(pa.array([t for _, t in part], pa.string()))
+        ends = np.cumsum(counts)
+        lists = [[w for w in words.slice(e - c, c).to_pylist() if w] for c, e in zip(counts.tolist(), ends.tolist())]
+        kept = [(i, x) for (i, _), x in zip(part, lists) if x]
+        if not kept:
             continue
-        space = Space(block, *_frequencies(chosen.select("text"), block))
-        found = _search(chosen, block, space, id_type)
+        scan = Scan([Block(kept[k : k + BLOCK]) for k in range(0, len(kept), BLOCK)])
+        spaces = [Space(b, *got) for b, got in zip(scan.blocks, _frequencies(chosen.select("text"), scan))]
+        found = _search(chosen, scan, spaces, id_type)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], f"id {id_type}, item_id long, overlap double, answer boolean, cosine double")
