@@ -93,3 +93,45 @@ def test_broken_pictures():
 
 def test_stored_order_is_the_zigzag():
     assert jpeg.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(jpeg.ZIGZAG) == list(range(64))
+
+
+def test_pictures_of_several_runs(monkeypatch):
+    rng = np.random.default_rng(2)
+    payloads = [jpeg.pad(rng.integers(0, 256, n, dtype=np.uint8).tobytes()) for n in (64, 640, 5000, 64, 3000, 20000)] + [bytes(6400), b"\xff" * 6400]
+    whole = jpeg.encode_all(payloads)
+    assert [p for p, *_ in jpeg.decode_all(whole)] == payloads == [jpeg.decode(jpeg.encode(p))[0] for p in payloads]
+    monkeypatch.setattr(jpeg, "BLOCKS", 16)
+    assert jpeg.encode_all(payloads) == whole and [p for p, *_ in jpeg.decode_all(whole)] == payloads
+    p = jpeg.parse(whole[-3])
+    raw = np.frombuffer(p["scan"], np.uint8)
+    marks = raw[jpeg._marks(raw) + 1] - 0xD0
+    assert (marks == np.arange(len(marks)) % 8).all() and len(marks) == len(payloads[-3]) // 64 + 8 - 1 or len(marks) >= len(payloads[-3]) // 64 - 1
+
+
+def test_codes_have_several_lengths():
+    used = {n for _, n, _ in jpeg.parse(jpeg.encode(jpeg.pad(b"text")))["ac"][0].codes}
+    assert {1, 2, 3, 15} <= used
+
+
+def test_texts_equal_a_decoder_of_bits():
+    """The scan of a text, read bit by bit."""
+    payload = jpeg.pad(bytes(range(200)) + bytes(90) + b"plain text")
+    p = jpeg.parse(jpeg.encode(payload))
+    raw, starts, ends = jpeg._intervals(np.frombuffer(p["scan"], np.uint8))
+    tables = [{(format(c, f"0{n}b")): s for c, n, s in p[k][0].codes} for k in ("dc", "ac")]
+    rows = []
+    for a, b in zip(starts, ends):
+        bits, at, block = "".join(format(x, "08b") for x in raw[a:b]), 0, []
+        while len(block) < 64:
+            n = next(n for n in range(1, 17) if bits[at : at + n] in tables[bool(block)])
+            s, at = tables[bool(block)][bits[at : at + n]], at + n
+            if block and s == 0:
+                block += [0] * (64 - len(block))
+                break
+            size = s & 15
+            v = int(bits[at : at + size], 2) if size else 0
+            block += [0] * (s >> 4 if len(block) else 0) + [v if not size or v >> (size - 1) else v - (1 << size) + 1]
+            at += size
+        rows.append(block)
+        assert set(bits[at:]) <= {"1"} and len(bits) - at < 8
+    assert np.array(rows, np.int8).tobytes()[: len(payload)] == payload
