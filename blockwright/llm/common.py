@@ -45,6 +45,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers each that one partition of a small table holds.
+PACKED = 1 << 17
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many short rows in as few partitions as that asks for; a large one keeps those that it has."""
+    return df.coalesce(max(1, -(-rows // PACKED)))
+
+
 def shared_path(spark: SparkSession, what: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if not sums["n"] or (sums["n"], sums["h"]) == mark:
             break
         mark = (sums["n"], sums["h"])
-        now = cut(_small_star(_large_star(now)))
+        now = cut(packed(_small_star(packed(_large_star(packed(now, mark[0])), mark[0])), mark[0]))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

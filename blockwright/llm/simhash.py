@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_runs, tidy
+from .common import cut, packed, text_runs, tidy
 from .components import connected_components
 
 #: Longest run of rows handled at once, in bytes of text.
@@ -625,17 +625,29 @@ def _long_lists(similarity: float, nearest: bool):
 
 
 def _blocks(entries: DataFrame) -> DataFrame:
-    """(key, a, b, chunk, id, n, pos): lists above BLOCK texts are dealt into chunks, and every two chunks meet in a block; lists of one component alone are not needed."""
-    sizes = entries.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("chunks"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").drop("low", "high")
-    dealt = entries.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    """(key, a, b, chunk, id, n, pos): lists above BLOCK texts are dealt into chunks, and every two chunks meet in a block; lists of one component alone are not needed.
+
+    What is known of a list is one short row, broadcast where there are few enough lists, so a list with many entries
+    is no single task; beyond that adaptive execution may split it.
+    """
+    sizes = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    known = _small(sizes.select("key", F.ceil(F.col("size") / BLOCK).cast("long").alias("chunks")))
+    dealt = entries.join(known, "key").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
     others = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     return others.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "id", "n", "pos")
 
 
-def _small(rows: DataFrame) -> DataFrame:
-    """Rows of a few ids each, marked for a broadcast if they are counted to be few enough."""
+def _counted(rows: DataFrame) -> tuple[DataFrame, int]:
+    """A table of a few numbers a row, kept, and how many rows it has."""
     rows = cut(rows)
-    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+    n = rows.count()
+    return packed(rows, n), n
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers each, marked for a broadcast if they are counted to be few enough."""
+    rows, n = _counted(rows)
+    return F.broadcast(rows) if n <= BROADCAST else rows
 
 
 def _joined(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -644,68 +656,73 @@ def _joined(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.join(comps, F.col("id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "id")).drop("node", "component")
 
 
+def _places(pairs: DataFrame) -> DataFrame:
+    """(k, w, at, part, head): where the rows of pairs (src, dst, src_words, dst_words) meet.
+
+    A pair meets at its src. What that text brings goes there once for each PAIRS pairs, the other texts follow it.
+    """
+    parts = pairs.groupBy(F.col("src").alias("at")).agg(F.ceil(F.count("*") / PAIRS).cast("long").alias("parts"))
+    led = pairs.join(parts, F.col("src") == F.col("at")).withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")))
+    both = F.array(*[F.struct(F.col(c).alias("k"), F.col(f"{c}_words").alias("w"), F.lit(c == "src").alias("head")) for c in ("src", "dst")])
+    return _small(led.select("at", "part", F.explode(both).alias("p")).select("p.k", "p.w", "at", "part", "p.head").distinct())
+
+
+def _meet(rows: DataFrame, places: DataFrame, fits) -> DataFrame:
+    """The pairs (src, dst, src_words, dst_words) of rows (id, words, n, s) that meet and fit each other."""
+    same = (F.col("id") == F.col("k")) & F.coalesce(F.col("words") == F.col("w"), F.lit(True))
+    sent = rows.join(places, same).select("at", "part", "head", "id", "words", "n", "s")
+
+    def run(batches):
+        at = head = None
+        for batch in batches:
+            found = [[], [], [], []]
+            for group, part, first, k, w, n, s in zip(*(batch.column(c).to_pylist() for c in range(7))):
+                own = (n, np.frombuffer(s, np.uint64), w)
+                if first:
+                    at, head = (group, part), own
+                elif at == (group, part) and fits(head[0], head[1], own[0], own[1]):
+                    for column, value in zip(found, (group, k, head[2], w)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["src", "dst", "src_words", "dst_words"])
+
+    met = sent.repartition("at", "part").sortWithinPartitions("at", "part", F.desc("head"))
+    return met.mapInArrow(tidy(run), "src long, dst long, src_words binary, dst_words binary")
+
+
 def similar_pairs(texts: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (src, dst) of ids whose sets of shingles have this Jaccard similarity or more.
+    """The pairs (src, dst) of ids whose sets of shingles have this Jaccard similarity or more, kept.
 
     The sketches (id, words, n, bits) drop most of the others first; what is left is counted exactly over the sets of
     the texts with these ids and digests of words.
     """
-    pairs = cut(pairs.distinct())
-    ids = _small(pairs.select(F.explode(F.array("src", "dst")).alias("t")).distinct())
-    sketches = sketches.join(ids, F.col("id") == F.col("t"), "left_semi")
-    left = sketches.select(F.col("id").alias("src"), F.col("words").alias("src_words"), F.col("n").alias("m"), F.col("bits").alias("a"))
-    right = sketches.select(F.col("id").alias("dst"), F.col("words").alias("dst_words"), "n", F.col("bits").alias("b"))
-    met = pairs.join(left, "src").join(right, "dst").select("src", "dst", "src_words", "dst_words", "m", "n", "a", "b")
-    form = "src long, dst long, src_words binary, dst_words binary"
-
-    def may_be(batches):
-        for batch in batches:
-            apart = np.zeros(batch.num_rows, np.int64)
-            for i, pair in enumerate(zip(*(batch.column(k).to_pylist() for k in (6, 7)))):
-                a, b = (np.frombuffer(x, np.uint64) for x in pair)
-                size = min(len(a), len(b))
-                apart[i] = np.bitwise_count(folded(a, size) ^ folded(b, size)).sum()
-            m, n = batch.column(4).to_numpy(), batch.column(5).to_numpy()
-            ok = (apart <= _most_apart(m, n, similarity)) & (np.minimum(m, n) >= similarity * np.maximum(m, n) - 1e-6)
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(ok)) for k in range(4)], names=["src", "dst", "src_words", "dst_words"])
-
-    near = cut(met.mapInArrow(tidy(may_be), form))
-    # A pair meets at its src: that text's set goes there once for each PAIRS pairs, the other texts' sets follow it.
-    parts = near.groupBy(F.col("src").alias("at")).agg(F.ceil(F.count("*") / PAIRS).cast("long").alias("parts"))
-    led = near.join(parts, F.col("src") == F.col("at")).withColumn("part", F.pmod(F.xxhash64("dst"), F.col("parts")))
-    heads = led.select(F.col("src").alias("k"), F.col("src_words").alias("w"), "at", "part", F.lit(True).alias("head")).distinct()
-    places = _small(heads.unionByName(led.select(F.col("dst").alias("k"), F.col("dst_words").alias("w"), "at", "part", F.lit(False).alias("head"))))
     from hashlib import blake2b
 
+    def may_be(m, a, n, b):
+        size = min(len(a), len(b))
+        return min(m, n) >= similarity * max(m, n) - 1e-6 and np.bitwise_count(folded(a, size) ^ folded(b, size)).sum() <= _most_apart(m, n, similarity)
+
+    def close(m, a, n, b):
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return both >= similarity * (m + n - both)
+
     def sets(batches):
         for batch in batches:
             for part in text_runs(batch, 1, RUN_BYTES):
                 keys, made = [], []
                 for text in part.column(1).to_pylist():
                     digest = blake2b(digest_size=16)
-                    made.append(shingle_set(text, width, digest).tobytes()), keys.append(digest.digest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["id", "words", "s"])
-
+                    made.append(shingle_set(text, width, digest)), keys.append(digest.digest())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in made], pa.int64()), pa.array([s.tobytes() for s in made], pa.binary())], names=["id", "words", "n", "s"])
+
+    some, _ = _counted(pairs.select("src", "dst").distinct())
+    none = F.lit(None).cast("binary")
+    rows = sketches.select("id", "words", "n", F.col("bits").alias("s"))
+    near, _ = _counted(_meet(rows, _places(some.select("src", "dst", none.alias("src_words"), none.alias("dst_words"))), may_be))
+    places = _places(near)
     touched = _small(places.select(F.col("k").alias("t")).distinct())
     mine = texts.join(touched, texts.id == F.col("t"), "left_semi").where("text is not null").dropDuplicates(["id", "text"])
-    sent = mine.mapInArrow(tidy(sets), "id long, words binary, s binary").join(places, (F.col("id") == F.col("k")) & (F.col("words") == F.col("w")))
-
-    def close(batches):
-        at = head = None
-        for batch in batches:
-            src, dst = [], []
-            for group, part, first, k, s in zip(*(batch.column(c).to_pylist() for c in range(5))):
-                own = np.frombuffer(s, np.uint64)
-                if first:
-                    at, head = (group, part), own
-                elif at == (group, part):
-                    both = len(np.intersect1d(head, own, assume_unique=True))
-                    if both >= similarity * (len(head) + len(own) - both):
-                        src.append(group), dst.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
-
-    met = sent.select("at", "part", "head", "id", "s").repartition("at", "part").sortWithinPartitions("at", "part", F.desc("head"))
-    return met.mapInArrow(tidy(close), "src long, dst long").distinct()
+    exact = _meet(mine.mapInArrow(tidy(sets), "id long, words binary, n long, s binary"), places, close)
+    return _counted(exact.select("src", "dst").distinct())[0]
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -731,13 +748,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = chosen.select("id", "words", "n", "bits")
 
     # What the fingerprints link.
-    prints = chosen.groupBy("fp").agg(F.min("id").alias("at"))
-    edges = hamming_edges(prints.select("fp"), RADIUS)
+    prints, _ = _counted(chosen.groupBy("fp").agg(F.min("id").alias("at")))
+    edges, _ = _counted(hamming_edges(prints.select("fp"), RADIUS))
     at = [prints.select(F.col("fp").alias(f"{k}_fp"), F.col("at").alias(k)) for k in ("x", "y")]
     across = edges.join(at[0], F.col("src") == F.col("x_fp")).join(at[1], F.col("dst") == F.col("y_fp")).select("x", "y")
-    equal = chosen.join(prints, "fp").where("id <> at").select(F.col("id").alias("x"), F.col("at").alias("y"))
+    equal = chosen.select("fp", "id").join(prints, "fp").where("id <> at").select(F.col("id").alias("x"), F.col("at").alias("y"))
     told = across.unionByName(equal).select(F.greatest("x", "y").alias("src"), F.least("x", "y").alias("dst"))
-    links = cut(similar_pairs(texts, sketches, told, width, similarity))
+    links = similar_pairs(texts, sketches, told, width, similarity)
 
     # What shared shingles link beyond that.
     posted = _joined(links, chosen.select("id", "n", "light", "prefix")).select("id", "n", "light", "comp", F.posexplode("prefix").alias("pos", "key"))
@@ -746,13 +763,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     posted = posted.select("key", "id", spot.alias("spot"), F.when(F.col("comp") != F.col("id"), F.col("comp")).alias("comp"))
     dealt = posted.repartition(F.when(F.col("spot").bitwiseAND(F.lit(1)) == 1, F.col("key")).otherwise(F.xxhash64("id", "key"))).sortWithinPartitions("key")
     made = cut(dealt.mapInArrow(tidy(_short_lists(similarity)), "key long, src long, dst long, n long, pos long, comp long"))
-    links = cut(links.unionByName(similar_pairs(texts, sketches, made.where("dst is not null").select("src", "dst"), width, similarity)))
-    blocks = cut(_blocks(made.where("dst is null").select("key", F.col("src").alias("id"), "n", "pos", "comp")))
-    if not blocks.isEmpty():
+    links = links.unionByName(similar_pairs(texts, sketches, made.where("dst is not null"), width, similarity))
+    entries, many = _counted(made.where("dst is null").select("key", F.col("src").alias("id"), "n", "pos", "comp"))
+    blocks, many = _counted(_blocks(entries)) if many else (entries, 0)
+    if many:
         for nearest in (True, False):
             rows = blocks.join(_joined(links, sketches.select("id", "bits")), "id").select("key", "a", "b", "chunk", "id", "n", "pos", "comp", "bits")
             found = rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(tidy(_long_lists(similarity, nearest)), "src long, dst long")
-            links = cut(links.unionByName(similar_pairs(texts, sketches, found, width, similarity)))
+            links = links.unionByName(similar_pairs(texts, sketches, found, width, similarity))
     comps = connected_components(links)
     roots = classes.join(comps, F.col("first") == F.col("node"), "left").where("node is not null or copies > 1").select("words", F.coalesce("component", "first").alias("component"))
     return one.join(roots, "words").select("id", "component")
