@@ -25,6 +25,14 @@ def upper_median(value: Column) -> Column:
     return F.element_at(F.sort_array(F.collect_list(value)), (F.count(value) / 2).cast("int") + 1)
 
 
+def exclusive_quartile(values: Column, k: int) -> Column:
+    """The k-th quartile of a sorted array of two or more numbers, the ends left out: places k (n + 1) / 4, between neighbours in proportion."""
+    n = F.size(values)
+    low = F.greatest(F.lit(1), F.least(F.floor(k * (n + 1) / 4).cast("int"), n - 1))
+    over = k * (n + 1) - 4 * low
+    return (F.element_at(values, low) * (4 - over) + F.element_at(values, low + 1) * over) / 4
+
+
 def packed_date(value: Column) -> Column:
     """Zone-less timestamp of a packed date (from the low bits: second 6, minute 6, hour 5, day 5, month 4, years since 2000 6); null if impossible."""
     field = lambda low, width: F.shiftrightunsigned(value, low).bitwiseAND((1 << width) - 1).cast("int")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -42,26 +44,24 @@ def sample_kind(block: bytes) -> str:
     return "dense" if incompressibility(block) >= 0.95 else "structured"
 
 
+@lru_cache(maxsize=1)
+def _crc16_steps() -> tuple[int, ...]:
+    """What each low byte of the register turns into after eight steps of the reflected polynomial."""
+    step = lambda crc: crc >> 1 ^ 0xA001 * (crc & 1)
+    return tuple(reduce(lambda crc, _: step(crc), range(8), byte) for byte in range(256))
+
+
 def crc16_arc(data: bytes) -> int:
     """CRC-16 with the reflected polynomial 0xA001, start 0."""
-    crc = 0
+    steps, crc = _crc16_steps(), 0
     for byte in data:
-        crc ^= byte
-        for _ in range(8):
-            crc = crc >> 1 ^ (0xA001 if crc & 1 else 0)
+        crc = crc >> 8 ^ steps[(crc ^ byte) & 0xFF]
     return crc
 
 
 def unescape(unit: bytes) -> bytes:
     """A unit's payload without emulation prevention: 00 00 03 becomes 00 00."""
-    out, zeros = bytearray(), 0
-    for byte in unit:
-        if zeros >= 2 and byte == 3:
-            zeros = 0
-            continue
-        out.append(byte)
-        zeros = zeros + 1 if byte == 0 else 0
-    return bytes(out)
+    return unit.replace(b"\0\0\3", b"\0\0")
 
 
 def escape(payload: bytes) -> bytes:
@@ -100,89 +100,130 @@ class BitReader:
         return (k + 1) // 2 if k % 2 else -(k // 2)
 
 
-#: Profiles whose H.264 parameter sets carry a chroma format (fixed values).
+#: Values that the standards allow (fixed values): H.264 profiles with and without a chroma format, levels of both; least and greatest picture side.
 HIGH = frozenset((100, 110, 122, 244, 44, 83, 86, 118, 128, 138, 139, 134, 135))
-
-
-def h264_picture(unit: bytes) -> tuple[int, int, int, int] | None:
-    """(width, height, profile, level) of an H.264 sequence parameter set (with its header byte); None if it is none."""
-    try:
-        b = BitReader(unescape(unit[1:]))
-        profile, _, level = b.u(8), b.u(8), b.u(8)
-        b.ue()
-        chroma, separate = 1, 0
-        if profile in HIGH:
-            chroma = b.ue()
-            separate = b.u(1) if chroma == 3 else 0
-            b.ue(), b.ue(), b.u(1)
-            if b.u(1):
-                for k in range(12 if chroma == 3 else 8):
-                    if b.u(1):
-                        last = step = 8
-                        for _ in range(16 if k < 6 else 64):
-                            if step:
-                                step = (last + b.se()) % 256
-                            last = step or last
-        b.ue()
-        order = b.ue()
-        if order == 0:
-            b.ue()
-        elif order == 1:
-            b.u(1), b.se(), b.se()
-            for _ in range(b.ue()):
-                b.se()
-        b.ue(), b.u(1)
-        wide, high = b.ue() + 1, b.ue() + 1
-        whole = b.u(1)
-        if not whole:
-            b.u(1)
-        b.u(1)
-        left = right = top = bottom = 0
+PROFILES = HIGH | {66, 77, 88}
+LEVELS_264 = frozenset((9, 10, 11, 12, 13, 20, 21, 22, 30, 31, 32, 40, 41, 42, 50, 51, 52, 60, 61, 62))
+LEVELS_265 = frozenset((30, 60, 63, 90, 93, 120, 123, 150, 153, 156, 180, 183, 186))
+SIDE = range(64, 8193)
+
+
+class NotAllowed(ValueError):
+    """A field has a value that its standard rules out."""
+
+
+class SetReader(BitReader):
+    """Reads fields that have a range: anything outside it is NotAllowed."""
+
+    def ranged(self, most: int) -> int:
+        value = self.ue()
+        if value > most:
+            raise NotAllowed
+        return value
+
+    def one_of(self, value: int, allowed) -> int:
+        if value not in allowed:
+            raise NotAllowed
+        return value
+
+    def skip_scaling(self, lists: int) -> None:
+        """Pass over scaling lists, whose later entries are steps from the one before until a step leads to nought."""
+        for k in range(lists):
+            if not self.u(1):
+                continue
+            value = 8
+            for _ in range(64 if k > 5 else 16):
+                value = (value + self.se()) % 256
+                if not value:
+                    break
+
+    def window(self, flag: int) -> tuple[int, int]:
+        """Columns and rows that a cropping window takes off, in its own units."""
+        sides = [self.ue() for _ in range(4)] if flag else [0] * 4
+        return sides[0] + sides[1], sides[2] + sides[3]
+
+
+def _h264_fields(b: SetReader) -> tuple[int, int, int, int]:
+    profile, _, level = (b.u(8) for _ in range(3))
+    b.one_of(profile, PROFILES), b.one_of(level, LEVELS_264), b.ranged(31)
+    chroma = 1
+    if profile in HIGH:
+        chroma = b.ranged(3)
+        b.u(1 if chroma == 3 else 0), b.ranged(6), b.ranged(6), b.u(1)
         if b.u(1):
-            left, right, top, bottom = b.ue(), b.ue(), b.ue(), b.ue()
-    except EOFError:
+            b.skip_scaling(12 if chroma == 3 else 8)
+    b.ranged(12)
+    order = b.ranged(2)
+    if order == 0:
+        b.ranged(12)
+    if order == 1:
+        b.u(1), b.se(), b.se()
+        for _ in range(b.ranged(255)):
+            b.se()
+    b.ranged(16), b.u(1)
+    wide, high, whole = b.ue() + 1, b.ue() + 1, b.u(1)
+    b.u(2 - whole)
+    across, down = b.window(b.u(1))
+    fields = 2 - whole
+    return 16 * wide - across * (1 + (chroma in (1, 2))), fields * (16 * high - down * (1 + (chroma == 1))), profile, level
+
+
+def _h265_fields(b: SetReader) -> tuple[int, int, int, int]:
+    b.u(4)
+    layers = b.one_of(b.u(3), range(7))
+    b.u(1), b.one_of(b.u(2), (0,)), b.u(1)
+    profile = b.one_of(b.u(5), range(1, 12))
+    b.u(32 + 48)
+    level = b.one_of(b.u(8), LEVELS_265)
+    extra = sum(88 * b.u(1) + 8 * b.u(1) for _ in range(layers))
+    b.u(2 * (8 - layers) if layers else 0), b.u(extra), b.ranged(15)
+    chroma = b.ranged(3)
+    b.u(1 if chroma == 3 else 0)
+    wide, high = b.ue(), b.ue()
+    b.one_of(wide % 8 + high % 8, (0,))
+    across, down = b.window(b.u(1))
+    return wide - across * (1 + (chroma in (1, 2))), high - down * (1 + (chroma == 1)), profile, level
+
+
+def _picture(fields, head: int, unit: bytes) -> tuple[int, int, int, int, str] | None:
+    reader = SetReader(unescape(unit[head:]))
+    bits = reader.left
+    try:
+        width, height, profile, level = fields(reader)
+    except (EOFError, NotAllowed):
         return None
-    plane = 0 if separate else chroma
-    x, y = (2 if plane in (1, 2) else 1), (2 if plane == 1 else 1) * (2 - whole)
-    width, height = wide * 16 - x * (left + right), high * 16 * (2 - whole) - y * (top + bottom)
-    return (width, height, profile, level) if 16 <= width <= 16384 and 16 <= height <= 16384 else None
+    if width not in SIDE or height not in SIDE:
+        return None
+    read = unescape(unit[head:])[: -(-(bits - reader.left) // 8)]
+    return width, height, profile, level, hashlib.sha256(unit[:head] + read).hexdigest()
 
 
-def h265_picture(unit: bytes) -> tuple[int, int, int, int] | None:
-    """(width, height, profile, level) of an H.265 sequence parameter set (with its two header bytes); None if it is none."""
-    try:
-        b = BitReader(unescape(unit[2:]))
-        b.u(4)
-        layers = b.u(3)
-        b.u(1), b.u(3)
-        profile = b.u(5)
-        b.u(32), b.u(48)
-        level = b.u(8)
-        flags = [(b.u(1), b.u(1)) for _ in range(layers)]
-        if layers:
-            b.u(2 * (8 - layers))
-        for has_profile, has_level in flags:
-            b.u(88 * has_profile + 8 * has_level)
-        b.ue()
-        chroma = b.ue()
-        if chroma == 3:
-            b.u(1)
-        wide, high = b.ue(), b.ue()
-        if b.u(1):
-            left, right, top, bottom = b.ue(), b.ue(), b.ue(), b.ue()
-            wide -= (2 if chroma in (1, 2) else 1) * (left + right)
-            high -= (2 if chroma == 1 else 1) * (top + bottom)
-    except EOFError:
-        return None
-    return (wide, high, profile, level) if 16 <= wide <= 16384 and 16 <= high <= 16384 else None
+def h264_picture(unit: bytes) -> tuple[int, int, int, int, str] | None:
+    """(width, height, profile, level, digest of the bytes that were read) of an H.264 sequence parameter set with its header byte; None if it is none."""
+    return _picture(_h264_fields, 1, unit)
+
+
+def h265_picture(unit: bytes) -> tuple[int, int, int, int, str] | None:
+    """The same of an H.265 sequence parameter set with its two header bytes."""
+    return _picture(_h265_fields, 2, unit)
 
 
-#: Magic of containers at their place (fixed values).
-MAGIC = ((0, b"DHAV", "dhav"), (0, b"\x00\x00\x01\xba", "mpeg-ps"), (4, b"ftyp", "mp4"), (0, b"RIFF", "riff"), (0, b"\x1aE\xdf\xa3", "matroska"), (0, b"\x00\x00\x00\x01", "annexb"), (0, b"\x00\x00\x01", "annexb"))
+#: Magic of containers at their place (fixed values); where several fit, the first does.
+ASF = bytes.fromhex("3026b2758e66cf11a6d900aa0062ce6c")
+MAGIC = (
+    (((0, b"IMKH"),), "ps"), (((0, b"\x00\x00\x01\xba"),), "ps"), (((4, b"ftyp"),), "mp4"), (((0, b"RIFF"), (8, b"AVI ")), "avi"), (((0, ASF),), "asf"),
+    (((0, b"\x00\x00\x01"),), "annexb"), (((0, b"\x00\x00\x00\x01"),), "annexb"),
+)
+FRAME, FRAME_HEAD, PACK = b"DHAV", 24, b"\x00\x00\x01\xba"
 
 
 def container(head: bytes) -> str:
-    return next((name for at, magic, name in MAGIC if head[at : at + len(magic)] == magic), "")
+    """The container that a file's first bytes show: by its magic, else by the first sound frame header or pack further on; else unknown."""
+    for marks, name in MAGIC:
+        if all(head.startswith(m, at) for at, m in marks):
+            return name
+    sound = (m.start() for m in re.finditer(FRAME, head) if m.start() + FRAME_HEAD <= len(head) and sum(head[m.start() : m.start() + 23]) & 0xFF == head[m.start() + 23])
+    return "dhav" if next(sound, None) is not None else "ps" if PACK in head else "unknown"
 
 
 @F.pandas_udf(T.DoubleType())

@@ -8,8 +8,8 @@ from __future__ import annotations
 
 import re
 import struct
-from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,183 +31,234 @@ PACK, CLOCK_HZ, CLOCK_JUMP, PACK_AHEAD = b"\x00\x00\x01\xba", 90_000, 450_000, 1
 FRAME_SCHEMA = "volume long, offset long, ftype int, frame_number long, length long, date long, ms int, ext_length int"
 
 
-def frames_in(data: bytes, base: int, stop: int) -> list[tuple]:
+def sound_frame(data: bytes, at: int) -> tuple | None:
+    """(type, counter, length, date, ms, extension) of the frame whose header stands here; None if something of it is not sound."""
+    if at + HEADER > len(data):
+        return None
+    _, kind, _, _, _, number, length, date, ms, ext, check = struct.unpack_from("<4sBBBBIIIHBB", data, at)
+    if sum(data[at : at + 23]) & 0xFF != check or kind not in KNOWN or not HEADER + TAIL + ext <= length <= LARGEST:
+        return None
+    return (kind, number, length, date, ms, ext) if data[at + length - 8 : at + length] == TRAILER + data[at + 12 : at + 16] else None
+
+
+def frames_in(data: bytes, base: int, stop: int, nested: bool = False) -> list[tuple]:
     """(offset, type, counter, length, date, ms, extension) of valid frames whose header starts before ``stop``.
 
     Valid: checksum of the header, known type, sound lengths, and a trailer that repeats the length. A valid frame's
-    bytes are not searched for others.
+    bytes are not searched for others, unless ``nested`` asks for them.
     """
-    out, at, n = [], 0, len(data)
-    while (at := data.find(FRAME, at)) >= 0 and at < stop:
-        head = data[at : at + HEADER]
-        if len(head) < HEADER:
+    found, clear = [], 0
+    for m in re.finditer(FRAME, data):
+        at = m.start()
+        if at >= stop:
             break
-        _, kind, _, _, _, number, length, date, ms, ext, check = struct.unpack("<4sBBBBIIIHBB", head)
-        end = at + length
-        sound = sum(head[:23]) & 0xFF == check and kind in KNOWN and HEADER + TAIL + ext <= length <= LARGEST
-        if sound and end <= n and data[end - 8 : end - 4] == TRAILER and data[end - 4 : end] == head[12:16]:
-            out.append((base + at, kind, number, length, date, ms, ext))
-            at = end
-        else:
-            at += 1
-    return out
+        if at >= clear and (frame := sound_frame(data, at)):
+            found.append((base + at, *frame))
+            clear = clear if nested else at + frame[2]
+    return found
 
 
 def frames(blocks: DataFrame, volume: int = 0) -> DataFrame:
-    """Valid frames of blocks read with at least LARGEST bytes of look-ahead."""
+    """Valid frames of blocks read with at least LARGEST bytes of look-ahead; what lies inside a frame is no frame, whichever block it is in."""
     names = ("offset", "ftype", "frame_number", "length", "date", "ms", "ext_length")
 
     def run(batches):
         for batch in batches:
             for offset, content, after in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = frames_in(content + (after or b""), offset, len(content))
+                rows = frames_in(content + (after or b""), offset, len(content), nested=True)
                 cols = list(zip(*rows)) if rows else [()] * len(names)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array([volume] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))], names=["volume", *names])
 
-    return _unnested(blocks.select("offset", "content", "after").mapInArrow(run, FRAME_SCHEMA))
-
-
-def _unnested(found: DataFrame) -> DataFrame:
-    """Without frames that start inside a frame of an earlier block: that frame's bytes were not searched there."""
-    run = sequence.running_max(found, ["volume"], "offset", [], F.col("offset") + F.col("length"), "_end", stretch=1 << 26)
-    return run.where(F.col("_end").isNull() | (F.col("offset") >= F.col("_end"))).drop("_end")
-
-
-@dataclass
-class Stream:
-    """An open stream: its last frame, the last frame of each kind, and what it holds so far."""
-
-    sid: int
-    first: int
-    last: tuple | None = None
-    kinds: dict = field(default_factory=dict)
-    extents: list = field(default_factory=list)
-    frames: int = 0
-    video: int = 0
-    keys: int = 0
-    repeats: int = 0
-    tally: dict = field(default_factory=dict)
-    closed: bool = False
-
-    def distance(self, frame: tuple) -> float | None:
-        """How near the frame follows, or None if it cannot."""
-        ms = (frame[5] - self.last[5] + 0x8000) % 0x10000 - 0x8000
-        if not -MS_BACK <= ms <= MS_ON or frame[7] is None or self.last[7] is None or not -DATE_BACK <= frame[7] - self.last[7] <= DATE_ON:
-            return None
-        prior = self.kinds.get(kind_of(frame))
-        if prior is None:
-            return abs(ms) / 40
-        step = frame[2] - prior[2]
-        return abs(ms) / 40 + abs(step - 1) if -STEP_BACK <= step <= STEP_ON else None
-
-    def take(self, frame: tuple) -> None:
-        if self.extents and sum(self.extents[-1]) == frame[0]:
-            self.extents[-1] = (self.extents[-1][0], self.extents[-1][1] + frame[3])
-        else:
-            self.extents.append((frame[0], frame[3]))
-        self.last = self.kinds[kind_of(frame)] = frame
-        self.frames += 1
-        self.video += frame[1] in VIDEO
-        self.keys += frame[1] == KEY
-
-
-def kind_of(frame: tuple) -> str:
-    return "video" if frame[1] in VIDEO else "audio" if frame[1] == 0xF0 else "aux"
+    return unnested(blocks.select("offset", "content", "after").mapInArrow(run, FRAME_SCHEMA))
+
+
+def unnested(found: DataFrame) -> DataFrame:
+    """What a search from the front finds: a row that starts inside a kept row is dropped, and so hides nothing itself.
+
+    Rows that touch no other are kept as they are. Rows that overlap form small clusters (an end that no row before it
+    passes starts a new one), and only these are gone through in order.
+    """
+    end = F.col("offset") + F.col("length")
+    run = sequence.running_max(found, ["volume"], "offset", ["length"], end, "_end", stretch=1 << 26)
+    opens = F.when(F.col("_end").isNull() | (F.col("offset") >= F.col("_end")), F.col("offset"))
+    run = sequence.running_max(run, ["volume"], "offset", ["length"], opens, "_cluster", inclusive=True, stretch=1 << 26)
+    row = F.struct(*[F.col(c) for c in ("offset", "length", *(c for c in found.columns if c not in ("offset", "length")))])
+    clusters = run.groupBy("volume", "_cluster").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    kept = F.aggregate("_rows", F.slice("_rows", 1, 0), lambda done, r: F.when((F.size(done) == 0) | (r["offset"] >= F.element_at(done, -1)["offset"] + F.element_at(done, -1)["length"]), F.concat(done, F.array(r))).otherwise(done))
+    return clusters.select(F.explode(F.when(F.size("_rows") == 1, F.col("_rows")).otherwise(kept)).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in found.columns])
+
+
+#: Fields of a frame in an open stream's memory, and columns of a finished piece of footage.
+PIECE = "volume long, sid long, offset long, length long, frames long, video_frames long, i_frames long, repeats long"
+
+
+class Lane:
+    """An open stream: the newest frame of each kind, and the piece of footage that it is adding to."""
+
+    __slots__ = ("sid", "newest", "tip", "piece", "tally")
+
+    def __init__(self, sid: int):
+        self.sid, self.newest, self.tip, self.piece, self.tally = sid, {}, None, None, {}
+
+    def cost(self, frame: dict) -> float:
+        """How far the frame is from following on; infinite if it cannot."""
+        ms = (frame["ms"] - self.tip["ms"] + 0x8000) % 0x10000 - 0x8000
+        dates = (frame["seconds"], self.tip["seconds"])
+        if None in dates or not (-MS_BACK <= ms <= MS_ON and -DATE_BACK <= dates[0] - dates[1] <= DATE_ON):
+            return float("inf")
+        seen = self.newest.get(frame["kind"])
+        step = frame["number"] - seen if seen is not None else 1
+        return abs(ms) / 40 + abs(step - 1) if -STEP_BACK <= step <= STEP_ON else float("inf")
 
 
 class Carver:
-    """Frames in disk order to streams. A frame goes on the stream of the frame it touches, else to the nearest stream that clearly wins, else opens one."""
+    """Frames in disk order to pieces of footage, in one pass whose memory is the streams that are open.
+
+    A frame goes on the stream of the frame it touches, else to the nearest stream that clearly wins, else it opens
+    one. A frame whose counter its stream has passed is a repeat. ``add`` and ``finish`` give the pieces that are done.
+    """
 
     def __init__(self):
-        self.open: list[Stream] = []
-        self.done: list[Stream] = []
-        self.prior: tuple[int, Stream] | None = None
-        self.count = 0
-
-    def add(self, frame: tuple, label: str | None = None) -> None:
-        quiet = [s for s in self.open if frame[0] - s.last[0] > RETIRE]
-        for s in quiet:
-            s.closed = True
-        if quiet:
-            self.done += quiet
-            self.open = [s for s in self.open if not s.closed]
-        target = None
-        if self.prior and self.prior[0] == frame[0] and not self.prior[1].closed and self.prior[1].distance(frame) is not None:
-            target = self.prior[1]
-        else:
-            near = sorted((d, k) for k, s in enumerate(self.open) if (d := s.distance(frame)) is not None)
-            if near and (len(near) == 1 or near[1][0] > CLEAR * max(near[0][0], 1.0)):
-                target = self.open[near[0][1]]
-        if target is None:
-            target = Stream(self.count, frame[0])
-            self.count += 1
-            self.open.append(target)
-        else:
-            last = target.kinds.get(kind_of(frame))
-            if last is not None and frame[2] <= last[2]:
-                target.repeats += 1
-                return
-        target.take(frame)
+        self.lanes: dict[int, Lane] = {}
+        self.touching: tuple[int, int] | None = None
+        self.next = 0
+        self.tallies: dict[int, dict[str, int]] = {}
+
+    def _lane(self, frame: dict) -> Lane:
+        costs = {sid: lane.cost(frame) for sid, lane in self.lanes.items()}
+        if self.touching and self.touching[0] == frame["offset"] and costs.get(self.touching[1], float("inf")) < float("inf"):
+            return self.lanes[self.touching[1]]
+        best, second = (sorted(costs.items(), key=lambda x: (x[1], x[0])) + [(None, float("inf"))] * 2)[:2]
+        if best[1] < float("inf") and second[1] > CLEAR * max(best[1], 1.0):
+            return self.lanes[best[0]]
+        lane = self.lanes[self.next] = Lane(self.next)
+        self.next += 1
+        return lane
+
+    def _close(self, lane: Lane) -> list[tuple]:
+        piece, lane.piece = lane.piece, None
+        return [(lane.sid, *piece)] if piece else []
+
+    def add(self, frame: dict, label: str | None = None) -> list[tuple]:
+        done = []
+        for sid in [sid for sid, lane in self.lanes.items() if frame["offset"] - lane.tip["offset"] > RETIRE]:
+            done += self._close(self.lanes.pop(sid))
+        lane = self._lane(frame)
+        seen = lane.newest.get(frame["kind"])
+        if seen is not None and frame["number"] <= seen:
+            if lane.piece is None:
+                lane.piece = [frame["offset"], 0, 0, 0, 0, 0]
+            lane.piece[5] += 1
+            return done
+        if lane.piece and lane.piece[0] + lane.piece[1] != frame["offset"]:
+            done += self._close(lane)
+        if lane.piece is None:
+            lane.piece = [frame["offset"], 0, 0, 0, 0, 0]
+        for k, more in enumerate((frame["length"], 1, frame["kind"] == "video", frame["key"]), 1):
+            lane.piece[k] += more
+        lane.tip, lane.newest[frame["kind"]] = frame, frame["number"]
+        self.touching = (frame["offset"] + frame["length"], lane.sid)
         if label is not None:
-            target.tally[label] = target.tally.get(label, 0) + 1
-        self.prior = (frame[0] + frame[3], target)
+            own = self.tallies.setdefault(lane.sid, {})
+            own[label] = own.get(label, 0) + 1
+        return done
 
-    def finish(self) -> list[Stream]:
-        return sorted(self.done + self.open, key=lambda s: s.first)
+    def finish(self) -> list[tuple]:
+        done = [piece for lane in self.lanes.values() for piece in self._close(lane)]
+        self.lanes = {}
+        return done
 
 
-STREAM_SCHEMA = "volume long, sid long, first_offset long, frames long, video_frames long, i_frames long, repeats long, bytes long, extents array<struct<offset:long,length:long>>, kept boolean"
+def frame_of(offset: int, ftype: int, number: int, length: int, ms: int, seconds: int | None) -> dict:
+    """A frame as a carver takes it."""
+    kind = "video" if ftype in VIDEO else "audio" if ftype == 0xF0 else "aux"
+    return {"offset": offset, "kind": kind, "key": ftype == KEY, "number": number, "length": length, "ms": ms, "seconds": seconds}
 
 
-def carve_streams(found: DataFrame, least: int = LEAST) -> DataFrame:
-    """Streams of each volume; ``kept`` marks those of ``least`` frames or more. One task per volume: order decides, and rows are headers only."""
-    dated = found.withColumn("seconds", F.floor(micros(packed_date(F.col("date"))) / 1_000_000).cast("bigint"))
+def carved_pieces(found: DataFrame) -> DataFrame:
+    """Pieces of footage (volume, sid, offset, length, frames, ...) of each volume's streams.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("offset")
-        carver = Carver()
-        for r in pdf[["offset", "ftype", "frame_number", "length", "date", "ms", "ext_length", "seconds"]].itertuples(index=False, name=None):
-            carver.add((*r[:7], None if r[7] is None or r[7] != r[7] else int(r[7])))
-        rows = []
-        for s in carver.finish():
-            rows.append((pdf["volume"].iloc[0], s.sid, s.first, s.frames, s.video, s.keys, s.repeats, sum(e[1] for e in s.extents), [{"offset": a, "length": b} for a, b in s.extents], s.frames >= least))
-        return pd.DataFrame(rows, columns=["volume", "sid", "first_offset", "frames", "video_frames", "i_frames", "repeats", "bytes", "extents", "kept"])
+    Order decides, so a volume's headers pass through one task, batch by batch in disk order. What is held is the open
+    streams alone; pieces leave as they are done.
+    """
+    dated = found.select("volume", "offset", "ftype", "frame_number", "length", "ms", F.floor(micros(packed_date(F.col("date"))) / 1_000_000).cast("bigint").alias("seconds"))
+
+    def run(batches):
+        volume, carver = None, Carver()
 
-    return dated.groupBy("volume").applyInPandas(run, STREAM_SCHEMA)
+        def told(done):
+            cols = list(zip(*done)) if done else [()] * 7
+            return pa.RecordBatch.from_arrays([pa.array([volume] * len(done), pa.int64()), *(pa.array([int(x) for x in c], pa.int64()) for c in cols)], names=[c.split()[0] for c in PIECE.split(", ")])
+
+        for batch in batches:
+            done = []
+            for v, *frame in zip(*(c.to_pylist() for c in batch.columns)):
+                if v != volume:
+                    yield told(done + carver.finish())
+                    volume, carver, done = v, Carver(), []
+                done += carver.add(frame_of(*frame))
+            yield told(done)
+        yield told(carver.finish())
+
+    return dated.repartition("volume").sortWithinPartitions("volume", "offset").mapInArrow(run, PIECE)
+
+
+def carve_streams(found: DataFrame, least: int = LEAST) -> DataFrame:
+    """Streams of each volume from their pieces; ``kept`` marks those of ``least`` frames or more."""
+    piece = F.when(F.col("length") > 0, F.struct("offset", "length"))
+    by = carved_pieces(found).groupBy("volume", "sid").agg(
+        F.min(F.when(F.col("length") > 0, F.col("offset"))).alias("first_offset"), *[F.sum(c).alias(c) for c in ("frames", "video_frames", "i_frames", "repeats")], F.sum("length").alias("bytes"),
+        F.array_sort(F.collect_list(piece)).alias("extents"),
+    )
+    return by.withColumn("kept", F.col("frames") >= least)
 
 
 def clock_of(head: bytes) -> int | None:
     """The 33-bit clock of an MPEG-2 pack header; None if it is no such header."""
     if len(head) < 14 or head[4] & 0xC0 != 0x40:
         return None
-    a, b, c, d, e = head[4:9]
-    return (a >> 3 & 7) << 30 | (a & 3) << 28 | b << 20 | (c >> 3 & 31) << 15 | (c & 3) << 13 | d << 5 | e >> 3
+    bits = int.from_bytes(head[4:9], "big")  # two marks, 3 bits of the clock, a mark, 15 bits, a mark, 15 bits, a mark
+    return (bits >> 35 & 7) << 30 | (bits >> 19 & 0x7FFF) << 15 | bits >> 3 & 0x7FFF
 
 
-def pack_at(data: bytes, at: int, at_end: bool = False) -> tuple[int, int, int, int] | None:
-    """(length, clock, video, audio) of a pack whose packets end exactly at the next pack, or with ``at_end`` at the end of the data."""
-    n = len(data)
-    if at + 14 > n or data[at + 4] & 0xC0 != 0x40:
-        return None
-    q, video, audio = at + 14 + (data[at + 13] & 7), 0, 0
-    while q + 4 <= n:
-        if not data.startswith(b"\x00\x00\x01", q):
-            return None
-        kind = data[q + 3]
-        if kind == 0xBA:
-            return q - at, clock_of(data[at : at + 14]), video, audio
-        if kind == 0xB9:
-            q += 4
-            continue
-        if kind < 0xBB or q + 6 > n:
-            return None
-        if kind >= 0xE0:
-            video += kind <= 0xEF
-        elif kind >= 0xC0:
-            audio += 1
-        q += 6 + (data[q + 4] << 8 | data[q + 5])
-    return (q - at, clock_of(data[at : at + 14]), video, audio) if at_end and q == n else None
+PACK_SCHEMA = "volume long, offset long, length long, scr long, video long, audio long"
+
+
+def packs_in(data: bytes, base: int, stop: int, at_end: bool = False) -> list[np.ndarray]:
+    """(offset, length, clock, video, audio) columns of the packs that start before ``stop``, nested ones too.
+
+    A pack's packets end exactly at the next pack, or with ``at_end`` at the end of the data. All packs take their
+    steps from packet to packet together.
+    """
+    d, n = np.frombuffer(data, np.uint8).astype(np.int64), len(data)
+    at = np.array([m.start() for m in re.finditer(PACK, data)], np.int64)
+    at = at[(at < stop) & (at + 14 <= n)]
+    at = at[d[at + 4] & 0xC0 == 0x40]
+    head = [d[at + k] for k in range(4, 9)]
+    clock = (head[0] >> 3 & 7) << 30 | (head[0] & 3) << 28 | head[1] << 20 | (head[2] >> 3 & 31) << 15 | (head[2] & 3) << 13 | head[3] << 5 | head[4] >> 3
+    place, length = at + 14 + (d[np.minimum(at + 13, n - 1)] & 7), np.zeros(len(at), np.int64)
+    video, audio, live = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), np.arange(len(at))
+    while len(live):
+        here = place[live]
+        inside = here + 4 <= n
+        if at_end:
+            last = live[here == n]
+            length[last] = n - at[last]
+        live, here = live[inside], here[inside]
+        code = (d[here] == 0) & (d[here + 1] == 0) & (d[here + 2] == 1)
+        live, here = live[code], here[code]
+        kind = d[here + 3]
+        done = kind == 0xBA
+        length[live[done]] = here[done] - at[live[done]]
+        end = kind == 0xB9
+        go = end | ((kind >= 0xBB) & (here + 6 <= n))
+        live, here, kind, end = live[go], here[go], kind[go], end[go]
+        video[live] += (kind >= 0xE0) & (kind <= 0xEF)
+        audio[live] += (kind >= 0xC0) & (kind < 0xE0)
+        place[live] = here + np.where(end, 4, 6 + (d[np.minimum(here + 4, n - 1)] << 8 | d[np.minimum(here + 5, n - 1)]))
+    ok = length > 0
+    return [x[ok] for x in (at + base, length, clock, video, audio)]
 
 
 def packs(blocks: DataFrame, volume: int = 0) -> DataFrame:
@@ -216,16 +267,10 @@ def packs(blocks: DataFrame, volume: int = 0) -> DataFrame:
     def run(batches):
         for batch in batches:
             for offset, content, after in zip(*(c.to_pylist() for c in batch.columns)):
-                data, rows, at = content + (after or b""), [], 0
-                while 0 <= (at := data.find(PACK, at)) < len(content):
-                    got = pack_at(data, at, len(after or b"") < PACK_AHEAD)
-                    if got:
-                        rows.append((volume, offset + at, *got))
-                    at += got[0] if got else 1
-                cols = list(zip(*rows)) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["volume", "offset", "length", "scr", "video", "audio"])
+                cols = packs_in(content + (after or b""), offset, len(content), len(after or b"") < PACK_AHEAD)
+                yield pa.RecordBatch.from_arrays([pa.array([volume] * len(cols[0]), pa.int64()), *map(pa.array, cols)], names=["volume", "offset", "length", "scr", "video", "audio"])
 
-    return _unnested(blocks.select("offset", "content", "after").mapInArrow(run, "volume long, offset long, length long, scr long, video long, audio long"))
+    return unnested(blocks.select("offset", "content", "after").mapInArrow(run, PACK_SCHEMA))
 
 
 def pack_streams(found: DataFrame, least: int = LEAST) -> DataFrame:
@@ -340,7 +385,7 @@ def nal_units(blocks: DataFrame, volume: int = 0, longest_set: int = 4096) -> Da
                     elif h1 == 1 and not h0 & 0x81 and h0 >> 1 <= 21:
                         codec, kind = "h265", "key" if 16 <= h0 >> 1 else "slice"
                     if pic:
-                        key = f"{codec}:{pic[0]}x{pic[1]}:{pic[2]}:{pic[3]}"
+                        key = f"{codec}:{pic[4]}"
                     rows.append((volume, offset + at, codec, kind, key, *(pic[:2] if pic else (None, None))))
                 cols = list(zip(*rows)) if rows else [()] * 7
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
@@ -349,30 +394,26 @@ def nal_units(blocks: DataFrame, volume: int = 0, longest_set: int = 4096) -> Da
     return blocks.select("offset", "content", "after").mapInArrow(run, "volume long, offset long, codec string, kind string, key string, width int, height int")
 
 
-def index_chains(slots: DataFrame, most: int = 1 << 16) -> DataFrame:
-    """(volume, head, clusters, ok, note): files of an index table (volume, idx, kind, next, prev, seq) followed from their heads; a loop, a break or a wrong back link is noted. One task per volume."""
+def index_chains(slots: DataFrame) -> DataFrame:
+    """(volume, head, clusters, ok, note): files of an index table (volume, idx, kind, next, prev, seq) followed from their heads; a loop, a break or a wrong back link is noted. One task per volume, whose slots are the index, not the footage."""
+
+    def follow(at: dict, head: int) -> tuple[list[int], str]:
+        chain, note = {head: 0}, ""
+        now = at[head]
+        while k := int(now.next):
+            if k in chain:
+                return [*chain], "loop"
+            if k not in at or at[k].kind != 2:
+                return [*chain], "broken link"
+            if at[k].prev != now.idx or at[k].seq != len(chain):
+                note = note or "back link differs"
+            chain[k], now = len(chain), at[k]
+        return [*chain], note or ("count differs" if at[head].seq != len(chain) - 1 else "")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         at = {int(r.idx): r for r in pdf.itertuples(index=False)}
-        rows = []
-        for head in sorted(i for i, r in at.items() if r.kind == 1):
-            seen, now, note, prior = [head], at[head], "", head
-            while int(now.next) and len(seen) < most:
-                k = int(now.next)
-                if k in seen:
-                    note = "loop"
-                    break
-                if k not in at or at[k].kind != 2:
-                    note = "broken link"
-                    break
-                if int(at[k].prev) != prior or int(at[k].seq) != len(seen):
-                    note = note or "back link differs"
-                seen.append(k)
-                prior, now = k, at[k]
-            if not note and int(at[head].seq) != len(seen) - 1:
-                note = "count differs"
-            rows.append((int(pdf["volume"].iloc[0]), head, seen, not note, note))
-        return pd.DataFrame(rows, columns=["volume", "head", "clusters", "ok", "note"])
+        found = [(head, *follow(at, head)) for head in sorted(i for i, r in at.items() if r.kind == 1)]
+        return pd.DataFrame([(int(pdf["volume"].iloc[0]), head, chain, not note, note) for head, chain, note in found], columns=["volume", "head", "clusters", "ok", "note"])
 
     return slots.groupBy("volume").applyInPandas(run, "volume long, head long, clusters array<long>, ok boolean, note string")
 
@@ -380,11 +421,14 @@ def index_chains(slots: DataFrame, most: int = 1 << 16) -> DataFrame:
 def signature_hits(blocks: DataFrame, patterns: dict[str, bytes]) -> DataFrame:
     """(signature_id, offset) of byte patterns in blocks read with look-behind: a find that starts in the block before and ends in this one is reported here, once.
 
-    A pattern's finds do not overlap within a block. Look-behind must be the longest pattern less one byte.
+    Signatures with one pattern are all reported. Finds do not overlap within a block; where several patterns begin at
+    one place the longest is found. Look-behind must be the longest pattern less one byte.
     """
     longest = max(map(len, patterns.values()))
-    union = re.compile(b"|".join(b"(" + re.escape(p) + b")" for p in patterns.values()))
-    names = list(patterns)
+    names: dict[bytes, list[str]] = {}
+    for name, pattern in patterns.items():
+        names.setdefault(pattern, []).append(name)
+    union = re.compile(b"|".join(re.escape(p) for p in sorted(names, key=len, reverse=True)))
 
     def run(batches):
         for batch in batches:
@@ -393,8 +437,8 @@ def signature_hits(blocks: DataFrame, patterns: dict[str, bytes]) -> DataFrame:
                 data, out = tail + content, ([], [])
                 for m in union.finditer(data):
                     if m.end() > len(tail):
-                        out[0].append(names[m.lastindex - 1])
-                        out[1].append(offset - len(tail) + m.start())
+                        out[0].extend(names[m[0]])
+                        out[1].extend([offset - len(tail) + m.start()] * len(names[m[0]]))
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64())], names=["signature_id", "offset"])
 
     return blocks.select("offset", "content", "before").mapInArrow(run, "signature_id string, offset long")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import dot, iou
+from ..functions.columns import iou
 
 #: Fixed limits of the leads.
 STATIC_IOU, STATIC_SHARE, STATIC_LEAST, PARKED_IOU, MERGE_IOU, MATCH, EYE_PX = 0.8, 0.25, 4, 0.5, 0.5, 0.363, 12.0
@@ -62,44 +66,137 @@ def merged_boxes(detections: DataFrame, keys: list[str], overlap: float = MERGE_
     return detections.groupBy(*keys).applyInPandas(run, detections.schema)
 
 
+#: Vehicles that can be parked (fixed values).
+PARKED = ("car", "bus", "truck")
+
+
+def _overlaps(box: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """Intersection over union of a box with others; zero without an area."""
+    wide = np.maximum(np.minimum(box[2], boxes[:, 2]) - np.maximum(box[0], boxes[:, 0]), 0)
+    high = np.maximum(np.minimum(box[3], boxes[:, 3]) - np.maximum(box[1], boxes[:, 1]), 0)
+    area = lambda b: (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
+    union = area(box) + area(boxes) - wide * high
+    return np.divide(wide * high, union, out=np.zeros(len(boxes)), where=union > 0)
+
+
 def parked_spots(detections: DataFrame) -> DataFrame:
-    """(clip, label, spot, sightings, score): places where boxes of a label keep standing; a place is where its strongest box stands, so the order of time counts."""
+    """(clip, spot, label, frames, first, last, score): places where static vehicles keep standing, by the order in which they are first seen.
+
+    Detections are (clip, t, id, label, score, x1..x4, static); other labels and moving ones do not count. A place is
+    where its strongest box stands, so the order of time counts; its label is the commonest (ties: the first seen).
+    A clip's static vehicles are one group: a clip is one video file, and its frames bound it.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spots: list[dict] = []
-        for r in pdf.sort_values(["t", "id"]).to_dict("records"):
-            me = (r["x1"], r["x2"], r["x3"], r["x4"])
-            best = None
-            for s in spots:
-                o = s["box"]
-                w, h = min(me[2], o[2]) - max(me[0], o[0]), min(me[3], o[3]) - max(me[1], o[1])
-                both = max(w, 0) * max(h, 0)
-                union = (me[2] - me[0]) * (me[3] - me[1]) + (o[2] - o[0]) * (o[3] - o[1]) - both
-                if union > 0 and both / union >= PARKED_IOU:
-                    best = s
-                    break
-            if best is None:
-                spots.append({"box": me, "score": r["score"], "n": 1})
-            else:
-                best["n"] += 1
-                if r["score"] > best["score"]:
-                    best["box"], best["score"] = me, r["score"]
-        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "label": pdf["label"].iloc[0], "spot": range(len(spots)), "sightings": [s["n"] for s in spots], "score": [s["score"] for s in spots]})
-
-    return detections.groupBy("clip", "label").applyInPandas(run, "clip bigint, label string, spot bigint, sightings bigint, score double")
+        pdf = pdf.sort_values(["t", "id"])
+        boxes, scores = np.zeros((0, 4)), np.zeros(0)
+        own = np.zeros(len(pdf), np.int64)
+        for k, (box, score) in enumerate(zip(pdf[["x1", "x2", "x3", "x4"]].to_numpy(float), pdf["score"])):
+            near = np.flatnonzero(_overlaps(box, boxes) >= PARKED_IOU)
+            own[k] = near[0] if len(near) else len(boxes)
+            if not len(near):
+                boxes, scores = np.vstack((boxes, box)), np.append(scores, score)
+            elif score > scores[own[k]]:
+                boxes[own[k]], scores[own[k]] = box, score
+        by = pdf.assign(spot=own).groupby("spot", sort=True)
+        label = by["label"].agg(lambda x: x.value_counts(sort=False).reindex(x.unique()).idxmax())
+        return pd.DataFrame({"clip": pdf["clip"].iloc[0], "spot": range(len(boxes)), "label": label.to_numpy(), "frames": by["t"].nunique().to_numpy(), "first": by["t"].min().to_numpy(), "last": by["t"].max().to_numpy(), "score": scores})
+
+    counted = detections.where(F.col("static") & F.col("label").isin(*PARKED))
+    return counted.groupBy("clip").applyInPandas(run, "clip bigint, spot bigint, label string, frames bigint, first bigint, last bigint, score double")
+
+
+#: Wanted faces of a block; each block is one pass over all faces.
+WANTED = 4096
+
+
+def _blocks_of(wanted: DataFrame, id_col: str, vec: str):
+    """(ids, vectors) of the wanted faces, a bounded block at a time."""
+    rows = wanted.select(F.col(id_col).cast("long"), F.col(vec)).orderBy(id_col).toLocalIterator()
+    while part := list(islice(rows, WANTED)):
+        yield np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], np.float64)
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of products of rows of a with the same rows of b, left to right."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return batch.column(0).to_numpy(), flat.reshape(batch.num_rows, -1)
 
 
 def nearest_faces(faces: DataFrame, wanted: DataFrame, k: int, id_col: str, vec: str, wanted_id: str, wanted_vec: str) -> DataFrame:
-    """The k faces most like each wanted face, itself left out, with candidate marks; wanted faces are a stated, short query set.
+    """The k faces most like each wanted face, itself left out, with candidate marks; ties: the smallest id.
 
-    Every task keeps its own best k of a wanted face before any meet.
+    Wanted faces are a query set of any size: a block of them at a time meets all faces, whose tasks multiply whole
+    batches and keep what may be among the best k of a wanted face; only that is ranked together.
+    """
+    out = None
+    for ids, vectors in _blocks_of(wanted, wanted_id, wanted_vec):
+
+        def run(batches, ids=ids, vectors=vectors):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own, x = _vectors(batch)
+                near = x @ vectors.T
+                near[own[:, None] == ids[None, :]] = -np.inf
+                least = np.partition(near, -k, axis=0)[-k] if len(own) > k else np.full(len(ids), -np.inf)
+                i, j = np.nonzero((near >= least - 1e-9) & np.isfinite(near))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(own[i]), pa.array(_dots(x[i], vectors[j]))], names=["w", "f", "s"])
+
+        found = faces.select(F.col(id_col).cast("long").alias("f"), vec).mapInArrow(run, "w long, f long, s double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = faces.sparkSession.createDataFrame([], "w long, f long, s double")
+    local = Window.partitionBy("w", "_t").orderBy(F.desc("s"), "f")
+    whole = Window.partitionBy("w").orderBy(F.desc("s"), "f")
+    some = out.withColumn("_t", F.pmod(F.xxhash64("f"), F.lit(64))).withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k)
+    return some.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select(F.col("w").alias(wanted_id), F.col("f").alias(id_col), F.col("s").alias("similarity"), "rank", (F.col("s") >= MATCH).alias("candidate"))
+
+
+def candidate_counts(faces: DataFrame, wanted: DataFrame, id_col: str, vec: str, wanted_id: str, wanted_vec: str, least: float = MATCH) -> DataFrame:
+    """(wanted, compared, candidates): how many faces each wanted face was compared with, itself left out, and how many are like enough. Blocks as in nearest_faces; tasks give counts alone."""
+    out = None
+    for ids, vectors in _blocks_of(wanted, wanted_id, wanted_vec):
+
+        def run(batches, ids=ids, vectors=vectors):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                own, x = _vectors(batch)
+                near = x @ vectors.T
+                i, j = np.nonzero(np.abs(near - least) < 1e-9)  # where the order of the sum could decide
+                near[i, j] = _dots(x[i], vectors[j])
+                other = own[:, None] != ids[None, :]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(other.sum(axis=0)), pa.array((other & (near >= least)).sum(axis=0))], names=["w", "compared", "candidates"])
+
+        found = faces.select(F.col(id_col).cast("long").alias("f"), vec).mapInArrow(run, "w long, compared long, candidates long")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = faces.sparkSession.createDataFrame([], "w long, compared long, candidates long")
+    return out.groupBy(F.col("w").alias(wanted_id)).agg(F.sum("compared").alias("compared"), F.sum("candidates").alias("candidates"))
+
+
+def truth_pairs(boxes: DataFrame, truth: DataFrame, least: float, side: float = 0.25) -> DataFrame:
+    """(id, tid, o): boxes (clip, id, x1..x4) and true boxes (clip, tid, y1..y4) of one clip that overlap by more than nought and at least so much.
+
+    Boxes are filed under every grid cell that they touch, and a pair counts in the first cell that both touch, so a
+    clip with many boxes is no single group.
     """
-    sim = dot(F.col(vec), F.col(wanted_vec))
-    pairs = faces.crossJoin(F.broadcast(wanted)).where(F.col(id_col) != F.col(wanted_id)).select(wanted_id, id_col, sim.alias("similarity"))
-    local = Window.partitionBy(wanted_id, "_t").orderBy(F.desc("similarity"), id_col)
-    whole = Window.partitionBy(wanted_id).orderBy(F.desc("similarity"), id_col)
-    some = pairs.withColumn("_t", F.pmod(F.xxhash64(id_col), F.lit(64))).withColumn("_r", F.row_number().over(local)).where(F.col("_r") <= k)
-    return some.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k).select(wanted_id, id_col, "similarity", "rank", (F.col("similarity") >= MATCH).alias("candidate"))
+    cell = lambda c: F.floor(F.col(c) / side).cast("int")
+
+    def filed(df, p):
+        return df.withColumn("_cx", F.explode(F.sequence(cell(f"{p}1"), cell(f"{p}3")))).withColumn("_cy", F.explode(F.sequence(cell(f"{p}2"), cell(f"{p}4"))))
+
+    here = filed(boxes, "x").join(filed(truth, "y"), ["clip", "_cx", "_cy"])
+    once = (F.col("_cx") == F.greatest(cell("x1"), cell("y1"))) & (F.col("_cy") == F.greatest(cell("x2"), cell("y2")))
+    return here.where(once).withColumn("o", iou(box("x"), box("y"))).where((F.col("o") > 0) & (F.col("o") >= least)).select("clip", "id", "tid", "o")
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,17 +19,24 @@ def cluster_label(frames: DataFrame, slots: DataFrame, offset: str, base: int, s
     return joined.withColumn("label", label).drop("_a", "_b", "channel")
 
 
-def range_label(streams: DataFrame, index: DataFrame, block: str, start: str, end: str, slack: int) -> DataFrame:
+def range_label(streams: DataFrame, index: DataFrame, block: str, start: str, end: str, slack: int, width: int | None = None) -> DataFrame:
     """(stream columns, label): the first record, by start then place, of the same block whose span holds the stream; stale_tail before the block's earliest record; else outside_index.
 
-    ``index`` has (block, channel, start, end, at). Blocks hold few records each; the join is on the block.
+    ``index`` has (block, channel, start, end, at). Records and streams meet by buckets of time, each stream in the
+    bucket of its own start alone, so neither a block with many records nor its streams are held together.
     """
-    records = index.groupBy(F.col("block").alias("_b")).agg(F.array_sort(F.collect_list(F.struct("start", "at", "end", "channel"))).alias("_r"))
-    joined = streams.join(records, F.col(block) == F.col("_b"), "left")
-    fits = F.filter("_r", lambda r: (r["start"] - slack <= F.col(start)) & (F.col(end) <= r["end"] + slack))
-    label = F.when(F.size(fits) > 0, F.concat(F.lit("CH"), F.lpad(F.get(fits, F.lit(0))["channel"].cast("string"), 2, "0")))
-    label = label.when(F.col(end) < F.get(F.col("_r"), F.lit(0))["start"] - slack, "stale_tail").otherwise("outside_index")
-    return joined.withColumn("label", label).drop("_b", "_r")
+    width = width or max(1, 64 * slack)
+    bucket = lambda c: F.floor(c / width).cast("bigint")
+    asked = streams.select(F.col(block).alias("_b"), F.col(start).alias("_a"), F.col(end).alias("_z")).distinct()
+    spans = index.select(F.col("block").alias("_rb"), "channel", (F.col("start") - slack).alias("_s"), (F.col("end") + slack).alias("_e"), "start", "at").where("_e >= _s")
+    spans = spans.withColumn("_rk", F.explode(F.sequence(bucket(F.col("_s")), bucket(F.col("_e")))))
+    fits = asked.join(spans, (F.col("_b") == F.col("_rb")) & (bucket(F.col("_a")) == F.col("_rk")) & (F.col("_s") <= F.col("_a")) & (F.col("_z") <= F.col("_e")))
+    first = fits.groupBy(F.col("_b").alias("_fb"), F.col("_a").alias("_fa"), F.col("_z").alias("_fz")).agg(F.min_by("channel", F.struct("start", "at")).alias("_c"))
+    earliest = index.groupBy(F.col("block").alias("_eb")).agg(F.min("start").alias("_first"))
+    joined = streams.join(first, (F.col(block) == F.col("_fb")) & (F.col(start) == F.col("_fa")) & (F.col(end) == F.col("_fz")), "left").join(earliest, F.col(block) == F.col("_eb"), "left")
+    label = F.when(F.col("_c").isNotNull(), F.concat(F.lit("CH"), F.lpad(F.col("_c").cast("string"), 2, "0")))
+    label = label.when(F.col(end) < F.col("_first") - slack, "stale_tail").otherwise("outside_index")
+    return joined.withColumn("label", label).drop("_fb", "_fa", "_fz", "_c", "_eb", "_first")
 
 
 def majority_label(tallies: DataFrame, stream: str, label: str, n: str, share: float = 0.9) -> DataFrame:
@@ -47,23 +53,25 @@ def digest_matches(ours: DataFrame, theirs: DataFrame, least: int) -> DataFrame:
     return a.join(b.select("digest", F.col("source").alias("other"), F.col("pos").alias("other_pos")), "digest").select("source", "pos", "other", "other_pos")
 
 
-def increasing_chain(values: list[int]) -> list[int]:
-    """Indexes of a longest strictly increasing subsequence."""
-    ends: list[int] = []
-    at: list[int] = []
-    back: list[int] = []
-    for k, v in enumerate(values):
-        j = bisect_left(ends, v)
-        back.append(at[j - 1] if j else -1)
-        if j == len(ends):
-            ends.append(v), at.append(k)
-        else:
-            ends[j], at[j] = v, k
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(k)
-        k = back[k]
-    return out[::-1]
+def increasing_chain(values) -> list[int]:
+    """Indexes of a longest strictly increasing subsequence.
+
+    The length of the longest one that ends at each value comes from a sorted array of the smallest last values; the
+    chain is then picked from the back, one value of each length.
+    """
+    values = np.asarray(values)
+    smallest = np.full(len(values), np.iinfo(np.int64).max)
+    length = np.zeros(len(values), np.int64)
+    for k, v in enumerate(values.tolist()):
+        length[k] = np.searchsorted(smallest, v) + 1
+        smallest[length[k] - 1] = v
+    chain: list[int] = []
+    want, below = int(length.max(initial=0)), np.inf
+    for k in range(len(values) - 1, -1, -1):
+        if length[k] == want and values[k] < below:
+            chain.append(k)
+            want, below = want - 1, values[k]
+    return chain[::-1]
 
 
 def longest_chains(anchors: DataFrame, source: str, pos: str, other_pos: str) -> DataFrame:

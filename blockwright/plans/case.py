@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.columns import US, micros, packed_date, pack_date, solar_elevation, epoch_guess, to_utc, wrapped_difference
-from ..operators import carve, intervals
+from ..functions.columns import US, micros, packed_date, pack_date, epoch_guess, to_utc, wrapped_difference
+from ..operators import carve, daylight, intervals
 from .common import RECORDINGS, recordings, table
 
 DAY = 86_400 * US
@@ -26,10 +26,10 @@ def by_month(spark, d) -> DataFrame:
 
 
 def case_overlap(spark, d) -> DataFrame:
-    """Pairs of recorders (nations of customers) whose order spans share a minute or more, each pair once."""
+    """Pairs of recorders (nations of customers) whose yearly order spans share a minute or more, each pair once."""
     o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     t = micros(F.col("o_orderdate"))
-    spans = o.groupBy("c_nationkey", F.year("o_orderdate").alias("y")).agg(F.min(t).alias("s"), F.max(t).alias("e")).where("c_nationkey % 5 = y % 5")
+    spans = o.groupBy("c_nationkey", F.year("o_orderdate").alias("y")).agg(F.min(t).alias("s"), F.max(t).alias("e"))
     a = spans.select(F.col("c_nationkey").alias("a"), "s", "e")
     b = spans.select(F.col("c_nationkey").alias("b"), F.col("s").alias("bs"), F.col("e").alias("be"))
     pairs = intervals.overlap_join(a, b, "s", "e", "bs", "be", 90 * DAY).where("a < b")
@@ -67,12 +67,18 @@ def epoch_units(spark, d) -> DataFrame:
     return rec.select("event_id", epoch_guess(raw.cast("bigint")).alias("t_us"))
 
 
-def daylight(spark, d) -> DataFrame:
-    """Clock offset, in steps of half an hour, that makes the sun's height at hour marks most alike: rounded, for the first events of every type."""
-    t = recordings(spark, d).groupBy("camera").agg(F.min("s").alias("s"))
-    trial = t.crossJoin(F.broadcast(spark.range(-28, 29).select((F.col("id") * 30).cast("int").alias("offset_min"))))
-    height = solar_elevation(F.col("s") - F.col("offset_min").cast("bigint") * 60 * US, 13.08, 80.27)
-    return trial.groupBy("offset_min").agg(F.round(F.avg(height), 4).alias("mean_height"), F.round(F.stddev_pop(height), 4).alias("spread"))
+def switches(spark, d) -> DataFrame:
+    """Dawns and dusks of each camera's days with recordings, by a clock five and a half hours ahead of UTC."""
+    days = recordings(spark, d).select("camera", F.floor(F.col("s") / DAY).cast("bigint").alias("day")).distinct()
+    at = lambda hours, jitter: F.col("day") * DAY + int(hours * 3600) * US + F.pmod(F.col("day") * jitter, F.lit(7)) * (60 * US)
+    kinds = F.array(F.struct(F.lit("dawn").alias("kind"), at(6.2, 3).alias("at_us")), F.struct(F.lit("dusk").alias("kind"), at(18.3, 5).alias("at_us")))
+    return days.select("camera", F.explode(kinds).alias("k")).select("camera", "k.kind", "k.at_us")
+
+
+def clock_from_daylight(spark, d) -> DataFrame:
+    """Each camera's clock offset from UTC by its light switches, at one place."""
+    got = daylight.clock_offset(switches(spark, d), "camera", 13.08, 80.27)
+    return got.select("camera", "events", "offset_min", F.round("elevation", 2).alias("elevation"), F.round("spread", 2).alias("spread"), "median", "low_quartile", "high_quartile", "least", "most")
 
 
 def clock_wraps(spark, d) -> DataFrame:
@@ -83,11 +89,11 @@ def clock_wraps(spark, d) -> DataFrame:
 
 
 def block_kernels(spark, d) -> DataFrame:
-    """Per-block facts of documents as blocks: hash, length, start codes and checks."""
-    b = F.col("text").cast("binary")
-    return table(spark, d, "documents").select(
-        "doc_id", F.octet_length("text").alias("length"), F.sha2(b, 256).alias("sha256"), F.md5(b).alias("md5"),
-        F.regexp_count("text", F.lit("\\n")).alias("breaks"), F.bit_length("text").alias("bits"),
+    """Per-block facts of pages as blocks: hashes, length, and start codes, for which an opening tag stands in."""
+    b = F.col("html").cast("binary")
+    return table(spark, d, "pages").select(
+        "page_id", F.octet_length("html").alias("length"), F.sha2(b, 256).alias("sha256"), F.md5(b).alias("md5"),
+        F.regexp_count("html", F.lit("<p>")).alias("start_codes"), F.bit_length("html").alias("bits"),
     )
 
 
@@ -97,15 +103,19 @@ def python_kernels(spark, d) -> DataFrame:
     return b.select("doc_id", kernels.incompressibility_udf("b").alias("incompressibility"), kernels.census_udf("b")["start_codes"].alias("start_codes"), kernels.sample_kind_udf("b").alias("kind"), kernels.container_udf("b").alias("container"), kernels.adler32_udf("b").alias("adler32"))
 
 
-def carved_streams(spark, d) -> DataFrame:
-    """Carve over frame headers made of events: a user's decade is a volume, event types alternate as cameras."""
-    rec = recordings(spark, d).where("camera in ('view', 'click')")
-    frames = rec.select(
+def frame_rows(spark, d) -> DataFrame:
+    """Frame headers made of events: a stretch of thirty users is a volume, event types alternate as cameras."""
+    rec = recordings(spark, d)
+    lane = F.pmod(F.xxhash64("camera"), F.lit(5)) * 100_000
+    return rec.select(
         F.floor(F.col("user_id") / 30).cast("bigint").alias("volume"), (F.col("event_id") * 4096).alias("offset"), F.when(F.col("event_id") % 12 == 0, 0xFD).otherwise(0xFC).cast("int").alias("ftype"),
-        (F.col("event_id") * 2 + F.when(F.col("camera") == "view", 100_000).otherwise(0)).alias("frame_number"), F.lit(4096).cast("bigint").alias("length"),
+        (F.col("event_id") * 2 + lane).alias("frame_number"), F.lit(4096).cast("bigint").alias("length"),
         pack_date(F.timestamp_micros(F.floor(F.col("event_id") / 20).cast("bigint") * US + 1_700_000_000 * US).cast("timestamp_ntz")).alias("date"), F.pmod(F.col("event_id") * 40, F.lit(65536)).cast("int").alias("ms"), F.lit(0).alias("ext_length"),
     )
-    return carve.carve_streams(frames).select("volume", "sid", "first_offset", "frames", "bytes", F.size("extents").alias("extents"), "kept")
+
+
+def carved_streams(spark, d) -> DataFrame:
+    return carve.carve_streams(frame_rows(spark, d)).select("volume", "sid", "first_offset", "frames", "bytes", F.size("extents").alias("extents"), "kept")
 
 
 def device_models(spark, d) -> DataFrame:
@@ -163,8 +173,8 @@ def slice_histogram(spark, d) -> DataFrame:
 
 
 def preserved_blocks(spark, d) -> DataFrame:
-    """Blocks that named regions touch, each once, with the number of regions: long recordings over hours."""
-    rec = recordings(spark, d).where("e - s > 90000000")
+    """Blocks that named regions touch, each once, with the number of regions: recordings over hours."""
+    rec = recordings(spark, d)
     hour = 3600 * US
     hit = rec.select("event_id", F.explode(F.sequence(F.floor(F.col("s") / hour), F.floor((F.col("e") - 1) / hour))).alias("block"))
     return hit.groupBy("block").agg(F.count("*").alias("regions"), F.min("event_id").alias("first_region"))
@@ -188,7 +198,7 @@ def stage_plan(spark, d) -> DataFrame:
 
 QUERIES = {
     "a35_case_rollup": case_rollup, "a35_a42_by_month": by_month, "j10_case_overlap": case_overlap, "v2_shared_axis": shared_axis, "fn_utc_clock": utc_clock, "fn_packed_dates": packed_dates,
-    "fn_epoch_units": epoch_units, "j9_daylight": daylight, "fn_clock_wraps": clock_wraps, "b1_b4_block_kernels": block_kernels, "b3_b5_b9_b13_b14_python_kernels": python_kernels, "o4_carved_streams": carved_streams,
+    "fn_epoch_units": epoch_units, "j9_daylight": clock_from_daylight, "fn_clock_wraps": clock_wraps, "b1_b4_block_kernels": block_kernels, "b3_b5_b9_b13_b14_python_kernels": python_kernels, "o4_carved_streams": carved_streams,
     "fn_device_models": device_models, "j27_vendor_matrix": vendor_matrix, "q5_j25_requests": requests_by_user, "q6_t8_newest_request": newest_request, "q7_overdue": overdue, "q9_o22_latest_state": latest_state,
     "a38_audit_counts": audit_counts, "a39_slice_histogram": slice_histogram, "s20_u5_preserved_blocks": preserved_blocks, "f13_visible_cases": visible_cases, "v10_stage_plan": stage_plan,
 }
@@ -196,13 +206,13 @@ QUERIES = {
 ORACLE_SQL = {
     "a35_case_rollup": "SELECT l_returnflag, l_linestatus, count(DISTINCT l_orderkey) AS streams, count(*) AS frames, CAST(sum(CAST(trunc(l_quantity) AS BIGINT)) AS BIGINT) AS bytes FROM lineitem GROUP BY 1, 2",
     "a35_a42_by_month": "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS closed FROM orders GROUP BY ROLLUP (year(o_orderdate), month(o_orderdate))",
-    "j10_case_overlap": f"WITH s AS (SELECT c_nationkey AS k, year(o_orderdate) AS y, min(epoch_us(o_orderdate)) AS s, max(epoch_us(o_orderdate)) AS e FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 HAVING k % 5 = y % 5) SELECT a.k AS a, b.k AS b, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS shared_us, count(*) AS stretches FROM s a JOIN s b ON a.k < b.k AND least(a.e, b.e) - greatest(a.s, b.s) >= {60 * US} GROUP BY 1, 2",
+    "j10_case_overlap": f"WITH s AS (SELECT c_nationkey AS k, year(o_orderdate) AS y, min(epoch_us(o_orderdate)) AS s, max(epoch_us(o_orderdate)) AS e FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) SELECT a.k AS a, b.k AS b, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s)) AS BIGINT) AS shared_us, count(*) AS stretches FROM s a JOIN s b ON a.k < b.k AND least(a.e, b.e) - greatest(a.s, b.s) >= {60 * US} GROUP BY 1, 2",
     "v2_shared_axis": "WITH j AS (SELECT n_regionkey, n_nationkey, bool_or(s_acctbal <= 0) AS lacks FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2) SELECT n_regionkey, NOT bool_or(lacks) AS shared, coalesce(string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_nationkey) FILTER (WHERE lacks), '') AS missing FROM j GROUP BY 1",
     "fn_utc_clock": f"WITH {RECORDINGS} SELECT event_id, s - CASE WHEN user_id % 3 = 0 THEN 7 ELSE 0 END * {US} - CASE WHEN user_id % 4 <> 3 THEN (user_id % 5 - 2) * 30 END * 60 * {US} AS utc_us FROM rec",
     "fn_packed_dates": "SELECT event_id, CAST(second(ts) + minute(ts) * 64 + hour(ts) * 4096 + day(ts) * 131072 + month(ts) * 4194304 + (year(ts) - 2000) * 67108864 AS BIGINT) AS packed, event_id % 50 <> 0 AS same FROM events",
     "fn_epoch_units": f"WITH {RECORDINGS} SELECT event_id, CASE event_id % 4 WHEN 0 THEN s // {US} * {US} WHEN 1 THEN s // 1000 * 1000 WHEN 2 THEN s END AS t_us FROM rec",
     "fn_clock_wraps": "WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem), v AS (SELECT l_suppkey, l_orderkey * 977 % 65536 AS a, l_partkey * 1009 % 65536 AS b FROM l), w AS (SELECT l_suppkey, (a - b + 32768 + 65536) % 65536 - 32768 AS d16, ((a - b) * 131072 + 4294967296 + 8589934592) % 8589934592 - 4294967296 AS d33 FROM v) SELECT l_suppkey, CAST(sum(d16) AS BIGINT) AS sum16, max(d33) AS max33 FROM w GROUP BY 1",
-    "b1_b4_block_kernels": "SELECT doc_id, CAST(strlen(text) AS INTEGER) AS length, sha256(text) AS sha256, md5(text) AS md5, CAST(len(text) - len(replace(text, chr(10), '')) AS INTEGER) AS breaks, CAST(strlen(text) * 8 AS INTEGER) AS bits FROM documents",
+    "b1_b4_block_kernels": "SELECT page_id, CAST(strlen(html) AS INTEGER) AS length, sha256(html) AS sha256, md5(html) AS md5, len(regexp_extract_all(html, '<p>')) AS start_codes, CAST(strlen(html) * 8 AS INTEGER) AS bits FROM pages",
     "fn_device_models": r"WITH p AS (SELECT upper(p_type) AS t FROM part), f AS (SELECT CASE WHEN regexp_matches(t, '\bSTEEL\b') THEN 'metal' WHEN regexp_matches(t, '\b(BRASS|COPPER)\b') THEN 'alloy' WHEN regexp_matches(t, '^(LARGE|SMALL)') THEN 'sized' ELSE 'other' END AS family, t, count(*) AS n FROM p GROUP BY 1, 2) SELECT family, count(*) AS models, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (WHERE n <= 1 AND length(t) <= 8) AS by_chance FROM f GROUP BY 1",
     "j27_vendor_matrix": "WITH o AS (SELECT s_nationkey AS k, count(*) AS own FROM supplier GROUP BY 1), w AS (SELECT n_regionkey AS r, count(*) AS wide FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) SELECT n_nationkey, coalesce(own, wide, 0) AS suppliers, own IS NULL AS fallback FROM nation LEFT JOIN o ON k = n_nationkey LEFT JOIN w ON r = n_regionkey",
     "q5_j25_requests": "SELECT o_orderkey, c_name, o_orderstatus, epoch_us(o_orderdate) AS t FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('O', 'P') ORDER BY t DESC, o_orderkey DESC LIMIT 100",
@@ -211,7 +221,7 @@ ORACLE_SQL = {
     "q9_o22_latest_state": "WITH l AS (SELECT l_orderkey, l_linenumber, min(l_linestatus) AS v FROM lineitem GROUP BY 1, 2), o AS (SELECT l_orderkey, min(l_linenumber) FILTER (WHERE v = 'O') AS first_open FROM l GROUP BY 1) SELECT l_orderkey, CASE WHEN any_value(first_open) IS NULL THEN 'new' WHEN count(*) FILTER (WHERE v = 'F' AND l_linenumber > first_open) > 0 THEN 'closed' ELSE 'open' END AS state FROM l JOIN o USING (l_orderkey) GROUP BY 1",
     "a38_audit_counts": "SELECT event_type, props->>'$.k' AS k, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2",
     "a39_slice_histogram": "WITH p AS (SELECT count(*) AS slices FROM lineitem GROUP BY l_orderkey) SELECT slices, count(*) AS frames FROM p GROUP BY 1",
-    "s20_u5_preserved_blocks": f"WITH {RECORDINGS}, h AS (SELECT event_id, unnest(range(s // {3600 * US}, (e - 1) // {3600 * US} + 1)) AS block FROM rec WHERE e - s > 90000000) SELECT block, count(*) AS regions, min(event_id) AS first_region FROM h GROUP BY 1",
+    "s20_u5_preserved_blocks": f"WITH {RECORDINGS}, h AS (SELECT event_id, unnest(range(s // {3600 * US}, (e - 1) // {3600 * US} + 1)) AS block FROM rec) SELECT block, count(*) AS regions, min(event_id) AS first_region FROM h GROUP BY 1",
     "f13_visible_cases": "SELECT role, count(*) AS cases FROM nation, (VALUES ('examiner'), ('viewer'), ('nobody')) AS r(role) WHERE role = 'examiner' OR (role = 'viewer' AND n_regionkey % 2 = 0) GROUP BY 1",
     "v10_stage_plan": "WITH l AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS hits FROM lineitem GROUP BY 1) SELECT concat_ws('+', 'scan', CASE WHEN hits::DOUBLE / n >= 0.25 THEN 'parse' END, CASE WHEN n > 580 THEN 'carve' END, CASE WHEN hits::DOUBLE / n >= 0.25 AND n > 580 THEN 'timeline' END) AS plan, count(*) AS suppliers FROM l GROUP BY 1",
 }

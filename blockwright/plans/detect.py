@@ -117,9 +117,9 @@ def token_survey(spark, d) -> DataFrame:
 
 
 def token_gaps(spark, d) -> DataFrame:
-    """Commonest distance, in words, between neighbouring places of the survey's frequent short words."""
+    """Commonest distance, in words, between neighbouring places of each word."""
     words = table(spark, d, "documents").select(F.col("doc_id").alias("sample"), F.posexplode(F.split("text", " ")).alias("at", "token"))
-    return detect.modal_gap(words.where("token in ('the', 'of', 'and', 'de', 'la', 'der')"), "token", "sample", "at")
+    return detect.modal_gap(words.where("token <> ''"), "token", "sample", "at")
 
 
 def string_census(spark, d) -> DataFrame:
@@ -158,7 +158,7 @@ ORACLE_SQL = {
     "b7_a6_codec_totals": f"WITH {_BLOCKS}, t AS (SELECT CAST(sum(start_codes) AS BIGINT) AS start_codes, CAST(sum(hits) AS BIGINT) AS sps, count(*) FILTER (WHERE density > 0.9) AS hevc_ps FROM b) SELECT *, CASE WHEN hevc_ps > sps AND hevc_ps > 0 THEN 'h265' WHEN sps > 0 OR start_codes > 1000 THEN 'h264' ELSE '' END AS likely FROM t",
     "j11_map_diff": _DIFF + " SELECT * FROM diff WHERE state IS NOT NULL",
     "w7_changed_runs": _DIFF + ", c AS (SELECT block, state AS kind FROM diff WHERE state = 'changed'), " + _RUNS + " SELECT min(block) AS run, count(*) AS blocks, count(*) AS bytes FROM r GROUP BY run_",
-    "a23_token_survey": "WITH t AS (SELECT doc_id AS sample, unnest(regexp_extract_all(text, '[a-z]{2,}')) AS token FROM documents), c AS (SELECT token, count(*) AS n, count(DISTINCT sample) AS in_samples FROM t GROUP BY 1), m AS (SELECT list_sort(list(n))[count(*) // 2 + 1] AS median FROM c), k AS (SELECT count(*) AS samples FROM documents) SELECT token, n, in_samples, median FROM c, m, k WHERE n >= 50 AND in_samples >= 0.1::DOUBLE * samples AND n >= 20 * median",
-    "a24_token_gaps": "WITH w AS (SELECT doc_id AS sample, k, string_split(text, ' ')[k] AS token FROM documents, unnest(range(1, len(string_split(text, ' ')) + 1)) AS t(k)), g AS (SELECT token, lead(k) OVER (PARTITION BY token, sample ORDER BY k) - k AS gap FROM w WHERE token IN ('the', 'of', 'and', 'de', 'la', 'der')), c AS (SELECT token, gap, count(*) AS times FROM g WHERE gap IS NOT NULL GROUP BY 1, 2) SELECT token, CAST(arg_max(gap, times * 1000000 - gap) AS INTEGER) AS gap, max(times) AS times, CAST(sum(times) AS BIGINT) AS places FROM c GROUP BY 1",
+    "a23_token_survey": "WITH t AS (SELECT doc_id AS sample, unnest(regexp_extract_all(text, '[a-z]{2,}')) AS token FROM documents), c AS (SELECT token, count(*) AS n, count(DISTINCT sample) AS in_samples FROM t GROUP BY 1), m AS (SELECT n AS median FROM c ORDER BY n LIMIT 1 OFFSET (SELECT count(*) // 2 FROM c)), k AS (SELECT count(*) AS samples FROM documents) SELECT token, n, in_samples, median FROM c, m, k WHERE n >= 50 AND in_samples >= 0.1::DOUBLE * samples AND n >= 20 * median",
+    "a24_token_gaps": "WITH w AS (SELECT doc_id AS sample, k, string_split(text, ' ')[k] AS token FROM documents, unnest(range(1, len(string_split(text, ' ')) + 1)) AS t(k)), g AS (SELECT token, lead(k) OVER (PARTITION BY token, sample ORDER BY k) - k AS gap FROM w WHERE token <> ''), c AS (SELECT token, gap, count(*) AS times FROM g WHERE gap IS NOT NULL GROUP BY 1, 2) SELECT token, CAST(arg_max(gap, times * 1000000 - gap) AS INTEGER) AS gap, max(times) AS times, CAST(sum(times) AS BIGINT) AS places FROM c GROUP BY 1",
     "a25_string_census": "WITH r AS (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]{12,}')) AS string FROM documents) SELECT string, count(*) AS n FROM r GROUP BY 1 HAVING n >= 2 AND len(list_distinct(string_split(string, ''))) >= 4 ORDER BY n DESC, string LIMIT 40",
 }

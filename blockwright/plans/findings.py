@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import US, micros, upper_median
-from ..operators import intervals, sequence
+from ..operators import daylight, intervals, sequence
 from .common import RECORDINGS, recordings, table
 
 DAY, HOUR = 86_400 * US, 3600 * US
@@ -67,14 +63,10 @@ def picture_runs(spark, d) -> DataFrame:
 
 
 def light_switches(spark, d) -> DataFrame:
-    """Changes between colour and infra-red that last: runs of three readings or more, no further apart than thirty days, with the middle of the change."""
-    rec = recordings(spark, d).withColumn("ir", (F.col("user_id") % 4 == 0) | (F.floor(F.col("s") / (20 * DAY)) % 2 == 0))
-    prev = sequence.with_previous(rec, ["camera"], "s", ["event_id"], ["ir", "s"])
-    run = sequence.runs(prev, ["camera"], "s", ["event_id"], F.col("ir") != F.col("prev_ir"), "run")
-    runs = run.groupBy("camera", "run").agg(F.count("*").alias("n"), F.min("s").alias("a"), F.max("s").alias("b"), F.bool_or("ir").alias("ir")).where("n >= 3")
-    before = sequence.with_previous(runs, ["camera"], "a", [], ["b", "ir"], stretch=365 * DAY)
-    change = before.where((F.col("prev_ir") != F.col("ir")) & (F.col("a") - F.col("prev_b") <= 30 * DAY))
-    return change.select("camera", F.when(F.col("ir"), "dusk").otherwise("dawn").alias("kind"), F.floor((F.col("a") + F.col("prev_b")) / 2).cast("bigint").alias("at_us"), (F.col("a") - F.col("prev_b")).alias("uncertainty_us"))
+    """Changes between colour and infra-red that last three readings and are no further apart than thirty days, with the middle of the change."""
+    rec = recordings(spark, d)
+    infrared = (F.col("user_id") % 4 == 0) | (F.floor(F.col("s") / (20 * DAY)) % 2 == 0)
+    return daylight.light_switches(rec, "camera", "s", ["event_id"], infrared, gap=30 * DAY)
 
 
 def model_checks(spark, d) -> DataFrame:
@@ -122,7 +114,7 @@ def labelled_thumbs(spark, d) -> DataFrame:
     """Pictures with the labels seen at their clip and time."""
     e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 20).alias("clip"), F.floor(F.col("vec_id") / 60).cast("bigint").alias("t"), (F.col("label") % 5).alias("label"))
     seen = e.where("label > 0").groupBy("clip", "t").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_set("label")), lambda x: x.cast("string"))).alias("labels"))
-    return e.where("vec_id % 13 = 0").join(seen, ["clip", "t"], "left").select("vec_id", "clip", "t", F.coalesce("labels", F.lit("")).alias("labels"))
+    return e.join(seen, ["clip", "t"], "left").select("vec_id", "clip", "t", F.coalesce("labels", F.lit("")).alias("labels"))
 
 
 def earlier_runs(spark, d) -> DataFrame:
@@ -170,33 +162,36 @@ def frequent_heads(spark, d) -> DataFrame:
     return some.withColumn("rank", F.row_number().over(whole)).where("rank <= 8").select("w", "n", "rank", "doc_id", "at")
 
 
-def graph(spark, d) -> DataFrame:
-    """Nodes of a linked-data export: identifiers that depend on the content alone, with links to their parts."""
-    space = uuid.UUID("6ba7b812-9dad-11d1-80b4-00c04fd430c8")
+#: Name space of identifiers (fixed value).
+SPACE = "6ba7b812-9dad-11d1-80b4-00c04fd430c8"
 
-    @F.pandas_udf(T.StringType())
-    def name(key):
-        return key.map(lambda k: f"urn:uuid:{uuid.uuid5(space, k)}")
 
-    n = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    node = F.to_json(F.struct(name(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string"))).alias("@id"), F.lit("Recorder").alias("@type"), F.col("n_name").alias("name"), F.struct(name(F.concat(F.lit("region/"), F.col("n_regionkey").cast("string"))).alias("@id")).alias("partOf")))
-    return n.select("n_nationkey", node.alias("node"))
+def name_uuid(name: Column, space: str = SPACE) -> Column:
+    """The version-5 UUID of a name, as a URN: it depends on the name alone."""
+    h = F.sha1(F.concat(F.unhex(F.lit(space.replace("-", ""))), name.cast("binary")))
+    variant = F.substring(F.lit("89ab"), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)))
 
 
-def graph_checked(rows) -> bool:
-    """Whether each node is JSON with an identifier; for tests."""
-    return all(json.loads(r["node"])["@id"].startswith("urn:uuid:") for r in rows)
+def graph(spark, d) -> DataFrame:
+    """Nodes of a linked-data export, a recorder for every customer: identifiers that depend on the content alone, with links to the nations that they are part of."""
+    node = F.to_json(F.struct(name_uuid(F.concat(F.lit("recorder/"), F.col("c_custkey").cast("string"))).alias("@id"), F.lit("Recorder").alias("@type"), F.col("c_name").alias("name"), F.struct(name_uuid(F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string"))).alias("@id")).alias("partOf")))
+    return table(spark, d, "customer").select("c_custkey", node.alias("node"))
 
 
 def lost_intervals(spark, d) -> DataFrame:
-    """Time that neither of two recorders covers: gaps of the union of purchases and clicks longer than an hour."""
-    rec = recordings(spark, d).where("camera in ('purchase', 'click')").withColumn("lane", F.lit("both"))
-    return intervals.gaps(rec, "lane", "s", "e", "event_id", HOUR).select("gap_start", "gap_end")
+    """Time that no recorder covers: gaps of the union of all recordings longer than five minutes."""
+    rec = recordings(spark, d).withColumn("lane", F.lit("all"))
+    return intervals.gaps(rec, "lane", "s", "e", "event_id", 300 * US).select("gap_start", "gap_end")
 
 
 _SWITCH = f"""WITH {RECORDINGS}, i AS (SELECT *, user_id % 4 = 0 OR (s // {20 * DAY}) % 2 = 0 AS ir FROM rec), p AS (SELECT *, lag(ir) OVER (PARTITION BY camera ORDER BY s, event_id) AS pir FROM i),
-    r AS (SELECT *, sum(CASE WHEN pir IS NULL OR pir <> ir THEN 1 ELSE 0 END) OVER (PARTITION BY camera ORDER BY s, event_id) AS k FROM p), g AS (SELECT camera, k, count(*) AS n, min(s) AS a, max(s) AS b, bool_or(ir) AS ir FROM r GROUP BY 1, 2 HAVING n >= 3),
-    q AS (SELECT *, lag(b) OVER w AS pb, lag(ir) OVER w AS pi FROM g WINDOW w AS (PARTITION BY camera ORDER BY a))"""
+    r AS (SELECT *, sum(CASE WHEN pir IS NULL OR pir <> ir THEN 1 ELSE 0 END) OVER (PARTITION BY camera ORDER BY s, event_id) AS k FROM p), g AS (SELECT camera, k, count(*) AS n, min(s) AS a, max(s) AS b, bool_or(ir) AS ir FROM r GROUP BY 1, 2),
+    f AS (SELECT *, n >= 3 OR row_number() OVER (PARTITION BY camera ORDER BY a) = 1 AS firm FROM g), l AS (SELECT *, last_value(CASE WHEN firm THEN ir END IGNORE NULLS) OVER (PARTITION BY camera ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_ FROM f),
+    o AS (SELECT *, sum(CASE WHEN firm AND (before_ IS NULL OR before_ <> ir) THEN 1 ELSE 0 END) OVER (PARTITION BY camera ORDER BY a) AS m FROM l), h AS (SELECT camera, m, sum(n) AS n, min(a) AS a, max(b) AS b, arg_min(ir, a) AS ir FROM o GROUP BY 1, 2),
+    q AS (SELECT *, lag(b) OVER w AS pb, lag(n) OVER w AS pn FROM h WINDOW w AS (PARTITION BY camera ORDER BY a))"""
+
+_UUID = "'urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
 
 QUERIES = {
     "a15_index_coverage": index_coverage, "a18_log_summary": log_summary, "a27_band_calibration": band_calibration, "a28_clock_tally": clock_tally, "a36_totals": totals, "a37_stage_status": stage_status,
@@ -213,17 +208,18 @@ ORACLE_SQL = {
     "a36_totals": "SELECT count(*) AS recordings, count(DISTINCT o_custkey) AS recorders, min(epoch_us(o_orderdate)) AS first_us, max(epoch_us(o_orderdate)) AS last_us, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes FROM orders",
     "a37_stage_status": "WITH c AS (SELECT o_custkey, bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'O') AS o, count(*) AS n FROM orders GROUP BY 1) SELECT CASE WHEN f AND o THEN 'complete' WHEN o THEN 'running' WHEN n >= 5 THEN 'stalled' ELSE 'waiting' END AS state, count(*) AS cases FROM c GROUP BY 1",
     "w12_picture_runs": f"WITH l AS (SELECT l_suppkey, l_orderkey, max(l_linenumber) AS size, min(epoch_us(l_shipdate)) AS t FROM lineitem GROUP BY 1, 2), p AS (SELECT *, lag(l_orderkey) OVER w AS po, lag(size) OVER w AS ps, lag(t) OVER w AS pt FROM l WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey)), r AS (SELECT *, sum(CASE WHEN po IS NULL OR l_orderkey - po > 100 OR abs(t - pt) > {900 * DAY} OR size <> ps THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS k FROM p) SELECT l_suppkey, min(l_orderkey) AS run, count(*) AS frames, max(l_orderkey) AS last FROM r GROUP BY l_suppkey, k",
-    "w16_light_switches": _SWITCH + f" SELECT camera, CASE WHEN ir THEN 'dusk' ELSE 'dawn' END AS kind, (a + pb) // 2 AS at_us, a - pb AS uncertainty_us FROM q WHERE pi <> ir AND a - pb <= {30 * DAY}",
+    "w16_light_switches": _SWITCH + f" SELECT camera, CASE WHEN ir THEN 'dusk' ELSE 'dawn' END AS kind, pb + (a - pb) // 2 AS at_us, (a - pb) // 2 AS uncertainty_us FROM q WHERE n >= 3 AND pn >= 3 AND a - pb <= {30 * DAY}",
     "v1_model_checks": "WITH o AS (SELECT o_custkey, count(*) % 5 AS found FROM orders GROUP BY 1), b AS (SELECT CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 5 END AS stated, found FROM customer LEFT JOIN o ON c_custkey = o_custkey) SELECT CASE WHEN stated IS NULL OR found IS NULL THEN 'not determined' WHEN stated = found THEN 'agree' ELSE 'differ' END AS verdict, count(*) AS n FROM b GROUP BY 1",
     "v3_master_checks": "WITH c AS (SELECT 'price is within bounds' AS \"check\", l_extendedprice >= l_quantity AS ok FROM lineitem UNION ALL SELECT 'discount below tax ceiling', l_discount <= 0.1::DOUBLE FROM lineitem UNION ALL SELECT 'returned lines are finished', CASE WHEN l_returnflag = 'R' THEN l_linestatus = 'F' END FROM lineitem) SELECT \"check\", count(*) FILTER (WHERE ok) AS holds, count(*) FILTER (WHERE NOT ok) AS fails, count(*) FILTER (WHERE ok IS NULL) AS unknown FROM c GROUP BY 1",
     "v5_default_clock": f"WITH {RECORDINGS} SELECT camera, count(*) AS at_default FROM rec WHERE s <= (SELECT min(s) FROM rec) + {3 * DAY} GROUP BY 1",
     "v11_statement_coverage": "SELECT CASE WHEN doc_id % 5 = 0 THEN 'not stated' WHEN doc_id % 11 <> 0 THEN 'covered' ELSE 'altered' END AS state, count(*) AS files, min(doc_id) AS first FROM documents GROUP BY 1",
     "v9_whole_drive_hashes": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE length(text) - CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END = n_chars",
-    "j20_labelled_thumbs": "WITH e AS (SELECT vec_id, vec_id % 20 AS clip, vec_id // 60 AS t, label % 5 AS label FROM embeddings), s AS (SELECT clip, t, string_agg(label::VARCHAR, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT clip, t, label FROM e WHERE label > 0) GROUP BY 1, 2) SELECT vec_id, clip, t, coalesce(labels, '') AS labels FROM e LEFT JOIN s USING (clip, t) WHERE vec_id % 13 = 0",
+    "j20_labelled_thumbs": "WITH e AS (SELECT vec_id, vec_id % 20 AS clip, vec_id // 60 AS t, label % 5 AS label FROM embeddings), s AS (SELECT clip, t, string_agg(label::VARCHAR, ',' ORDER BY label) AS labels FROM (SELECT DISTINCT clip, t, label FROM e WHERE label > 0) GROUP BY 1, 2) SELECT vec_id, clip, t, coalesce(labels, '') AS labels FROM e LEFT JOIN s USING (clip, t)",
     "j21_earlier_runs": "WITH w AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first, count(*) OVER (PARTITION BY text) AS n FROM documents) SELECT * FROM w WHERE doc_id > first",
     "j22_begin_records": f"WITH {RECORDINGS} SELECT user_id, min(s) FILTER (WHERE camera = 'view') - min(s) FILTER (WHERE camera = 'signup') AS off_us FROM rec GROUP BY 1 HAVING off_us IS NOT NULL",
     "j23_unlisted": "WITH o AS (FROM orders WHERE o_orderkey % 8 <> 1), l AS (SELECT l_orderkey, min(l_suppkey) AS s FROM lineitem WHERE l_orderkey % 8 <> 2 GROUP BY 1) SELECT CASE WHEN l_orderkey IS NULL THEN 'absent' WHEN o_orderkey IS NULL THEN 'unlisted' WHEN o_custkey % 3 = s % 3 THEN 'equal' ELSE 'differs' END AS state, count(*) AS files FROM o FULL JOIN l ON o_orderkey = l_orderkey GROUP BY 1",
     "j24_event_cameras": "WITH c AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 = 0), n AS (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey % 2 = 0) SELECT CASE WHEN c_nationkey IS NOT NULL THEN 'CH' || c_nationkey WHEN n_regionkey IS NOT NULL THEN 'Z' || n_regionkey ELSE 'UNKNOWN' END AS camera, count(*) AS events FROM events LEFT JOIN c ON user_id = c_custkey LEFT JOIN n ON user_id % 25 = n_nationkey GROUP BY 1",
     "t4_t5_frequent_heads": "WITH w AS (SELECT doc_id, CAST(k - 1 AS INTEGER) AS at_, string_split(text, ' ')[k] AS w FROM documents, unnest(range(1, len(string_split(text, ' ')) + 1)) AS t(k)), c AS (SELECT w, count(*) AS n FROM w WHERE w <> '' GROUP BY 1 ORDER BY n DESC, w LIMIT 20) SELECT w, n, CAST(row_number() OVER (PARTITION BY w ORDER BY doc_id, at_) AS INTEGER) AS rank, doc_id, at_ AS \"at\" FROM w JOIN c USING (w) QUALIFY rank <= 8",
-    "w3_lost_intervals": f"WITH {RECORDINGS}, q AS (SELECT *, max(e) OVER (ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM rec WHERE camera IN ('purchase', 'click')) SELECT pe AS gap_start, s AS gap_end FROM q WHERE s - pe > {HOUR}",
+    "s18_graph": f"WITH h AS (SELECT c_custkey, c_name, sha1(unhex('{SPACE.replace('-', '')}') || ('recorder/' || c_custkey)::BLOB) AS a, sha1(unhex('{SPACE.replace('-', '')}') || ('nation/' || c_nationkey)::BLOB) AS b FROM customer) SELECT c_custkey, '{{\"@id\":\"' || {_UUID.replace('(h,', '(a,')} || '\",\"@type\":\"Recorder\",\"name\":\"' || c_name || '\",\"partOf\":{{\"@id\":\"' || {_UUID.replace('(h,', '(b,')} || '\"}}}}' AS node FROM h",
+    "w3_lost_intervals": f"WITH {RECORDINGS}, q AS (SELECT *, max(e) OVER (ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM rec) SELECT pe AS gap_start, s AS gap_end FROM q WHERE s - pe > {300 * US}",
 }

@@ -5,26 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import iou
 from ..operators import leads
 from .common import table
 
 
-def nearest_faces(spark: SparkSession, d: str) -> DataFrame:
+def _faces(spark, d) -> tuple[DataFrame, DataFrame]:
+    """All faces, and as wanted ones every row whose id is divisible by twenty."""
     e = table(spark, d, "embeddings")
-    wanted = e.where("vec_id % 100 = 0 and vec_id < 1000").select(F.col("vec_id").alias("wanted"), F.col("embedding").alias("wvec"))
-    got = leads.nearest_faces(e.select("vec_id", "embedding"), wanted, 50, "vec_id", "embedding", "wanted", "wvec")
+    return e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("wanted"), F.col("embedding").alias("wvec"))
+
+
+def nearest_faces(spark: SparkSession, d: str) -> DataFrame:
+    e, wanted = _faces(spark, d)
+    got = leads.nearest_faces(e, wanted, 50, "vec_id", "embedding", "wanted", "wvec")
     return got.select("wanted", "vec_id", "rank", "candidate", F.round("similarity", 6).alias("similarity"))
 
 
 def candidates(spark, d) -> DataFrame:
     """How many faces are candidates for each wanted face, among those large enough."""
-    e = table(spark, d, "embeddings").select("vec_id", "embedding", (8 + F.col("vec_id") % 9).alias("eye_px"))
-    wanted = e.where("vec_id % 100 = 0 and vec_id < 1000").select(F.col("vec_id").alias("wanted"), F.col("embedding").alias("wvec"))
-    pairs = e.where(F.col("eye_px") >= leads.EYE_PX).crossJoin(F.broadcast(wanted)).where("vec_id <> wanted")
-    from ..functions.columns import dot
-
-    return pairs.withColumn("sim", dot(F.col("embedding"), F.col("wvec"))).groupBy("wanted").agg(F.count("*").alias("compared"), F.count_if(F.col("sim") >= leads.MATCH).alias("candidates"))
+    e, wanted = _faces(spark, d)
+    return leads.candidate_counts(e.where(8 + F.col("vec_id") % 9 >= leads.EYE_PX), wanted, "vec_id", "embedding", "wanted", "wvec")
 
 
 def _boxes(spark, d) -> DataFrame:
@@ -60,7 +60,7 @@ def truth_match(spark, d) -> DataFrame:
     """True boxes found (some box of the clip's label with an overlap of 0.3) and boxes without any true box near (below 0.1)."""
     boxes = _boxes(spark, d)
     truth = boxes.where("id % 10 = 0").select(F.col("id").alias("tid"), "clip", *[(F.col(f"x{k}") + 0.02).alias(f"y{k}") for k in (1, 2, 3, 4)])
-    pairs = boxes.where("id % 10 <> 0").join(truth, "clip").withColumn("o", iou(leads.box("x"), leads.box("y")))
+    pairs = leads.truth_pairs(boxes.where("id % 10 <> 0"), truth, 0.1)
     found = truth.join(pairs.where("o >= 0.3").select("tid").distinct(), "tid", "left_semi").groupBy("clip").agg(F.count("*").alias("found"))
     far = boxes.where("id % 10 <> 0").join(pairs.where("o >= 0.1").select("id").distinct(), "id", "left_anti").groupBy("clip").agg(F.count("*").alias("alone"))
     total = truth.groupBy("clip").agg(F.count("*").alias("true_boxes"))
@@ -71,8 +71,14 @@ def merged_boxes(spark, d) -> DataFrame:
     return leads.merged_boxes(_boxes(spark, d).withColumn("half", F.floor(F.col("t") / 10).cast("bigint")), ["clip", "half"]).select("id", "clip", "half")
 
 
+def vehicles(spark, d) -> DataFrame:
+    """The boxes as cars, buses and persons; three of four are taken to be static."""
+    kind = F.when(F.col("label") == "L0", "car").when(F.col("label") == "L1", "bus").otherwise("person")
+    return _boxes(spark, d).withColumn("label", kind).withColumn("static", F.col("id") % 4 != 0)
+
+
 def parked_spots(spark, d) -> DataFrame:
-    return leads.parked_spots(_boxes(spark, d))
+    return leads.parked_spots(vehicles(spark, d))
 
 
 def _judged(spark, d) -> DataFrame:
@@ -133,8 +139,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "t2_w23_nearest_faces": f"WITH p AS (SELECT w.vec_id AS wanted, e.vec_id, {_SIM} AS s FROM embeddings e, embeddings w WHERE w.vec_id % 100 = 0 AND w.vec_id < 1000 AND e.vec_id <> w.vec_id) SELECT wanted, vec_id, CAST(row_number() OVER (PARTITION BY wanted ORDER BY s DESC, vec_id) AS INTEGER) AS rank, s >= 0.363 AS candidate, round(s, 6) AS similarity FROM p QUALIFY rank <= 50",
-    "f_face_candidates": f"SELECT w.vec_id AS wanted, count(*) AS compared, count(*) FILTER (WHERE {_SIM} >= 0.363) AS candidates FROM embeddings e, embeddings w WHERE w.vec_id % 100 = 0 AND w.vec_id < 1000 AND e.vec_id <> w.vec_id AND 8 + e.vec_id % 9 >= 12 GROUP BY 1",
+    "t2_w23_nearest_faces": f"WITH p AS (SELECT w.vec_id AS wanted, e.vec_id, {_SIM} AS s FROM embeddings e, embeddings w WHERE w.vec_id % 20 = 0 AND e.vec_id <> w.vec_id) SELECT wanted, vec_id, CAST(row_number() OVER (PARTITION BY wanted ORDER BY s DESC, vec_id) AS INTEGER) AS rank, s >= 0.363 AS candidate, round(s, 6) AS similarity FROM p QUALIFY rank <= 50",
+    "f_face_candidates": f"SELECT w.vec_id AS wanted, count(*) AS compared, count(*) FILTER (WHERE {_SIM} >= 0.363) AS candidates FROM embeddings e, embeddings w WHERE w.vec_id % 20 = 0 AND e.vec_id <> w.vec_id AND 8 + e.vec_id % 9 >= 12 GROUP BY 1",
     "j18_f12_static_boxes": f"WITH {_BOX}, f AS (SELECT clip, count(DISTINCT t) AS frames FROM b GROUP BY 1), s AS (SELECT a.id, a.clip, a.label, count(*) AS same FROM b a JOIN b c ON a.clip = c.clip AND a.label = c.label WHERE {_OVER('a.x', 'c.x')} >= 0.8::DOUBLE GROUP BY ALL) SELECT id, clip, label, same, same >= 4 AND same >= 0.25::DOUBLE * frames AS static FROM s JOIN f USING (clip)",
     "a29_frames_with": f"WITH {_BOX} SELECT label, count(DISTINCT (clip, t)) AS frames, count(*) AS boxes, count(*) FILTER (WHERE score >= 0.5) AS strong FROM b GROUP BY 1",
     "t3_top_thumbnails": f"WITH {_BOX} SELECT clip, CAST(row_number() OVER (PARTITION BY clip ORDER BY score DESC, id) AS INTEGER) AS rank, id FROM b QUALIFY rank <= 6",

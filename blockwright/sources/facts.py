@@ -56,32 +56,22 @@ def _found(spark, path: str, block: int, ahead: int, per_task: int, names: tuple
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 own = min(block, image.size - k * block)
-                rows = search(image.read(k * block, own + ahead), k * block, own, k * block + own + ahead >= image.size)
-                cols = list(zip(*rows)) if rows else [()] * len(names)
+                cols = search(image.read(k * block, own + ahead), k * block, own, k * block + own + ahead >= image.size)
+                cols = [[0] * len(cols[0]), *cols] if cols else [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=list(names))
 
-    return carve._unnested(_ranges(spark, path, block, per_task).mapInArrow(run, form))
+    return carve.unnested(_ranges(spark, path, block, per_task).mapInArrow(run, form))
 
 
 def frames(spark: SparkSession, path: str, block: int = 8 << 20, per_task: int = 8) -> DataFrame:
     """Valid camera frames of an image, found inside the reader; the same rows as ``carve.frames`` over its blocks."""
     names = ("volume", "offset", "ftype", "frame_number", "length", "date", "ms", "ext_length")
-    return _found(spark, path, block, carve.LARGEST, per_task, names, carve.FRAME_SCHEMA, lambda data, base, stop, _: [(0, *r) for r in carve.frames_in(data, base, stop)])
+    return _found(spark, path, block, carve.LARGEST, per_task, names, carve.FRAME_SCHEMA, lambda data, base, stop, _: [*zip(*carve.frames_in(data, base, stop, nested=True))])
 
 
 def packs(spark: SparkSession, path: str, block: int = 8 << 20, per_task: int = 8) -> DataFrame:
     """Valid packs of an image, found inside the reader; the same rows as ``carve.packs`` over its blocks."""
-
-    def search(data, base, stop, at_end):
-        rows, at = [], 0
-        while 0 <= (at := data.find(carve.PACK, at)) < stop:
-            got = carve.pack_at(data, at, at_end)
-            if got:
-                rows.append((0, base + at, *got))
-            at += got[0] if got else 1
-        return rows
-
-    return _found(spark, path, block, carve.PACK_AHEAD, per_task, ("volume", "offset", "length", "scr", "video", "audio"), "volume long, offset long, length long, scr long, video long, audio long", search)
+    return _found(spark, path, block, carve.PACK_AHEAD, per_task, ("volume", "offset", "length", "scr", "video", "audio"), carve.PACK_SCHEMA, carve.packs_in)
 
 
 def whole_hashes(spark: SparkSession, path: str, block: int = 8 << 20) -> DataFrame:
