@@ -166,7 +166,7 @@ def _renumbered(scan: bytes, first: int) -> bytes:
         return scan
     raw = np.frombuffer(scan, np.uint8).copy()
     marks = _marks(raw) + 1
-    raw[marks] = 0xD0 + (raw[marks] - 0xD0 + first) % 8
+    raw[marks] = 0xD0 + (raw[marks].astype(np.int64) - 0xD0 + first) % 8
     return raw.tobytes()
 
 
