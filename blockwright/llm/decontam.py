@@ -1,10 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Every text is cut into overlapping passages, at least as long as the longest item of a block and half of each shared
-with the next, so that a passage of any item stands whole in one of them. Passages are TF-IDF vectors over the items'
-terms (other words have no weight against any item). One pass sums document frequencies and the sketch C W of C = A'A
+Every text is cut into pieces at least as long as the longest item of a block; two neighbouring pieces are a passage,
+so that a copy of any item stands whole in one of them. Pieces are TF-IDF vectors over the items' terms (other words
+have no weight against any item), and a passage is the sum of its two. One pass sums document frequencies and the sketch C W of C = A'A
 for a random W, which partial sums of partitions give; the driver turns the sketch into singular vectors of A
-(randomised Nystroem decomposition), where A holds the passages and, with as much weight in all, the items. A second
+(randomised Nystroem decomposition), where A holds the pieces and, with ITEMS times their weight in all, the items. A second
 pass projects every passage and searches all items by cosine alone; candidates are then checked word by word: longest
 common subsequence, the same over distinctive words, and the item's answer part. The benchmark is a query set: items
 of like length make blocks of ``BLOCK``, each with a latent space of its own, and ``SCAN`` blocks share both passes.
@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import text_runs, tidy
 
 #: Items of a block, dimensions of its latent space beyond one for each item, seed of the random sketch, blocks of a scan.
-BLOCK, EXTRA, SEED, SCAN = 32, 32, 5, 512
-#: Words that more than this share of a block's items have are no terms and not distinctive, unless an item has no others.
-USUAL = 0.1
-#: Least cosine of a candidate.
-COSINE = 0.25
+BLOCK, EXTRA, SEED, SCAN = 32, 16, 5, 512
+#: Words that more than this share of a block's items, and more than two, have are no terms and not distinctive, unless an item has no others.
+USUAL = 0.05
+#: Least cosine of a candidate, and weight of the items among the passages.
+COSINE, ITEMS = 0.25, 4.0
 #: Least shares of an item's words and of its distinctive words, in order, within a passage; and so many at least, or all.
 WORDS, DISTINCTIVE, LEAST_WORDS, LEAST_DISTINCTIVE = 0.45, 0.4, 8, 5
 #: Below this share of its words a part of the item's answer must be there too; from the second on the answer counts as found.
@@ -102,7 +102,7 @@ class Block:
         for _, x in rows:
             for w in set(x):
                 seen[w] = seen.get(w, 0) + 1
-        usual = {w for w, k in seen.items() if k > max(1, USUAL * len(rows))}
+        usual = {w for w, k in seen.items() if k > max(2, USUAL * len(rows))}
         own = [[w for w in x if w not in usual] or x for _, x in rows]
         self.terms = sorted({w for x in own for w in x})
         self.items = [Item(x, set(o)) for (_, x), o in zip(rows, own)]
@@ -111,22 +111,37 @@ class Block:
         self.step = max(16, *(len(x) for _, x in rows))
         self.sketch = np.random.default_rng(SEED).standard_normal((len(self.terms), min(len(rows) + EXTRA, len(self.terms)))).astype(np.float32)
 
-    def hits(self, counts: np.ndarray, where: np.ndarray, codes: np.ndarray):
-        """(passage, term) of the distinct terms of each passage, sorted; the passages' texts and places. Words ``where`` are the terms ``codes``."""
+    def pieces(self, counts: np.ndarray, where: np.ndarray, codes: np.ndarray):
+        """(terms of each piece, distinct and sorted by piece; where each piece's begin; pieces; their texts; first piece of each text). Words ``where`` are the terms ``codes``."""
         ends = np.cumsum(counts)
-        begins = ends - counts
-        owner = np.searchsorted(ends, where, side="right")
-        # Passage k of a text holds its words [k * step, (k + 2) * step); numbers run over all texts.
         many = np.maximum(1, -(-counts // self.step))
         base = np.cumsum(many) - many
-        k = (where - begins[owner]) // self.step
-        passage = np.concatenate((base[owner] + k, (base[owner] + k - 1)[k > 0]))
-        term = np.concatenate((codes, codes[k > 0])).astype(np.int64)
-        keys = np.unique(passage << 32 | term)
-        passage, term = keys >> 32, keys & 0xFFFFFFFF
-        names, starts = np.unique(passage, return_index=True)
-        texts = np.searchsorted(base, names, side="right") - 1
-        return names, starts, np.repeat(np.arange(len(names)), np.diff(np.append(starts, len(passage)))), term, texts, begins[texts] + (names - base[texts]) * self.step, ends[texts]
+        own = np.diff(np.searchsorted(where, ends), prepend=0)  # how many of these words each text has
+        keys = (np.repeat(base, own) + (where - np.repeat(ends - counts, own)) // self.step) << 32 | codes
+        keys.sort()
+        keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+        piece = keys >> 32
+        starts = np.flatnonzero(np.diff(piece, prepend=-1))
+        return keys & 0xFFFFFFFF, starts, piece[starts], np.searchsorted(base, piece[starts], side="right") - 1, base
+
+    def sums(self, counts: np.ndarray, where: np.ndarray, codes: np.ndarray):
+        """(terms, in how many pieces each stands, their part of C W)."""
+        term, starts, *_ = self.pieces(counts, where, codes)
+        made = np.add.reduceat(self.sketch[term], starts, axis=0)
+        row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
+        order = np.argsort(term, kind="stable")
+        kinds, cuts, times = np.unique(term[order], return_index=True, return_counts=True)
+        return kinds, times, np.add.reduceat(made[row[order]], cuts, axis=0)
+
+    @staticmethod
+    def passages(names: np.ndarray, texts: np.ndarray, base: np.ndarray):
+        """(first, second, text, piece): of every passage with a term the rows of its pieces, -1 for one without any, its text, and which of the text's pieces it starts with."""
+        row = np.arange(len(names))
+        on = np.append((names[1:] == names[:-1] + 1) & (texts[1:] == texts[:-1]), False)
+        lone = (names > base[texts]) & ~np.concatenate(([False], on[:-1]))  # the piece before has no term
+        first, second = np.concatenate((row, np.full(int(lone.sum()), -1))), np.concatenate((np.where(on, row + 1, -1), row[lone]))
+        text = np.concatenate((texts, texts[lone]))
+        return first, second, text, np.concatenate((names, names[lone] - 1)) - base[text]
 
 
 class Scan:
@@ -165,9 +180,9 @@ class Space:
         whole = np.zeros((len(block.of), len(self.weight)))
         for k, t in enumerate(block.of):
             whole[k, t] = self.weight[t]
-        # The items are passages too, and weigh as much as all of the corpus.
+        # The items are passages too, and weigh more than all of the corpus.
         size = (whole**2).sum()
-        more = max((frequency * self.weight**2).sum(), size) / size
+        more = ITEMS * max((frequency * self.weight**2).sum(), size) / size
         z = sketch * self.weight[:, None] + more * (whole.T @ (whole @ omega))
         # C is about Z (W'Z)^-1 Z'; a small shift keeps the factor stable.
         z = z + 1e-6 * max(1e-9, float(np.linalg.norm(z))) * omega
@@ -178,6 +193,23 @@ class Space:
         self.basis = (left * self.weight[:, None]).astype(np.float32)
         rows = whole @ left
         self.items = (rows / np.maximum(np.linalg.norm(rows, axis=1), 1e-9)[:, None]).astype(np.float32)
+        # How many of an item's distinctive places a term fills, and how many of them the check wants.
+        self.has = np.array([[item.rare[0].get(t, 0).bit_count() for item in block.items] for t in block.terms], np.int32)
+        self.least = np.array([item.least_rare for item in block.items])
+
+    def can_hold(self, term: np.ndarray, starts: np.ndarray, halves: list[np.ndarray], items: np.ndarray) -> np.ndarray:
+        """Whether the terms of each passage, by its pieces' rows, fill as many of the item's distinctive places as the check wants."""
+        held = np.zeros(len(items), np.int64)
+        every = np.diff(np.append(starts, len(term)))
+        for half in halves:
+            there = np.flatnonzero(half >= 0)
+            if not len(there):
+                continue
+            sizes = every[half[there]]
+            first = np.cumsum(sizes) - sizes
+            own = term[np.repeat(starts[half[there]] - first, sizes) + np.arange(int(sizes.sum()))]
+            held[there] += np.add.reduceat(self.has[own, np.repeat(items[there], sizes)], first)
+        return held >= self.least[items]
 
 
 def _frequencies(docs: DataFrame, scan: Scan):
@@ -194,13 +226,9 @@ def _frequencies(docs: DataFrame, scan: Scan):
                 for k, block in enumerate(scan.blocks):
                     passages[k] += int(np.maximum(1, -(-counts // block.step)).sum())
                 for k, where, codes in scan.found(words, values):
-                    block = scan.blocks[k]
-                    _, starts, row, term, *_ = block.hits(counts, where, codes)
-                    made = np.add.reduceat(block.sketch[term], starts, axis=0)
-                    order = np.argsort(term, kind="stable")
-                    kinds, cuts = np.unique(term[order], return_index=True)
-                    total[k][kinds] += np.add.reduceat(made[row[order]], cuts, axis=0)
-                    count[k] += np.bincount(term, minlength=len(block.terms))
+                    kinds, times, z = scan.blocks[k].sums(counts, where, codes)
+                    count[k][kinds] += times
+                    total[k][kinds] += z
         for k in range(len(scan.blocks)):
             used = np.flatnonzero(count[k])
             z = pa.array(list(total[k][used]), pa.list_(pa.float32()))
@@ -227,23 +255,29 @@ def _search(docs: DataFrame, scan: Scan, spaces: list[Space], id_type: str) -> D
         for batch in batches:
             for part in text_runs(batch, 1, RUN_BYTES):
                 counts, words = word_lists(pc.fill_null(part.column(1), ""))
+                begins = np.cumsum(counts) - counts
                 best: dict[tuple[int, int, int], tuple[float, bool, float]] = {}
                 for b, where, codes in scan.found(words, values):
                     block, space = scan.blocks[b], spaces[b]
-                    names, starts, _, term, texts, begin, end = block.hits(counts, where, codes)
-                    for at in range(0, len(names), 2048):
-                        lo, hi = starts[at], starts[at + 2048] if at + 2048 < len(names) else len(term)
-                        made = np.add.reduceat(space.basis[term[lo:hi]], starts[at : at + 2048] - lo, axis=0)
-                        made /= np.maximum(np.linalg.norm(made, axis=1), 1e-9)[:, None]
-                        cosine = made @ space.items.T
+                    term, starts, names, texts, base = block.pieces(counts, where, codes)
+                    made = np.concatenate([np.add.reduceat(space.basis[term[starts[at] : (starts[at + 2048] if at + 2048 < len(starts) else len(term))]], starts[at : at + 2048] - starts[at], axis=0) for at in range(0, len(starts), 2048)])
+                    made = np.concatenate((made, np.zeros((1, made.shape[1]), made.dtype)))  # the last row is a piece without a term
+                    first, second, text, piece = block.passages(names, texts, base)
+                    for at in range(0, len(first), 4096):
+                        halves = [first[at : at + 4096], second[at : at + 4096]]
+                        whole = made[halves[0]] + made[halves[1]]
+                        cosine = (whole @ space.items.T) / np.maximum(np.linalg.norm(whole, axis=1), 1e-9)[:, None]
                         near, which = np.nonzero(cosine >= COSINE)
+                        # What the check is sure to refuse for want of the item's words is not cut out for it.
+                        sure = space.can_hold(term, starts, [half[near] for half in halves], which)
                         told, passage = -1, []
-                        for p, k in zip(near.tolist(), which.tolist()):
+                        for p, k in zip(near[sure].tolist(), which[sure].tolist()):
                             if p != told:
-                                a = int(begin[at + p])
-                                told, passage = p, words.slice(a, min(2 * block.step, int(end[at + p]) - a)).to_pylist()
+                                own = int(text[at + p])
+                                a = int(begins[own]) + int(piece[at + p]) * block.step
+                                told, passage = p, words.slice(a, min(2 * block.step, int(begins[own] + counts[own]) - a)).to_pylist()
                             if found := block.items[k].check(passage):
-                                key = (int(texts[at + p]), b, k)
+                                key = (own, b, k)
                                 best[key] = max(best.get(key, (0.0, False, 0.0)), (*found, round(float(cosine[p, k]), 4)))
                 rows = sorted(best)
                 yield pa.RecordBatch.from_arrays(
