@@ -113,3 +113,57 @@ def covered(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     """(key, covered): how much of each key's intervals (s, e) of ``a`` the intervals of ``b`` (bs, be) of the same key cover; each side's own are disjoint."""
     pairs = intervals.overlap_join(a, b.withColumnRenamed("key", "_key"), "s", "e", "bs", "be", width).where(F.col("key") == F.col("_key"))
     return pairs.groupBy("key").agg(F.sum(F.least("e", "be") - F.greatest("s", "bs")).alias("covered"))
+
+
+def positional_fill(chain: DataFrame, export: DataFrame, recovered: DataFrame, stretch: int = 1 << 16) -> DataFrame:
+    """(source, i, g): the anchors, and every other piece found equal where its neighbouring anchors say that it should be.
+
+    ``chain`` (source, i, g) are anchors in order on both sides, ``export`` (source, i, digest) all pieces of a source,
+    ``recovered`` (g, digest) the other side. A place counts from the anchor before, else from the one after; it must
+    lie between both and is used once, by the first piece. Last, what is out of order is left out.
+    """
+    anchors = chain.select("source", F.col("i").alias("ai"), F.col("g").alias("ag"))
+    rest = export.join(chain.select("source", "i"), ["source", "i"], "left_anti")
+    before = intervals.asof_join(rest, anchors, ["source"], "i", "ai", ["ai", "ag"], stretch=stretch).withColumnsRenamed({"ai": "bi", "ag": "bg"})
+    both = intervals.asof_join(before, anchors, ["source"], "i", "ai", ["ai", "ag"], forward=True, stretch=stretch)
+    guesses = F.array(F.struct(F.lit(1).alias("turn"), (F.col("bg") + F.col("i") - F.col("bi")).alias("g")), F.struct(F.lit(2).alias("turn"), (F.col("ag") - F.col("ai") + F.col("i")).alias("g")))
+    between = (F.col("g") > F.coalesce("bg", F.lit(-1))) & (F.col("ag").isNull() | (F.col("g") < F.col("ag")))
+    tried = both.withColumn("_x", F.explode(guesses)).select("source", "i", "digest", "bg", "ag", "_x.turn", "_x.g").where(F.col("g").isNotNull() & between)
+    found = tried.join(recovered.select("g", F.col("digest").alias("_d")), "g").where(F.col("digest") == F.col("_d")).select("source", F.coalesce("bg", F.lit(-1)).alias("bg"), "i", "turn", "g")
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Between two anchors, piece by piece: the first of its places that is still free."""
+        used: dict[int, int] = {}
+        done: set[int] = set()
+        for i, g in zip(*(pdf.sort_values(["i", "turn"])[c].tolist() for c in ("i", "g"))):
+            if i not in done and g not in used:
+                used[g] = i
+                done.add(i)
+        return pd.DataFrame({"source": pdf["source"].iloc[0], "i": list(used.values()), "g": list(used)})
+
+    filled = found.groupBy("source", "bg").applyInPandas(settle, "source bigint, i bigint, g bigint")
+    every = chain.select(F.col("source").cast("bigint"), F.col("i").cast("bigint"), F.col("g").cast("bigint")).unionByName(filled)
+    top = intervals.running_max(every, ["source"], "i", [], F.col("g"), "_top", stretch=stretch)
+    return top.where(F.col("_top").isNull() | (F.col("g") > F.col("_top"))).drop("_top")
+
+
+def ranges(rows: DataFrame, lanes: list[str], number: str, stretch: int = 1 << 16) -> DataFrame:
+    """(lanes, first, last): whole numbers as ranges of neighbours; repeated numbers count once."""
+    one = rows.select(*lanes, number).distinct()
+    run = intervals.running_max(one, lanes, number, [], F.col(number), "_before", stretch=stretch)
+    opens = F.when(F.col("_before").isNull() | (F.col(number) > F.col("_before") + 1), F.col(number))
+    run = intervals.running_max(run, lanes, number, [], opens, "_run", inclusive=True, stretch=stretch)
+    return run.groupBy(*lanes, "_run").agg(F.min(number).alias("first"), F.max(number).alias("last")).drop("_run")
+
+
+def cross_reference(frames: DataFrame, pieces: DataFrame, slots: DataFrame, base: int, size: int, date: Column, slack: int = 5, share: float = 0.9, stretch: int = 1 << 26) -> DataFrame:
+    """(volume, sid, label, frames, share): streams named by the index slots of the clusters that their frames lie in.
+
+    ``pieces`` (volume, sid, offset, length) hold the streams' footage; each frame goes to the piece it lies in, takes
+    its cluster's label if its date fits, and a stream has the label of ``share`` of its frames, else mixed-evidence.
+    """
+    at = pieces.where("length > 0").select("volume", F.col("offset").alias("_at"), F.col("length").alias("_len"), "sid")
+    own = intervals.asof_join(frames, at, ["volume"], "offset", "_at", ["_at", "_len", "sid"], stretch=stretch).where(F.col("offset") < F.col("_at") + F.col("_len"))
+    tally = cluster_label(own, slots, "offset", base, size, date, slack).groupBy("volume", "sid", "label").agg(F.count("*").alias("n"))
+    by = tally.groupBy("volume", "sid").agg(F.max("n").alias("_m"), F.sum("n").alias("frames"), F.min_by("label", F.struct((-F.col("n")).alias("a"), F.col("label").alias("b"))).alias("_l"))
+    return by.select("volume", "sid", F.when(F.col("_m") >= share * F.col("frames"), F.col("_l")).otherwise("mixed-evidence").alias("label"), "frames", F.bround(F.col("_m") / F.col("frames"), 4).alias("share"))

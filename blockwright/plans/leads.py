@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import leads
+from ..operators import leads, titles
 from .common import table
 
 
@@ -124,6 +124,24 @@ def parsed_clocks(spark, d) -> DataFrame:
     return read.groupBy("ambiguous").agg(F.count("*").alias("n"), F.count("read").alias("parsed"), F.count_if(near(F.col("read")) <= 3).alias("agree"))
 
 
+def painted_clocks(spark, d) -> DataFrame:
+    """Event times as recorders paint them, in three layouts, with weekdays, halves of the day and letters read for digits; read back with the event's own hour as second source."""
+    t = F.col("ts")
+    day = F.date_format(t, "E")
+    layouts = (F.concat(F.date_format(t, "dd-MM-yyyy "), day, F.date_format(t, " HH:mm:ss")), F.date_format(t, "MM/ dd/ yyyy hh: mm: ss a"), F.date_format(t, "yyyy.MM.dd HH:mm:ss"), F.date_format(t, "dd/MM/yyyy hh:mm:ss a"))
+    clean = F.element_at(F.array(*layouts), (F.col("event_id") % 4 + 1).cast("int"))
+    raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("["), F.replace(clean, F.lit("202"), F.lit("2O2")), F.lit("]"))).otherwise(clean)
+    read = table(spark, d, "events").select("event_id", "ts", titles.clock_readings(raw).alias("c"))
+    got = titles.resolved(F.col("c.readings"), F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return read.select("event_id", got.alias("read"), titles.clock_verdict(got, F.col("ts")).alias("verdict"), F.col("c.twelve_hour").alias("half"), F.col("c.weekday").alias("weekday"))
+
+
+def title_forms(spark, d) -> DataFrame:
+    """Names as text recognition might read them, as titles and in the form they are compared by."""
+    raw = F.concat(F.lit("__"), F.replace("c_name", F.lit("#00"), F.lit(" O0")), F.lit("| *"))
+    return table(spark, d, "customer").select("c_custkey", titles.normal_title(raw).alias("title"), titles.canonical(titles.normal_title(raw)).alias("form"))
+
+
 _BOX = "b AS (SELECT vec_id AS id, vec_id % 20 AS clip, vec_id // 20 AS t, 'L' || (label % 3) AS label, (vec_id * 37 % 101)::DOUBLE / 101 AS score, (vec_id % 5)::DOUBLE / 8 + (vec_id % 3)::DOUBLE / 400 AS x1, (vec_id % 7)::DOUBLE / 10 + (vec_id % 2)::DOUBLE / 500 AS x2, x1 + 0.2::DOUBLE AS x3, x2 + 0.25::DOUBLE AS x4 FROM embeddings)"
 _IOU = "greatest(least({a}3, {b}3) - greatest({a}1, {b}1), 0) * greatest(least({a}4, {b}4) - greatest({a}2, {b}2), 0)"
 _INTER = lambda a, b: _IOU.format(a=a, b=b)
@@ -135,7 +153,7 @@ _SIM = "list_dot_product(e.embedding::DOUBLE[], w.embedding::DOUBLE[])"
 QUERIES = {
     "t2_w23_nearest_faces": nearest_faces, "f_face_candidates": candidates, "j18_f12_static_boxes": static_boxes, "a29_frames_with": frames_with, "t3_top_thumbnails": top_thumbnails,
     "j19_truth_match": truth_match, "o14_merged_boxes": merged_boxes, "o15_parked_spots": parked_spots, "a30_confusion": confusion, "a31_threshold_sweep": sweep, "a32_binned_recall": binned_recall,
-    "a26_voted_titles": voted_titles, "a28_parsed_clocks": parsed_clocks,
+    "a26_voted_titles": voted_titles, "a28_parsed_clocks": parsed_clocks, "fn_painted_clocks": painted_clocks, "fn_title_forms": title_forms,
 }
 
 ORACLE_SQL = {
@@ -152,4 +170,6 @@ ORACLE_SQL = {
         o AS (SELECT conv_id, trim(regexp_replace(regexp_replace(raw, '[^A-Za-z0-9 _#-]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM w), v AS (SELECT conv_id, lower(t) AS c, t, count(*) AS n FROM o WHERE length(t) BETWEEN 3 AND 32 AND regexp_matches(t, '[A-Za-z]') GROUP BY ALL),
         f AS (SELECT conv_id, c, CAST(sum(n) AS BIGINT) AS agree, arg_min(t, (-n, t)) AS t FROM v GROUP BY 1, 2), b AS (SELECT conv_id, CAST(sum(agree) AS BIGINT) AS readable, arg_min(t, (-agree, c)) AS t, max(agree) AS agree FROM f GROUP BY 1) SELECT conv_id, readable, agree, CASE WHEN readable >= 3 AND agree >= 0.6::DOUBLE * readable THEN t END AS title FROM b""",
     "a28_parsed_clocks": "WITH e AS (SELECT event_id % 3 <> 0 AND day(ts) <= 12 AND day(ts) <> month(ts) AS ambiguous FROM events) SELECT ambiguous, count(*) AS n, count(*) AS parsed, count(*) AS agree FROM e GROUP BY 1",
+    "fn_painted_clocks": "SELECT event_id, date_trunc('second', ts) AS read, 'agrees' AS verdict, CASE WHEN event_id % 4 IN (1, 3) THEN CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END END AS half, CASE WHEN event_id % 4 = 0 THEN left(dayname(ts), 3) END AS weekday FROM events",
+    "fn_title_forms": "SELECT c_custkey, replace(c_name, '#00', ' 00') || '' AS title, lower(replace(c_name, '#00', ' 00')) AS form FROM customer",
 }
