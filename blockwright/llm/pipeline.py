@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each works on all that its predecessor kept."""
+"""A corpus pipeline of five stages; each works on all that its predecessor kept.
+
+In every stage null ids, repeated rows and further columns pass through as they are, an empty table gives an empty one,
+and texts of any length are worked on whole.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +15,7 @@ from .queries import table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus labels stay; texts that are null or without a letter go."""
+    """Documents in a language that the corpus labels stay; texts that are null, empty or without a letter go. Equal texts are judged alike."""
     rest = [c for c in docs.columns if c != "text"]
     found = langid.identify(docs, keep=(*rest, "text"))
     return found.where(F.col("lang_pred") != langid.UND).select(*[F.col(f"keep_{c}").alias(c) for c in docs.columns])
@@ -28,13 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
+    """Documents that hold an item of the benchmark go, by id: rows that repeat such an id go with it. Null ids and null or empty texts stay."""
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("dropped")).distinct()
     return docs.join(found, docs.doc_id == found.dropped, "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its secrets are replaced, and n_chars follows its new text."""
+    """Every document stays; its secrets are replaced, and n_chars follows its new text. A null text stays null."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     found = secret_scan.scan(docs, keep=tuple(rest))
     changed = {"doc_id": F.col("id"), "text": F.col("redacted")} | {c: F.col(f"keep_{c}") for c in rest}
@@ -44,6 +48,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document; a null text is an empty one."""
     return bpe.encode_decode(docs, queries.tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
