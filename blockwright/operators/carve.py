@@ -73,12 +73,18 @@ def frames(blocks: DataFrame, volume: int = 0) -> DataFrame:
     return unnested(blocks.select("offset", "content", "after").mapInArrow(run, FRAME_SCHEMA))
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows that are made once, where the session has a checkpoint folder; elsewhere each use of them searches the image again."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
 def unnested(found: DataFrame) -> DataFrame:
     """What a search from the front finds: a row that starts inside a kept row is dropped, and so hides nothing itself.
 
     Rows that touch no other are kept as they are. Rows that overlap form small clusters (an end that no row before it
     passes starts a new one), and only these are gone through in order.
     """
+    found = _once(found)
     end = F.col("offset") + F.col("length")
     run = sequence.running_max(found, ["volume"], "offset", ["length"], end, "_end", stretch=1 << 26)
     opens = F.when(F.col("_end").isNull() | (F.col("offset") >= F.col("_end")), F.col("offset"))
