@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jpeg, langid, quality, secret_scan, simhash, urls, warc
+from . import bpe, centroids, decontam, html, jpeg, langid, quality, secret_scan, simhash, urls, warc
 from .common import own_session
 from .common import table as read_table
 
@@ -66,8 +66,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_simhash": op5_simhash,
     "op6_language": op6_language, "op7_decontamination": op7_decontamination, "op8_html": op8_html, "op9_quality": op9_quality, "op10_jpeg": op10_jpeg,
+    "op13_centroids": op13_centroids,
 }
-ORACLE_SQL: dict[str, str] = {"op2_urls": urls.oracle(), "op4_warc": warc.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_urls": urls.oracle(), "op4_warc": warc.ORACLE, "op13_centroids": centroids.oracle()}
