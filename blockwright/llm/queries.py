@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, decontam, html, jpeg, langid, quality, secret_scan, simhash, trie, urls, warc
+from . import bpe, centroids, decontam, html, jpeg, langid, quality, secret_scan, simhash, suffix_dedup, trie, urls, warc
 from .common import own_session
 from .common import table as read_table
 
@@ -70,6 +70,10 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("removed").withColumnRenamed("id", "doc_id")
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -77,6 +81,6 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_urls": op2_urls, "op3_secrets": op3_secrets, "op4_warc": op4_warc, "op5_simhash": op5_simhash,
     "op6_language": op6_language, "op7_decontamination": op7_decontamination, "op8_html": op8_html, "op9_quality": op9_quality, "op10_jpeg": op10_jpeg,
-    "op12_trie": op12_trie, "op13_centroids": op13_centroids,
+    "op11_suffixes": op11_suffixes, "op12_trie": op12_trie, "op13_centroids": op13_centroids,
 }
 ORACLE_SQL: dict[str, str] = {"op2_urls": urls.oracle(), "op4_warc": warc.ORACLE, "op12_trie": trie.ORACLE, "op13_centroids": centroids.oracle()}
