@@ -8,15 +8,16 @@ from __future__ import annotations
 
 import re
 import struct
+from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import micros, packed_date
-from . import sequence
+from ..functions.columns import micros, packed_date, wrapped_difference
+from . import intervals, match, sequence, store
 
 #: DHAV frames: magic, trailer, frame types, largest frame (fixed values).
 FRAME, TRAILER, HEADER, TAIL, LARGEST = b"DHAV", b"dhav", 24, 8, 4 << 20
@@ -73,141 +74,239 @@ def frames(blocks: DataFrame, volume: int = 0) -> DataFrame:
     return unnested(blocks.select("offset", "content", "after").mapInArrow(run, FRAME_SCHEMA))
 
 
-def _once(rows: DataFrame) -> DataFrame:
-    """Rows that are made once, where the session has a checkpoint folder; elsewhere each use of them searches the image again."""
-    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+#: Bytes of an image whose rows are ordered together.
+CELL = 8 << 20
 
 
-def unnested(found: DataFrame) -> DataFrame:
+def _row_by_row(rows: DataFrame) -> DataFrame:
+    """Rows of small clusters, each gone through once in order; what is held is where the last kept row ends."""
+    names = rows.columns
+    at = [names.index(c) for c in ("volume", "_cluster", "offset", "length")]
+
+    def run(batches):
+        now, clear = None, 0
+        for batch in batches:
+            keep = []
+            for volume, cluster, offset, length in zip(*(batch.column(k).to_pylist() for k in at)):
+                if (volume, cluster) != now:
+                    now, clear = (volume, cluster), offset
+                keep.append(offset >= clear)
+                if keep[-1]:
+                    clear = offset + length
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition("volume", "_cluster").sortWithinPartitions("volume", "_cluster", "offset", "length").mapInArrow(run, rows.schema)
+
+
+def unnested(found: DataFrame, cell: int = CELL) -> DataFrame:
     """What a search from the front finds: a row that starts inside a kept row is dropped, and so hides nothing itself.
 
-    Rows that touch no other are kept as they are. Rows that overlap form small clusters (an end that no row before it
-    passes starts a new one), and only these are gone through in order.
+    Cells of the image where no row starts before the greatest end so far are kept as they are, told by one order of
+    each cell's own rows and a table of one row a cell. Only the other cells, and those that reach into the next, are
+    cut into clusters (an end that no row before passes starts a new one) and gone through row by row.
     """
-    found = _once(found)
+    found = store.once(found)
     end = F.col("offset") + F.col("length")
-    run = sequence.running_max(found, ["volume"], "offset", ["length"], end, "_end", stretch=1 << 26)
+    inside = Window.partitionBy("volume", "_cell").orderBy("offset", "length").rowsBetween(Window.unboundedPreceding, -1)
+    placed = found.withColumn("_cell", F.floor(F.col("offset") / cell).cast("bigint"))
+    cells = placed.withColumn("_before", F.max(end).over(inside)).groupBy("volume", "_cell").agg(F.min("offset").alias("first"), F.max(end).alias("top"), F.coalesce(F.bool_or(F.col("_before") > F.col("offset")), F.lit(False)).alias("mixed"))
+    cells = sequence.running_max(cells, ["volume"], "_cell", [], F.col("top"), "before", stretch=4096)
+    cells = sequence.running_max(cells.withColumn("_back", -F.col("_cell")), ["volume"], "_back", [], -F.col("first"), "after", stretch=4096)
+    doubtful = store.once(cells.where(F.col("mixed") | (F.col("before") > F.col("first")) | (F.col("top") > -F.col("after"))).select("volume", "_cell"))
+    if doubtful.isEmpty():
+        return found
+    some = placed.join(doubtful, ["volume", "_cell"], "left_semi").drop("_cell")
+    run = sequence.running_max(some, ["volume"], "offset", ["length"], end, "_end", stretch=cell)
     opens = F.when(F.col("_end").isNull() | (F.col("offset") >= F.col("_end")), F.col("offset"))
-    run = sequence.running_max(run, ["volume"], "offset", ["length"], opens, "_cluster", inclusive=True, stretch=1 << 26)
-    row = F.struct(*[F.col(c) for c in ("offset", "length", *(c for c in found.columns if c not in ("offset", "length")))])
-    clusters = run.groupBy("volume", "_cluster").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    kept = F.aggregate("_rows", F.slice("_rows", 1, 0), lambda done, r: F.when((F.size(done) == 0) | (r["offset"] >= F.element_at(done, -1)["offset"] + F.element_at(done, -1)["length"]), F.concat(done, F.array(r))).otherwise(done))
-    return clusters.select(F.explode(F.when(F.size("_rows") == 1, F.col("_rows")).otherwise(kept)).alias("_row")).select(*[F.col(f"_row.{c}").alias(c) for c in found.columns])
-
+    run = sequence.running_max(run, ["volume"], "offset", ["length"], opens, "_cluster", inclusive=True, stretch=cell)
+    return placed.join(doubtful, ["volume", "_cell"], "left_anti").select(*found.columns).unionByName(_row_by_row(run.drop("_end")).select(*found.columns))
 
-#: Fields of a frame in an open stream's memory, and columns of a finished piece of footage.
-PIECE = "volume long, sid long, offset long, length long, frames long, video_frames long, i_frames long, repeats long"
 
+#: Columns of a finished piece of footage; ``sid`` counts the streams of a stretch of the volume.
+PIECE = "volume long, stretch long, sid long, offset long, length long, frames long, video_frames long, i_frames long, repeats long"
+KINDS = ("video", "audio", "aux")
 
-class Lane:
-    """An open stream: the newest frame of each kind, and the piece of footage that it is adding to."""
 
-    __slots__ = ("sid", "newest", "tip", "piece", "tally")
+def frame_runs(found: DataFrame, cell: int = CELL) -> DataFrame:
+    """Frames collapsed to runs: each frame touches the one before, its clock and date go on, and so does its kind's counter.
 
-    def __init__(self, sid: int):
-        self.sid, self.newest, self.tip, self.piece, self.tally = sid, {}, None, None, {}
-
-    def cost(self, frame: dict) -> float:
-        """How far the frame is from following on; infinite if it cannot."""
-        ms = (frame["ms"] - self.tip["ms"] + 0x8000) % 0x10000 - 0x8000
-        dates = (frame["seconds"], self.tip["seconds"])
-        if None in dates or not (-MS_BACK <= ms <= MS_ON and -DATE_BACK <= dates[0] - dates[1] <= DATE_ON):
-            return float("inf")
-        seen = self.newest.get(frame["kind"])
-        step = frame["number"] - seen if seen is not None else 1
-        return abs(ms) / 40 + abs(step - 1) if -STEP_BACK <= step <= STEP_ON else float("inf")
+    Rows (volume, offset, end, frames, sums, first and last counter of each kind, first and last clocks, the frames
+    themselves as an array). A run says all that a stream has to know of it, unless the stream cannot take it whole.
+    All steps order rows of one cell, after one shuffle.
+    """
+    kind = F.when(F.col("ftype").isin(*VIDEO), 0).when(F.col("ftype") == 0xF0, 1).otherwise(2)
+    dated = found.select(
+        "volume", "offset", "length", "frame_number", "ms", kind.alias("kind"), (F.col("ftype") == KEY).alias("key"), F.floor(micros(packed_date(F.col("date"))) / 1_000_000).cast("bigint").alias("seconds"),
+        F.floor(F.col("offset") / cell).cast("bigint").alias("_cell"),
+    )
+    by = Window.partitionBy("volume", "_cell").orderBy("offset")
+    prev = lambda c: F.lag(c).over(by)
+    on = F.pmod(F.col("ms") - prev("ms") + 0x8000, F.lit(0x10000)) - 0x8000
+    follows = (prev("offset") + prev("length") == F.col("offset")) & on.between(-MS_BACK, MS_ON) & (F.col("seconds") - prev("seconds")).between(-DATE_BACK, DATE_ON)
+    chains = dated.withColumn("_f", F.when(~F.coalesce(follows, F.lit(False)), F.col("offset"))).withColumn("_chain", F.max("_f").over(by))
+    own = Window.partitionBy("volume", "_cell", "_chain", "kind").orderBy("offset")
+    stepped = chains.withColumn("_step", F.col("frame_number") - F.lag("frame_number").over(own))
+    odd = F.when((F.col("_f").isNotNull()) | ~F.coalesce(F.col("_step").between(1, STEP_ON), F.lit(True)), F.col("offset"))
+    runs = stepped.withColumn("_o", odd).withColumn("_run", F.max("_o").over(by))
+    frame = F.struct("offset", "length", "kind", "key", "frame_number", "ms", "seconds")
+    each = [f(F.when(F.col("kind") == k, F.col("frame_number"))).alias(f"{n}_{name}") for k, name in enumerate(KINDS) for n, f in (("first", F.min), ("last", F.max))]
+    by_run = runs.groupBy("volume", "_cell", "_run").agg(
+        F.max("offset").alias("last_offset"), F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("frames"), F.count_if(F.col("kind") == 0).alias("video_frames"), F.count_if("key").alias("i_frames"), *each,
+        F.array_sort(F.collect_list(frame)).alias("rows"),
+    )
+    return by_run.withColumnRenamed("_run", "offset").drop("_cell")
 
 
-class Carver:
-    """Frames in disk order to pieces of footage, in one pass whose memory is the streams that are open.
+class Streams:
+    """Open streams of a stretch of a volume, least recently added to first, and those whose last frame is of a given second.
 
-    A frame goes on the stream of the frame it touches, else to the nearest stream that clearly wins, else it opens
-    one. A frame whose counter its stream has passed is a repeat. ``add`` and ``finish`` give the pieces that are done.
+    A run that touches the last placed frame goes where that one went, if its clocks allow it; the search for another
+    stream looks at those alone whose second is near enough. A run whose counters go on in each kind is taken whole;
+    any other is taken frame by frame, and a frame whose counter its stream has passed is a repeat.
     """
 
     def __init__(self):
-        self.lanes: dict[int, Lane] = {}
-        self.touching: tuple[int, int] | None = None
-        self.next = 0
-        self.tallies: dict[int, dict[str, int]] = {}
-
-    def _lane(self, frame: dict) -> Lane:
-        costs = {sid: lane.cost(frame) for sid, lane in self.lanes.items()}
-        if self.touching and self.touching[0] == frame["offset"] and costs.get(self.touching[1], float("inf")) < float("inf"):
-            return self.lanes[self.touching[1]]
-        best, second = (sorted(costs.items(), key=lambda x: (x[1], x[0])) + [(None, float("inf"))] * 2)[:2]
-        if best[1] < float("inf") and second[1] > CLEAR * max(best[1], 1.0):
-            return self.lanes[best[0]]
-        lane = self.lanes[self.next] = Lane(self.next)
-        self.next += 1
-        return lane
-
-    def _close(self, lane: Lane) -> list[tuple]:
-        piece, lane.piece = lane.piece, None
-        return [(lane.sid, *piece)] if piece else []
-
-    def add(self, frame: dict, label: str | None = None) -> list[tuple]:
-        done = []
-        for sid in [sid for sid, lane in self.lanes.items() if frame["offset"] - lane.tip["offset"] > RETIRE]:
-            done += self._close(self.lanes.pop(sid))
-        lane = self._lane(frame)
-        seen = lane.newest.get(frame["kind"])
-        if seen is not None and frame["number"] <= seen:
-            if lane.piece is None:
-                lane.piece = [frame["offset"], 0, 0, 0, 0, 0]
-            lane.piece[5] += 1
-            return done
-        if lane.piece and lane.piece[0] + lane.piece[1] != frame["offset"]:
-            done += self._close(lane)
-        if lane.piece is None:
-            lane.piece = [frame["offset"], 0, 0, 0, 0, 0]
-        for k, more in enumerate((frame["length"], 1, frame["kind"] == "video", frame["key"]), 1):
-            lane.piece[k] += more
-        lane.tip, lane.newest[frame["kind"]] = frame, frame["number"]
-        self.touching = (frame["offset"] + frame["length"], lane.sid)
-        if label is not None:
-            own = self.tallies.setdefault(lane.sid, {})
-            own[label] = own.get(label, 0) + 1
+        self.open: OrderedDict[int, dict] = OrderedDict()
+        self.at_second: dict[int | None, set[int]] = {}
+        self.placed = (None, None)  # where the last placed frame ends, and its stream
+        self.count = 0
+        self.done: list[tuple] = []
+
+    def distance(self, sid: int, frame: dict) -> float | None:
+        """How far the frame is from following the stream; None if it cannot."""
+        tip = self.open[sid]
+        on = (frame["ms"] - tip["ms"] + 0x8000) % 0x10000 - 0x8000
+        if tip["seconds"] is None or frame["seconds"] is None or not -DATE_BACK <= frame["seconds"] - tip["seconds"] <= DATE_ON or not -MS_BACK <= on <= MS_ON:
+            return None
+        newest = tip["newest"][frame["kind"]]
+        step = 1 if newest is None else frame["frame_number"] - newest
+        return abs(on) / 40 + abs(step - 1) if -STEP_BACK <= step <= STEP_ON else None
+
+    def _leave(self, sid: int) -> dict:
+        stream = self.open.pop(sid)
+        self.at_second[stream["seconds"]].discard(sid)
+        return stream
+
+    def _tell(self, sid: int, stream: dict) -> None:
+        if stream["piece"] or stream["repeats"]:
+            self.done.append((sid, *(stream["piece"] or (None, 0, 0, 0, 0)), stream["repeats"]))
+        stream["piece"], stream["repeats"] = None, 0
+
+    def find(self, frame: dict) -> int:
+        """The stream for a frame; a new one where none follows, or none clearly best."""
+        while self.open and frame["offset"] - next(iter(self.open.values()))["offset"] > RETIRE:
+            sid = next(iter(self.open))
+            self._tell(sid, self._leave(sid))
+        end, sid = self.placed
+        if end == frame["offset"] and sid in self.open and self.distance(sid, frame) is not None:
+            return sid
+        near = []
+        if frame["seconds"] is not None:
+            for second in range(frame["seconds"] - DATE_ON, frame["seconds"] + DATE_BACK + 1):
+                near += [(d, x) for x in self.at_second.get(second, ()) if (d := self.distance(x, frame)) is not None]
+        near.sort()
+        if near and (len(near) == 1 or near[1][0] > CLEAR * max(near[0][0], 1.0)):
+            return near[0][1]
+        self.count += 1
+        self.open[self.count - 1] = {"offset": frame["offset"], "ms": None, "seconds": None, "newest": [None] * len(KINDS), "piece": None, "repeats": 0}
+        self.at_second.setdefault(None, set()).add(self.count - 1)
+        return self.count - 1
+
+    def _put(self, sid: int, first: int, last: dict, newest: dict[int, int], sums: tuple[int, int, int, int]) -> None:
+        """Footage from ``first`` on, up to the frame ``last``, goes on the stream."""
+        stream = self._leave(sid)
+        if stream["piece"] and stream["piece"][0] + stream["piece"][1] != first:
+            self._tell(sid, stream)
+        stream["piece"] = [first, *sums] if not stream["piece"] else [stream["piece"][0], *(a + b for a, b in zip(stream["piece"][1:], sums))]
+        stream.update(offset=last["offset"], ms=last["ms"], seconds=last["seconds"])
+        for kind, number in newest.items():
+            stream["newest"][kind] = number
+        self.open[sid] = stream  # now the most recent
+        self.at_second.setdefault(stream["seconds"], set()).add(sid)
+        self.placed = (last["offset"] + last["length"], sid)
+
+    def add(self, frame: dict) -> None:
+        sid = self.find(frame)
+        newest = self.open[sid]["newest"][frame["kind"]]
+        if newest is not None and frame["frame_number"] <= newest:
+            self.open[sid]["repeats"] += 1
+        else:
+            self._put(sid, frame["offset"], frame, {frame["kind"]: frame["frame_number"]}, (frame["length"], 1, frame["kind"] == 0, frame["key"]))
+
+    def add_run(self, run: dict, rows) -> None:
+        """``rows`` gives the run's frames; of a run that is taken whole, the first and last alone are looked at."""
+        first = rows[0].as_py()
+        if run["frames"] > 1:
+            sid = self.find(first)
+            newest = self.open[sid]["newest"]
+            if all(run[f"first_{name}"] is None or newest[k] is None or 1 <= run[f"first_{name}"] - newest[k] <= STEP_ON for k, name in enumerate(KINDS)):
+                last = {k: run[f"last_{name}"] for k, name in enumerate(KINDS) if run[f"last_{name}"] is not None}
+                self._put(sid, first["offset"], rows[-1].as_py(), last, (run["end"] - first["offset"], run["frames"], run["video_frames"], run["i_frames"]))
+                return
+        for frame in rows:
+            self.add(frame.as_py())
+
+    def close(self) -> list[tuple]:
+        for sid in list(self.open):
+            self._tell(sid, self._leave(sid))
+        return self.told()
+
+    def told(self) -> list[tuple]:
+        done, self.done = self.done, []
         return done
 
-    def finish(self) -> list[tuple]:
-        done = [piece for lane in self.lanes.values() for piece in self._close(lane)]
-        self.lanes = {}
-        return done
-
-
-def frame_of(offset: int, ftype: int, number: int, length: int, ms: int, seconds: int | None) -> dict:
-    """A frame as a carver takes it."""
-    kind = "video" if ftype in VIDEO else "audio" if ftype == 0xF0 else "aux"
-    return {"offset": offset, "kind": kind, "key": ftype == KEY, "number": number, "length": length, "ms": ms, "seconds": seconds}
-
 
 def carved_pieces(found: DataFrame) -> DataFrame:
     """Pieces of footage (volume, sid, offset, length, frames, ...) of each volume's streams.
 
-    Order decides, so a volume's headers pass through one task, batch by batch in disk order. What is held is the open
-    streams alone; pieces leave as they are done.
+    Order decides, so runs pass through in disk order, batch by batch; what is held is the open streams. A silence that
+    closes all streams cuts the volume into stretches, which are tasks of their own; streams are numbered through.
     """
-    dated = found.select("volume", "offset", "ftype", "frame_number", "length", "ms", F.floor(micros(packed_date(F.col("date"))) / 1_000_000).cast("bigint").alias("seconds"))
+    runs = store.once(frame_runs(found))
+    prev = sequence.with_previous(runs.select("volume", "offset", "last_offset"), ["volume"], "offset", [], ["last_offset"], stretch=RETIRE)
+    cuts = sequence.runs(prev, ["volume"], "offset", [], F.col("offset") - F.col("prev_last_offset") > RETIRE, "stretch", stretch=RETIRE).select("volume", "offset", "stretch")
+    names = ["volume", "stretch", "frames", "video_frames", "i_frames", "end", *[f"{n}_{k}" for k in KINDS for n in ("first", "last")]]
+    dealt = runs.join(cuts, ["volume", "offset"]).select(*names, "rows", "offset").repartition("volume", "stretch").sortWithinPartitions("volume", "stretch", "offset").drop("offset")
+    out = [c.split()[0] for c in PIECE.split(", ")]
 
     def run(batches):
-        volume, carver = None, Carver()
+        now, streams = None, Streams()
 
-        def told(done):
+        def table(done):
             cols = list(zip(*done)) if done else [()] * 7
-            return pa.RecordBatch.from_arrays([pa.array([volume] * len(done), pa.int64()), *(pa.array([int(x) for x in c], pa.int64()) for c in cols)], names=[c.split()[0] for c in PIECE.split(", ")])
+            return pa.RecordBatch.from_arrays([*(pa.array([x] * len(done), pa.int64()) for x in now or (None, None)), *(pa.array([None if x is None else int(x) for x in c], pa.int64()) for c in cols)], names=out)
 
         for batch in batches:
-            done = []
-            for v, *frame in zip(*(c.to_pylist() for c in batch.columns)):
-                if v != volume:
-                    yield told(done + carver.finish())
-                    volume, carver, done = v, Carver(), []
-                done += carver.add(frame_of(*frame))
-            yield told(done)
-        yield told(carver.finish())
-
-    return dated.repartition("volume").sortWithinPartitions("volume", "offset").mapInArrow(run, PIECE)
+            rows = batch.column(len(names))
+            for k, values in enumerate(zip(*(batch.column(j).to_pylist() for j in range(len(names))))):
+                if values[:2] != now:
+                    if now is not None:
+                        yield table(streams.close())
+                    now, streams = values[:2], Streams()
+                streams.add_run(dict(zip(names, values)), rows[k])
+            yield table(streams.told())
+        yield table(streams.close())
+
+    pieces = store.once(dealt.mapInArrow(run, PIECE))
+    counts = pieces.groupBy("volume", "stretch").agg((F.max("sid") + 1).alias("_c"))
+    w = Window.partitionBy("volume").orderBy("stretch")
+    base = counts.select("volume", "stretch", (F.sum("_c").over(w) - F.col("_c")).alias("_base"))
+    return pieces.join(base, ["volume", "stretch"]).withColumn("sid", F.col("sid") + F.col("_base")).drop("stretch", "_base")
+
+
+def frames_of_streams(found: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Frames with the stream (sid) whose piece holds them; repeats are in none. The nearest piece before a frame is the one."""
+    spans = pieces.where("length > 0").select("volume", F.col("offset").alias("piece"), (F.col("offset") + F.col("length")).alias("piece_end"), "sid")
+    got = intervals.asof_join(found, spans, ["volume"], "offset", "piece", ["piece_end", "sid"], stretch=1 << 26)
+    return got.withColumn("sid", F.when(F.col("offset") < F.col("piece_end"), F.col("sid"))).drop("piece_end")
+
+
+def labelled_streams(streams: DataFrame, found: DataFrame, pieces: DataFrame, label: str, share: float = 0.9) -> DataFrame:
+    """Streams with the label that ``share`` of their frames have (column ``label`` of the frames), else none; every stream stays."""
+    each = frames_of_streams(found, pieces).where("sid is not null").withColumn("_stream", F.concat_ws(":", "volume", "sid"))
+    told = match.majority_label(each.withColumn("_one", F.lit(1)), "_stream", label, "_one", share)
+    named = streams.withColumn("_stream", F.concat_ws(":", "volume", "sid"))
+    return named.join(told, "_stream", "left").drop("_stream")
 
 
 def carve_streams(found: DataFrame, least: int = LEAST) -> DataFrame:
@@ -279,10 +378,23 @@ def packs(blocks: DataFrame, volume: int = 0) -> DataFrame:
     return unnested(blocks.select("offset", "content", "after").mapInArrow(run, PACK_SCHEMA))
 
 
+def pack_runs(found: DataFrame, cell: int = CELL) -> DataFrame:
+    """Packs of one cell collapsed to runs that touch and whose clocks go on; one shuffle, and rows of a cell are ordered."""
+    by = Window.partitionBy("volume", "_cell").orderBy("offset")
+    prev = lambda c: F.lag(c).over(by)
+    goes_on = (prev("offset") + prev("length") == F.col("offset")) & (F.abs(wrapped_difference(F.col("scr"), prev("scr"), 33)) <= CLOCK_JUMP)
+    at = found.withColumn("_cell", F.floor(F.col("offset") / cell).cast("bigint")).withColumn("_f", F.when(~F.coalesce(goes_on, F.lit(False)), F.col("offset"))).withColumn("_run", F.max("_f").over(by))
+    return at.groupBy("volume", "_cell", "_run").agg(
+        F.max(F.col("offset") + F.col("length")).alias("end"), F.count("*").alias("packs"), *[F.sum(c).alias(c) for c in ("length", "video", "audio")], F.min_by("scr", "offset").alias("first_scr"), F.max_by("scr", "offset").alias("last_scr"),
+    ).withColumnRenamed("_run", "offset").drop("_cell")
+
+
 def pack_streams(found: DataFrame, least: int = LEAST) -> DataFrame:
-    """Runs of packs that touch and whose clocks go on; ``kept`` marks those of ``least`` packs or more."""
-    split = sequence.clock_runs(found, "volume", "offset", "offset", "length", "scr", CLOCK_JUMP, 33, stretch=1 << 26)
-    by = split.groupBy("volume", "stream").agg(F.count("*").alias("packs"), F.sum("length").alias("bytes"), F.sum("video").alias("video"), F.sum("audio").alias("audio"), F.min_by("scr", "offset").alias("first_scr"), F.max_by("scr", "offset").alias("last_scr"))
+    """Runs of packs that touch and whose clocks go on; ``kept`` marks those of ``least`` packs or more. Runs of a cell come first, and meet over a table of few rows."""
+    prev = sequence.with_previous(pack_runs(found), ["volume"], "offset", [], ["end", "last_scr"], stretch=1 << 34)
+    breaks = (F.col("prev_end") != F.col("offset")) | (F.abs(wrapped_difference(F.col("first_scr"), F.col("prev_last_scr"), 33)) > CLOCK_JUMP)
+    split = sequence.runs(prev, ["volume"], "offset", [], breaks, "stream", stretch=1 << 34)
+    by = split.groupBy("volume", "stream").agg(F.sum("packs").alias("packs"), F.sum("length").alias("bytes"), F.sum("video").alias("video"), F.sum("audio").alias("audio"), F.min_by("first_scr", "offset").alias("first_scr"), F.max_by("last_scr", "offset").alias("last_scr"))
     return by.withColumn("kept", F.col("packs") >= least)
 
 
@@ -366,38 +478,43 @@ def elementary_streams(units: DataFrame, gap: int = 4 << 20, least: int = LEAST)
     return by.where("_first = 'sps'").select("volume", "stream", "codec", "sps_key", "units", "slices", "keyframes", (F.col("end") - F.col("stream")).alias("bytes"), (F.col("slices") >= least).alias("kept"))
 
 
-def nal_units(blocks: DataFrame, volume: int = 0, longest_set: int = 4096) -> DataFrame:
-    """(volume, offset, codec, kind, key, width, height) of start codes; parameter sets are decoded, implausible ones are other."""
+UNIT_SCHEMA = "volume long, offset long, codec string, kind string, key string, width int, height int"
+
+
+def units_in(data: bytes, base: int, stop: int) -> list[tuple]:
+    """(offset, codec, kind, key, width, height) of start codes before ``stop``; a parameter set lasts to the next start code, however long."""
     from ..functions.kernels import h264_picture, h265_picture
 
+    rows, starts = [], [m.start() for m in re.finditer(b"\x00\x00\x01", data)]
+    for at, end in zip(starts, [*starts[1:], len(data)]):
+        if at >= stop or at + 5 > len(data):
+            break
+        h0, h1 = data[at + 3], data[at + 4]
+        codec, kind, pic = "h264", "other", None
+        if h0 & 0x9F == 7 and (pic := h264_picture(data[at + 3 : end])):
+            kind = "sps"
+        elif h0 >> 1 == 33 and h1 == 1 and (pic := h265_picture(data[at + 3 : end])):
+            codec, kind = "h265", "sps"
+        elif h0 & 0x9F in (1, 5) and h0 & 0x60:
+            kind = "key" if h0 & 31 == 5 else "slice"
+        elif h1 == 1 and not h0 & 0x81 and h0 >> 1 <= 21:
+            codec, kind = "h265", "key" if 16 <= h0 >> 1 else "slice"
+        rows.append((base + at, codec, kind, f"{codec}:{pic[4]}" if pic else None, *(pic[:2] if pic else (None, None))))
+    return rows
+
+
+def nal_units(blocks: DataFrame, volume: int = 0) -> DataFrame:
+    """(volume, offset, codec, kind, key, width, height) of start codes; parameter sets are decoded, implausible ones are other."""
+    types = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
+
     def run(batches):
         for batch in batches:
             for offset, content, after in zip(*(c.to_pylist() for c in batch.columns)):
-                data, rows = content + (after or b""), []
-                for m in re.finditer(b"\x00\x00\x01", data):
-                    at = m.start()
-                    if at >= len(content) or at + 5 > len(data):
-                        break
-                    h0, h1 = data[at + 3], data[at + 4]
-                    end = data.find(b"\x00\x00\x01", at + 3, at + 3 + longest_set)
-                    unit = data[at + 3 : end if end >= 0 else at + 3 + longest_set]
-                    codec, kind, key, pic = "h264", "other", None, None
-                    if h0 & 0x9F == 7 and (pic := h264_picture(unit)):
-                        kind = "sps"
-                    elif h0 >> 1 == 33 and h1 == 1 and (pic := h265_picture(unit)):
-                        codec, kind = "h265", "sps"
-                    elif h0 & 0x9F in (1, 5) and h0 & 0x60:
-                        kind = "key" if h0 & 31 == 5 else "slice"
-                    elif h1 == 1 and not h0 & 0x81 and h0 >> 1 <= 21:
-                        codec, kind = "h265", "key" if 16 <= h0 >> 1 else "slice"
-                    if pic:
-                        key = f"{codec}:{pic[4]}"
-                    rows.append((volume, offset + at, codec, kind, key, *(pic[:2] if pic else (None, None))))
-                cols = list(zip(*rows)) if rows else [()] * 7
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["volume", "offset", "codec", "kind", "key", "width", "height"])
-
-    return blocks.select("offset", "content", "after").mapInArrow(run, "volume long, offset long, codec string, kind string, key string, width int, height int")
+                rows = units_in(content + (after or b""), offset, len(content))
+                cols = list(zip(*rows)) if rows else [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array([volume] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(cols, types))], names=[c.split()[0] for c in UNIT_SCHEMA.split(", ")])
+
+    return blocks.select("offset", "content", "after").mapInArrow(run, UNIT_SCHEMA)
 
 
 def index_chains(slots: DataFrame) -> DataFrame:

@@ -14,71 +14,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernels
 from ..operators import carve
-from . import images
+from . import images, taps
 
-#: Fields of the block map, in lasting order.
-MAP_SCHEMA = "index long, offset long, length int, sha256 string, incompressibility double, start_codes long, sps long, pps long, idr long, hevc_ps long, bad boolean"
-
-
-def _image(path: str):
+def open_image(path: str):
     return images.EwfImage(path) if path[-3:-2].lower() == "e" and path[-2:].isdigit() else images.RawImage(path)
 
 
-def _ranges(spark: SparkSession, path: str, block: int, per_task: int) -> DataFrame:
-    """One row for each block, spread over tasks of ``per_task`` blocks in order."""
-    n = -(-_image(path).size // block)
-    return spark.range(0, n, 1, max(1, -(-n // per_task)))
-
-
-def block_map(spark: SparkSession, path: str, block: int = 8 << 20, per_task: int = 8) -> DataFrame:
-    """MAP_SCHEMA rows of every block. A sector that cannot be read is zero in the facts and marks its block bad."""
-    schema = pa.schema([("index", pa.int64()), ("offset", pa.int64()), ("length", pa.int32()), ("sha256", pa.string()), ("incompressibility", pa.float64()), *((c, pa.int64()) for c in ("start_codes", "sps", "pps", "idr", "hevc_ps")), ("bad", pa.bool_())])
-
-    def run(batches):
-        image = _image(path)
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                want = min(block, image.size - k * block)
-                data, bad, _ = images._Reader._whole(image, k * block, want)
-                row = (k, k * block, want, hashlib.sha256(data).hexdigest(), kernels.incompressibility(data), kernels.start_codes(data), *kernels.census(data), bad)
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
-
-    return _ranges(spark, path, block, per_task).mapInArrow(run, MAP_SCHEMA)
+def _tapped(spark: SparkSession, path: str, tap: taps.Tap, block: int, per_task: int) -> DataFrame:
+    """Rows of one tap alone, straight from the reader; its failure is the job's."""
 
+    def sound(tap_, at, reason):
+        return F.when(reason.isNotNull(), F.raise_error(F.concat_ws(" ", tap_, F.lit("failed at"), at.cast("string"), reason)).cast("boolean")).otherwise(True)
 
-def _found(spark, path: str, block: int, ahead: int, per_task: int, names: tuple[str, ...], form: str, search) -> DataFrame:
-    types = [pa.int32() if t.strip().split()[1] == "int" else pa.int64() for t in form.split(",")]
+    rows = taps.scan_rows(spark, path, [tap], block, per_task)
+    return rows.where(sound(F.col("tap"), F.col("failed_at"), F.col("reason"))).select(f"`{tap.name}`.*")
 
-    def run(batches):
-        image = _image(path)
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                own = min(block, image.size - k * block)
-                cols = search(image.read(k * block, own + ahead), k * block, own, k * block + own + ahead >= image.size)
-                cols = [[0] * len(cols[0]), *cols] if cols else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=list(names))
 
-    return carve.unnested(_ranges(spark, path, block, per_task).mapInArrow(run, form))
+def block_map(spark: SparkSession, path: str, block: int = 8 << 20, per_task: int = 8) -> DataFrame:
+    """Rows of every block (``taps.BlockFacts``). A sector that cannot be read is zero in the facts and marks its block bad."""
+    return _tapped(spark, path, taps.BlockFacts(block), block, per_task)
 
 
 def frames(spark: SparkSession, path: str, block: int = 8 << 20, per_task: int = 8) -> DataFrame:
     """Valid camera frames of an image, found inside the reader; the same rows as ``carve.frames`` over its blocks."""
-    names = ("volume", "offset", "ftype", "frame_number", "length", "date", "ms", "ext_length")
-    return _found(spark, path, block, carve.LARGEST, per_task, names, carve.FRAME_SCHEMA, lambda data, base, stop, _: [*zip(*carve.frames_in(data, base, stop, nested=True))])
+    return carve.unnested(_tapped(spark, path, taps.Frames(), block, per_task))
 
 
 def packs(spark: SparkSession, path: str, block: int = 8 << 20, per_task: int = 8) -> DataFrame:
     """Valid packs of an image, found inside the reader; the same rows as ``carve.packs`` over its blocks."""
-    return _found(spark, path, block, carve.PACK_AHEAD, per_task, ("volume", "offset", "length", "scr", "video", "audio"), carve.PACK_SCHEMA, carve.packs_in)
+    return carve.unnested(_tapped(spark, path, taps.Packs(), block, per_task))
 
 
 def whole_hashes(spark: SparkSession, path: str, block: int = 8 << 20) -> DataFrame:
     """(md5, sha1, sha256, bytes, complete) of the whole image in order: one task by nature, so it is a job of its own."""
 
     def run(batches):
-        image = _image(path)
+        image = open_image(path)
         sums = [hashlib.new(n) for n in ("md5", "sha1", "sha256")]
         seen = 0
         for _ in batches:
@@ -103,7 +75,7 @@ def write_clips(streams: DataFrame, path: str, folder: str, id_col: str, extents
     def run(batches):
         from pyspark import TaskContext
 
-        image, attempt = _image(path), TaskContext.get().taskAttemptId()
+        image, attempt = open_image(path), TaskContext.get().taskAttemptId()
         os.makedirs(folder, exist_ok=True)
         for batch in batches:
             rows = []

@@ -61,11 +61,11 @@ def test_carve_separates_cameras(spark, tmp_path):
 
 def test_repeats_are_dropped():
     disk, _ = images.camera_disk(1, 30)
-    frames = [carve.frame_of(f[0], f[1], f[2], f[3], f[5], 700_000_000 + f[2] // 3) for f in carve.frames_in(disk, 0, len(disk))]
-    carver, pieces = carve.Carver(), []
+    frames = [{"offset": f[0], "kind": 0, "key": f[1] == carve.KEY, "frame_number": f[2], "length": f[3], "ms": f[5], "seconds": 700_000_000 + f[2] // 3} for f in carve.frames_in(disk, 0, len(disk))]
+    streams = carve.Streams()
     for f in [*frames[:20], frames[18], *frames[20:]]:
-        pieces += carver.add(f)
-    pieces += carver.finish()
+        streams.add(f)
+    pieces = streams.close()
     assert {p[0] for p in pieces} == {0} and sum(p[3] for p in pieces) == 30 and sum(p[6] for p in pieces) == 1
 
 
