@@ -6,10 +6,10 @@ equal windows (strings of ``LENGTH`` bytes):
 1. Every window is named by its least gram of ``GRAM`` bytes (by hash). Equal windows have the same least gram at the
    same place. Consecutive windows of one least gram form a run: one small row for about 140 bytes of text. Runs whose
    gram occurs once in the corpus hold no repeat and go no further.
-2. The stretch of text under each run that is left goes to its gram's shard; of equal stretches a shard needs two. A
-   gram with more different stretches than a shard may hold is divided: its windows' range of places is halved, and each
-   half gets a longer common string as its key, down to single windows, whose stretches are equal when their keys are.
-   No stretch is left out or cut short.
+2. The stretch of text under each run that is left goes to its gram's shard; of equal stretches a shard sorts one and
+   knows that there are more. A gram with more different stretches than a shard may hold is divided: its windows' range
+   of places is halved, and each half gets a longer common string as its key, down to single windows, whose stretches
+   are equal when their keys are. No stretch is left out or cut short.
 3. Shards are sorted by induction and their permuted common prefixes computed (``suffixes``); a window that shares
    ``LENGTH`` bytes with a neighbour in the suffix array is a repeat.
 4. The runs of bytes so found go back to the texts that hold the stretches.
@@ -141,17 +141,14 @@ def _sorted_shards(limit: int):
     """Shards of whole grams, in the order in which they come; repeated runs of each kind of stretch."""
 
     def shard(held: dict) -> pa.RecordBatch:
-        stretches, names = [], []
-        for (key, seg), (data, copies) in held.items():
-            names += [(key, seg)] + [None] * (copies - 1)
-            stretches += [data] * copies
-        found = repeated_runs(stretches, LENGTH)
-        rows = [(name[0], name[1], [{"s": s, "e": e} for s, e in runs]) for name, runs in zip(names, found, strict=True) if name and runs]
+        found = repeated_runs([data for data, _ in held.values()], LENGTH)
+        found = [[(0, len(data))] if many else runs for (data, many), runs in zip(held.values(), found, strict=True)]
+        rows = [(key, seg, [{"s": s, "e": e} for s, e in runs]) for (key, seg), runs in zip(held, found, strict=True) if runs]
         return _table(rows, [("key", pa.int64()), ("seg", pa.binary()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
 
     @tidy
     def run(batches):
-        held: dict = {}
+        held: dict = {}  # a kind's bytes, and whether it came more than once
         size, now = 0, None
         for batch in batches:
             for key, seg, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -159,10 +156,8 @@ def _sorted_shards(limit: int):
                     yield shard(held)
                     held, size = {}, 0
                 now = key
-                _, copies = held.get((key, seg), (None, 0))
-                if copies < 2:
-                    held[key, seg] = (data, copies + 1)
-                    size += len(data)
+                size += 0 if (key, seg) in held else len(data)
+                held[key, seg] = (data, (key, seg) in held)
         if held:
             yield shard(held)
 
@@ -224,6 +219,7 @@ def remove_repeats(documents: DataFrame, group_bytes: int = GROUP_BYTES, shard_b
     texts = _named(documents)
     runs = _stored(texts.mapInArrow(_runs_of, RUNS), "runs")
     twice = runs.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("c")).where("c > 1").select("k")
+    twice = _stored(twice, "twice")  # a fresh table, so that a join with a hot gram may be split
     live = runs.join(twice, F.col("key") == F.col("k")).groupBy("uid", "lo", "hi", "at", "key").agg(F.count("*").alias("w"))
     owners = live.groupBy("uid").agg(F.collect_list(F.struct("lo", "hi", "at", "key", F.least("w", F.lit(2)).alias("w"))).alias("runs"))
     held = texts.mapInArrow(_once_a_task, "uid binary, text binary").join(owners.hint("shuffle_hash").withColumnRenamed("uid", "owner"), F.col("uid") == F.col("owner")).select("uid", "text", "runs")

@@ -14,6 +14,9 @@ STOP = 255
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Windows whose least grams are sought at once.
 AT_ONCE = 1 << 20
+#: Slots of a suffix array that a step looks at.
+MOST_SLOTS = 1 << 16
+_COUNT = np.arange(MOST_SLOTS)
 
 
 def _is_smaller(t: np.ndarray) -> np.ndarray:
@@ -29,25 +32,25 @@ def _sweep(sa: np.ndarray, t: np.ndarray, placed: np.ndarray, head: np.ndarray)
     i, n, width = 0, len(sa), 1024
     while i < n:
         slots = sa[i : i + width]
-        at = np.flatnonzero(slots > 0)
+        taken = len(slots)
+        at = (slots > 0).nonzero()[0]
         before = slots[at] - 1
-        keep = placed[before]
-        at, before = at[keep], before[keep]
-        end = i + len(slots)
-        if len(before):
+        keep = placed[before].nonzero()[0]
+        end = i + taken
+        if len(keep):
+            before = before[keep]
             symbol = t[before]
             stop = int(head[symbol].min())
             if stop < end:
                 end = stop
-                m = int(np.searchsorted(at, stop - i))
+                m = int(at[keep].searchsorted(stop - i))
                 before, symbol = before[:m], symbol[:m]
-            order = np.argsort(symbol, kind="stable")
+            order = symbol.argsort(kind="stable")
             symbol = symbol[order]
-            first = np.flatnonzero(np.append(True, symbol[1:] != symbol[:-1]))
-            count = np.diff(np.append(first, len(symbol)))
-            sa[head[symbol] + np.arange(len(symbol)) - np.repeat(first, count)] = before[order]
-            head[symbol[first]] += count
-        width = max(64, 2 * (end - i)) if end - i < len(slots) // 2 else min(2 * width, 1 << 16)
+            to = head[symbol] + (_COUNT[: len(symbol)] - symbol.searchsorted(symbol))
+            sa[to] = before[order]
+            head[symbol] = to + 1  # of equal symbols the last one counts
+        width = max(64, 2 * (end - i)) if end - i < taken // 2 else min(2 * width, MOST_SLOTS)
         i = end
 
 
