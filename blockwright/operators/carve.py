@@ -11,7 +11,6 @@ import struct
 from collections import OrderedDict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -517,30 +516,6 @@ def nal_units(blocks: DataFrame, volume: int = 0) -> DataFrame:
     return blocks.select("offset", "content", "after").mapInArrow(run, UNIT_SCHEMA)
 
 
-def index_chains(slots: DataFrame) -> DataFrame:
-    """(volume, head, clusters, ok, note): files of an index table (volume, idx, kind, next, prev, seq) followed from their heads; a loop, a break or a wrong back link is noted. One task per volume, whose slots are the index, not the footage."""
-
-    def follow(at: dict, head: int) -> tuple[list[int], str]:
-        chain, note = {head: 0}, ""
-        now = at[head]
-        while k := int(now.next):
-            if k in chain:
-                return [*chain], "loop"
-            if k not in at or at[k].kind != 2:
-                return [*chain], "broken link"
-            if at[k].prev != now.idx or at[k].seq != len(chain):
-                note = note or "back link differs"
-            chain[k], now = len(chain), at[k]
-        return [*chain], note or ("count differs" if at[head].seq != len(chain) - 1 else "")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {int(r.idx): r for r in pdf.itertuples(index=False)}
-        found = [(head, *follow(at, head)) for head in sorted(i for i, r in at.items() if r.kind == 1)]
-        return pd.DataFrame([(int(pdf["volume"].iloc[0]), head, chain, not note, note) for head, chain, note in found], columns=["volume", "head", "clusters", "ok", "note"])
-
-    return slots.groupBy("volume").applyInPandas(run, "volume long, head long, clusters array<long>, ok boolean, note string")
-
-
 def signature_hits(blocks: DataFrame, patterns: dict[str, bytes]) -> DataFrame:
     """(signature_id, offset) of byte patterns in blocks read with look-behind: a find that starts in the block before and ends in this one is reported here, once.
 

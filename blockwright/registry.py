@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("timeline", "sequence", "integrity", "detect", "match", "leads", "case", "findings")
+MODULES: tuple[str, ...] = ("timeline", "sequence", "integrity", "detect", "match", "leads", "case", "findings", "disk")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

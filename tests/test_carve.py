@@ -4,7 +4,7 @@ import struct
 
 import images
 from blockwright.functions import kernels
-from blockwright.operators import carve
+from blockwright.operators import carve, chains
 from blockwright.sources import images as source
 from pyspark.sql import functions as F
 
@@ -106,7 +106,7 @@ def test_log_records(spark, tmp_path):
 
 def test_chains(spark):
     rows = [(0, 1, 1, 2, 0, 2), (0, 2, 2, 3, 1, 1), (0, 3, 2, 0, 2, 2), (0, 5, 1, 6, 0, 1), (0, 6, 2, 5, 5, 1), (0, 8, 1, 9, 0, 1)]
-    got = carve.index_chains(spark.createDataFrame(rows, "volume long, idx long, kind int, next long, prev long, seq long")).orderBy("head").collect()
+    got = chains.index_chains(spark.createDataFrame(rows, "volume long, idx long, kind int, next long, prev long, seq long")).orderBy("head").collect()
     assert [(r["head"], r["clusters"], r["note"]) for r in got] == [(1, [1, 2, 3], ""), (5, [5, 6], "loop"), (8, [8], "broken link")]
 
 
