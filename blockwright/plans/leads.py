@@ -133,7 +133,7 @@ def painted_clocks(spark, d) -> DataFrame:
     raw = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("["), F.replace(clean, F.lit("202"), F.lit("2O2")), F.lit("]"))).otherwise(clean)
     read = table(spark, d, "events").select("event_id", "ts", titles.clock_readings(raw).alias("c"))
     got = titles.resolved(F.col("c.readings"), F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    return read.select("event_id", got.alias("read"), titles.clock_verdict(got, F.col("ts")).alias("verdict"), F.col("c.twelve_hour").alias("half"), F.col("c.weekday").alias("weekday"))
+    return read.select("event_id", got.alias("read"), titles.clock_verdict(got, F.col("ts")).alias("verdict"), F.col("c.half").alias("half"), F.col("c.weekday").alias("weekday"))
 
 
 def title_forms(spark, d) -> DataFrame:
