@@ -33,7 +33,9 @@ from .suffixes import anchored, repeated_runs
 #: Bytes of a string that may occur once only, and of the grams that name its windows.
 LENGTH, GRAM = 400, 128
 #: Bytes of texts read, of stretches sorted together, and of different stretches of one gram in a shard.
-READ_BYTES, SHARD_BYTES, GROUP_BYTES = 4 << 20, 1 << 20, 1 << 19
+READ_BYTES, SHARD_BYTES, GROUP_BYTES = 4 << 20, 3 << 19, 1 << 19
+#: Stretches that are handed out in one batch.
+STRETCHES_AT_ONCE = 1 << 13
 #: Names that a task remembers so as not to hand the same text or stretch out again; it starts anew beyond.
 REMEMBERED = 1 << 16
 
@@ -98,26 +100,33 @@ def _segment(at: int, data: bytes) -> bytes:
 def _cut_out(batches):
     """The stretch under each run of a text, its bytes for the first two of its kind in this task, and the text itself."""
     met: dict = {}
+    names = [n for n, _ in _STRETCH]
     for batch in batches:
-        rows, size = [], 0
-        for uid, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            rows.append((uid, text, None, None, None, None, None, None, None, None))
-            size += len(text)
-            for run in runs:
-                lo, hi, at, key = run["lo"], run["hi"], run["at"], run["key"]
-                data = text[lo : hi + LENGTH]
-                seg = _segment(at, data)
-                seen = met.get((key, seg), 0)
-                copies = max(0, min(2, seen + run["w"]) - seen)
-                met[key, seg] = seen + copies
-                size += 60 + copies * len(data)
-                rows += [(uid, None, key, seg, lo, hi - lo, at, GRAM - LENGTH, 0, data if k < copies else None) for k in range(max(1, copies))]
-            if size > READ_BYTES:
-                yield _table(rows, _STRETCH)
-                rows, size = [], 0
+        n, texts = batch.num_rows, batch.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.nulls(n, t) for _, t in _STRETCH[2:])], names)
+        flat = batch.column(2).flatten()
+        lo, hi, at, key, w = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        owner = np.repeat(np.arange(n), pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False))
+        for first in range(0, len(lo), STRETCHES_AT_ONCE):
+            index, segs, parts = [], [], []
+            part = slice(first, first + STRETCHES_AT_ONCE)
+            for k, (o, a, b, p, g, c) in enumerate(zip(*(x[part].tolist() for x in (owner, lo, hi, at, key, w)), strict=True), first):
+                data = texts[o][a : b + LENGTH]
+                seg = _segment(p, data)
+                seen = met.get((g, seg), 0)
+                copies = max(0, min(2, seen + c) - seen)
+                if copies:
+                    met[g, seg] = seen + copies
+                for j in range(copies or 1):
+                    index.append(k)
+                    segs.append(seg)
+                    parts.append(data if j < copies else None)
+            got, m = pa.array(index, pa.int64()), len(index)
+            low, high = lo[index], hi[index]
+            columns = [batch.column(0).take(pa.array(owner[index])), pa.nulls(m, pa.binary()), flat.field(3).take(got), pa.array(segs, pa.binary()), pa.array(low), pa.array(high - low), flat.field(2).take(got), pa.array(np.full(m, GRAM - LENGTH, np.int32)), pa.array(np.zeros(m, np.int32)), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
         if len(met) > REMEMBERED:
             met.clear()
-        yield _table(rows, _STRETCH)
 
 
 @tidy

@@ -50,7 +50,7 @@ def _sweep(sa: np.ndarray, t: np.ndarray, placed: np.ndarray, head: np.ndarray)
             to = head[symbol] + (_COUNT[: len(symbol)] - symbol.searchsorted(symbol))
             sa[to] = before[order]
             head[symbol] = to + 1  # of equal symbols the last one counts
-        width = max(64, 2 * (end - i)) if end - i < taken // 2 else min(2 * width, MOST_SLOTS)
+        width = 64 + (end - i) * 5 // 4 if end < i + taken else min(2 * width, MOST_SLOTS)
         i = end
 
 
@@ -73,6 +73,7 @@ def _induce(t: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, count: np.nda
 def suffix_array(t: np.ndarray, symbols: int) -> np.ndarray:
     """Order of all suffixes of ``t``, whose last symbol is its only 0."""
     n = len(t)
+    t = t.astype(np.uint16 if symbols <= 1 << 16 else np.int32, copy=False)  # two bytes are sorted by radix
     if n < 3:
         return np.arange(n, dtype=np.int32)[::-1].copy()
     smaller = _is_smaller(t)
@@ -181,12 +182,18 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     up, down = _powers(AT_ONCE + 4096 if len(data) <= AT_ONCE + 4096 else len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    h = (total[gram:] - total[:n]) * down[:n]
+    total = np.empty(len(data) + 1, np.uint64)
+    total[0] = 0
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= up[: len(data)]
+    np.cumsum(terms, out=total[1:])
+    h = total[gram:] - total[:n]
+    h *= down[:n]
     h ^= h >> np.uint64(32)
     h *= np.uint64(MIX)
-    return h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -212,16 +219,22 @@ def anchored(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         part = data[s : s + AT_ONCE + length - 1]
         h = gram_hashes(part, gram)
         place = np.uint64((1 << 24) - 1)
-        least = least_in_windows((h & ~place) | np.arange(len(h), dtype=np.uint64), width)
-        best = (least & place).astype(np.int64)
-        starts = np.arange(len(best)) + s
-        text = np.searchsorted(offsets, starts, side="right") - 1
-        whole = starts + length <= offsets[text + 1]
-        starts, best, text = starts[whole], best[whole], text[whole]
-        if len(starts):
-            new = np.append(True, (best[1:] != best[:-1]) | (text[1:] != text[:-1]))
-            lo, hi = starts[new], starts[np.append(new[1:], True)]
-            text, best = text[new], best[new]
+        least = h & ~place
+        least |= np.arange(len(h), dtype=np.uint64)
+        least = least_in_windows(least, width)
+        new = np.empty(len(least), bool)  # where a run begins: at another least gram, a text, or the first window that leaves its text
+        new[0] = True
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        edges = np.concatenate((offsets, offsets[1:] - length + 1)) - s
+        new[edges[(edges >= 0) & (edges < len(new))]] = True
+        lo = np.flatnonzero(new)
+        hi = np.append(lo[1:], len(new)) - 1 + s
+        best = (least[lo] & place).astype(np.int64)
+        lo += s
+        text = np.searchsorted(offsets, lo, side="right") - 1
+        whole = lo + length <= offsets[text + 1]
+        lo, hi, best, text = lo[whole], hi[whole], best[whole], text[whole]
+        if len(lo):
             parts.append((text, lo - offsets[text], hi - offsets[text], best + s - offsets[text], h[best].view(np.int64)))
     if not parts:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
