@@ -33,9 +33,9 @@ from .suffixes import anchored, repeated_runs
 #: Bytes of a string that may occur once only, and of the grams that name its windows.
 LENGTH, GRAM = 400, 128
 #: Bytes of texts read, of stretches sorted together, and of different stretches of one gram in a shard.
-READ_BYTES, SHARD_BYTES, GROUP_BYTES = 4 << 20, 3 << 19, 1 << 19
+READ_BYTES, SHARD_BYTES, GROUP_BYTES = 4 << 20, 1 << 20, 1 << 19
 #: Stretches that are handed out in one batch.
-STRETCHES_AT_ONCE = 1 << 13
+STRETCHES_AT_ONCE = 1 << 12
 #: Names that a task remembers so as not to hand the same text or stretch out again; it starts anew beyond.
 REMEMBERED = 1 << 16
 

@@ -13,7 +13,7 @@ STOP = 255
 #: Hashes of grams: an odd base, and a factor that mixes their bits.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Windows whose least grams are sought at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: Slots of a suffix array that a step looks at.
 MOST_SLOTS = 1 << 16
 _COUNT = np.arange(MOST_SLOTS)
