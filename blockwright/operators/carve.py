@@ -6,9 +6,11 @@ needs order (which stream a frame belongs to) runs once per volume over the smal
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections import OrderedDict
+from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
@@ -579,3 +581,74 @@ def reassembled(classified: DataFrame, chains: DataFrame, least: int = 1) -> Dat
         F.count("*").alias("frames"), F.sum("length").alias("bytes"), (F.max(number) - F.min(number) + 1 - F.countDistinct(number)).alias("missing"),
         F.transform(F.array_sort(F.collect_list(F.struct("place", "offset", "length"))), lambda x: F.struct(x["offset"].alias("offset"), x["length"].alias("length"))).alias("extents"),
     ).where(F.col("frames") >= least)
+
+
+REJOINED = "volume long, cluster long, next long, offset long, ftype int, frame_number long, length long, date long, ms int, head_length long, sha256 string, content binary"
+
+
+def rejoined_frames(clusters: DataFrame, links: DataFrame, classified: DataFrame, size: int) -> DataFrame:
+    """Frames cut at a cluster's end and finished at the start of the next cluster of their chain (REJOINED rows).
+
+    Clusters: (volume, cluster, content), each whole. Links: (volume, cluster, next); a next that lies behind the cluster
+    on the disk needs no joining. ``classified``: frames with their cluster and class; the write is in order, so the cut
+    frame begins where the cluster's last own frame ends. Its two parts, the tail of one cluster and the head of another,
+    meet by the number of the next one; they must make a sound frame that follows the last one, without a frame's mark
+    in its second part, which would be another camera's write over it.
+    """
+    dated = F.floor(micros(packed_date(F.col("date"))) / 1_000_000).cast("bigint")
+    kind = F.when(F.col("ftype").isin(*VIDEO), 0).when(F.col("ftype") == 0xF0, 1).otherwise(2)
+    own = classified.where("class = 'own'").select("volume", "cluster", "offset", "length", "frame_number", "ms", dated.alias("seconds"), kind.alias("kind"))
+    newest = [F.max_by("frame_number", F.when(F.col("kind") == k, F.col("offset"))).alias(f"newest_{k}") for k in range(len(KINDS))]
+    ends = own.groupBy("volume", "cluster").agg(F.max(F.struct("offset", "length", "ms", "seconds")).alias("last"), *newest)
+    at = F.col("last.offset") + F.col("last.length")
+    cut = ends.join(links.where("next <> cluster + 1"), ["volume", "cluster"]).where(at < (F.col("cluster") + 1) * size)
+    tails = clusters.join(cut, ["volume", "cluster"]).select(*cut.columns, at.alias("at"), F.expr(f"substring(content, cast(last.offset + last.length - cluster * {size} as int) + 1)").alias("tail"))
+    tails = tails.where(F.substring("tail", 1, len(FRAME)) == F.substring(F.lit(FRAME), F.lit(1), F.least(F.octet_length("tail"), F.lit(len(FRAME)))))
+    heads = clusters.join(tails.select("volume", F.col("next").alias("cluster")).distinct(), ["volume", "cluster"], "left_semi").select("volume", F.col("cluster").alias("next"), F.substring("content", 1, LARGEST).alias("head"))
+    names = ["volume", "cluster", "next", "at", "tail", "head", "last", *(f"newest_{k}" for k in range(len(KINDS)))]
+    types = (*[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64(), pa.string(), pa.binary())
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for volume, cluster, next_, at, tail, head, last, *newest in zip(*(c.to_pylist() for c in batch.columns)):
+                start = (tail + head[:HEADER])[:HEADER]
+                length = int.from_bytes(start[12:16], "little") if len(start) == HEADER else 0
+                if not len(tail) < length <= LARGEST:
+                    continue
+                data = tail + head[: length - len(tail)]
+                frame = sound_frame(data, 0)
+                second = data[len(tail) : length - TAIL]
+                if frame is None or FRAME in second or TRAILER in second:
+                    continue
+                which = 0 if frame[0] in VIDEO else 1 if frame[0] == 0xF0 else 2
+                streams = Streams()
+                streams.open[0] = {"offset": last["offset"], "ms": last["ms"], "seconds": last["seconds"], "newest": newest}
+                if streams.distance(0, {"ms": frame[4], "seconds": seconds_of(frame[3]), "kind": which, "frame_number": frame[1]}) is not None:
+                    rows.append((volume, cluster, next_, at, frame[0], frame[1], frame[2], frame[3], frame[4], len(tail), hashlib.sha256(data).hexdigest(), data))
+            cols = list(zip(*rows)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [c.split()[0] for c in REJOINED.split(", ")])
+
+    return tails.join(heads, ["volume", "next"]).select(*names).mapInArrow(run, REJOINED)
+
+
+def seconds_of(date: int) -> int | None:
+    """Seconds since 1970 of a packed date; None if it is none."""
+    try:
+        return int(datetime((date >> 26 & 63) + 2000, date >> 22 & 15, date >> 17 & 31, date >> 12 & 31, date >> 6 & 63, date & 63, tzinfo=timezone.utc).timestamp())
+    except ValueError:
+        return None
+
+
+def with_overflow(classified: DataFrame, links: DataFrame, size: int) -> DataFrame:
+    """Frames with class overflow, and ``home``, where a write ran over its cluster's end: what touches the frame across the border, one frame after the other, belongs to the cluster before, unless that one's chain goes on here."""
+    prev = sequence.with_previous(classified, ["volume"], "offset", [], ["offset", "length", "ms", "t"], stretch=1 << 26)
+    on = F.pmod(F.col("ms") - F.col("prev_ms") + 0x8000, F.lit(0x10000)) - 0x8000
+    follows = (F.col("prev_offset") + F.col("prev_length") == F.col("offset")) & on.between(-MS_BACK, MS_ON) & (F.col("t") - F.col("prev_t")).between(-DATE_BACK, DATE_ON)
+    begins = F.floor((F.col("offset")) / size) != F.floor(F.col("prev_offset") / size)  # the first frame of a cluster
+    entered = F.when(~follows | begins, F.struct("offset", (follows & begins & (F.col("prev_offset") + F.col("prev_length") > F.col("cluster") * size)).alias("over")))
+    run = sequence.running_max(prev, ["volume"], "offset", [], F.when(F.col("prev_offset").isNull(), F.struct("offset", F.lit(False).alias("over"))).otherwise(entered), "_in", inclusive=True, stretch=1 << 26)
+    before = links.select("volume", (F.col("cluster") + 1).alias("cluster"), F.col("next").alias("_next"))
+    over = F.col("_in.over") & (F.coalesce("_next", F.lit(0)) != F.col("cluster"))
+    out = run.join(before, ["volume", "cluster"], "left")
+    return out.select(*[c for c in classified.columns if c != "class"], F.when(over, "overflow").otherwise(F.col("class")).alias("class"), F.when(over, F.col("cluster") - 1).otherwise(F.col("cluster")).alias("home"))

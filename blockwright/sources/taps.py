@@ -99,8 +99,8 @@ def _form(taps: list[Tap]) -> str:
     return ", ".join(["tap string", "failed_at long", "reason string", *(f"`{t.name}` struct<{', '.join(':'.join(c.split()) for c in t.schema.split(', '))}>" for t in taps)])
 
 
-def scan_rows(spark: SparkSession, path: str, taps: list[Tap], block: int = 8 << 20, per_task: int = 8) -> DataFrame:
-    """Tagged rows of all taps from one read: (tap, failed_at, reason, one struct for each tap)."""
+def scan_rows(spark: SparkSession, path: str, taps: list[Tap], block: int = 8 << 20, per_task: int = 8, numbers: DataFrame | None = None) -> DataFrame:
+    """Tagged rows of all taps from one read: (tap, failed_at, reason, one struct for each tap). ``numbers``: the blocks to read (id), in tasks by range; else all."""
     from .facts import open_image
 
     form = _form(taps)
@@ -171,7 +171,8 @@ def scan_rows(spark: SparkSession, path: str, taps: list[Tap], block: int = 8 <<
 
     size = open_image(path).size
     blocks = -(-size // block)
-    return spark.range(0, blocks, 1, max(1, -(-blocks // per_task))).mapInArrow(run, form)
+    asked = spark.range(0, blocks, 1, max(1, -(-blocks // per_task))) if numbers is None else numbers
+    return asked.mapInArrow(run, form)
 
 
 class Scan:
@@ -206,6 +207,73 @@ class Scan:
         return self.rows("units")
 
 
+class OtherImage(ValueError):
+    """What is there now is not what was scanned."""
+
+
+def _told(spark: SparkSession, path: str, block: int, numbers: list[int]) -> dict[int, str]:
+    """Hashes of a few blocks as they are now."""
+    rows = scan_rows(spark, path, [BlockFacts(block)], block, 1, spark.createDataFrame([(n,) for n in numbers], "id long").coalesce(1))
+    return {r["index"]: r["sha256"] for r in rows.select("map.index", "map.sha256").collect()}
+
+
+def verify_same(spark: SparkSession, path: str, scan: Scan, block: int) -> int:
+    """Hash the first block and the last two scanned ones again; the number of blocks that were compared.
+
+    Another size, or another hash of one of them, is another image (or a device that has changed): an error, before
+    anything is added. Blocks that could not be read in full then are compared as they read now, zeros included.
+    """
+    from .facts import open_image
+
+    done = scan.block_map()
+    ends = done.agg(F.max("index").alias("top"), F.max(F.col("offset") + F.col("length")).alias("end"), F.max("length").alias("length")).first()
+    if ends["top"] is None:
+        return 0
+    size = open_image(path).size
+    if ends["end"] > size or (ends["end"] < size and ends["end"] % block):
+        raise OtherImage(f"{path} has {size} bytes; the scan's last block ended at {ends['end']}")
+    if ends["length"] > block:
+        raise OtherImage(f"the scan's blocks have {ends['length']} bytes, not {block}")
+    last = [r["index"] for r in done.orderBy(F.desc("index")).select("index").limit(2).collect()]
+    known = {r["index"]: r["sha256"] for r in done.where(F.col("index").isin(0, *last)).select("index", "sha256").collect()}
+    now = _told(spark, path, block, sorted(known))
+    if changed := sorted(n for n in known if known[n] != now.get(n)):
+        raise OtherImage(f"{path}: block {changed[0]} is not what was scanned")
+    return len(known)
+
+
+def resumed_scan(spark: SparkSession, path: str, folder: str, taps: list[Tap] | None = None, block: int = 8 << 20, per_task: int = 8, part: int = 4096, most_parts: int | None = None) -> Scan:
+    """A scan in parts of ``part`` blocks, each committed with its rows; what an earlier run committed is not read again.
+
+    The block map is the manifest: it is anti-joined from all numbers, after the first and last scanned blocks have been
+    hashed again (``verify_same``). ``most_parts`` ends the run early. Rows that look past a block's end are found with
+    that block, so parts need nothing of one another.
+    """
+    from .facts import open_image
+
+    taps = all_taps(block) if taps is None else taps
+    if "map" not in {t.name for t in taps}:
+        raise ValueError("a scan that can be resumed needs the block map")
+    scan = Scan(spark, folder, taps)
+    blocks = -(-open_image(path).size // block)
+    path_ = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    started = path_.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path_)
+    left = spark.range(0, blocks, 1, max(1, -(-blocks // part)))
+    if started:
+        verify_same(spark, path, scan, block)
+        left = left.join(scan.block_map().select(F.col("index").alias("id")).distinct(), "id", "left_anti")
+    todo = store.once(left.groupBy(F.floor(F.col("id") / part).alias("part")).agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")))
+    for row in todo.orderBy("part").toLocalIterator():
+        if most_parts is not None and most_parts <= 0:
+            break
+        numbers = spark.range(row["first"], row["last"] + 1, 1, max(1, -(-row["n"] // per_task)))
+        if row["n"] < row["last"] + 1 - row["first"]:
+            numbers = numbers.join(store.once(left.where(F.floor(F.col("id") / part) == row["part"])), "id", "left_semi")
+        scan_rows(spark, path, taps, block, per_task, numbers).write.mode("append").partitionBy("tap").parquet(folder)
+        most_parts = None if most_parts is None else most_parts - 1
+    return scan
+
+
 def shared_scan(spark: SparkSession, path: str, taps: list[Tap] | None = None, block: int = 8 << 20, per_task: int = 8, folder: str | None = None) -> Scan:
     """Read the image once for all ``taps`` (by default all of them) and write their rows to ``folder``, else to the shared one."""
     taps = all_taps(block) if taps is None else taps

@@ -93,3 +93,64 @@ class HighWater(StatefulProcessor):
 def high_water(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, top) per batch and key."""
     return rows.select(F.col(key).alias("key"), F.col(value).cast("double").alias("value")).groupBy("key").transformWithStateInPandas(HighWater(), f"key {dict(rows.dtypes)[key]}, n long, top double", "Update", "None")
+
+
+#: Bytes of silence after which a volume's stream is retired from the state.
+SILENCE = 256 << 20
+RETIRED = "volume long, stream long, packs long, bytes long, kept boolean, why string"
+
+
+class Retiring(StatefulProcessor):
+    """The open stream of a volume, kept until it breaks or until the disk has gone on for SILENCE bytes.
+
+    The offset is event time, a millisecond a byte: timers fire when the watermark on offsets passes them, so a stream
+    ends without another pack of its volume, and its state goes with it. A pack that lies before the volume's high-water
+    mark is told as ``late``, and is in no stream.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", PACK_STATE)
+
+    def _told(self, volume, done, why):
+        return (volume, done[0], done[1], done[2], done[1] >= LEAST, why)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held, out = (tuple(self.held.get()) if self.held.exists() else None), []
+        for offset, length, scr in pd.concat(list(rows)).sort_values("offset")[["offset", "length", "scr"]].itertuples(index=False, name=None):
+            if held is not None and offset < held[1]:
+                out.append((key[0], int(offset), 1, int(length), False, "late"))
+                continue
+            if held is not None and offset - held[1] > SILENCE:
+                out.append(self._told(key[0], (held[0], held[3], held[4]), "silence"))
+                held = None
+            done, held = _split(held, int(offset), int(length), int(scr))
+            if done:
+                out.append(self._told(key[0], done, "break"))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held is not None:
+            self.held.update(held)
+            self.handle.registerTimer(held[1])  # the watermark follows SILENCE bytes behind
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in RETIRED.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.held.exists():
+            start, _, _, packs, size = self.held.get()
+            out.append(self._told(key[0], (start, packs, size), "silence"))
+            self.held.clear()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in RETIRED.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def retiring_streams(packs: DataFrame) -> DataFrame:
+    """(volume, stream, packs, bytes, kept, why) of packs (volume, offset, length, scr), as streams end: by a break, by SILENCE bytes of the disk without one of theirs, or ``late`` ones.
+
+    The watermark follows SILENCE bytes behind the greatest offset of all volumes. Rows that come even later than that
+    belong to streams that are closed; Spark leaves them out and counts them in the query's progress.
+    """
+    timed = packs.withColumn("at", F.timestamp_millis(F.col("offset"))).withWatermark("at", f"{SILENCE} milliseconds")
+    return timed.groupBy("volume").transformWithStateInPandas(Retiring(), RETIRED, "Append", "EventTime")
