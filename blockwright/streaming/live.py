@@ -149,8 +149,9 @@ class Retiring(StatefulProcessor):
 def retiring_streams(packs: DataFrame) -> DataFrame:
     """(volume, stream, packs, bytes, kept, why) of packs (volume, offset, length, scr), as streams end: by a break, by SILENCE bytes of the disk without one of theirs, or ``late`` ones.
 
-    The watermark follows SILENCE bytes behind the greatest offset of all volumes. Rows that come even later than that
+    The watermark follows SILENCE bytes behind the greatest offset of all volumes (and begins at 0, so offset 0 is a
+    millisecond later). Rows that come even later than that
     belong to streams that are closed; Spark leaves them out and counts them in the query's progress.
     """
-    timed = packs.withColumn("at", F.timestamp_millis(F.col("offset"))).withWatermark("at", f"{SILENCE} milliseconds")
+    timed = packs.withColumn("at", F.timestamp_millis(F.col("offset") + 1)).withWatermark("at", f"{SILENCE} milliseconds")
     return timed.groupBy("volume").transformWithStateInPandas(Retiring(), RETIRED, "Append", "EventTime")

@@ -41,3 +41,20 @@ def test_pack_streams_equal_batch(spark, tmp_path):
     got = run(live.pack_streams(source(spark, tmp_path, packs, 4, "offset")), "packs", tmp_path, "append").orderBy("volume", "stream").collect()
     want = carve.pack_streams(packs).orderBy("volume", "stream").collect()
     assert [tuple(r) for r in got] == [(r["volume"], r["stream"], r["packs"], r["bytes"], r["kept"]) for r in want if r["stream"] < 5100]
+
+
+def test_silence_retires_streams(spark, tmp_path):
+    """Streams end by a break, or by 256 MiB of the disk without a pack of theirs, on whichever volume those bytes are; late packs are told."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    quiet = live.SILENCE
+    rows = [(0, 100 * k, 100, 9000 * k) for k in range(30)] + [(1, 5000 + 100 * k, 100, 9000 * k) for k in range(10)]  # in batch 0
+    rows += [(0, 3000 + 100 * k, 100, 900_000_000 + 9000 * k) for k in range(5)] + [(1, 5500, 100, 0)]  # a break, and a late pack
+    rows += [(2, 4 * quiet, 100, 0), (2, 8 * quiet, 100, 0)]
+    packs = spark.createDataFrame([(k // 40, *r) for k, r in enumerate(rows)], "n long, volume long, offset long, length long, scr long")
+    path = str(tmp_path / "in")
+    for part in (packs.where("n = 0"), packs.where("n = 1 and volume < 2"), packs.where(f"offset = {4 * quiet}"), packs.where(f"offset = {8 * quiet}")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(packs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = run(live.retiring_streams(stream), "retired", tmp_path, "append").collect()
+    told = sorted((r["volume"], r["stream"], r["packs"], r["kept"], r["why"]) for r in got)
+    assert told == [(0, 0, 30, True, "break"), (0, 3000, 5, False, "silence"), (1, 5000, 10, False, "silence"), (1, 5500, 1, False, "late"), (2, 4 * quiet, 1, False, "silence")]
