@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.columns import US, micros, packed_date, pack_date, epoch_guess, to_utc, wrapped_difference
-from ..operators import carve, daylight, intervals
+from ..operators import carve, daylight, findings, intervals
 from .common import RECORDINGS, recordings, table
 
 DAY = 86_400 * US
@@ -15,8 +15,8 @@ DAY = 86_400 * US
 
 def case_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Streams, frames and bytes of each label."""
-    li = table(spark, d, "lineitem")
-    return li.groupBy("l_returnflag", "l_linestatus").agg(F.countDistinct("l_orderkey").alias("streams"), F.count("*").alias("frames"), F.sum(F.col("l_quantity").cast("bigint")).alias("bytes"))
+    li = table(spark, d, "lineitem").withColumn("size", F.col("l_quantity").cast("bigint"))
+    return findings.rolled_up(li, ["l_returnflag", "l_linestatus"], "l_orderkey", "size")
 
 
 def by_month(spark, d) -> DataFrame:
@@ -168,32 +168,25 @@ def audit_counts(spark, d) -> DataFrame:
 
 def slice_histogram(spark, d) -> DataFrame:
     """Frames by the number of slices in them."""
-    per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("slices"))
-    return per.groupBy("slices").agg(F.count("*").alias("frames"))
+    return findings.members_histogram(table(spark, d, "lineitem"), "l_orderkey", "slices")
 
 
 def preserved_blocks(spark, d) -> DataFrame:
     """Blocks that named regions touch, each once, with the number of regions: recordings over hours."""
-    rec = recordings(spark, d)
-    hour = 3600 * US
-    hit = rec.select("event_id", F.explode(F.sequence(F.floor(F.col("s") / hour), F.floor((F.col("e") - 1) / hour))).alias("block"))
-    return hit.groupBy("block").agg(F.count("*").alias("regions"), F.min("event_id").alias("first_region"))
+    return findings.touched_blocks(recordings(spark, d), "event_id", "s", "e", 3600 * US)
 
 
 def visible_cases(spark, d) -> DataFrame:
     """Rows that a role may see: all for an examiner, else what is not synthetic; an unknown role sees none."""
     roles = spark.createDataFrame([("examiner",), ("viewer",), ("nobody",)], "role string")
-    n = table(spark, d, "nation")
-    may = (F.col("role") == "examiner") | ((F.col("role") == "viewer") & (F.col("n_regionkey") % 2 == 0))
-    return n.crossJoin(F.broadcast(roles)).where(may).groupBy("role").agg(F.count("*").alias("cases"))
+    rules = {"examiner": F.lit(True), "viewer": F.col("n_regionkey") % 2 == 0}
+    return findings.visible(table(spark, d, "nation"), roles, "role", rules).groupBy("role").agg(F.count("*").alias("cases"))
 
 
 def stage_plan(spark, d) -> DataFrame:
     """Stages that an unattended run plans from detections: each supplier's confidence and streams decide."""
     li = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("streams"), F.count_if(F.col("l_returnflag") == "R").alias("hits"))
-    sure = F.col("hits") / F.col("streams")
-    plan = F.concat_ws("+", F.lit("scan"), F.when(sure >= 0.25, "parse"), F.when(F.col("streams") > 580, "carve"), F.when((sure >= 0.25) & (F.col("streams") > 580), "timeline"))
-    return li.groupBy(plan.alias("plan")).agg(F.count("*").alias("suppliers"))
+    return findings.planned_stages(li, F.col("hits") / F.col("streams"), F.col("streams"), 0.25, 580).groupBy("plan").agg(F.count("*").alias("suppliers"))
 
 
 QUERIES = {

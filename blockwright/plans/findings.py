@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import US, micros, upper_median
-from ..operators import daylight, intervals, sequence
+from ..functions.columns import US, micros
+from ..operators import daylight, findings, intervals
 from .common import RECORDINGS, recordings, table
 
 DAY, HOUR = 86_400 * US, 3600 * US
@@ -15,51 +15,43 @@ DAY, HOUR = 86_400 * US, 3600 * US
 def index_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of an index (customers' orders) with recorded time, first and last, and the share that footage (their lines) recovers."""
     o = table(spark, d, "orders").select((F.col("o_custkey") % 200).alias("block"), "o_orderkey", micros(F.col("o_orderdate")).alias("t"))
-    lines = table(spark, d, "lineitem").select("l_orderkey").distinct()
-    hit = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    return hit.groupBy("block").agg(F.count("*").alias("records"), F.min("t").alias("first_us"), F.max("t").alias("last_us"), F.count("l_orderkey").alias("recovered"), F.bround(F.count("l_orderkey") / F.count("*"), 4).alias("recovered_share"))
+    got = findings.index_coverage(o, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "block", "o_orderkey", "t")
+    return got.select("block", "records", F.col("first").alias("first_us"), F.col("last").alias("last_us"), "recovered", F.bround("share", 4).alias("recovered_share"))
 
 
 def log_summary(spark, d) -> DataFrame:
     """Records by kind with first, last and the newest one's place."""
-    rec = recordings(spark, d)
-    return rec.groupBy("camera").agg(F.count("*").alias("n"), F.min("s").alias("first_us"), F.max("s").alias("last_us"), F.max_by("event_id", F.struct("s", "event_id")).alias("newest"))
+    return findings.log_summary(recordings(spark, d), "camera", "s", "event_id").withColumnsRenamed({"first": "first_us", "last": "last_us"})
 
 
 def band_calibration(spark, d) -> DataFrame:
     """The band with the best mean of its streams' mean scores, if it is a half or more: labels as bands, clips as streams."""
     e = table(spark, d, "embeddings").select((F.col("label") % 4).alias("band"), (F.col("vec_id") % 20).alias("stream"), (F.col("vec_id") * 37 % 101).alias("score"))
-    means = e.groupBy("band", "stream").agg(F.avg("score").alias("m")).groupBy("band").agg(F.bround(F.avg("m"), 6).alias("score"), F.count("*").alias("streams"))
-    top = means.agg(F.min_by("band", F.struct((-F.col("score")).alias("s"), "band")).alias("band"), F.max("score").alias("score"))
-    return top.select(F.when(F.col("score") >= 50, F.col("band")).alias("band"), "score")
+    return findings.best_band(e, "band", "stream", "score", 50)
 
 
 def clock_tally(spark, d) -> DataFrame:
     """Readings of each user's clock against the container's: counts, and least, greatest and upper median offset in seconds."""
-    rec = recordings(spark, d)
     off = F.floor((F.col("e") - F.col("s")) / US).cast("bigint") - 50
-    return rec.groupBy("user_id").agg(F.count("*").alias("n"), F.min(off).alias("least"), F.max(off).alias("most"), upper_median(off).alias("median"), F.count_if(F.abs(off) <= 3).alias("agree"))
+    return findings.clock_tally(recordings(spark, d).withColumn("off", off), "user_id", "off", 3)
 
 
 def totals(spark, d) -> DataFrame:
     """Totals over all recorders."""
-    o = table(spark, d, "orders")
-    return o.agg(F.count("*").alias("recordings"), F.countDistinct("o_custkey").alias("recorders"), F.min(micros(F.col("o_orderdate"))).alias("first_us"), F.max(micros(F.col("o_orderdate"))).alias("last_us"), F.sum(F.floor("o_totalprice").cast("bigint")).alias("bytes"))
+    o = table(spark, d, "orders").select("o_custkey", micros(F.col("o_orderdate")).alias("t"), F.floor("o_totalprice").cast("bigint").alias("size"))
+    return findings.totals(o, "o_custkey", "t", "t", "size").withColumnsRenamed({"first": "first_us", "last": "last_us"})
 
 
 def stage_status(spark, d) -> DataFrame:
     """State of each stage of a case from the artefacts that exist: order priorities as artefacts, states as stages."""
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderstatus")).alias("has"), F.count("*").alias("n"))
-    state = F.when(F.array_contains("has", "F") & F.array_contains("has", "O"), "complete").when(F.array_contains("has", "O"), "running").when(F.col("n") >= 5, "stalled").otherwise("waiting")
-    return o.select("o_custkey", state.alias("state")).groupBy("state").agg(F.count("*").alias("cases"))
+    o = findings.stage_states(table(spark, d, "orders"), "o_custkey", "o_orderstatus", ["F", "O"], ["O"], 5)
+    return o.groupBy("state").agg(F.count("*").alias("cases"))
 
 
 def picture_runs(spark, d) -> DataFrame:
     """Runs of neighbouring frames that touch, are near in time and have one picture size."""
     li = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.max("l_linenumber").alias("size"), F.min(micros(F.col("l_shipdate"))).alias("t"))
-    prev = sequence.with_previous(li, ["l_suppkey"], "l_orderkey", [], ["l_orderkey", "size", "t"], 1 << 14)
-    breaks = (F.col("l_orderkey") - F.col("prev_l_orderkey") > 100) | (F.abs(F.col("t") - F.col("prev_t")) > 900 * DAY) | (F.col("size") != F.col("prev_size"))
-    return sequence.runs(prev, ["l_suppkey"], "l_orderkey", [], breaks, "run", 1 << 14).groupBy("l_suppkey", "run").agg(F.count("*").alias("frames"), F.max("l_orderkey").alias("last"))
+    return findings.picture_runs(li, "l_suppkey", "l_orderkey", "t", "size", 100, 900 * DAY, 1 << 14)
 
 
 def light_switches(spark, d) -> DataFrame:
@@ -74,81 +66,66 @@ def model_checks(spark, d) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_custkey") % 5).alias("stated"))
     o = table(spark, d, "orders").groupBy("o_custkey").agg((F.count("*") % 5).alias("found"))
     both = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
-    verdict = F.when(F.col("stated").isNull() | F.col("found").isNull(), "not determined").when(F.col("stated") == F.col("found"), "agree").otherwise("differ")
-    return both.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    return both.groupBy(findings.compared(F.col("stated"), F.col("found")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
 def master_checks(spark, d) -> DataFrame:
     """Fields of each record against the others; null where a check cannot be made."""
-    li = table(spark, d, "lineitem")
-    checks = F.array(
-        F.struct(F.lit("price is within bounds").alias("check"), (F.col("l_extendedprice") >= F.col("l_quantity")).alias("ok")), F.struct(F.lit("discount below tax ceiling").alias("check"), (F.col("l_discount") <= 0.1).alias("ok")),
-        F.struct(F.lit("returned lines are finished").alias("check"), F.when(F.col("l_returnflag") == "R", F.col("l_linestatus") == "F").alias("ok")),
-    )
-    return li.select(F.explode(checks).alias("c")).groupBy("c.check").agg(F.count_if(F.col("c.ok")).alias("holds"), F.count_if(~F.col("c.ok")).alias("fails"), F.count_if(F.col("c.ok").isNull()).alias("unknown"))
+    checks = {"price is within bounds": F.col("l_extendedprice") >= F.col("l_quantity"), "discount below tax ceiling": F.col("l_discount") <= 0.1, "returned lines are finished": F.when(F.col("l_returnflag") == "R", F.col("l_linestatus") == "F")}
+    return findings.checked(table(spark, d, "lineitem"), checks)
 
 
 def default_clock(spark, d) -> DataFrame:
     """Footage dated at a clock's default: the first three days of the table stand for the year 2000."""
     rec = recordings(spark, d)
     first = rec.agg(F.min("s").alias("f"))
-    return rec.crossJoin(F.broadcast(first)).where(F.col("s") <= F.col("f") + 3 * DAY).groupBy("camera").agg(F.count("*").alias("at_default"))
+    return findings.at_default_clock(rec.crossJoin(F.broadcast(first)), "camera", "s", F.col("f") + 3 * DAY)
 
 
 def statement_coverage(spark, d) -> DataFrame:
     """Files of a statement against those found: by digest; covered, altered (same name, other digest) or not stated."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    stated = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("sid"), F.when(F.col("doc_id") % 11 == 0, F.lit("x")).otherwise(F.col("h")).alias("sh"))
-    joined = docs.join(stated, F.col("doc_id") == F.col("sid"), "left")
-    state = F.when(F.col("sid").isNull(), "not stated").when(F.col("h") == F.col("sh"), "covered").otherwise("altered")
-    return joined.groupBy(state.alias("state")).agg(F.count("*").alias("files"), F.min("doc_id").alias("first"))
+    stated = docs.where("doc_id % 5 <> 0").withColumn("h", F.when(F.col("doc_id") % 11 == 0, F.lit("x")).otherwise(F.col("h")))
+    return findings.statement_states(docs, stated, "doc_id", "h").groupBy("state").agg(F.count("*").alias("files"), F.min("doc_id").alias("first"))
 
 
 def whole_drive_hashes(spark, d) -> DataFrame:
     """Hashes that may be called whole: only where their length is the device's size."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.length("text").cast("bigint").alias("seen"), F.sha2("text", 256).alias("sha256"))
-    return docs.withColumn("seen", F.when(F.col("doc_id") % 9 == 0, F.col("seen") - 1).otherwise(F.col("seen"))).where("seen = n_chars").select("doc_id", "sha256")
+    docs = docs.withColumn("seen", F.when(F.col("doc_id") % 9 == 0, F.col("seen") - 1).otherwise(F.col("seen")))
+    return findings.whole_only(docs, "seen", "n_chars").select("doc_id", "sha256")
 
 
 def labelled_thumbs(spark, d) -> DataFrame:
     """Pictures with the labels seen at their clip and time."""
     e = table(spark, d, "embeddings").select("vec_id", (F.col("vec_id") % 20).alias("clip"), F.floor(F.col("vec_id") / 60).cast("bigint").alias("t"), (F.col("label") % 5).alias("label"))
-    seen = e.where("label > 0").groupBy("clip", "t").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_set("label")), lambda x: x.cast("string"))).alias("labels"))
-    return e.join(seen, ["clip", "t"], "left").select("vec_id", "clip", "t", F.coalesce("labels", F.lit("")).alias("labels"))
+    return findings.with_labels_seen(e.drop("label"), e.where("label > 0"), ["clip", "t"], "label").select("vec_id", "clip", "t", "labels")
 
 
 def earlier_runs(spark, d) -> DataFrame:
     """Files whose content an earlier entry of the ledger already names: the first such entry."""
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    ledger = docs.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    return docs.join(ledger, "h").where(F.col("doc_id") > F.col("first")).select("doc_id", "first", "n")
+    return findings.earlier_entries(table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h")), "doc_id", "h")
 
 
 def begin_records(spark, d) -> DataFrame:
     """A channel's first log record against its first frame: how far apart, per user."""
     rec = recordings(spark, d)
-    log = rec.where("camera = 'signup'").groupBy("user_id").agg(F.min("s").alias("logged"))
-    frames = rec.where("camera = 'view'").groupBy("user_id").agg(F.min("s").alias("seen"))
-    return log.join(frames, "user_id").select("user_id", (F.col("seen") - F.col("logged")).alias("off_us"))
+    return findings.first_apart(rec.where("camera = 'signup'"), rec.where("camera = 'view'"), "user_id", "s").withColumnRenamed("apart", "off_us")
 
 
 def unlisted(spark, d) -> DataFrame:
     """Index and files held together: listed but absent, present but unlisted, or with another header."""
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey").where("o_orderkey % 8 <> 1")
-    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("s")).where("l_orderkey % 8 <> 2")
-    both = o.join(li, F.col("o_orderkey") == F.col("l_orderkey"), "full_outer")
-    state = F.when(F.col("l_orderkey").isNull(), "absent").when(F.col("o_orderkey").isNull(), "unlisted").when(F.col("o_custkey") % 3 == F.col("s") % 3, "equal").otherwise("differs")
-    return both.groupBy(state.alias("state")).agg(F.count("*").alias("files"))
+    o = table(spark, d, "orders").where("o_orderkey % 8 <> 1").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 3).alias("header"))
+    li = table(spark, d, "lineitem").where("l_orderkey % 8 <> 2").groupBy(F.col("l_orderkey").alias("k")).agg((F.min("l_suppkey") % 3).alias("header"))
+    return findings.held_together(o, li, "k", "header").groupBy("state").agg(F.count("*").alias("files"))
 
 
 def event_cameras(spark, d) -> DataFrame:
     """The camera of each event: its own, else its zone's, else unknown."""
-    rec = recordings(spark, d).select("event_id", "user_id")
-    own = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("u"), F.col("c_nationkey").alias("own"))
-    zone = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("z"), F.col("n_regionkey").alias("zone"))
-    joined = rec.join(own, F.col("user_id") == F.col("u"), "left").join(zone, F.col("user_id") % 25 == F.col("z"), "left")
-    camera = F.when(F.col("own").isNotNull(), F.concat(F.lit("CH"), F.col("own").cast("string"))).when(F.col("zone").isNotNull(), F.concat(F.lit("Z"), F.col("zone").cast("string"))).otherwise("UNKNOWN")
-    return joined.groupBy(camera.alias("camera")).agg(F.count("*").alias("events"))
+    rec = recordings(spark, d).select("event_id", "user_id", (F.col("user_id") % 25).alias("zone"))
+    own = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"), F.concat(F.lit("CH"), F.col("c_nationkey").cast("string")).alias("camera"))
+    zones = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("zone"), F.concat(F.lit("Z"), F.col("n_regionkey").cast("string")).alias("camera"))
+    return findings.placed_events(rec, own, zones, "user_id", "zone", "camera").groupBy(F.col("placed").alias("camera")).agg(F.count("*").alias("events"))
 
 
 def frequent_heads(spark, d) -> DataFrame:
