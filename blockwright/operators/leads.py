@@ -23,17 +23,19 @@ def box(prefix: str) -> list[Column]:
 def static_boxes(detections: DataFrame, frames: DataFrame) -> DataFrame:
     """Detections (clip, t, label, id, x1..x4) with static: the same label stands in the same place in a quarter of the clip's frames and in four of them at least.
 
-    A box's centre falls in a grid cell; boxes with this overlap have centres in the same or a neighbouring cell, so
-    pairs are sought cell by cell and a busy clip is no single group.
+    Equal boxes are counted first and meet as one, so a box that stands still all through a clip is one row. A box's
+    centre falls in a grid cell; boxes with this overlap have centres in the same or a neighbouring cell, so pairs are
+    sought cell by cell and a busy clip is no single group.
     """
     side = 0.25
     cell = lambda lo, hi: F.floor((F.col(lo) + F.col(hi)) / 2 / side).cast("int")
-    a = detections.withColumn("_cx", cell("x1", "x3")).withColumn("_cy", cell("x2", "x4"))
+    places = ["clip", "label", "x1", "x2", "x3", "x4"]
+    kinds = detections.groupBy(*places).agg(F.count("*").alias("_times")).withColumn("_cx", cell("x1", "x3")).withColumn("_cy", cell("x2", "x4"))
     around = F.array(*[F.struct((F.col("_cx") + i).alias("cx"), (F.col("_cy") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = a.withColumn("_n", F.explode(around)).select("clip", "label", F.col("_n.cx").alias("_cx"), F.col("_n.cy").alias("_cy"), *[F.col(f"x{k}").alias(f"y{k}") for k in (1, 2, 3, 4)])
-    near = a.join(b, ["clip", "label", "_cx", "_cy"]).where(iou(box("x"), box("y")) >= STATIC_IOU)
-    counts = near.groupBy("id").agg(F.count("*").alias("same"))
-    joined = detections.join(counts, "id").join(frames, "clip")
+    others = kinds.withColumn("_n", F.explode(around)).select("clip", "label", F.col("_n.cx").alias("_cx"), F.col("_n.cy").alias("_cy"), "_times", *[F.col(f"x{k}").alias(f"y{k}") for k in (1, 2, 3, 4)])
+    near = kinds.drop("_times").join(others, ["clip", "label", "_cx", "_cy"]).where(iou(box("x"), box("y")) >= STATIC_IOU)
+    counts = near.groupBy(*places).agg(F.sum("_times").alias("same"))
+    joined = detections.join(counts, places).join(frames, "clip")
     return joined.select("id", "clip", "label", "same", ((F.col("same") >= STATIC_LEAST) & (F.col("same") >= STATIC_SHARE * F.col("frames"))).alias("static"))
 
 

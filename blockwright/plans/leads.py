@@ -169,7 +169,11 @@ ORACLE_SQL = {
     "a26_voted_titles": """WITH r AS (SELECT conv_id, turn, upper(role[1]) || lower(role[2:]) || CASE WHEN turn % 3 = 0 THEN '  #' ELSE ' ' END || 'x' || (conv_id % 4) AS s FROM conversations), w AS (SELECT conv_id, CASE WHEN turn % 5 = 4 THEN upper(s) ELSE s END AS raw FROM r),
         o AS (SELECT conv_id, trim(regexp_replace(regexp_replace(raw, '[^A-Za-z0-9 _#-]', ' ', 'g'), ' +', ' ', 'g')) AS t FROM w), v AS (SELECT conv_id, lower(t) AS c, t, count(*) AS n FROM o WHERE length(t) BETWEEN 3 AND 32 AND regexp_matches(t, '[A-Za-z]') GROUP BY ALL),
         f AS (SELECT conv_id, c, CAST(sum(n) AS BIGINT) AS agree, arg_min(t, (-n, t)) AS t FROM v GROUP BY 1, 2), b AS (SELECT conv_id, CAST(sum(agree) AS BIGINT) AS readable, arg_min(t, (-agree, c)) AS t, max(agree) AS agree FROM f GROUP BY 1) SELECT conv_id, readable, agree, CASE WHEN readable >= 3 AND agree >= 0.6::DOUBLE * readable THEN t END AS title FROM b""",
-    "a28_parsed_clocks": "WITH e AS (SELECT event_id % 3 <> 0 AND day(ts) <= 12 AND day(ts) <> month(ts) AS ambiguous FROM events) SELECT ambiguous, count(*) AS n, count(*) AS parsed, count(*) AS agree FROM e GROUP BY 1",
+    "a28_parsed_clocks": """WITH w AS (SELECT ts, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%d/%m/%Y %H:%M:%S') ELSE strftime(ts, '%m/%d/%Y %H:%M:%S') END AS raw FROM events),
+    r AS (SELECT ts, try_strptime(raw, '%Y-%m-%d %H:%M:%S') AS ymd, try_strptime(raw, '%d/%m/%Y %H:%M:%S') AS dmy, try_strptime(raw, '%m/%d/%Y %H:%M:%S') AS mdy FROM w),
+    n AS (SELECT *, abs(date_diff('second', ts, dmy)) AS a, abs(date_diff('second', ts, mdy)) AS b FROM r),
+    p AS (SELECT ts, CASE WHEN ymd IS NOT NULL THEN ymd WHEN dmy IS NULL THEN mdy WHEN mdy IS NULL THEN dmy WHEN a < b THEN dmy WHEN b < a THEN mdy WHEN dmy = mdy THEN dmy END AS read, dmy IS NOT NULL AND mdy IS NOT NULL AND dmy <> mdy AS ambiguous FROM n)
+    SELECT ambiguous, count(*) AS n, count(read) AS parsed, count(*) FILTER (WHERE abs(date_diff('second', ts, read)) <= 3) AS agree FROM p GROUP BY 1""",
     "fn_painted_clocks": "SELECT event_id, date_trunc('second', ts) AS read, 'agrees' AS verdict, CASE WHEN event_id % 4 IN (1, 3) THEN CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END END AS half, CASE WHEN event_id % 4 = 0 THEN left(dayname(ts), 3) END AS weekday FROM events",
     "fn_title_forms": "SELECT c_custkey, replace(c_name, '#00', ' 00') || '' AS title, lower(replace(c_name, '#00', ' 00')) AS form FROM customer",
 }
