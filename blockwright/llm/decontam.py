@@ -7,7 +7,8 @@ for a random W, which partial sums of partitions give; the driver turns the sket
 (randomised Nystroem decomposition), where A holds the pieces and, with ITEMS times their weight in all, the items. A second
 pass projects every passage and searches all items by cosine alone; candidates are then checked word by word: longest
 common subsequence, the same over distinctive words, and the item's answer part. The benchmark is a query set: items
-of like length make blocks of ``BLOCK``, each with a latent space of its own, and ``SCAN`` blocks share both passes.
+of like length make blocks of ``BLOCK``, each with a latent space of its own, and ``SCAN`` blocks share both passes: what
+the driver gathers and sends, a row of ``BLOCK + EXTRA`` numbers for each term of a block, is bounded by them.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import text_runs, tidy
 
 #: Items of a block, dimensions of its latent space beyond one for each item, seed of the random sketch, blocks of a scan.
-BLOCK, EXTRA, SEED, SCAN = 32, 16, 5, 512
+BLOCK, EXTRA, SEED, SCAN = 32, 16, 5, 128
 #: Words that more than this share of a block's items, and more than two, have are no terms and not distinctive, unless an item has no others.
 USUAL = 0.05
 #: Least cosine of a candidate, and weight of the items among the passages.
@@ -296,7 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     An item is held where a stretch of half its length more than its own has enough of its words in order (see WORDS
     and DISTINCTIVE; all words of an item of up to five, so an item of one word is held wherever the word stands). Of
-    several such stretches the best counts. Items and texts that are null or have no words match nothing; an empty
+    several such stretches the best counts: the largest overlap, then the answer, then the largest cosine. Items and texts that are null or have no words match nothing; an empty
     benchmark or table gives no rows. Null ids stay null. Repeated rows of documents or items are found each for
     itself. Whole texts are searched; a text is held as words while it is.
     """

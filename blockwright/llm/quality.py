@@ -185,7 +185,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """(id, held_out, score, predicted) for every document.
 
     Scores come from the text's statistics alone; null and empty texts are scored like any other. Without labels
-    every score is 0.5. Repeated rows stay.
+    every score is 0.5. Repeated rows stay, and equal texts have equal scores. Several labels of a document are averaged.
+    Very long texts are measured whole. An empty table gives no rows. Other columns are not looked at, whatever their names.
     """
     stats = cut(document_statistics(docs, id_col, text_col))
     model = learn(stats, labels, id_col, label_col)

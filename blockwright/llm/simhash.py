@@ -292,7 +292,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     The component is the smallest id that can be reached, the row's own included. A null id keeps its row and is
     never a component unless all of its component's ids are null. Null and empty texts have fingerprint 0, which
-    links like any other. Repeated rows stay repeated.
+    links like any other. Repeated rows stay repeated; equal fingerprints are one node, so ties cost nothing and no
+    order of rows matters. Very long texts are hashed whole, in parts. An empty table gives no rows. Other columns are not
+    looked at, whatever their names.
     """
     prints = cut(fingerprints(docs, id_col, text_col, width))
     distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))

@@ -15,6 +15,13 @@ def test_pages_equal_sql(spark):
     assert warc.archive_pages(spark.createDataFrame(pages).limit(0)).count() == 0
 
 
+def test_clashing_columns_change_nothing(spark):
+    pages = spark.createDataFrame(pd.DataFrame(ROWS, columns=["page_id", "url", "html"]))
+    more = pages.selectExpr("*", "1 AS id", "'x' AS digest", "2 AS size", "'y' AS payload_digest", "'z' AS part", "3 AS record_type")
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(str, warc.archive_pages(more).select(*names).collect())) == sorted(map(str, warc.archive_pages(pages).select(*names).collect()))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_versions(version):
     data = warc.arc_header(version, "n.arc") + warc.arc_record(version, "n.arc", 0, "http://h/ü x", b"HTTP/1.1 200 OK\r\nX-Page-Id: 7\r\n\r\nbody\n\n") + warc.arc_record(version, "n.arc", 9, "dns:h", b"20000101000000\nh. 1 IN A 1.2.3.4\n")
