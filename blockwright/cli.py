@@ -165,11 +165,107 @@ def ledger(_, a) -> None:
     print(json.dumps({"entries": len(book.entries()), "first_break": broken and broken[0], "reason": broken and broken[1]}))
 
 
+def _blocks(spark, a, before: int = 0, after: int = 0) -> DataFrame:
+    from .sources import images
+
+    images.register(spark)
+    fmt = "ewfblocks" if a.image[-3:-2].lower() == "e" else "rawblocks"
+    return spark.read.format(fmt).option("path", a.image).option("blockSize", a.block).option("lookBehind", before).option("lookAhead", after).load()
+
+
+def scan_all(spark, a) -> DataFrame:
+    """One read of an image for the block map, frames, packs and start codes, into a folder; a scan that was ended goes on."""
+    from .sources import taps
+
+    done = taps.resumed_scan(spark, a.image, a.folder, block=a.block)
+    return spark.createDataFrame([(name, done.rows(name, partial=True).count()) for name in done.taps], "tap string, rows long").join(done.failures().groupBy("tap").agg(F.count("*").alias("failed_tasks")), "tap", "left")
+
+
+def survey(spark, a) -> DataFrame:
+    """Length and date fields behind tokens (parted by commas) in an image of unknown format."""
+    from .operators import survey as s
+
+    return s.token_fields(s.token_geometry(_blocks(spark, a).select(F.col("content").alias("data")), [t.encode() for t in a.tokens.split(",") if t]))
+
+
+def identify(spark, a) -> DataFrame:
+    """Where an image holds identifiers, given as kind=value parted by commas (serial, device or mac), in each form that they are written in."""
+    from .operators import identify as i
+
+    pairs = [tuple(x.split("=", 1)) for x in a.identifiers.split(",") if "=" in x]
+    wanted = i.forms([("mac" if kind == "mac" else "text", value) for kind, value in pairs])
+    longest = max((len(w[2]) for w in wanted), default=1)
+    return i.identifier_report(spark, i.identifier_hits(_blocks(spark, a, 1, longest + 1), wanted), wanted)
+
+
+def seal(spark, a) -> DataFrame:
+    """Blocks of an image, encrypted under the 32 bytes of a key file and bound to a package's name and their places."""
+    from .operators import sealing
+
+    with open(a.key, "rb") as f:
+        return sealing.sealed(_blocks(spark, a).select(F.floor(F.col("offset") / a.block).alias("index"), "content"), f.read(), a.package)
+
+
+def unseal(spark, a) -> DataFrame:
+    """Blocks of a sealed package again; those that were changed or moved are not ok."""
+    from .operators import sealing
+
+    with open(a.key, "rb") as f:
+        return sealing.unsealed(spark.read.parquet(a.sealed), f.read(), a.package)
+
+
+def seal_check(spark, a) -> DataFrame:
+    """The root of a sealed package, and the breaks that show without its key."""
+    from .operators import sealing
+
+    rows = spark.read.parquet(a.sealed)
+    return sealing.seal_root(rows).join(sealing.seal_breaks(rows), F.lit(True), "left")
+
+
+def preserve(spark, a) -> DataFrame:
+    """Blocks of a map that regions (name, start, end) touch, each once, with the regions' names."""
+    from .sources import facts
+
+    return facts.preserved(spark.read.parquet(a.map), spark.read.parquet(a.regions))
+
+
+def chains(spark, a) -> DataFrame:
+    """Files of an index table (volume, idx, kind, next, prev, seq), with what is wrong with their chains."""
+    from .operators import chains as c
+
+    return c.chain_files(spark.read.parquet(a.slots))
+
+
+def calibrate(spark, a) -> DataFrame:
+    """Where slot 0 of each volume lies, from its index slots and the frames that stand at cluster starts."""
+    from .operators import chains as c
+
+    return c.data_base(spark.read.parquet(a.slots), spark.read.parquet(a.marks), a.block)
+
+
+def read_clocks(spark, a) -> DataFrame:
+    """Painted clocks of a table of readings (column raw): all times that they allow, half of the day and weekday."""
+    from .operators import titles
+
+    rows = spark.read.parquet(a.readings)
+    return rows.select("*", titles.clock_readings(F.col("raw")).alias("clock"))
+
+
+def read_titles(spark, a) -> DataFrame:
+    """Painted titles of a table of readings (column raw), and the form that they are compared in."""
+    from .operators import titles
+
+    title = titles.normal_title(F.col("raw"))
+    return spark.read.parquet(a.readings).select("*", title.alias("title"), titles.canonical(title).alias("form"))
+
+
 #: Commands with their own arguments.
 COMMANDS = {
     "scan": (scan, ["image"]), "hashes": (hashes, ["image"]), "partitions": (partitions, ["image"]), "ewf-info": (ewf_info, ["image"]), "parse": (parse, ["image"]), "carve": (carve, ["image"]),
     "carve-ps": (carve_ps, ["image"]), "carve-annexb": (carve_annexb, ["image"]), "log": (log, ["image"]), "index": (index, ["image"]), "extract": (extract, ["image", "clips"]), "regions": (regions, ["map"]),
     "diff": (diff, ["map", "other"]), "prove": (prove, ["map", "block_index"]), "timeline": (timeline, ["recordings"]), "query": (query, ["name", "folder"]), "ledger": (ledger, ["file"]),
+    "scan-all": (scan_all, ["image", "folder"]), "survey": (survey, ["image", "tokens"]), "identify": (identify, ["image", "identifiers"]), "seal": (seal, ["image", "key", "package"]), "unseal": (unseal, ["sealed", "key", "package"]),
+    "seal-check": (seal_check, ["sealed"]), "preserve": (preserve, ["map", "regions"]), "chains": (chains, ["slots"]), "calibrate": (calibrate, ["slots", "marks"]), "read-clocks": (read_clocks, ["readings"]), "read-titles": (read_titles, ["readings"]),
 }
 
 
