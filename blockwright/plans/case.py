@@ -100,7 +100,8 @@ def block_kernels(spark, d) -> DataFrame:
 def python_kernels(spark, d) -> DataFrame:
     """Kernels that have no SQL form: density, census, kind, container and 16-bit check of each block."""
     b = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
-    return b.select("doc_id", kernels.incompressibility_udf("b").alias("incompressibility"), kernels.census_udf("b")["start_codes"].alias("start_codes"), kernels.sample_kind_udf("b").alias("kind"), kernels.container_udf("b").alias("container"), kernels.adler32_udf("b").alias("adler32"))
+    b = b.select("doc_id", "b", kernels.census_udf("b").alias("census"))
+    return b.select("doc_id", kernels.incompressibility_udf("b").alias("incompressibility"), "census.*", kernels.sample_kind_udf("b").alias("kind"), kernels.container_udf("b").alias("container"), kernels.adler32_udf("b").alias("adler32"), kernels.crc16_udf("b").alias("crc16"))
 
 
 def frame_rows(spark, d) -> DataFrame:

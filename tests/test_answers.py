@@ -125,6 +125,14 @@ def test_python_kernels(spark):
         assert r["adler32"] == zlib.adler32(b) and r["start_codes"] == b.count(b"\0\0\1") and r["container"] == "unknown"
         kind = "zero" if not b.strip(b"\0") else "fill" if len(set(b)) == 1 else "dense" if r["incompressibility"] >= 0.95 else "structured"
         assert r["kind"] == kind
+        assert (r["sps"], r["pps"], r["idr"], r["hevc_ps"]) == kernels.census(b) == (0, 0, 0, 0)  # texts have no start codes
+        if len(b) < 3000:
+            crc = 0
+            for byte in b:  # bit by bit
+                crc ^= byte
+                for _ in range(8):
+                    crc = crc >> 1 ^ (0xA001 if crc & 1 else 0)
+            assert r["crc16"] == crc
 
 
 def test_containers():
