@@ -39,7 +39,7 @@ def test_entry_has_all_queries():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert {"pipeline", *queries.QUERIES} <= set(names) and len([n for n in names if n.startswith("op")]) == 10
+    assert {"pipeline", *queries.QUERIES} <= set(names) and len([n for n in names if n.startswith("op")]) == 13
     assert np.all([n in names for n in e.oracle_sql()])
 
 
