@@ -19,6 +19,16 @@ def test_suffix_array_is_sorted(symbols):
         assert suffixes.suffix_array(np.array(t, np.int32), symbols + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_suffix_array_after_a_wide_step():
+    """A sweep that stops late in a wide window goes on with a window no wider than a step may be."""
+    t = np.append(np.frombuffer(b"dcbbba" * 60_000 + b"dca" * 40_000, np.uint8).astype(np.int32) + 1, np.int32(0))
+    sa = suffixes.suffix_array(t, 257)
+    rank = np.full(len(t) + 1, -1)
+    rank[sa] = np.arange(len(t))
+    a, b = sa[:-1], sa[1:]
+    assert np.array_equal(np.sort(sa), np.arange(len(t))) and ((t[a] < t[b]) | ((t[a] == t[b]) & (rank[a + 1] < rank[b + 1]))).all()
+
+
 def covered(texts, length):
     """Flags of bytes in windows that occur twice; every window is counted."""
     windows = Counter(s[i : i + length] for s in texts for i in range(len(s) - length + 1))
