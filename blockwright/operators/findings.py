@@ -62,9 +62,14 @@ def members_histogram(rows: DataFrame, group: str, name: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count("*").alias(name)).groupBy(name).agg(F.count("*").alias("frames"))
 
 
-def touched_blocks(regions: DataFrame, id_col: str, start: str, end: str, size: int) -> DataFrame:
-    """(block, regions, first_region): blocks that regions touch, each once; a region that ends where it starts touches none."""
-    hit = regions.where(F.col(end) > F.col(start)).select(id_col, F.explode(F.sequence(F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size))).alias("block"))
+def touched_blocks(regions: DataFrame, id_col: str, start: str, end: str, size: int, points: bool = False) -> DataFrame:
+    """(block, regions, first_region): blocks that regions touch, each once; a region that ends where it starts touches none.
+
+    With ``points`` such a region touches the block inside which it stands; between two blocks it touches neither.
+    """
+    first, last = F.floor(F.col(start) / size), F.floor((F.col(end) - 1) / size)
+    touches = first <= last if points else F.col(end) > F.col(start)
+    hit = regions.where(touches).select(id_col, F.explode(F.sequence(first, last)).alias("block"))
     return hit.groupBy("block").agg(F.count("*").alias("regions"), F.min(id_col).alias("first_region"))
 
 
