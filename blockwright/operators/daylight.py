@@ -20,14 +20,18 @@ def light_switches(readings: DataFrame, lane: str, t: str, ties: list[str], infr
     whatever its length. Changes over longer gaps than ``gap`` are not placed.
     """
     prev = sequence.with_previous(readings.withColumn("_ir", infrared), [lane], t, ties, ["_ir"], stretch)
-    run = sequence.runs(prev, [lane], t, ties, F.col("_ir") != F.col("prev__ir"), "_run", stretch)
-    one = run.groupBy(lane, "_run").agg(F.count("*").alias("n"), F.min(t).alias("a"), F.max(t).alias("b"), F.bool_or("_ir").alias("ir"))
-    first = sequence.with_previous(one, [lane], "a", [], ["n"], stretch)
+    changes = F.coalesce(F.col("_ir") != F.col("prev__ir"), F.lit(True))
+    place = F.struct(F.col(t).alias("a"), *[F.col(c).alias(f"tie{k}") for k, c in enumerate(ties)])  # of equal times, runs are told apart by their ties
+    run = running_max(prev, [lane], t, ties, F.when(changes, place), "_run", inclusive=True, stretch=stretch)
+    one = run.groupBy(lane, "_run").agg(F.count("*").alias("n"), F.max(t).alias("b"), F.bool_or("_ir").alias("ir")).withColumn("a", F.col("_run.a"))
+    first = sequence.with_previous(one, [lane], "a", ["_run"], ["n"], stretch)
     firm = (F.col("n") >= least) | F.col("prev_n").isNull()
-    last = running_max(first, [lane], "a", [], F.when(firm, F.struct("a", "ir")), "_last", stretch=stretch)
+    last = running_max(first, [lane], "a", ["_run"], F.when(firm, F.struct("_run", "ir")), "_last", stretch=stretch)
     opens = firm & (F.col("_last").isNull() | (F.col("_last.ir") != F.col("ir")))
-    kept = running_max(last, [lane], "a", [], F.when(opens, F.col("a")), "_kept", inclusive=True, stretch=stretch)
-    modes = kept.groupBy(lane, "_kept").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.min_by("ir", "a").alias("ir"))
+    kept = running_max(last.withColumn("_opens", opens), [lane], "a", ["_run"], F.when(F.col("_opens"), F.col("a")), "_kept", inclusive=True, stretch=stretch)
+    # Runs that begin at one time stand in one mode, and the one that opens it tells its kind.
+    at_once = kept.groupBy(lane, "a").agg(F.max("_kept").alias("_kept"), F.sum("n").alias("n"), F.max("b").alias("b"), F.min(F.when(F.col("_opens"), F.struct("_run", "ir")))["ir"].alias("ir"))
+    modes = at_once.groupBy(lane, "_kept").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.min_by("ir", "a").alias("ir"))
     pair = sequence.with_previous(modes, [lane], "a", [], ["b", "n"], stretch)
     apart = F.col("a") - F.col("prev_b")
     return pair.where((F.col("n") >= least) & (F.col("prev_n") >= least) & (apart <= gap)).select(
