@@ -108,8 +108,8 @@ def parked_spots(detections: DataFrame) -> DataFrame:
     return counted.groupBy("clip").applyInPandas(run, "clip bigint, spot bigint, label string, frames bigint, first bigint, last bigint, score double")
 
 
-#: Wanted faces of a block; each block is one pass over all faces.
-WANTED = 4096
+#: Wanted faces of a block, each one pass over all faces; and products that a task holds at once.
+WANTED, PRODUCTS = 4096, 1 << 20
 
 
 def _blocks_of(wanted: DataFrame, id_col: str, vec: str):
@@ -127,30 +127,57 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return batch.column(0).to_numpy(), flat.reshape(batch.num_rows, -1)
+def _pair_dots(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``_dots`` of rows i of x with rows j of y, a bounded number of pairs at once."""
+    most = 1 << 15
+    return np.concatenate([np.zeros(0), *(_dots(x[i[k : k + most]], y[j[k : k + most]]) for k in range(0, len(i), most))])
+
+
+def _vectors(batches, wanted: int):
+    """(ids, vectors) of faces, so few at a time that their products with so many wanted ones stay bounded."""
+    rows = max(1, PRODUCTS // wanted)
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            part = batch.slice(first, rows)
+            flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield part.column(0).to_numpy(), flat.reshape(part.num_rows, -1)
+
+
+def _best(k: int, j: np.ndarray, f: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (wanted place, face, similarity) of each wanted place, best first; ties: the smallest face."""
+    order = np.lexsort((f, -s, j))
+    j = j[order]
+    keep = np.arange(len(j)) - np.searchsorted(j, j) < k
+    return j[keep], f[order][keep], s[order][keep]
 
 
 def nearest_faces(faces: DataFrame, wanted: DataFrame, k: int, id_col: str, vec: str, wanted_id: str, wanted_vec: str) -> DataFrame:
     """The k faces most like each wanted face, itself left out, with candidate marks; ties: the smallest id.
 
-    Wanted faces are a query set of any size: a block of them at a time meets all faces, whose tasks multiply whole
-    batches and keep what may be among the best k of a wanted face; only that is ranked together.
+    Wanted faces are a query set of any size: a block of them at a time meets all faces. Tasks multiply bounded parts of
+    their batches and keep the best k of each wanted face so far; only those are ranked together.
     """
     out = None
     for ids, vectors in _blocks_of(wanted, wanted_id, wanted_vec):
 
         def run(batches, ids=ids, vectors=vectors):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own, x = _vectors(batch)
+            none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            held, fresh, more = none, [], 0
+            least = np.full(len(ids), -np.inf)  # the k-th best so far
+            for own, x in _vectors(batches, len(ids)):
                 near = x @ vectors.T
                 near[own[:, None] == ids[None, :]] = -np.inf
-                least = np.partition(near, -k, axis=0)[-k] if len(own) > k else np.full(len(ids), -np.inf)
-                i, j = np.nonzero((near >= least - 1e-9) & np.isfinite(near))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(own[i]), pa.array(_dots(x[i], vectors[j]))], names=["w", "f", "s"])
+                limit = np.maximum(least, np.partition(near, -k, axis=0)[-k]) if len(own) > k and np.isinf(least).any() else least
+                i, j = np.nonzero((near >= limit - 1e-9) & np.isfinite(near))
+                fresh.append((j, own[i], _pair_dots(x, i, vectors, j)))
+                more += len(i)
+                if more >= k * len(ids):
+                    held, fresh, more = _best(k, *(np.concatenate(c) for c in zip(held, *fresh))), [], 0
+                    first = np.searchsorted(held[0], np.arange(len(ids)))
+                    full = np.bincount(held[0], minlength=len(ids)) == k
+                    least[full] = held[2][first[full] + k - 1]
+            j, f, s = _best(k, *(np.concatenate(c) for c in zip(held, *fresh)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[j]), pa.array(f), pa.array(s)], names=["w", "f", "s"])
 
         found = faces.select(F.col(id_col).cast("long").alias("f"), vec).mapInArrow(run, "w long, f long, s double")
         out = found if out is None else out.unionByName(found)
@@ -168,15 +195,16 @@ def candidate_counts(faces: DataFrame, wanted: DataFrame, id_col: str, vec: str,
     for ids, vectors in _blocks_of(wanted, wanted_id, wanted_vec):
 
         def run(batches, ids=ids, vectors=vectors):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                own, x = _vectors(batch)
+            compared, candidates = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for own, x in _vectors(batches, len(ids)):
                 near = x @ vectors.T
                 i, j = np.nonzero(np.abs(near - least) < 1e-9)  # where the order of the sum could decide
-                near[i, j] = _dots(x[i], vectors[j])
+                near[i, j] = _pair_dots(x, i, vectors, j)
                 other = own[:, None] != ids[None, :]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(other.sum(axis=0)), pa.array((other & (near >= least)).sum(axis=0))], names=["w", "compared", "candidates"])
+                compared += other.sum(axis=0)
+                candidates += (other & (near >= least)).sum(axis=0)
+            met = compared > 0
+            yield pa.RecordBatch.from_arrays([pa.array(ids[met]), pa.array(compared[met]), pa.array(candidates[met])], names=["w", "compared", "candidates"])
 
         found = faces.select(F.col(id_col).cast("long").alias("f"), vec).mapInArrow(run, "w long, compared long, candidates long")
         out = found if out is None else out.unionByName(found)

@@ -6,6 +6,7 @@ import statistics
 import struct
 import zlib
 
+import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
@@ -287,3 +288,14 @@ def calendar(date):
     from datetime import datetime, timezone
 
     return int(datetime((date >> 26) + 2000, date >> 22 & 15, date >> 17 & 31, date >> 12 & 31, date >> 6 & 63, date & 63, tzinfo=timezone.utc).timestamp())
+
+
+def test_faces_meet_wanted_ones_in_bounded_parts():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([[float(k), 1.0] for k in range(10_000)])], ["f", "v"])
+    parts = list(leads._vectors(iter([batch]), leads.WANTED))
+    assert max(len(own) for own, _ in parts) * leads.WANTED <= leads.PRODUCTS
+    assert [k for own, _ in parts for k in own] == list(range(10_000)) and all((x[:, 0] == own).all() for own, x in parts)
+    j, f, s = leads._best(2, np.array([1, 0, 1, 1, 0]), np.array([5, 9, 4, 3, 8]), np.array([0.5, 0.1, 0.7, 0.5, 0.1]))
+    assert (j.tolist(), f.tolist(), s.tolist()) == ([0, 0, 1, 1], [8, 9, 4, 3], [0.1, 0.1, 0.7, 0.5])
