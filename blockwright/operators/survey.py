@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import re
 from datetime import datetime, timezone
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Where a field may begin after a token's start, its widths, and the years that dates may fall in (fixed values).
 OFFSETS, WIDTHS, YEARS = range(4, 32, 2), (1, 2, 4), (2005, 2035)
 GEOMETRY = "token string, offset int, width int, places long, pairs long, equal long, unix long, packed long"
+#: Bytes of buffers that are looked at together.
+TOGETHER = 1 << 20
 #: Least share of a token's places at which a field counts as one, and how many date fields are told.
 LEAST_SHARE, DATES_TOLD = 0.5, 3
 
@@ -29,21 +31,55 @@ def _is_unix(v: np.ndarray) -> np.ndarray:
     return (v >= low) & (v <= high)
 
 
-def geometry_of(data: bytes, token: bytes) -> np.ndarray:
-    """(offset, width) by (places, pairs, equal, unix, packed) of one buffer: fields that fit, gaps to the next place, and fields that equal the gap."""
-    d = np.frombuffer(data, np.uint8).astype(np.int64)
-    at = np.array([m.start() for m in re.finditer(b"(?=" + re.escape(token) + b")", data)], np.int64)
-    gap = np.append(at[1:] - at[:-1], -1) if len(at) else at
-    out = np.zeros((len(OFFSETS), len(WIDTHS), 5), np.int64)
-    for i, offset in enumerate(OFFSETS):
-        for j, width in enumerate(WIDTHS):
-            fits = at + offset + width <= len(d)
-            value = sum(d[at[fits] + offset + k] << 8 * k for k in range(width)) if fits.any() else np.zeros(0, np.int64)
-            dates = (int(_is_unix(value).sum()), int(_is_packed(value).sum())) if width == 4 and offset % 4 == 0 else (0, 0)
-            out[i, j] = (len(at), (gap >= 0).sum(), (value == gap[fits]).sum(), *dates)
+def _parts(sizes: np.ndarray):
+    """(first, past the last) of runs of buffers that are looked at together; a larger one is looked at alone."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TOGETHER, side="right")))
+        yield first, last
+        first = last
+
+
+def _places(data: np.ndarray, token: bytes) -> np.ndarray:
+    """Every place where the token starts, overlapping ones included: those of its first byte, less those where a later one differs."""
+    at = np.flatnonzero(data[: max(0, len(data) - len(token) + 1)] == token[0])
+    for k, byte in enumerate(token[1:], 1):
+        at = at[data[at + k] == byte]
+    return at
+
+
+def _geometry(data: np.ndarray, ends: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+    """(token, offset, width) by (places, pairs, equal, unix, packed) of buffers that lie end to end in ``data``: fields that fit into their buffer, gaps to the next place in it, and fields that equal the gap."""
+    out = np.zeros((len(tokens), len(OFFSETS), len(WIDTHS), 5), np.int64)
+    for t, token in enumerate(tokens):
+        at = _places(data, token)
+        owner = np.searchsorted(ends, at, side="right")
+        inside = at + len(token) <= ends[owner]
+        at, owner = at[inside], owner[inside]
+        gap = np.where(owner[1:] == owner[:-1], at[1:] - at[:-1], -1)
+        gap = np.append(gap, -1) if len(at) else at
+        room = ends[owner] - at
+        out[t, ..., :2] = len(at), (gap >= 0).sum()
+        for i, offset in enumerate(OFFSETS):
+            held = np.flatnonzero(room > offset)
+            value, place = np.zeros(len(held), np.int64), at[held] + offset
+            for k in range(max(WIDTHS)):
+                fits = room[held] > offset + k
+                held, place, value = held[fits], place[fits], value[fits]
+                value |= data[place + k].astype(np.int64) << 8 * k
+                if k + 1 in WIDTHS:
+                    j = WIDTHS.index(k + 1)
+                    out[t, i, j, 2] = (value == gap[held]).sum()
+                    if k + 1 == 4 and offset % 4 == 0:
+                        out[t, i, j, 3:] = _is_unix(value).sum(), _is_packed(value).sum()
     return out
 
 
+def geometry_of(data: bytes, token: bytes) -> np.ndarray:
+    """(offset, width) by (places, pairs, equal, unix, packed) of one buffer."""
+    return _geometry(np.frombuffer(data, np.uint8), np.array([len(data)]), [token])[0]
+
+
 def token_geometry(buffers: DataFrame, tokens: list[bytes], data: str = "data") -> DataFrame:
     """(token, offset, width, places, pairs, equal, unix, packed) over all buffers, overlapping places included.
 
@@ -57,9 +93,11 @@ def token_geometry(buffers: DataFrame, tokens: list[bytes], data: str = "data")
     def run(batches):
         total = np.zeros((len(tokens), len(OFFSETS), len(WIDTHS), 5), np.int64)
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                for t, token in enumerate(tokens):
-                    total[t] += geometry_of(content or b"", token)
+            for first, last in _parts(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)):
+                part = pc.fill_null(batch.column(0).slice(first, last - first), b"").cast(pa.large_binary())
+                offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
+                data = np.frombuffer(part.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+                total += _geometry(data, offsets[1:] - offsets[0], tokens)
         t, i, j = (x.reshape(-1) for x in np.indices(total.shape[:3]))
         names = [token.decode("latin-1") for token in tokens]
         yield pa.RecordBatch.from_arrays(

@@ -35,6 +35,31 @@ def test_overlapping_places():
     assert survey.geometry_of(b"aaaa", b"aa")[0, 0, :2].tolist() == [3, 2]
 
 
+def test_buffers_together_equal_buffers_alone():
+    """Fields and gaps end with their buffer, wherever buffers meet; many short ones take no longer than one of their size."""
+    rng = random.Random(8)
+    tokens = [b"ab", b"aa", b"b"]
+    for _ in range(200):
+        buffers = [bytes(rng.choice(b"ab\x02\x00") for _ in range(rng.randrange(40))) for _ in range(rng.randrange(1, 6))]
+        together = survey._geometry(np.frombuffer(b"".join(buffers), np.uint8), np.cumsum([len(b) for b in buffers]), tokens)
+        for t, token in enumerate(tokens):
+            assert (together[t] == sum(fields_by_hand(b, token) for b in buffers)).all()
+
+
+def fields_by_hand(data, token):
+    out = np.zeros((len(survey.OFFSETS), len(survey.WIDTHS), 5), np.int64)
+    at = [k for k in range(len(data)) if data.startswith(token, k)]
+    for p, after in zip(at, [*at[1:], None]):
+        for i, offset in enumerate(survey.OFFSETS):
+            for j, width in enumerate(survey.WIDTHS):
+                field = data[p + offset : p + offset + width]
+                value = np.array([int.from_bytes(field, "little")])
+                whole = len(field) == width
+                dated = whole and width == 4 and offset % 4 == 0
+                out[i, j] += (1, after is not None, whole and after is not None and value[0] == after - p, dated and survey._is_unix(value)[0], dated and survey._is_packed(value)[0])
+    return out
+
+
 def found_by_hand(data, wanted):
     out = set()
     for name, form, pattern in wanted:
