@@ -57,12 +57,22 @@ def explained_silences(silences: DataFrame, power_on: DataFrame, shutdown: DataF
 
 
 def log_shift(power_on: DataFrame, starts: DataFrame, within: int = 120 * US, span_min: int = 840, step_min: int = 30) -> DataFrame:
-    """For each trial shift of the log's clock, how many power-ons a recording follows within two minutes."""
-    shifts = power_on.select(F.col("t"), F.explode(F.sequence(F.lit(-span_min), F.lit(span_min), F.lit(step_min))).alias("shift_min"))
-    moved = shifts.withColumn("at", F.col("t") + F.col("shift_min").cast("bigint") * MINUTE).withColumn("_lane", F.lit(0))
-    right = starts.select(F.lit(0).alias("_lane"), F.col("s").alias("_s"), F.col("s").alias("next_us"))
-    near = intervals.asof_join(moved, right, ["_lane"], "at", "_s", ["next_us"], within=within, forward=True)
-    return near.groupBy("shift_min").agg(F.count("*").alias("power_ons"), F.count("next_us").alias("followed"))
+    """For each trial shift of the log's clock, how many power-ons a recording follows within two minutes.
+
+    Time is cut into bins of ``within``. A recording that follows lies in the bin of the power-on or in the next one, so
+    a bin's last start and the next bin's first one decide: the recordings become one row a bin, and a power-on meets one.
+    """
+    bin_ = lambda c: F.floor(c / within).cast("bigint")
+    ends = starts.where("s is not null").groupBy(bin_(F.col("s")).alias("_b")).agg(F.min("s").alias("first"), F.max("s").alias("last"))
+    none = F.lit(None).cast("bigint")
+    bins = ends.select("_b", "last", none.alias("next")).unionByName(ends.select((F.col("_b") - 1).alias("_b"), none.alias("last"), F.col("first").alias("next")))
+    bins = bins.groupBy("_b").agg(F.max("last").alias("last"), F.max("next").alias("next"))
+    times = power_on.groupBy("t").agg(F.count("*").alias("_n"))
+    shifts = times.select("t", "_n", F.explode(F.sequence(F.lit(-span_min), F.lit(span_min), F.lit(step_min))).alias("shift_min"))
+    moved = shifts.withColumn("at", F.col("t") + F.col("shift_min").cast("bigint") * MINUTE).withColumn("_b", bin_(F.col("at")))
+    followed = F.coalesce((F.col("last") >= F.col("at")) | (F.col("next") - F.col("at") <= within), F.lit(False))
+    near = moved.join(bins, "_b", "left")
+    return near.groupBy("shift_min").agg(F.sum("_n").alias("power_ons"), F.sum(F.when(followed, F.col("_n")).otherwise(0)).alias("followed"))
 
 
 def shift_verdict(scores: DataFrame, least: int = 5, clear: int = 3) -> DataFrame:

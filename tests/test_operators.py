@@ -167,3 +167,18 @@ def test_sun_height(spark):
     df = spark.createDataFrame([(1_710_936_420 * US,), ((1_710_936_420 + 43_200) * US,)], "t long")
     up, down = (r[0] for r in df.select(columns.solar_elevation(F.col("t"), 0.0, 0.0)).collect())
     assert up > 89 and down < -85
+
+
+def test_log_shift_goes_by_bins(spark):
+    """Shifts equal counting by hand, at the edges of bins and before 1970 too, and no order over a whole day is needed."""
+    from blockwright.operators import timeline
+
+    rng = random.Random(5)
+    on, starts = [rng.randrange(-4000, 9000) for _ in range(150)] + [None, 0, 120, 0], [rng.randrange(-4000, 9000) for _ in range(60)] + [None, 120, 240, 360]
+    as_rows = lambda values, name: spark.createDataFrame([(v if v is None else v * 1_000_000,) for v in values], f"{name} long")
+    got = timeline.log_shift(as_rows(on, "t"), as_rows(starts, "s"), span_min=60, step_min=7)
+    want = {}
+    for k in range(-60, 61, 7):
+        want[k] = (len(on), sum(t is not None and any(s is not None and 0 <= s - t - k * 60 <= 120 for s in starts) for t in on))
+    assert {r["shift_min"]: (r["power_ons"], r["followed"]) for r in got.collect()} == want
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
