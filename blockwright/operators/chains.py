@@ -2,8 +2,8 @@
 
 A link goes from a slot to the next one. ``k`` rounds of joining the table of jumps with itself give jumps of ``2**k``
 links, so a chain of n slots takes log2(n) rounds, whatever the number of chains, and no volume or chain is one task.
-Loops are found first: who still jumps after as many links as there are slots runs in circles. Circles are cut open,
-numbered from their smallest slot by the same doubling, and put back behind the way that leads into them.
+Loops are found first: jumps twice as long lead to fewer slots as long as some way is open; once they lead to as many,
+these are the slots on circles, after log2 of the longest way into one. Circles are cut open, numbered from their smallest slot by the same doubling, and put back behind the way that leads into them.
 """
 
 from __future__ import annotations
@@ -14,18 +14,20 @@ from pyspark.sql import functions as F
 from . import store
 
 
-def _doubled(links: DataFrame, slots: int) -> tuple[list[DataFrame], bool]:
-    """Jumps (volume, a, b) of 1, 2, 4 ... links, and whether some are left after as many links as there are slots."""
-    levels, length = [store.once(links)], 1
-    while length < slots:
+def _doubled(links: DataFrame) -> tuple[list[DataFrame], bool]:
+    """Jumps (volume, a, b) of 1, 2, 4 ... links, and whether there are circles: then the last ones lead to their slots alone, and to all of them."""
+    levels, ends = [store.once(links)], None
+    while True:
         now = levels[-1]
         onward = now.select("volume", F.col("a").alias("b"), F.col("b").alias("_c"))
         longer = store.once(now.join(onward, ["volume", "b"]).select("volume", "a", F.col("_c").alias("b")))
-        if longer.isEmpty():
+        left = longer.select("volume", "b").distinct().count()
+        if not left:
             return levels, False
         levels.append(longer)
-        length *= 2
-    return levels, length >= slots and not levels[-1].isEmpty()
+        if left == ends:
+            return levels, True
+        ends = left
 
 
 def _walked(starts: DataFrame, levels: list[DataFrame]) -> DataFrame:
@@ -52,7 +54,7 @@ def _circles(links: DataFrame, levels: list[DataFrame], slots: int) -> tuple[Dat
             break
     rings = least.select("volume", "ring").distinct().select("volume", F.col("ring").alias("start"))
     opened = around.join(rings.select("volume", F.col("start").alias("b")), ["volume", "b"], "left_anti").select("volume", "a", "b")
-    placed = _walked(rings, _doubled(opened, slots)[0]).withColumnRenamed("start", "ring")
+    placed = _walked(rings, _doubled(opened)[0]).withColumnRenamed("start", "ring")
     sizes = placed.groupBy("volume", "ring").agg(F.count("*").alias("size"))
     return store.once(placed.join(sizes, ["volume", "ring"])), links.join(on.withColumnRenamed("idx", "a"), ["volume", "a"], "left_anti")
 
@@ -68,11 +70,11 @@ def chain_places(slots: DataFrame) -> DataFrame:
     links = store.once(kept.where("next <> 0").join(to, ["volume", "next"], "left_semi").select("volume", F.col("idx").alias("a"), F.col("next").alias("b")))
     most = slots.groupBy("volume").count().agg(F.max("count")).first()[0] or 0
     heads = kept.where("kind = 1").select("volume", F.col("idx").alias("start"))
-    levels, circling = _doubled(links, most)
+    levels, circling = _doubled(links)
     if not circling:
         return _walked(heads, levels).select("volume", F.col("start").alias("head"), "place", "idx", F.lit(False).alias("looped"))
     rings, straight = _circles(links, levels, most)
-    ways = store.once(_walked(heads, _doubled(straight, most)[0]))
+    ways = store.once(_walked(heads, _doubled(straight)[0]))
     entry = ways.join(rings.select("volume", "idx", "ring", F.col("place").alias("_at"), "size"), ["volume", "idx"])
     turn = entry.select("volume", "start", "ring", "_at", "size", F.col("place").alias("_way"))
     round_ = turn.join(rings.select("volume", "ring", "idx", F.col("place").alias("_p")), ["volume", "ring"])

@@ -60,3 +60,13 @@ def test_the_true_base_wins_by_time(spark):
     got = chains.data_base(df(heads, "volume idx start_s end_s vol_start"), df(marks, "volume offset first_s last_s"), 100).orderBy("volume").collect()
     assert [(r["volume"], r["base"], r["found"], r["error_s"]) for r in got] == [(0, 77, 30, 0.5), (1, 78, 30, 0.5)]
     assert chains.data_base(df(heads, "volume idx start_s end_s vol_start"), df([], "volume offset first_s last_s"), 100).collect() == []
+
+
+def test_short_loops_take_few_rounds(spark):
+    """Ways into circles are as long as they are, however many slots the volume has."""
+    links = spark.createDataFrame([(1, 10 * f + k, 10 * f + (k + 1 if k < 6 else 3)) for f in range(200) for k in range(7)], "volume long, a long, b long")
+    levels, circling = chains._doubled(links)
+    assert circling and len(levels) <= 5
+    assert sorted(r["b"] for r in levels[-1].select("b").distinct().collect()) == [10 * f + k for f in range(200) for k in range(3, 7)]
+    levels, circling = chains._doubled(links.where("a % 10 < 6"))
+    assert not circling and len(levels) == 3
