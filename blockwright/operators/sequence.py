@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,44 @@ def runs(df: DataFrame, lanes: list[str], order: str, ties: list[str], breaks: C
     return running_max(df, lanes, order, ties, F.when(F.coalesce(breaks, F.lit(True)), F.col(order)), out, inclusive=True, stretch=stretch)
 
 
+def stitched(
+    df: DataFrame, lanes: list[str], order: str, stretch: int, before: dict[str, Column], sure: Column, maybe: Column, ends: dict[str, Column], opens: Column, out: str, measures: dict[str, tuple[Column, Callable]]
+) -> DataFrame:
+    """(lanes, out, measures) of each run of a lane's rows; ``out`` is the order value of the row that opened it. Rows are dealt to stretches once.
+
+    Within a stretch, ``before`` adds the greatest of each value among the rows before. ``sure`` says which rows open a
+    run whatever came before the stretch; ``maybe`` marks the one row before all of these that opens one if ``opens``
+    holds: a condition on _row (the greatest of each of ``ends`` up to that row in its stretch) and on _past (the
+    greatest before the stretch). Runs that begin and end in a stretch are told there; of each stretch one row goes on,
+    with what stands before its first sure row and after its last. A lane's first row opens a run anyway. Measures are
+    (aggregate of rows, aggregate of those). Rows of null order are one run, of null, and open and close nothing.
+    """
+    up, down = Window.unboundedPreceding, Window.unboundedFollowing
+    inside = Window.partitionBy(*lanes, "_s").orderBy(F.col(order).asc_nulls_first())
+    at = df.withColumn("_s", F.floor(F.col(order) / stretch).cast("bigint")).select("*", *[F.max(v).over(inside.rowsBetween(up, -1)).alias(n) for n, v in before.items()])
+    end = F.struct(*[v.alias(n) for n, v in ends.items()])
+    at = at.withColumn("_sure", F.when(sure, F.col(order))).withColumn("_may", F.when(maybe, F.col(order)))
+    at = at.select(
+        "*", F.max("_sure").over(inside.rowsBetween(up, 0)).alias("_g"), F.max("_may").over(inside.rowsBetween(up, 0)).alias("_c"), F.max("_sure").over(inside.rowsBetween(up, down)).alias("_top"),
+        F.max(F.when(F.col("_may").isNotNull(), end)).over(inside.rowsBetween(up, down)).alias("_row"), *[F.max(v).over(inside.rowsBetween(up, down)).alias(f"_e_{n}") for n, v in ends.items()],
+    )
+    told = [f"_e_{n}" for n in ends]
+    pieces = at.groupBy(*lanes, "_s", "_g", "_c", "_top", "_row", *told).agg(F.min(order).alias("_first"), *[a.alias(n) for n, (a, _) in measures.items()])
+    inner = F.col("_s").isNull() | (F.col("_g") < F.col("_top"))
+    done = pieces.where(inner).select(*lanes, F.col("_g").alias(out), *measures)
+    edge = pieces.where(~F.coalesce(inner, F.lit(False))).groupBy(*lanes, "_s", "_top", "_row", *told)
+    one = edge.agg(F.max("_c").alias("_c"), F.min("_first").alias("_first"), F.collect_list(F.struct("_g", "_c", *measures)).alias("_pieces"))  # three at most
+    lane = Window.partitionBy(*lanes).orderBy("_s")
+    past = F.struct(*[F.max(f"_e_{n}").over(lane.rowsBetween(up, -1)).alias(n) for n in ends])
+    one = one.select("*", past.alias("_past"), F.min("_first").over(lane.rowsBetween(up, 0)).alias("_lead"))
+    one = one.withColumn("_o", F.when(opens, F.col("_c")))
+    one = one.withColumn("_on", F.max(F.coalesce("_top", "_o")).over(lane.rowsBetween(up, -1)))
+    parts = one.select(*lanes, "_o", "_on", "_lead", F.explode("_pieces").alias("_x"))
+    opened = F.coalesce("_x._g", F.when(F.col("_x._c").isNotNull(), F.col("_o")), "_on", "_lead")
+    rest = parts.select(*lanes, opened.alias(out), *[F.col(f"_x.{n}").alias(n) for n in measures]).groupBy(*lanes, out).agg(*[merge(n).alias(n) for n, (_, merge) in measures.items()])
+    return done.unionByName(rest)
+
+
 def clock_runs(packs: DataFrame, lane: str, order: str, offset: str, length: str, clock: str, jump: int, bits: int = 33, stretch: int = STRETCH) -> DataFrame:
     """Packs split into streams: where the bytes do not follow on, or a wrapping clock jumps by more than ``jump`` either way."""
     prev = with_previous(packs, [lane], order, [], [offset, length, clock], stretch)

@@ -126,6 +126,22 @@ def test_pictures_equal_a_hand_count(spark):
     assert told == {(v, k): unit[0] for v, nals in lanes.items() for unit in by_hand(nals) for k in unit}
 
 
+def test_picture_table_meets_each_row_twice(spark, monkeypatch):
+    """Pictures over many stretches, null lanes, types and places among them, equal those of single rows; rows are shuffled by stretch once."""
+    rng = random.Random(11)
+    rows = [(v, 3 * k - 40, rng.choice([1, 5, 6, 9, 12, 12, 12, None]), rng.choice([True, False, None])) for v in (1, 2, None) for k in range(150) if rng.random() < 0.7]
+    rows += [(4, k * 100, kind, False) for k, kind in enumerate([6, 1, 12, 6, 6, 5, 7])] + [(5, 7, 1, True), (1, None, 5, True)]
+    units = spark.createDataFrame(rows, "v long, at long, type int, first boolean").repartition(3)
+    for stretch in (1, 4, 16, 1000):
+        every = pictures.access_units(units, ["v"], "at", "type", "first", stretch).groupBy("v", "picture")
+        want = every.agg(F.count("*"), F.count_if(F.col("type").between(1, 5)), F.coalesce(F.bool_or(F.col("type") == 5), F.lit(False)), F.max("at"))
+        got = pictures.picture_table(units, ["v"], "at", "type", "first", stretch)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, want.collect())))
+    monkeypatch.setattr(pictures, "running_max", None)  # no row meets what stretches carry on
+    plan = pictures.picture_table(units, ["v"], "at", "type", "first", 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning(v") <= 4  # by stretch (for either branch, which share it), by lane, by picture
+
+
 def test_sealed_blocks(spark):
     key, other = bytes(range(32)), bytes(32)
     rows = [(k, bytearray(os.urandom(500 + k) if k else b"")) for k in range(9)]
