@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import upper_median
-from .sequence import runs, with_previous
+from .sequence import stitched
 
 # Summaries ------------------------------------------------------------------------------------------------------------
 
@@ -75,9 +75,15 @@ def touched_blocks(regions: DataFrame, id_col: str, start: str, end: str, size:
 
 def picture_runs(frames: DataFrame, lane: str, order: str, time: str, size: str, apart: int, late: int, stretch: int) -> DataFrame:
     """(lane, run, frames, last): neighbouring frames no further than ``apart`` and ``late`` from the one before, of one picture size."""
-    prev = with_previous(frames, [lane], order, [], [order, size, time], stretch)
-    breaks = (F.col(order) - F.col(f"prev_{order}") > apart) | (F.abs(F.col(time) - F.col(f"prev_{time}")) > late) | (F.col(size) != F.col(f"prev_{size}"))
-    return runs(prev, [lane], order, [], breaks, "run", stretch).groupBy(lane, "run").agg(F.count("*").alias("frames"), F.max(order).alias("last"))
+    now = F.struct(F.col(order).alias("order"), F.col(size).alias("size"), F.col(time).alias("time"))
+
+    def breaks(row: Column, prev: Column) -> Column:
+        far = (row["order"] - prev["order"] > apart) | (F.abs(row["time"] - prev["time"]) > late) | (row["size"] != prev["size"])
+        return F.coalesce(far, F.lit(True))
+
+    first, prev = F.col("_prev").isNull(), F.col("_prev")
+    measures = {"frames": (F.count("*"), F.sum), "last": (F.max(order), F.max)}
+    return stitched(frames, [lane], order, stretch, {"_prev": now}, ~first & breaks(now, prev), first, {"row": now}, breaks(F.col("_row.row"), F.col("_past.row")), "run", measures)
 
 
 # Checks ---------------------------------------------------------------------------------------------------------------
