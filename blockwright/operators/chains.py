@@ -8,11 +8,17 @@ these are the slots on circles, after log2 of the longest way into one. Circles
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
 
+#: Slots of a volume that are scored together.
+BLOCK = 1 << 13
+
 
 def _doubled(links: DataFrame) -> tuple[list[DataFrame], bool]:
     """Jumps (volume, a, b) of 1, 2, 4 ... links, and whether there are circles: then the last ones lead to their slots alone, and to all of them."""
@@ -119,20 +125,23 @@ def data_base(heads: DataFrame, marks: DataFrame, size: int, begin: str = "vol_s
     ``shifts`` slots away are candidates; each is scored over all slots: how many have footage of their time at their
     place, and how far its ends are from theirs. Of those that find at least ``share`` of the most, the least error wins.
 
-    The second is the join key: a mark meets the slots of its own 15 seconds. Votes are pre-aggregated by base, and
-    scores are equi-joins by place. Ties: more votes, then the smaller base.
+    A mark meets the slots whose seconds share its stretch of a few, and votes are pre-aggregated by base. For scores,
+    slots are dealt by blocks of BLOCK numbers, and a mark goes to each block to which some candidate puts it, so no row
+    is multiplied by the candidates. A mark without a last second counts, and its error does not. Ties: more votes, then
+    the smaller base.
     """
     slots = heads.select("volume", "idx", "start_s", "end_s", F.col(begin).alias("_begin")).where("start_s is not null and end_s is not null")
-    timed = slots.withColumn("_s", F.explode(F.sequence(F.col("start_s") - 1, F.col("start_s") + early)))
-    met = marks.withColumn("_s", F.col("first_s")).join(timed, ["volume", "_s"]).where((F.col("first_s") >= F.col("start_s") - late) & (F.col("first_s") <= F.col("end_s") + late))
+    stretch = lambda s: F.floor(s / (early + 4)).cast("bigint")
+    timed = slots.withColumn("_s", F.explode(F.sequence(stretch(F.col("start_s") - 1), stretch(F.col("start_s") + early))))
+    met = marks.withColumn("_s", stretch(F.col("first_s"))).join(timed, ["volume", "_s"]).where(F.col("first_s").between(F.col("start_s") - 1, F.col("start_s") + early))
+    met = met.where((F.col("first_s") >= F.col("start_s") - late) & (F.col("first_s") <= F.col("end_s") + late))
     votes = met.withColumn("base", F.col("offset") - F.col("idx") * size).where(F.col("base") >= F.col("_begin")).groupBy("volume", "base").agg(F.count("*").alias("votes"), F.min("_begin").alias("_begin"))
     votes = store.once(votes)
     shifted = _most_voted(votes, kept).select("volume", F.explode(F.sequence(F.lit(-shifts), F.lit(shifts))).alias("_k"), "base", "_begin").select("volume", (F.col("base") + F.col("_k") * size).alias("base"), "_begin")
     candidates = shifted.where(F.col("base") >= F.col("_begin")).select("volume", "base").distinct().join(votes.select("volume", "base", "votes"), ["volume", "base"], "left").fillna(0, ["votes"])
-    # Every slot under every candidate: a stated set of at most (2 * shifts + 1) * kept bases a volume.
-    placed = slots.join(candidates, "volume").withColumn("offset", F.col("base") + F.col("idx") * size)
-    hits = placed.join(marks, ["volume", "offset"]).where((F.col("first_s") >= F.col("start_s") - late) & (F.col("first_s") <= F.col("end_s") + late))
-    scored = hits.groupBy("volume", "base").agg(F.count("*").alias("found"), (F.sum(F.abs(F.col("first_s") - F.col("start_s")) + F.abs(F.col("last_s") - F.col("end_s"))) / (2 * F.count("*"))).alias("error_s"), F.max("votes").alias("votes"))
+    candidates = store.once(candidates)  # a stated set of at most (2 * shifts + 1) * kept bases a volume
+    hits = _hits(slots.select("volume", "idx", "start_s", "end_s"), marks, candidates, size, late).groupBy("volume", "base").agg(F.sum("found").alias("found"), F.sum("error").alias("_e"))
+    scored = hits.join(candidates, ["volume", "base"]).select("volume", "base", "found", (F.col("_e") / (2 * F.col("found"))).alias("error_s"), "votes")
     most = scored.groupBy("volume").agg(F.max("found").alias("_m"))
     fit = scored.join(most, "volume").where(F.col("found") >= share * F.col("_m"))
     order = Window.partitionBy("volume").orderBy("error_s", F.desc("votes"), "base")  # at most the candidates of one volume
@@ -140,6 +149,54 @@ def data_base(heads: DataFrame, marks: DataFrame, size: int, begin: str = "vol_s
     return best.where("_n = 1").select("volume", "base", "votes", "found", "error_s", "runner_up_s")
 
 
+def _hits(slots: DataFrame, marks: DataFrame, candidates: DataFrame, size: int, late: int) -> DataFrame:
+    """(volume, base, found, error): for parts of a volume, how many pairs of slot and mark each candidate puts at one place in time, and the seconds by which their ends differ."""
+    kind = dict(slots.dtypes)["volume"]
+    lists = candidates.groupBy("volume").agg(F.array_sort(F.collect_list(F.col("base").cast("bigint"))).alias("bases"))
+    dealt = slots.where("volume is not null").withColumn("block", F.floor(F.col("idx") / BLOCK).cast("bigint"))
+    fits = F.filter("bases", lambda b: (F.col("offset") - b) % size == 0)
+    at = F.array_distinct(F.transform(fits, lambda b: F.floor((F.col("offset") - b) / (size * BLOCK)).cast("bigint")))
+    none = lambda c: F.lit(None).cast("bigint").alias(c)
+    met = marks.where("first_s is not null").join(lists, "volume").select("volume", F.explode(at).alias("block"), "offset", "first_s", "last_s")
+    told = dealt.select("volume", "block").distinct().join(lists, "volume").select("volume", "block", none("offset"), none("first_s"), none("last_s"), "bases")
+
+    def score(key, left, right):
+        bases = right["bases"].drop_null()
+        if not len(bases) or len(right) == 1 or not left.num_rows:
+            return _told(key, [], [], [])
+        right = right.filter(pc.is_valid(right["offset"]))
+        idx, start, end = (left[c].to_numpy() for c in ("idx", "start_s", "end_s"))
+        order = np.argsort(idx, kind="stable")
+        idx, start, end = idx[order], start[order], end[order]
+        offset, first = (right[c].to_numpy() for c in ("offset", "first_s"))
+        known, last = pc.is_valid(right["last_s"]).to_numpy(), pc.fill_null(right["last_s"], 0).to_numpy()
+        rows = []
+        for base in bases[0].as_py():
+            mine = np.flatnonzero((offset - base) % size == 0)
+            place = (offset[mine] - base) // size
+            low, high = np.searchsorted(idx, place, "left"), np.searchsorted(idx, place, "right")
+            found = error = sure = 0
+            while len(mine):  # the first slot of each mark's number, then the second
+                held = low < high
+                mine, low, high = mine[held], low[held], high[held]
+                good = (first[mine] >= start[low] - late) & (first[mine] <= end[low] + late)
+                m, s = mine[good], low[good]
+                found, sure = found + len(m), sure + int(known[m].sum())
+                error += int(((np.abs(first[m] - start[s]) + np.abs(last[m] - end[s])) * known[m]).sum())
+                low = low + 1
+            if found:
+                rows.append((base, found, error if sure else None))
+        return _told(key, *zip(*rows)) if rows else _told(key, [], [], [])
+
+    def _told(key, bases, found, error):
+        volume = pa.array([key[0].as_py()] * len(bases), key[0].type)
+        return pa.table({"volume": volume, **{n: pa.array(list(v), pa.int64()) for n, v in (("base", bases), ("found", found), ("error", error))}})
+
+    numbers = lambda df, names: df.select("volume", "block", *[F.col(c).cast("bigint").alias(c) for c in names])
+    sides = numbers(dealt, ("idx", "start_s", "end_s")), numbers(met, ("offset", "first_s", "last_s")).withColumn("bases", F.lit(None).cast("array<bigint>")).unionByName(told).withColumnsRenamed({"volume": "_v", "block": "_b"})
+    return sides[0].groupBy("volume", "block").cogroup(sides[1].groupBy("_v", "_b")).applyInArrow(score, f"volume {kind}, base bigint, found bigint, error bigint")
+
+
 def _most_voted(votes: DataFrame, kept: int) -> DataFrame:
     """The bases of most votes of each volume, smaller bases first; chosen within hashed parts first, so that no volume is one task."""
     order = [F.desc("votes"), "base"]

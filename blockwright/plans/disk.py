@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import US
-from ..operators import chains, geometry, identify, pictures, sequence, survey
+from ..operators import chains, geometry, identify, pictures, sequence, store, survey
 from .common import RECORDINGS, recordings, table
 
 #: Bytes of a stand-in cluster, and of a slot's place before the data begin.
@@ -39,6 +39,7 @@ def _calibration(spark, d) -> tuple[DataFrame, DataFrame]:
     rec = sequence.row_numbers(recordings(spark, d), ["camera"], "s", ["event_id"])
     volume = F.pmod(F.ascii("camera") * 31 + F.length("camera"), F.lit(97)).cast("bigint")
     at = rec.select(volume.alias("volume"), F.col("_n").alias("idx"), F.floor(F.col("s") / US).cast("bigint").alias("start_s"), F.floor(F.col("e") / US).cast("bigint").alias("end_s"), "event_id")
+    at = store.once(at)  # slots and marks are both read twice
     heads = at.select("volume", "idx", "start_s", "end_s", F.lit(0).cast("bigint").alias("vol_start"))
     marks = at.where("event_id % 5 <> 0").select(
         "volume", (FIRST + F.col("volume") * 512 + F.col("idx") * SIZE).alias("offset"), (F.col("start_s") + F.col("event_id") % 3).alias("first_s"), (F.col("end_s") - F.col("event_id") % 2).alias("last_s")
