@@ -6,6 +6,7 @@ from collections import Counter
 
 import helpers
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from blockwright.llm import queries, suffix_dedup, suffixes
@@ -103,3 +104,20 @@ def test_query_equals_every_window(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
     got = queries.QUERIES["op11_suffixes"](spark, "/root/testdata/sf0.001")
     assert sorted(map(tuple, got.collect()), key=str) == expected([tuple(r) for r in docs])
+
+
+def test_the_only_kind_of_a_gram_is_not_sorted(monkeypatch):
+    """Its copies repeat it whole, one of it repeats nothing; kinds that share a gram are sorted together."""
+    rng = random.Random(4)
+    make = lambda n: bytes(rng.randrange(32, 127) for _ in range(n))
+    body, lone, once = make(420), make(500), make(450)
+    rows = [(1, b"a", lone), (1, b"a", lone), (2, b"b", once), (3, b"c", b"x" + body), (3, b"d", body + b"yy"), (4, b"e", lone[:400]), (4, b"e", lone[:400]), (4, b"e", lone[:400])]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2))], names=["key", "seg", "bytes"])
+    sorted_ = []
+    whole = suffix_dedup.repeated_runs
+    monkeypatch.setattr(suffix_dedup, "repeated_runs", lambda stretches, length: sorted_.extend(stretches) or whole(stretches, length))
+    for limit in (1, 1 << 20):
+        sorted_.clear()
+        got = [r for out in suffix_dedup._sorted_shards(limit)(iter([batch.slice(0, 4), batch.slice(4)])) for r in out.to_pylist()]
+        assert {(r["key"], r["seg"]): [(x["s"], x["e"]) for x in r["spans"]] for r in got} == {(1, b"a"): [(0, 500)], (3, b"c"): [(1, 421)], (3, b"d"): [(0, 420)], (4, b"e"): [(0, 400)]}
+        assert sorted(sorted_) == sorted([b"x" + body, body + b"yy"])
