@@ -260,14 +260,80 @@ def _middle(a: Shape, b: Shape) -> tuple[int, list[Shape], list[Shape]]:
     return start, xs[start : len(xs) - end], ys[start : len(ys) - end]
 
 
+def _kinds(side: list[Shape]) -> list[Shape]:
+    return list({x.form: x for x in side}.values())
+
+
 def _weights(xs: list[Shape], ys: list[Shape], memo: dict):
     """(matrix, rows, columns): the weight of every pair of kinds of trees, and which kind each tree is."""
     kinds = [{}, {}]
     codes = [np.array([k.setdefault(x.form, (len(k), x))[0] for x in side]) for k, side in zip(kinds, (xs, ys))]
+    if len(kinds[0]) * len(kinds[1]) > KIND_PAIRS:
+        key = tuple(kinds[0]), tuple(kinds[1])
+        if memo.get("latest", (None,))[0] != key:  # one such matrix is kept
+            memo["latest"] = key, _all_weights(*([x for _, x in k.values()] for k in kinds))
+        return memo["latest"][1], *codes
     table = np.array([[_weight(x, y, memo) for _, y in kinds[1].values()] for _, x in kinds[0].values()], np.int32)
     return table, *codes
 
 
+#: Pairs of kinds of trees that are weighed one by one; the weights of more are worked out together.
+KIND_PAIRS = 1 << 10
+
+
+def _all_weights(xs: list[Shape], ys: list[Shape]) -> np.ndarray:
+    """The same weights for every pair of many kinds: those of their children's kinds first, level by level, then of all pairs of one tag and about one number of children in step."""
+    levels = [(xs, ys)]
+    while all(below := [_kinds([c for x in side for c in x.children]) for side in levels[-1]]):
+        levels.append(tuple(below))
+    table = np.zeros((1, 1), np.int32)  # the last row and column stand for no child
+    codes: list[dict] = [{}, {}]
+    for sides in reversed(levels):
+        out = np.zeros((len(sides[0]) + 1, len(sides[1]) + 1), np.int32)
+        groups = [_by_tag(side, code, len(code)) for side, code in zip(sides, codes)]
+        for tag, left in groups[0].items():
+            for rows, a in left:
+                for columns, b in groups[1].get(tag, ()):
+                    step = max(1, CELLS // (len(columns) * (b.shape[1] + 1)))
+                    for r in range(0, len(rows), step):
+                        out[np.ix_(rows[r : r + step], columns)] = 1 + _best_together(table, a[r : r + step], b)
+        table, codes = out, [{x.form: k for k, x in enumerate(side)} for side in sides]
+    return table[:-1, :-1]
+
+
+def _by_tag(side: list[Shape], code: dict, none: int) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
+    """(places, children's kinds) of trees of one tag whose lists of children have about one length; shorter ones are filled up with ``none``."""
+    found: dict = {}
+    for k, x in enumerate(side):
+        n = len(x.children) if code else 0
+        bits = max(0, n.bit_length() - 2)
+        found.setdefault((x.tag, -(-n >> bits) << bits), []).append(k)
+    out: dict = {}
+    for (tag, n), places in found.items():
+        rows = np.full((len(places), n), none)
+        for r, k in enumerate(places if n else ()):
+            own = [code[c.form] for c in side[k].children]
+            rows[r, : len(own)] = own
+        out.setdefault(tag, []).append((np.array(places), rows))
+    return out
+
+
+def _best_together(table: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Best weights of every row of ``a`` with every row of ``b``, lists of kinds."""
+    if a.shape[0] * b.shape[0] < b.shape[1]:  # few long lists
+        return np.array([[_last_row(table, x, y)[-1] for y in b] for x in a], np.int32)
+    best = [np.zeros((len(a), len(b)), np.int32)] * (b.shape[1] + 1)
+    for i in range(a.shape[1]):
+        weight, row = table[a[:, i]], [best[0]]
+        for j in range(b.shape[1]):
+            now = weight[:, b[:, j]]
+            now += best[j]
+            np.maximum(now, best[j + 1], out=now)
+            row.append(np.maximum(now, row[j], out=now))
+        best = row
+    return best[-1]
+
+
 def _weight(x: Shape, y: Shape, memo: dict) -> int:
     if x.tag != y.tag:
         return 0
@@ -313,73 +379,52 @@ def _matched(table: np.ndarray, rows: np.ndarray, columns: np.ndarray):
                 yield top + i, left + j
 
 
-#: Pairs of kinds of trees that are all weighed; longer lists are cut at trees of equal tags, and what is left into runs of so many.
-KIND_PAIRS, CHUNK = 1 << 10, 8
-
-
-def _lists(a: Shape, b: Shape) -> tuple[list[tuple[Shape, Shape]], list[tuple[list[Shape], list[Shape]]]]:
-    """Children that match because their trees have the same tags, and the lists between them in which matches are sought.
-
-    Lists of few kinds stay whole. Longer ones are cut at trees whose tags stand once in either list, as many as keep
-    their order; a part of many kinds without such trees is taken by runs, the first with the first and so on.
-    """
+def _lists(a: Shape, b: Shape) -> tuple[list[tuple[Shape, Shape]], list[Shape], list[Shape]]:
+    """Children that match because their trees have the same tags, and the lists between them in which matches are sought, whole."""
     start, xs, ys = _middle(a, b)
     after = len(a.children) - start - len(xs)
     same = [*zip(a.children[:start], b.children[:start]), *(zip(a.children[-after:], b.children[-after:]) if after else ())]
-    if not xs or not ys:
-        return same, []
-    many = lambda p, q: len({x.form for x in p}) * len({y.form for y in q}) > KIND_PAIRS
-    if not many(xs, ys):
-        return same, [(xs, ys)]
-    once = [{f: k for k, f in enumerate(forms) if counts[f] == 1} for forms in ([x.form for x in xs], [y.form for y in ys]) for counts in (Counter(forms),)]
-    both = sorted((i, once[1][f]) for f, i in once[0].items() if f in once[1])
-    from ..operators.match import increasing_chain
-
-    cuts = [both[k] for k in increasing_chain([j for _, j in both])] if both else []
-    parts, i0, j0 = [], 0, 0
-    for i, j in [*cuts, (len(xs), len(ys))]:
-        p, q = xs[i0:i], ys[j0:j]
-        if p and q:
-            runs = max(-(-len(p) // CHUNK), -(-len(q) // CHUNK)) if many(p, q) else 1
-            bound = lambda n, k: n * k // runs  # noqa: B023, E731
-            parts += [(p[bound(len(p), k) : bound(len(p), k + 1)], q[bound(len(q), k) : bound(len(q), k + 1)]) for k in range(runs)]
-        i0, j0 = i + 1, j + 1
-    return same + [(xs[i], ys[j]) for i, j in cuts], [(p, q) for p, q in parts if p and q]
+    return same, xs, ys
+
+
+def _weigh(a: Shape, b: Shape, memo: dict) -> None:
+    """Puts the weight of a pair of trees, and of all pairs below that it needs, into ``memo``."""
+    todo = [(a, b)]
+    while todo:
+        a, b = todo[-1]
+        if (a.form, b.form) in memo or a.form == b.form:
+            todo.pop()
+            continue
+        same, xs, ys = _lists(a, b)
+        kinds = (_kinds(xs), _kinds(ys)) if xs and ys else ((), ())
+        if len(kinds[0]) * len(kinds[1]) <= KIND_PAIRS:
+            open_ = [(x, y) for x in kinds[0] for y in kinds[1] if x.tag == y.tag and x.children and y.children and x.form != y.form and (x.form, y.form) not in memo]
+            if open_:
+                todo += open_
+                continue
+        memo[a.form, b.form] = 1 + sum(x.size for x, _ in same) + (int(_last_row(*_weights(xs, ys, memo))[-1]) if xs and ys else 0)
+        todo.pop()
 
 
 def align(wrapper: Shape, page: Shape) -> list[tuple[Shape, Shape]]:
     """The pairs of nodes of a largest matching: order kept, tags equal along with all parents' (simple tree matching).
 
     Trees with the same tags match whole, and a pair of kinds of trees is weighed once, however often they stand in a
-    list. In lists of many kinds the matching is the largest of those within their parts (``_lists``), so that a long
-    page takes time in proportion.
+    list. The matching is the largest whatever the lists' lengths: how weights are worked out depends on the number of
+    kinds, the weights do not. Time and the one matrix that is kept grow with the pairs of different kinds in a list.
     """
     if wrapper.tag != page.tag:
         return []
     memo: dict = {}
-    todo = [(wrapper, page)]
-    while todo:
-        a, b = todo[-1]
-        if (a.form, b.form) in memo or a.form == b.form:
-            todo.pop()
-            continue
-        same, lists = _lists(a, b)
-        open_ = []
-        for xs, ys in lists:
-            kinds = [list({x.form: x for x in side}.values()) for side in (xs, ys)]
-            open_ += [(x, y) for x in kinds[0] for y in kinds[1] if x.tag == y.tag and x.children and y.children and x.form != y.form and (x.form, y.form) not in memo]
-        if open_:
-            todo += open_
-            continue
-        memo[a.form, b.form] = 1 + sum(x.size for x, _ in same) + sum(int(_last_row(*_weights(xs, ys, memo))[-1]) for xs, ys in lists)
-        todo.pop()
     out, todo = [], [(wrapper, page)]
     while todo:
         a, b = todo.pop()
         out.append((a, b))
-        same, lists = _lists(a, b)
+        if a.form != b.form and a.children and b.children and (a.form, b.form) not in memo:
+            _weigh(a, b, memo)  # of lists of many kinds, only the pairs that match are weighed below
+        same, xs, ys = _lists(a, b)
         todo += same
-        for xs, ys in lists:
+        if xs and ys:
             table, rows, columns = _weights(xs, ys, memo)
             todo += [(xs[i], ys[j]) for i, j in _matched(table, rows, columns)]
     return out

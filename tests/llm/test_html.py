@@ -126,6 +126,31 @@ def test_alignment_equals_brute_force(monkeypatch, cells):
         assert [found[k] for k in order] == sorted(found.values())
 
 
+@pytest.mark.parametrize("most", [1 << 10, 0])
+def test_long_lists_are_matched_whole(monkeypatch, most):
+    """Sections of many kinds: the matching is the largest and the same, whether weights are worked out one by one or together."""
+    rng = random.Random(9)
+
+    def page(n):
+        rows = [(0, "r", 0)]
+        for k in range(n):
+            rows += [(1, rng.choice(["s", "s", "t"]), k), *((d, rng.choice("abc"), k) for d in [2, *(rng.choice([2, 2, 3, 3]) for _ in range(rng.randrange(0, 12)))])]
+        return html.rebuild(rows)
+
+    pairs = [(page(60), page(55)) for _ in range(2)] + [(page(5), page(7)) for _ in range(20)]
+    plain = []
+    for a, b in pairs:
+        monkeypatch.setattr(html, "KIND_PAIRS", 1 << 30)
+        plain.append([(x.index, y.index) for x, y in html.align(a, b)])
+        assert len(plain[-1]) == weight(a, b)
+    monkeypatch.setattr(html, "KIND_PAIRS", most)
+    for cells in (1 << 20, 7):
+        monkeypatch.setattr(html, "CELLS", cells)
+        for (a, b), want in zip(pairs, plain):
+            got = [(x.index, y.index) for x, y in html.align(a, b)]
+            assert len(got) == len(want) and (cells == 7 or got == want)
+
+
 def tree(t):
     yield t
     for c in t.children:
