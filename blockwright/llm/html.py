@@ -16,7 +16,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
+from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -33,6 +33,10 @@ RUN_BYTES = 4 << 20
 LEAST_PAGES, AGREE = 3, 0.9
 #: Cells of a matching's table that are held at once; larger tables are divided.
 CELLS = 1 << 20
+#: Nodes, and keys of lasting texts, that a task remembers of hosts and of alignments; it starts anew beyond.
+REMEMBERED = 1 << 18
+#: Characters of a tag whose marks are remembered, and how many such tags are.
+TAG_CHARS, TAGS = 256, 1 << 12
 #: Hosts with more than one of so many of the pages are hot: their pages are dealt into so many parts when they meet the host's wrapper.
 PARTS = 64
 
@@ -54,19 +58,18 @@ PLACED = frozenset(
 )
 #: Names that say something of the page around a part, as in no-sidebar, comments-open or search-results.
 ABOUT = re.compile(r"(?:no|not|has|with|without|is)[-_]|.*[-_](?:open|opened|closed|enabled|disabled|on|off|active|visible|results?|page|content|body|main|template)$", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|</?[A-Za-z][^\s>/]*(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>?", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|</?([A-Za-z][^\s>/]*)(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>?", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=<>"'/]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.S)
-SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "bad", "main", "children", "texts", "digest")
+    __slots__ = ("tag", "bad", "main", "children", "texts", "told")
 
     def __init__(self, tag: str, bad: bool = False, main: bool = False):
         self.tag, self.bad, self.main = tag, bad, main
         self.children: list[Node] = []
         self.texts: list = []  # runs of text and child blocks, in page order
-        self.digest = b""
+        self.told: list | None = None  # its lines and child blocks, once asked for
 
 
 def _attributes(tag: str) -> dict[str, str]:
@@ -88,6 +91,9 @@ def _marked(tag: str, raw: str) -> bool:
     return any(_names_a_mark(name) for k in ("class", "id") for name in a.get(k, "").split())
 
 
+_marked_again = lru_cache(TAGS)(_marked)
+
+
 def _names_a_mark(name: str) -> bool:
     """Whether a class or id names a marked thing: one of its parts does, and no other part names anything else (as in hidden-gem or side-note)."""
     parts = [p for p in re.split(r"[-_]+|(?<=[a-z])(?=[A-Z])", name) if p]
@@ -99,10 +105,11 @@ def parse(source: str) -> Node:
     """A tree of blocks; tags that stand inside a line of text are part of it. Time and space grow with the source's length."""
     root = Node("#root")
     stack, at = [root], 0
-    open_: Counter = Counter()  # how many nodes of the stack have a tag
+    open_: dict[str, int] = {}  # how many nodes of the stack have a tag
 
     def shut(k: int) -> None:
-        open_.subtract(n.tag for n in stack[k:])
+        for n in stack[k:]:
+            open_[n.tag] -= 1
         del stack[k:]
 
     end = len(source)
@@ -111,24 +118,24 @@ def parse(source: str) -> Node:
         if not m:
             stack[-1].texts.append(source[at:])
             break
-        if m.start() > at:
-            stack[-1].texts.append(source[at : m.start()])
-        at, raw = m.end(), m[0]
-        if raw[1] in "!?":
+        start, after = m.span()
+        if start > at:
+            stack[-1].texts.append(source[at:start])
+        at, raw, name = after, m[0], m[1]
+        if name is None:
             continue
-        name = re.match(r"</?([A-Za-z][^\s>/]*)", raw)[1].lower()
+        name = name.lower()
         if raw[1] == "/":
-            if name in INLINE:
-                if name not in VOID and open_[name] > 0:
-                    while stack[-1].tag in INLINE and stack[-1].tag != name:
-                        shut(len(stack) - 1)
-                    if stack[-1].tag == name:
-                        shut(len(stack) - 1)
-                continue
-            if open_[name] > 0:
+            if open_.get(name, 0) > 0:
+                if name in INLINE:
+                    if name not in VOID:
+                        while stack[-1].tag in INLINE and stack[-1].tag != name:
+                            shut(len(stack) - 1)
+                        if stack[-1].tag == name:
+                            shut(len(stack) - 1)
+                    continue
                 shut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == name))
             continue
-        bad = _marked(name, raw)
         if name in RAW and not raw.endswith("/>"):  # all up to the end tag is no markup
             close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
             at = close.end() if close else end
@@ -136,16 +143,17 @@ def parse(source: str) -> Node:
         if name in VOID:
             stack[-1].texts.append(" ")
             continue
+        bad = (_marked_again if len(raw) <= TAG_CHARS else _marked)(name, raw)
         if name in INLINE and not bad:
             continue
-        if name in CLOSES_P and open_["p"] > 0:  # a paragraph that is still open ends here, as do the inline blocks in it
+        if name in CLOSES_P and open_.get("p", 0) > 0:  # a paragraph that is still open ends here, as do the inline blocks in it
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     shut(k)
                     break
                 if stack[k].tag not in INLINE:
                     break
-        if name in ("li", "dt", "dd", "tr", "td", "th", "option") and open_[name] > 0:
+        if name in ("li", "dt", "dd", "tr", "td", "th", "option") and open_.get(name, 0) > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == name:
                     shut(k)
@@ -160,21 +168,29 @@ def parse(source: str) -> Node:
         stack[-1].texts.append(node)
         if not raw.endswith("/>"):
             stack.append(node)
-            open_[name] += 1
+            open_[name] = open_.get(name, 0) + 1
     return root
 
 
+def told(node: Node) -> list:
+    """The node's own lines, references decoded and white space made one space, and its child blocks, in page order."""
+    if node.told is None:
+        node.told, run = [], []
+        for x in [*node.texts, None]:
+            if isinstance(x, str):
+                run.append(x)
+                continue
+            if run and (line := " ".join(entities.unescape("".join(run)).split())):
+                node.told.append(line)
+            run = []
+            if x is not None:
+                node.told.append(x)
+    return node.told
+
+
 def own_text(node: Node) -> list[str]:
-    """The node's own lines between its child blocks, references decoded and white space made one space."""
-    out, run = [], []
-    for x in [*node.texts, None]:
-        if isinstance(x, str):
-            run.append(x)
-            continue
-        if run and (line := SPACE.sub(" ", entities.unescape("".join(run))).strip()):
-            out.append(line)
-        run = []
-    return out
+    """The node's own lines between its child blocks."""
+    return [x for x in told(node) if isinstance(x, str)]
 
 
 def flatten(root: Node) -> list[tuple[int, Node]]:
@@ -227,6 +243,13 @@ def pack_shape(rows: list[tuple[int, str, int]]) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(json.dumps(list(zip(*rows)), separators=(",", ":")).encode())
 
 
+def unpack_rows(packed: bytes) -> tuple[list[int], list[str], list[int]]:
+    """Depths, tags and digests of a shape's nodes."""
+    import zstandard
+
+    return tuple(json.loads(zstandard.ZstdDecompressor().decompress(packed)))
+
+
 def rebuild(rows) -> Shape:
     from xxhash import xxh64_intdigest
 
@@ -245,12 +268,6 @@ def rebuild(rows) -> Shape:
     return made[0]
 
 
-def unpack_shape(packed: bytes) -> Shape:
-    import zstandard
-
-    return rebuild(zip(*json.loads(zstandard.ZstdDecompressor().decompress(packed))))
-
-
 def _middle(a: Shape, b: Shape) -> tuple[int, list[Shape], list[Shape]]:
     """How many children of a and b match from the start because their trees have the same tags, and what is left between such a start and such an end."""
     xs, ys = a.children, b.children
@@ -430,6 +447,57 @@ def align(wrapper: Shape, page: Shape) -> list[tuple[Shape, Shape]]:
     return out
 
 
+class Wrapper:
+    """What is known of a host: its exemplar's depths, tags and digests, the places of its template, and its lasting texts."""
+
+    __slots__ = ("form", "digests", "template", "lasting", "size")
+
+    def __init__(self, packed: bytes, template=(), lasting=()):
+        depths, tags, digests = unpack_rows(packed)
+        self.form, self.digests = (tuple(depths), tuple(tags)), np.array(digests, np.uint64)
+        self.template = np.zeros(len(digests), bool)
+        self.template[list(template)] = True
+        self.lasting = frozenset(k % (1 << 64) for k in lasting)
+        self.size = len(digests) + len(self.lasting)
+
+
+class Remembered:
+    """Values by key, as many as REMEMBERED allows by their sizes."""
+
+    def __init__(self):
+        self.held, self.size = {}, 0
+
+    def get(self, key, make, size):
+        value = self.held.get(key)
+        if value is None:
+            value = make()
+            self.size += size(value)
+            if self.size > REMEMBERED:
+                self.held, self.size = {}, size(value)
+            self.held[key] = value
+        return value
+
+
+class Aligner:
+    """Alignments of pages with wrappers. They follow from the depths and tags alone, so pages alike in those share one."""
+
+    def __init__(self):
+        self.hosts, self.known = Remembered(), Remembered()
+
+    def wrapper(self, host: str, make) -> Wrapper:
+        return self.hosts.get(host, make, lambda w: w.size)
+
+    def places(self, wrapper: Wrapper, depths, tags) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the aligned nodes in the wrapper and in the page."""
+        form = tuple(depths), tuple(tags)
+
+        def make():
+            pairs = [(a.index, b.index) for a, b in align(*(rebuild(zip(*f, [0] * len(f[0]))) for f in (wrapper.form, form)))]
+            return tuple(np.array(pairs, np.int32).reshape(-1, 2).T)
+
+        return self.known.get((wrapper.form, form), make, lambda v: len(v[0]) + len(form[0]))
+
+
 #: Blocks of running text; a constant one between two slots of its parent belongs to what they tell.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption caption".split())
 
@@ -451,7 +519,7 @@ def _enclosed(root: Node, template: set[int]) -> set[int]:
 
 def main_text(root: Node, template: set[int] | None) -> str:
     """Text of articles whole, of slots, and of running text between slots; with no template known, of an article or main element alone, if there is one."""
-    inside = any(n.main and not n.bad for _, n in flatten(root))
+    inside = template is None and any(n.main and not n.bad for _, n in flatten(root))
     kept = _enclosed(root, template) if template is not None else set()
     out: list[str] = []
 
@@ -468,17 +536,7 @@ def main_text(root: Node, template: set[int] | None) -> str:
                 use = x.main or not inside
             else:
                 use = x.main or id(x) not in template or id(x) in kept
-            parts, run = [], []
-            for y in [*x.texts, None]:
-                if isinstance(y, str):
-                    run.append(y)
-                    continue
-                if use and run and (line := SPACE.sub(" ", entities.unescape("".join(run))).strip()):
-                    parts.append(line)
-                run = []
-                if y is not None:
-                    parts.append(y)
-            todo += reversed(parts)
+            todo += [y for y in reversed(told(x)) if use or not isinstance(y, str)]
 
     walk(root)
     return " ".join(out)
@@ -537,27 +595,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         return left.join(right, ["host", "part"], how).drop("part")
 
     def vote(batches):
-        cache: dict = {}
+        aligner = Aligner()
         for batch in batches:
             counts: dict = {}
             hosts, wrappers = batch.column(0).to_pylist(), batch.column(2)
             for i, packed in enumerate(batch.column(1).to_pylist()):
-                for a, b in align(wrapper_of(cache, hosts[i], wrappers, i), unpack_shape(packed)):
-                    if a.digest:
-                        got = counts.setdefault((hosts[i], a.index), [0, 0])
-                        got[0] += 1
-                        got[1] += a.digest == b.digest
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([v[0] for v in counts.values()], pa.int64()), pa.array([v[1] for v in counts.values()], pa.int64())],
-                names=["host", "node", "aligned", "equal"],
-            )
-
-    def wrapper_of(cache: dict, host: str, column, i: int) -> Shape:
-        if host not in cache:
-            if len(cache) > 256:
-                cache.clear()
-            cache[host] = unpack_shape(column[i].as_py())
-        return cache[host]
+                wrapper = aligner.wrapper(hosts[i], lambda i=i: Wrapper(wrappers[i].as_py()))
+                depths, tags, digests = unpack_rows(packed)
+                left, right = aligner.places(wrapper, depths, tags)
+                if hosts[i] not in counts:
+                    counts[hosts[i]] = wrapper.digests, np.zeros((2, len(wrapper.digests)), np.int64)
+                votes = counts[hosts[i]][1]
+                votes[0, left] += 1
+                votes[1, left] += wrapper.digests[left] == np.array(digests, np.uint64)[right]
+            rows = [(host, node, *votes[:, node].tolist()) for host, (digests, votes) in counts.items() for node in np.flatnonzero((digests > 0) & (votes[0] > 0)).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else ((),) * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "node", "aligned", "equal"])
 
     votes = meet(shapes.select("host", "id", "shape"), exemplars, "inner").select("host", "shape", "wrapper").mapInArrow(tidy(vote), "host string, node int, aligned long, equal long")
     fixed = votes.groupBy("host", "node").agg(F.sum("aligned").alias("aligned"), F.sum("equal").alias("equal")).where((F.col("aligned") >= LEAST_PAGES) & (F.col("equal") >= AGREE * F.col("aligned")))
@@ -583,20 +635,23 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     def take(batches):
         import zstandard
 
-        cache: dict = {}
+        aligner = Aligner()
         unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for part in batch_slices(batch, 256):
-                hosts, fixed_of, lasting_of, texts = part.column(2).to_pylist(), part.column(5), part.column(6), []
+                hosts, texts = part.column(2).to_pylist(), []
+                wrappers, fixed_of, lasting_of = (part.column(k) for k in (4, 5, 6))
                 for i, packed in enumerate(part.column(3).to_pylist()):
                     root, constant = parse(unpress(packed).decode()), None
                     if fixed_of[i].is_valid:
+                        wrapper = aligner.wrapper(hosts[i], lambda i=i: Wrapper(wrappers[i].as_py(), fixed_of[i].as_py(), lasting_of[i].as_py()))
                         rows, nodes = shape_of(root)
-                        template = set(fixed_of[i].as_py())
-                        pairs = align(wrapper_of(cache, hosts[i], part.column(4), i), rebuild(rows))
-                        constant = {id(nodes[b.index]) for a, b in pairs if a.index in template and a.digest == b.digest}
-                        keys = {k % (1 << 64) for k in lasting_of[i].as_py()}
-                        constant |= {id(node) for _, k, node in path_texts(root) if k in keys}
+                        depths, tags, digests = zip(*rows)
+                        left, right = aligner.places(wrapper, depths, tags)
+                        same = wrapper.template[left] & (wrapper.digests[left] == np.array(digests, np.uint64)[right])
+                        constant = {id(nodes[k]) for k in right[same].tolist()}
+                        if wrapper.lasting:
+                            constant |= {id(node) for _, k, node in path_texts(root) if k in wrapper.lasting}
                     texts.append(main_text(root, constant))
                 out = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), out, pc.cast(pc.utf8_length(out), pa.int64())], names=["id", "url", "text", "n_chars"])

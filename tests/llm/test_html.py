@@ -213,3 +213,32 @@ def test_query_equals_articles_cut_out_by_hand(spark):
     pages = {r["page_id"]: by_hand(r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
     got = {r["page_id"]: r["text"] for r in queries.QUERIES["op8_html"](spark, "/root/testdata/sf0.001").collect()}
     assert got == pages and sum(map(bool, pages.values())) > 20
+
+
+def test_pages_of_one_form_are_aligned_once(monkeypatch):
+    """Alignments follow from tags and depths alone; what is remembered is bounded and the same as what is worked out anew."""
+    rng = random.Random(8)
+    pages = ["<div>" + "".join(f"<{t}>w{rng.random()}</{t}>" for t in rng.choice(("pph", "php", "hpph"))) + "</div>" for _ in range(40)]
+    shapes = [html.shape_of(html.parse(p))[0] for p in pages]
+    whole, calls = html.align, []
+    monkeypatch.setattr(html, "align", lambda a, b: calls.append(1) or whole(a, b))
+    for most, held in ((html.REMEMBERED, 3), (1, 1)):
+        monkeypatch.setattr(html, "REMEMBERED", most)
+        calls.clear()
+        aligner = html.Aligner()
+        wrapper = aligner.wrapper("h", lambda: html.Wrapper(html.pack_shape(shapes[0]), [1]))
+        for rows in shapes:
+            depths, tags, _ = zip(*rows)
+            want = {(a.index, b.index) for a, b in whole(html.rebuild(shapes[0]), html.rebuild(rows))}
+            assert set(zip(*(x.tolist() for x in aligner.places(wrapper, depths, tags)))) == want
+        assert len(aligner.known.held) == held and (held == 1 or len(calls) == held)
+
+
+def test_lines_are_told_once(monkeypatch):
+    """One decoding of each run of text, whatever is asked of a page."""
+    root = html.parse("<div>a &amp; b<p>c\x1f 　d</p>e<nav>f</nav></div>")
+    calls, decode = [], html.entities.unescape
+    monkeypatch.setattr(html.entities, "unescape", lambda x: calls.append(x) or decode(x))
+    html.shape_of(root), html.path_texts(root)
+    assert html.main_text(root, None) == html.main_text(root, set()) == "a & b c d e"
+    assert len(calls) == 4
